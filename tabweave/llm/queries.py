@@ -4,18 +4,53 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, sharding
+from . import bpe, chat, embedding_dedup, license_scan, mixing, quality, sharding, simhash, url_cascade
+
+#: The rules of the URL query, in the form verdict, host and path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def vocabulary() -> tuple[bytes, str]:
+    """Ranks and pre-token pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(spark, _read(spark, sf_dir, "embeddings"))
+
+
+def op2_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(spark, _read(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [url_cascade.parse_rule(*r) for r in URL_RULES]
+    return url_cascade.filter_urls(spark, _read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(spark, _read(spark, sf_dir, "documents"), *vocabulary())
+
+
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digests(spark, _read(spark, sf_dir, "conversations"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.quality_rules(_read(spark, sf_dir, "documents").select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(spark, _read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(spark, _read(spark, sf_dir, "documents"))
 
@@ -24,5 +59,5 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_quality_rules, op8_sharding, op9_mixing)}
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing)}
 ORACLE_SQL: dict[str, str] = {}
