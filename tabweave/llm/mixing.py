@@ -87,7 +87,7 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3, seed: int = 9) -> DataFrame:
-    """Add ``size``, ``source_size``, ``target`` and ``taken`` (words the mix takes of a row).
+    """Add ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (words the mix takes).
 
     Sources are ordered by code point, null last, and weigh 1, 2, 3, 1, ...; together they
     share all words.  A source's target is met by whole rounds over its documents plus, for
@@ -99,7 +99,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
     selected one by one.  An empty table gives an empty table.  A hot source, or one size that
     a third of all rows have, spreads over tasks (see ``rank_within``).
     """
-    added = {"size", "source_size", "target", "taken"}
+    added = {"size", "source_size", "target", "taken", "copies"}
     base = docs.select(
         *[c for c in docs.columns if c not in added],
         size.cast("long").alias("size"),
@@ -113,10 +113,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
     schema = "_source string, _null boolean, size long, source_size long, target double, _copies long, _extra long"
     fitted = histogram.join(targets, ["_null", "_source"]).groupBy("_null", "_source").applyInPandas(_fit_source, schema)
     plan = stage(spark, fitted, "plan")
-    tie = [c for c, kind in base.dtypes if c not in (*keys, "source") and not kind.startswith(("map", "variant"))]
-    ranked = rank_within(spark, base.withColumn("_hash", F.xxhash64(F.lit(seed), *tie)), keys, ["_hash", *tie], "_rank")
+    # Two hashes of the whole row order rows of one size; rows that tie in both are equal.
+    row = [c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]
+    hashed = base.withColumn("_hash", F.xxhash64(F.lit(seed), *row)).withColumn("_hash2", F.xxhash64(F.lit(seed + 1), *row))
+    ranked = rank_within(spark, hashed, keys, ["_hash", "_hash2"], "_rank")
     times = F.col("_copies") + (F.col("_rank") < F.col("_extra")).cast("long")
-    return ranked.join(plan, keys).withColumn("taken", times * F.col("size")).select(*[c for c in docs.columns if c not in added], "size", "source_size", "target", "taken")
+    out = ranked.join(plan, keys).withColumn("copies", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long")))
+    return out.select(*[c for c in docs.columns if c not in added], "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 def word_count(text: str = "text") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, license_scan, mixing, quality, sharding, simhash, url_cascade
+from . import bpe, chat, embedding_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, url_cascade
 
 #: The rules of the URL query, in the form verdict, host and path.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -59,5 +59,9 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(spark, _read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
