@@ -1,7 +1,333 @@
-"""All queries of the engine itself, and the SQL that must give the same rows."""
+"""The engine's queries over the driver's tables, each with SQL that must give the same rows.
+
+The tables' columns, cast to string, act as the cells of delimited files; each query compiles
+a description into expressions over them.
+"""
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..describe import infer_types
+from ..functions.numbers import NumberFormat, format_decimal, parse_decimal
+from ..functions.types import compile_datatype
+from ..functions.uritemplate import compile_template
+from ..model import ForeignKey, Table, TableGroup
+from ..operators import json_export, keys, relations
+from ..operators.scan import Scan, scan_frame, texts
+from ..sources import dsv
+from ..sources.dialect import Dialect
+
+FLAGSHIP = "typed_lineitem"
+
+
+def _cells(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return df.select(*columns) if columns else df
+
+
+def _table(url: str, columns: dict, **schema: object) -> Table:
+    described = [{"name": n, **({"datatype": d} if not (isinstance(d, dict) and "_" in d) else {k: v for k, v in d.items() if k != "_"})} for n, d in columns.items()]
+    return TableGroup.of({"url": url, "tableSchema": {"columns": described, **schema}}).tables[0]
+
+
+LINEITEM = {
+    "l_orderkey": "long",
+    "l_linenumber": {"base": "integer", "minimum": "1"},
+    "l_quantity": "integer",
+    "l_extendedprice": "double",
+    "l_returnflag": {"base": "string", "format": "[ANR]"},
+    "l_shipdate": {"base": "datetime", "format": "yyyy-MM-dd HH:mm:ss"},
+}
+
+
+def _lineitem(spark: SparkSession, sf_dir: str, **changes: object) -> Scan:
+    columns = LINEITEM | changes
+    cells = _cells(spark, sf_dir, "lineitem", *LINEITEM)
+    return scan_frame(_table("lineitem.csv", columns), cells.withColumn("l_shipdate", F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss")))
+
+
+def typed_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good = _lineitem(spark, sf_dir).good
+    return good.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), F.col("l_quantity").cast("long").alias("l_quantity"), "l_extendedprice", "l_returnflag", F.col("l_shipdate").cast("date").alias("l_shipdate"))
+
+
+def typed_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed result is an ordinary DataFrame: aggregate it."""
+    good = _lineitem(spark, sf_dir).typed("l_returnflag", "l_quantity", "l_extendedprice")
+    return good.groupBy("l_returnflag").agg(F.sum("l_quantity").cast("long").alias("sum_qty"), F.round(F.sum("l_extendedprice"), 2).alias("sum_price"), F.count(F.lit(1)).alias("n"))
+
+
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _lineitem(spark, sf_dir, l_quantity={"base": "integer", "maximum": "40"}, l_returnflag={"base": "string", "format": "A|N"})
+    return s.error_counts()
+
+
+def kept_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _lineitem(spark, sf_dir, l_quantity={"base": "integer", "minExclusive": "5", "maxInclusive": "40"})
+    return s.good.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = _cells(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").withColumn("sourcenum", F.col("o_orderkey") + 1)
+    t = _table("orders.csv", {"o_orderkey": "long", "o_orderpriority": {"base": "string", "maxLength": 6}})
+    return scan_frame(t, cells).errors
+
+
+def lenient_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("supplier.csv", {"s_suppkey": "long", "s_acctbal": {"base": "decimal", "minimum": "0"}})
+    rows = scan_frame(t, _cells(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal")).lenient
+    return rows.select("s_suppkey", F.element_at("_raw", "s_acctbal").cast("double").alias("raw_balance"))
+
+
+def nulls_and_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("customer.csv", {"c_custkey": "long", "c_mktsegment": {"_": 1, "null": ["BUILDING", ""]}, "c_name": {"_": 1, "default": "nobody", "null": "NA"}})
+    cells = _cells(spark, sf_dir, "customer", "c_custkey", "c_mktsegment", "c_name").withColumn("c_name", F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.col("c_name")))
+    return scan_frame(t, cells).good
+
+
+def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("part.csv", {"p_partkey": "long", "p_type": {"_": 1, "separator": " "}})
+    rows = scan_frame(t, _cells(spark, sf_dir, "part", "p_partkey", "p_type")).good
+    return rows.select("p_partkey", F.size("p_type").cast("long").alias("n_items"), F.get("p_type", F.lit(0)).alias("first_item"), F.array_join("p_type", "|").alias("items"))
+
+
+def virtual_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("nation.csv", {"n_nationkey": "integer", "n_name": "string", "uri": {"_": 1, "virtual": True, "valueUrl": "http://example.org/nation/{n_nationkey}?name={n_name}"}})
+    return scan_frame(t, _cells(spark, sf_dir, "nation", "n_nationkey", "n_name")).good.select(F.col("n_nationkey").cast("long").alias("n_nationkey"), "uri")
+
+
+def uri_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = compile_template("http://example.org{/p_brand}{?p_name,p_size}{#p_partkey}", {c: F.col(c) for c in ("p_brand", "p_name", "p_size", "p_partkey")})
+    return _cells(spark, sf_dir, "part").select("p_partkey", made.alias("uri"))
+
+
+def booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("boolean", "A|R")
+    df = _cells(spark, sf_dir, "lineitem", "l_returnflag")
+    return df.groupBy(kind.parse(F.col("l_returnflag")).alias("flag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    value = F.col("o_totalprice").cast("decimal(38,18)")
+    return _cells(spark, sf_dir, "orders").select("o_orderkey", format_decimal(value, NumberFormat("#,##0.00")).alias("shown"))
+
+
+def parsed_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = NumberFormat("#,##0.00", ".", ",")
+    text = format_decimal(F.col("o_totalprice").cast("decimal(38,18)"), f)
+    return _cells(spark, sf_dir, "orders").select("o_orderkey", parse_decimal(text, f).cast("double").alias("price"))
+
+
+def dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("date", "d.M.yyyy", minimum="1.1.1995")
+    text = kind.format(F.col("o_orderdate").cast("date"))
+    return _cells(spark, sf_dir, "orders").select("o_orderkey", text.alias("shown"), kind.parse(text).alias("parsed"), kind.error(text).isNull().alias("valid"))
+
+
+def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("duration")
+    text = F.concat(F.lit("P1Y"), F.col("p_size").cast("string"), F.lit("DT2H"))
+    value = kind.parse(text)
+    return _cells(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", value["months"].alias("months"), value["micros"].alias("micros"), kind.format(value).alias("shown"))
+
+
+def binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b64, hexed = compile_datatype("base64Binary", minLength=1), compile_datatype("hexBinary")
+    name = F.col("n_name").cast("binary")
+    return _cells(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), b64.format(name).alias("base64"), hexed.format(hexed.parse(hexed.format(name))).alias("hex"), b64.parse(b64.format(name)).cast("string").alias("back"))
+
+
+def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("json", {"type": "object", "required": ["k"], "properties": {"k": {"type": "integer", "minimum": 50}}})
+    return _cells(spark, sf_dir, "events", "event_id", "props").select("event_id", kind.error(F.col("props")).isNull().alias("valid"))
+
+
+def inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _cells(spark, sf_dir, "orders").withColumn("o_orderdate", F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return spark.createDataFrame(sorted(infer_types(df).items()), "column string, datatype string")
+
+
+def repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keys.duplicate_keys(_cells(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+def primary_key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("orders.csv", {"o_custkey": "long"}, primaryKey="o_custkey")
+    df = _cells(spark, sf_dir, "orders", "o_orderkey", "o_custkey").select("o_custkey", F.col("o_orderkey").alias("rownum"), (F.col("o_orderkey") + 1).alias("sourcenum"))
+    return keys.check_primary_key(t, df).select("sourcenum", "columns", "message")
+
+
+def _pair(child_columns: dict, parent_columns: dict, **key: object) -> tuple[Table, Table]:
+    group = TableGroup.of({"tables": [{"url": "child.csv", "tableSchema": {"columns": [{"name": n, **d} for n, d in child_columns.items()], "foreignKeys": [key]}}, {"url": "parent.csv", "tableSchema": {"columns": [{"name": n, **d} for n, d in parent_columns.items()]}}]})
+    group.validate_schema()
+    return group.tables[0], group.tables[1]
+
+
+def _reference(columns: object, target: object) -> dict:
+    return {"columnReference": columns, "reference": {"resource": "parent.csv", "columnReference": target}}
+
+
+def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child, parent = _pair({"l_orderkey": {"datatype": "long"}}, {"o_orderkey": {"datatype": "long"}}, **_reference("l_orderkey", "o_orderkey"))
+    mine = _cells(spark, sf_dir, "lineitem", "l_orderkey").withColumn("sourcenum", F.col("l_orderkey"))
+    theirs = _cells(spark, sf_dir, "orders").filter("o_orderstatus <> 'F'").select("o_orderkey")
+    return keys.check_foreign_key(mine, child, child.schema.foreign_keys[0], theirs, parent).groupBy("sourcenum", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def orphans_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child, parent = _pair({"p_type": {"separator": " "}}, {"word": {}}, **_reference("p_type", "word"))
+    parts = _cells(spark, sf_dir, "part", "p_partkey", "p_type")
+    typed = parts.select(F.split("p_type", " ").alias("p_type"), F.col("p_partkey").alias("sourcenum"))
+    words = parts.filter("p_partkey % 7 = 0").select(F.explode(F.split("p_type", " ")).alias("word")).filter("word < 'M'").distinct()
+    return keys.check_foreign_key(typed, child, child.schema.foreign_keys[0], words, parent).groupBy("sourcenum").agg(F.count(F.lit(1)).alias("n"))
+
+
+def orphans_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child, parent = _pair({"l_partkey": {}, "l_suppkey": {}}, {"a": {}, "b": {}}, **_reference(["l_partkey", "l_suppkey"], ["a", "b"]))
+    items = _cells(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_returnflag")
+    mine = items.select("l_partkey", F.when(F.col("l_suppkey") % 5 > 0, F.col("l_suppkey")).alias("l_suppkey"), F.col("l_partkey").alias("sourcenum"))
+    theirs = items.filter("l_returnflag = 'A'").select(F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")).distinct()
+    return keys.check_foreign_key(mine, child, child.schema.foreign_keys[0], theirs, parent).groupBy("sourcenum").agg(F.count(F.lit(1)).alias("n"))
+
+
+def strict_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    child, parent = _pair({"c_nationkey": {}}, {"s_nationkey": {}}, **_reference("c_nationkey", "s_nationkey"))
+    mine = _cells(spark, sf_dir, "customer").select(F.when(F.col("c_custkey") % 4 > 0, F.col("c_nationkey")).alias("c_nationkey"))
+    theirs = _cells(spark, sf_dir, "supplier", "s_nationkey")
+    return keys.strict_checks(mine, child, ForeignKey(["c_nationkey"], "parent.csv", None, ["s_nationkey"]), theirs, parent).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    group = TableGroup.of({"tables": [
+        {"url": "customer.csv", "tableSchema": {"columns": [{"name": "c_custkey", "datatype": "long"}, {"name": "c_acctbal", "datatype": {"base": "decimal", "minimum": "0"}}], "primaryKey": "c_custkey"}},
+        {"url": "orders.csv", "tableSchema": {"columns": [{"name": "o_orderkey", "datatype": "long"}, {"name": "o_custkey", "datatype": "long"}], "primaryKey": "o_custkey", "foreignKeys": [{"columnReference": "o_custkey", "reference": {"resource": "customer.csv", "columnReference": "c_custkey"}}]}},
+    ]})
+    frames = {
+        "customer.csv": scan_frame(group.tables[0], _cells(spark, sf_dir, "customer", "c_custkey", "c_acctbal").withColumn("rownum", F.col("c_custkey"))),
+        "orders.csv": scan_frame(group.tables[1], _cells(spark, sf_dir, "orders", "o_orderkey", "o_custkey").withColumn("rownum", F.col("o_orderkey"))),
+    }
+    return keys.validate(spark, group, frames).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _nations(spark: SparkSession, sf_dir: str, **schema: object) -> Scan:
+    t = _table("http://example.org/nation.csv", {"n_nationkey": "integer", "n_name": {"_": 1, "titles": "name", "propertyUrl": "schema:name"}, "n_regionkey": {"_": 1, "datatype": "integer", "valueUrl": "http://example.org/region/{n_regionkey}"}}, **schema)
+    cells = _cells(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return scan_frame(t, cells.withColumn("rownum", F.col("n_nationkey").cast("long") + 1).withColumn("sourcenum", F.col("n_nationkey").cast("long") + 2))
+
+
+def json_minimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_export.json_rows(_nations(spark, sf_dir), minimal=True)
+
+
+def json_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_export.json_rows(_nations(spark, sf_dir, aboutUrl="#nation-{n_nationkey}", rowTitles=["n_name"]))
+
+
+def json_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("lineitem.csv", {"l_orderkey": "long", "l_linenumber": "integer", "l_returnflag": "string"})
+    cells = _cells(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_returnflag").withColumn("rownum", F.col("l_orderkey")).withColumn("sourcenum", F.col("l_orderkey") + 1)
+    return json_export.json_rows(scan_frame(t, cells), minimal=True)
+
+
+def cell_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return json_export.triples(_nations(spark, sf_dir, aboutUrl="#nation-{n_nationkey}"))
+
+
+def _listing() -> TableGroup:
+    return TableGroup.of({"tables": [
+        {"url": "part.csv", "tableSchema": {"columns": [{"name": "p_partkey", "datatype": "long"}, {"name": "words", "separator": " "}], "primaryKey": "p_partkey", "foreignKeys": [{"columnReference": "words", "reference": {"resource": "word.csv", "columnReference": "word"}}]}},
+        {"url": "word.csv", "tableSchema": {"columns": [{"name": "word"}], "primaryKey": "word"}},
+    ]})
+
+
+def association_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = next(p for p in relations.plan_tables(_listing()) if p.associations)
+    df = _cells(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("words"))
+    return relations.association_rows(plan, df)["part_word"].select("part_p_partkey", "word_word", F.col("position").cast("long").alias("position"))
+
+
+def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values as the text of cells: lists joined, nulls as their token."""
+    t = _table("part.csv", {"p_partkey": "long", "p_size": {"_": 1, "datatype": "integer", "null": "-"}, "p_type": {"_": 1, "separator": ";"}})
+    df = _cells(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 9, F.col("p_size")).cast("decimal(38,0)").alias("p_size"), F.split("p_type", " ").alias("p_type"))
+    return texts(t, df)
+
+
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _cells(spark, sf_dir, "customer")
+    comment = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit('said "'), F.col("c_mktsegment"), F.lit('", twice'))).otherwise(F.col("c_mktsegment"))
+    return df.select("c_custkey", dsv.csv_line([F.col("c_name"), comment], Dialect()).alias("line"))
+
+
+def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A folder of delimited files, written and read again by the splittable reader."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    path, d = f"{shared}/tabweave-csv-{uuid.uuid4().hex}", Dialect(comment_prefix=None, skip_blank_rows=True)
+    df = _cells(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
+    dsv.write_dir(df, path, d)
+    t = _table("customer.csv", {"c_custkey": "long", "c_name": "string", "c_mktsegment": "string"})
+    return scan_frame(t, dsv.read_plain(spark, path, list(df.columns), d)).good
+
+
+def filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dsv.filter_rows(_cells(spark, sf_dir, "region"), F.col("r_regionkey") > 1)[0]
+
+
+def added_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = _cells(spark, sf_dir, "region")
+    return dsv.add_rows(region, region.select((F.col("r_regionkey") + 100).cast("int").alias("r_regionkey"), F.upper("r_name").alias("r_name")))
+
+
+QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows)}
+
+ORACLE_SQL = {
+    "typed_lineitem": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
+    "typed_revenue": "SELECT l_returnflag, CAST(sum(l_quantity) AS BIGINT) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_price, count(*) AS n FROM lineitem GROUP BY l_returnflag",
+    "rejected_rows": """SELECT 'l_orderkey' AS "column", CAST(0 AS BIGINT) AS n UNION ALL SELECT 'l_linenumber', 0 UNION ALL SELECT 'l_extendedprice', 0 UNION ALL SELECT 'l_shipdate', 0
+        UNION ALL SELECT 'l_quantity', count(*) FROM lineitem WHERE l_quantity > 40 UNION ALL SELECT 'l_returnflag', count(*) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N')""",
+    "kept_rows": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 5 AND l_quantity <= 40 GROUP BY l_returnflag",
+    "error_log": """SELECT 'orders.csv' AS url, o_orderkey + 1 AS sourcenum, 'o_orderpriority' AS "column", 'value must have at most length 6' AS message FROM orders WHERE length(o_orderpriority) > 6""",
+    "lenient_cells": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_acctbal END AS raw_balance FROM supplier",
+    "nulls_and_defaults": "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'nobody' ELSE c_name END AS c_name FROM customer",
+    "lists": "SELECT p_partkey, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n_items, string_split(p_type, ' ')[1] AS first_item, replace(p_type, ' ', '|') AS items FROM part",
+    "virtual_columns": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'http://example.org/nation/' || n_nationkey || '?name=' || replace(n_name, ' ', '%20') AS uri FROM nation",
+    "uri_templates": "SELECT p_partkey, 'http://example.org/' || replace(replace(p_brand, '#', '%23'), ' ', '%20') || '?p_name=' || replace(replace(p_name, '#', '%23'), ' ', '%20') || '&p_size=' || p_size || '#' || p_partkey AS uri FROM part",
+    "booleans": "SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS flag, count(*) AS n FROM lineitem GROUP BY 1",
+    "formatted_numbers": "SELECT o_orderkey, format('{:,.2f}', o_totalprice) AS shown FROM orders",
+    "parsed_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders",
+    "dates": "SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) AS shown, CAST(o_orderdate AS DATE) AS parsed, CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AS valid FROM orders",
+    "durations": "SELECT p_partkey, CAST(12 AS INTEGER) AS months, (CAST(p_size AS BIGINT) * 24 + 2) * 3600000000 AS micros, 'P1Y' || p_size || 'DT2H' AS shown FROM part",
+    "binaries": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, base64(encode(n_name)) AS base64, hex(n_name) AS hex, n_name AS back FROM nation",
+    "json_cells": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, false) AS valid FROM events",
+    "inferred_types": """SELECT 'o_custkey' AS "column", 'integer' AS datatype UNION ALL SELECT 'o_orderdate', 'date' UNION ALL SELECT 'o_orderkey', 'integer' UNION ALL SELECT 'o_orderpriority', 'string' UNION ALL SELECT 'o_orderstatus', 'string' UNION ALL SELECT 'o_totalprice', 'decimal'""",
+    "repeated_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+    "primary_key_violations": """SELECT o_orderkey + 1 AS sourcenum, 'o_custkey' AS columns, 'duplicate key ["' || o_custkey || '"]' AS message
+        FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r > 1""",
+    "orphans": """SELECT l_orderkey AS sourcenum, 'no row in parent.csv for ["' || l_orderkey || '"]' AS message, count(*) AS n
+        FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2""",
+    "orphans_in_lists": """SELECT p_partkey AS sourcenum, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w FROM part)
+        WHERE w NOT IN (SELECT x FROM (SELECT unnest(string_split(p_type, ' ')) AS x FROM part WHERE p_partkey % 7 = 0) WHERE x < 'M') GROUP BY 1""",
+    "orphans_composite": """SELECT l_partkey AS sourcenum, count(*) AS n FROM lineitem l WHERE l_suppkey % 5 > 0
+        AND NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_returnflag = 'A' AND p.l_partkey = l.l_partkey AND p.l_suppkey = l.l_suppkey) GROUP BY 1""",
+    "strict_references": """SELECT 'null reference' AS kind, count(*) AS n FROM customer WHERE c_custkey % 4 = 0
+        UNION ALL SELECT 'parent key', count(*) FROM (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(*) > 1)""",
+    "validation_report": """SELECT 'cell' AS kind, count(*) AS n FROM customer WHERE c_acctbal < 0
+        UNION ALL SELECT 'primary key', count(*) - count(DISTINCT o_custkey) FROM orders
+        UNION ALL SELECT 'foreign key', count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0)""",
+    "json_minimal": """SELECT CAST(n_nationkey AS BIGINT) + 1 AS rownum, '{"n_nationkey":' || n_nationkey || ',"schema:name":"' || n_name || '","n_regionkey":"http://example.org/region/' || n_regionkey || '"}' AS json FROM nation""",
+    "json_standard": """SELECT CAST(n_nationkey AS BIGINT) + 1 AS rownum, '{"url":"http://example.org/nation.csv#row=' || (n_nationkey + 2) || '","rownum":' || (n_nationkey + 1) || ',"titles":"' || n_name
+        || '","describes":[{"@id":"http://example.org/nation.csv#nation-' || n_nationkey || '","n_nationkey":' || n_nationkey || ',"schema:name":"' || n_name || '","n_regionkey":"http://example.org/region/' || n_regionkey || '"}]}' AS json FROM nation""",
+    "json_lineitem": """SELECT l_orderkey AS rownum, '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}' AS json FROM lineitem""",
+    "cell_triples": """SELECT CAST(n_nationkey AS BIGINT) + 1 AS rownum, 'http://example.org/nation.csv#nation-' || n_nationkey AS about, p.property, CASE p.property WHEN 'n_nationkey' THEN CAST(n_nationkey AS VARCHAR) WHEN 'schema:name' THEN n_name ELSE 'http://example.org/region/' || n_regionkey END AS value, p.property = 'n_regionkey' AS is_url
+        FROM nation, (VALUES ('n_nationkey'), ('schema:name'), ('n_regionkey')) p(property)""",
+    "association_table": "SELECT p_partkey AS part_p_partkey, unnest(string_split(p_type, ' ')) AS word_word, CAST(unnest(range(len(string_split(p_type, ' ')))) AS BIGINT) AS position FROM part",
+    "written_cells": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '-' END AS p_size, replace(p_type, ' ', ';') AS p_type FROM part",
+    "csv_lines": """SELECT c_custkey, c_name || ',' || CASE WHEN c_custkey % 2 = 0 THEN '"said ""' || c_mktsegment || '"", twice"' ELSE c_mktsegment END AS line FROM customer""",
+    "written_and_read": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
+    "filtered_rows": "SELECT * FROM region WHERE r_regionkey > 1",
+    "added_rows": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, upper(r_name) FROM region",
+}
