@@ -69,12 +69,12 @@ def plain_number(text: Column, f: NumberFormat) -> Column:
 def parse_decimal(text: Column, f: NumberFormat, scale: int = 18) -> Column:
     """decimal(38, scale), null if malformed: exponents and doubled group characters are."""
     plain = plain_number(text, f)
-    ok = plain.rlike(r"^[+\-%‰]?[\d,]*\.?\d*[%‰]?\z") & plain.rlike(r"\d") & ~plain.contains(",,")
+    ok = plain.rlike(r"^(?!.*,,)(?=.*\d)[+\-%‰]?[\d,]*\.?\d*[%‰]?\z")
     if f.pattern:
         ok = ok & plain.rlike(f.regex())
     number = F.translate(plain, ",%‰", "").try_cast(f"decimal(38,{scale})")
-    shift = F.when(plain.contains("%"), F.lit(100)).when(plain.contains("‰"), F.lit(1000)).otherwise(F.lit(1))
-    return F.when(ok, (number / shift).cast(f"decimal(38,{scale})"))
+    shifted = F.when(plain.contains("%"), number / 100).when(plain.contains("‰"), number / 1000).otherwise(number)
+    return F.when(ok, shifted.cast(f"decimal(38,{scale})"))
 
 
 def format_decimal(value: Column, f: NumberFormat) -> Column:

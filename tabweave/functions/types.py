@@ -32,9 +32,9 @@ class Compiled:
     format: Callable[[Column], Column]
     checks: tuple[tuple[Callable[[Column, Column], Column], str], ...] = field(default=())
 
-    def error(self, text: Column) -> Column:
-        """The first complaint about a text, or null."""
-        value = self.parse(text)
+    def error(self, text: Column, value: Column | None = None) -> Column:
+        """The first complaint about a text, or null; ``value`` is what it was parsed to."""
+        value = self.parse(text) if value is None else value
         complaint = F.when(value.isNull(), F.concat(F.lit(f"not a valid {self.name}: "), text))
         for fails, message in self.checks:
             complaint = complaint.when(fails(value, text), F.lit(message))
@@ -117,26 +117,28 @@ def _decimal(name: str, fmt: object) -> Compiled:
 
 
 def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[str, object], Compiled]:
+    """Whole numbers; the text decides the sign, the type or one comparison the size."""
     def build(name: str, fmt: object) -> Compiled:
         f = _number_format(fmt)
 
         def parse(c: Column) -> Column:
-            # Whole numbers need their digits before the point: the wider type holds 38 of them.
-            plain = F.translate(plain_number(c, f), ",", "")
-            whole = F.when(plain.rlike(r"^[+-]?\d+\z") & parse_like(c), plain.try_cast("decimal(38,0)"))
-            broken = parse_decimal(c, f)
-            value = F.coalesce(whole, F.when(broken == F.floor(broken), broken.cast("decimal(38,0)")))
-            fits = F.lit(True)
-            if low is not None:
-                fits = fits & (value >= F.lit(low).cast("decimal(38,0)"))
-            if high is not None:
-                fits = fits & (value <= F.lit(high).cast("decimal(38,0)"))
-            return F.when(fits, value).try_cast(spark_type)
-
-        def parse_like(c: Column) -> Column:
             plain = plain_number(c, f)
-            ok = ~plain.contains(",,")
-            return ok & plain.rlike(f.regex()) if f.pattern else ok
+            # The common form; anything else (groups, percent) goes the long way, and is whole
+            # if nothing but zeros stands behind the point.
+            simple = F.substring_index(plain, ".", 1).try_cast(spark_type)
+            long_way = F.regexp_extract(parse_decimal(c, f).cast("string"), r"^(-?\d+)(?:\.0*)?\z", 1).try_cast(spark_type)
+            value = long_way if f.pattern else F.when(plain.rlike(r"^[+-]?\d+(?:\.0*)?\z"), simple).otherwise(long_way)
+            if low == 0:
+                value = F.when(~c.rlike("^-.*[1-9]"), value)
+            elif low == 1:
+                value = F.when(c.rlike("[1-9]") & ~c.startswith("-"), value)
+            if high == 0:
+                value = F.when(c.startswith("-") | ~c.rlike("[1-9]"), value)
+            elif high == -1:
+                value = F.when(c.rlike("^-.*[1-9]"), value)
+            elif high is not None and spark_type not in ("bigint", "smallint", "tinyint") or (low == 0 and high is not None):
+                value = F.when(value <= F.lit(high).cast("decimal(20,0)"), value)
+            return value
 
         return Compiled(name, spark_type, parse, lambda v: format_decimal(v.cast("decimal(38,0)"), f))
 

@@ -20,9 +20,11 @@ ERROR = "struct<column:string,message:string>"
 
 @dataclass(frozen=True)
 class Field:
-    """One column of a typed scan: its value, its complaint (null if fine), its raw text."""
+    """One column of a typed scan: its value (as parsed, and null where there is a
+    complaint), its complaint (null if fine), its raw text."""
 
     name: str
+    parsed: Expr
     value: Expr
     error: Expr
     raw: Expr | None
@@ -33,22 +35,49 @@ def compiled_type(column: Column) -> Compiled:
     return (column.inherit("datatype") or Datatype()).compiled()
 
 
-def read_cell(column: Column, text: Expr) -> tuple[Expr, Expr]:
-    """Value and complaint of a column's raw text: default, required, null, list, datatype."""
-    kind, nulls, default = compiled_type(column), column.inherit("null"), column.inherit("default")
-    separator, required = column.inherit("separator"), column.inherit("required")
+def live_text(column: Column, text: Expr) -> Expr:
+    """The text of a cell with its default, null if it is a null token (not for lists)."""
+    nulls, default = column.inherit("null"), column.inherit("default")
     text = F.when(text == "", F.lit(default)).otherwise(text) if default else text
-    is_null = text.isin(nulls) if nulls else F.lit(False)
-    missing = F.when(is_null, F.lit("required value is missing")) if required else F.lit(None).cast("string")
-    if separator is None:
-        live = F.when(~is_null, text)
-        return kind.parse(live), F.coalesce(missing, kind.error(live))
-    items = F.split(text, "\\Q" + separator.replace("\\E", "\\E\\\\E\\Q") + "\\E")
-    item = lambda x: F.when(x == "", F.lit(default)).otherwise(x) if default else x
-    live = lambda x: F.when(~item(x).isin(nulls), item(x)) if nulls else item(x)
-    values = F.when(text == "", F.array().cast(f"array<{kind.spark_type}>")).when(~is_null, F.transform(items, lambda x: kind.parse(live(x))))
-    wrong = F.when((text != "") & ~is_null, F.get(F.filter(F.transform(items, lambda x: kind.error(live(x))), lambda e: e.isNotNull()), F.lit(0)))
-    return values, F.coalesce(missing, wrong)
+    if column.inherit("separator") is not None or not nulls:
+        return text
+    return F.when(~text.isin(nulls), text)
+
+
+def _item(column: Column, x: Expr) -> Expr:
+    nulls, default = column.inherit("null"), column.inherit("default")
+    x = F.when(x == "", F.lit(default)).otherwise(x) if default else x
+    return F.when(~x.isin(nulls), x) if nulls else x
+
+
+def _items(column: Column, text: Expr) -> Expr:
+    separator = column.inherit("separator").replace("\\E", "\\E\\\\E\\Q")
+    return F.split(text, "\\Q" + separator + "\\E")
+
+
+def parsed(column: Column, text: Expr) -> Expr:
+    """The value of a live text: null if malformed; an empty list for an empty text."""
+    kind, nulls = compiled_type(column), column.inherit("null")
+    if column.inherit("separator") is None:
+        return kind.parse(text)
+    values = F.transform(_items(column, text), lambda x: kind.parse(_item(column, x)))
+    values = F.when(~text.isin(nulls), values) if nulls else values
+    return F.when(text == "", F.array().cast(f"array<{kind.spark_type}>")).otherwise(values)
+
+
+def complaint(column: Column, raw: Expr, text: Expr, value: Expr) -> Expr:
+    """What is wrong with a cell, or null, from its raw text, live text and value."""
+    kind, nulls = compiled_type(column), column.inherit("null")
+    listed = column.inherit("separator") is not None
+    if listed:
+        wrong = F.get(F.filter(F.transform(_items(column, text), lambda x: kind.error(_item(column, x))), lambda e: e.isNotNull()), F.lit(0))
+        wrong = F.when((text != "") & (~text.isin(nulls) if nulls else F.lit(True)), wrong)
+    else:
+        wrong = kind.error(text, value)
+    if not column.inherit("required"):
+        return wrong
+    gone = raw.isNull() | (text.isin(nulls) if listed and nulls else text.isNull())
+    return F.when(gone, F.lit("required value is missing")).otherwise(wrong)
 
 
 def write_cell(column: Column, value: Expr) -> Expr:
@@ -87,28 +116,37 @@ def match_header(table: Table, header: list[str] | None, strict: bool = True) ->
     return out
 
 
-def fields_of(table: Table, matched: list[tuple[str, Column | None]], raw: list[Expr]) -> list[Field]:
-    """Values and complaints of all columns, described, undeclared, missing and virtual."""
+def bind(table: Table, matched: list[tuple[str, Column | None]], raw: list[Expr], rows: DataFrame) -> Scan:
+    """Fields over three projections: raw texts, live texts, values.
+
+    Each stands on the one before, which it reads more than once, so that Spark does not
+    merge them: a cell is parsed once, not once for every expression that looks at it."""
     present = {c.header for _, c in matched if c is not None}
     absent = [c for c in table.schema.columns if not c.virtual and c.header not in present]
     if lacking := [c.header for c in absent if c.own.get("required")]:
         raise ValueError(f"{table.url}: required columns are missing: {lacking}")
+    numbers = [c for c in ("rownum", "sourcenum") if c in rows.columns]
+    cells = range(len(matched))
+    rows = rows.select(*numbers, *[r.alias(f"_r{i}") for i, r in enumerate(raw)])
+    rows = rows.select("*", *[(live_text(c, F.col(f"_r{i}")) if c else F.col(f"_r{i}")).alias(f"_t{i}") for i, (_, c) in enumerate(matched)])
+    rows = rows.select("*", *[(parsed(c, F.col(f"_t{i}")) if c else F.col(f"_t{i}")).alias(f"_v{i}") for i, (_, c) in enumerate(matched)])
+    none = F.lit(None).cast("string")
     out = []
-    for (name, column), text in zip(matched, raw, strict=True):
-        if column is None:
-            out.append(Field(name, text, F.lit(None).cast("string"), text, None))
-            continue
-        value, error = read_cell(column, text)
-        short = F.when(text.isNull(), F.lit("required value is missing")) if column.inherit("required") else F.lit(None).cast("string")
-        out.append(Field(name, value, F.coalesce(short, error), text, column))
+    for i in cells:
+        name, c = matched[i]
+        r, t, v = (F.col(f"_{x}{i}") for x in "rtv")
+        error = complaint(c, r, t, v) if c else none
+        value = F.when(error.isNull(), v) if c is not None and compiled_type(c).checks else v
+        out.append(Field(name, v, value, error, r, c))
     for c in absent:
-        out.append(Field(c.header, F.lit(None).cast(array_type(c)), F.lit(None).cast("string"), None, c))
+        nothing = F.lit(None).cast(array_type(c))
+        out.append(Field(c.header, nothing, nothing, none, None, c))
     values = {f.name: f.value for f in out}
     for c in (c for c in table.schema.columns if c.virtual):
         template = c.inherit("valueUrl")
-        made = compile_template(template, {**values, "_name": F.lit(c.header)}) if template else F.lit(None).cast("string")
-        out.append(Field(c.header, made, F.lit(None).cast("string"), None, c))
-    return out
+        made = compile_template(template, {**values, "_name": F.lit(c.header)}) if template else none
+        out.append(Field(c.header, made, made, none, None, c))
+    return Scan(table, out, rows)
 
 
 def array_type(c: Column) -> str:
@@ -144,11 +182,11 @@ class Scan:
         """Values of some columns (all without names), malformed cells null, nothing checked:
         columns that are not asked for are not parsed, and not read."""
         wanted = [f for f in self.fields if not names or f.name in names]
-        return self.rows.select(*self._numbers(), *[f.value.alias(f.name) for f in wanted])
+        return self.rows.select(*self._numbers(), *[f.parsed.alias(f.name) for f in wanted])
 
     @property
     def good(self) -> DataFrame:
-        return self.rows.filter(self._fine()).select(*self._numbers(), *self._values())
+        return self.rows.filter(self._fine()).select(*self._numbers(), *[f.parsed.alias(f.name) for f in self.fields])
 
     @property
     def strict(self) -> DataFrame:
@@ -156,12 +194,12 @@ class Scan:
         out = []
         for f in self.fields:
             stop = F.raise_error(F.concat(where, F.lit(f" {f.name}: "), f.error))
-            out.append((F.when(f.error.isNotNull(), stop).otherwise(f.value) if f.column is not None and f.raw is not None else f.value).alias(f.name))
+            out.append((F.when(f.error.isNotNull(), stop).otherwise(f.parsed) if f.column is not None and f.raw is not None else f.value).alias(f.name))
         return self.rows.select(*self._numbers(), *out)
 
     @property
     def lenient(self) -> DataFrame:
-        wrong = [F.when(f.error.isNotNull(), F.struct(F.lit(f.name), f.raw)) for f in self.fields if f.column is not None and f.raw is not None]
+        wrong = [F.when(f.error.isNotNull(), F.struct(F.lit(f.name).alias("column"), f.raw.alias("text"))) for f in self.fields if f.column is not None and f.raw is not None]
         raw = F.map_from_entries(F.array_compact(F.array(*wrong))) if wrong else F.create_map().cast("map<string,string>")
         return self.rows.select(*self._numbers(), *self._values(), raw.alias("_raw"))
 
@@ -184,7 +222,7 @@ def scan_frame(table: Table, df: DataFrame) -> Scan:
     numbers = [c for c in ("rownum", "sourcenum") if c in df.columns]
     header = [c for c in df.columns if c not in numbers]
     matched = match_header(table, header)
-    return Scan(table, fields_of(table, matched, [F.col(f"`{h}`").cast("string") for h in header]), df)
+    return bind(table, matched, [F.col(f"`{h}`").cast("string") for h in header], df)
 
 
 def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None, strict_header: bool = True) -> Scan:
@@ -203,7 +241,7 @@ def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None,
         width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
         header = [""] * width
     matched = match_header(table, header, strict_header)
-    return Scan(table, fields_of(table, matched, [F.get("cells", F.lit(i)) for i in range(len(matched))]), rows)
+    return bind(table, matched, [F.get("cells", F.lit(i)) for i in range(len(matched))], rows)
 
 
 def comments(spark: SparkSession, table: Table, path: str | None = None) -> DataFrame:

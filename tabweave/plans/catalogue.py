@@ -90,9 +90,9 @@ def nulls_and_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _table("part.csv", {"p_partkey": "long", "p_type": {"_": 1, "separator": " "}})
-    rows = scan_frame(t, _cells(spark, sf_dir, "part", "p_partkey", "p_type")).good
-    return rows.select("p_partkey", F.size("p_type").cast("long").alias("n_items"), F.get("p_type", F.lit(0)).alias("first_item"), F.array_join("p_type", "|").alias("items"))
+    t = _table("part.csv", {"p_partkey": "long", "p_name": {"_": 1, "separator": " "}})
+    rows = scan_frame(t, _cells(spark, sf_dir, "part", "p_partkey", "p_name")).good
+    return rows.select("p_partkey", F.size("p_name").cast("long").alias("n_items"), F.get("p_name", F.lit(0)).alias("first_item"), F.array_join("p_name", "|").alias("items"))
 
 
 def virtual_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,9 +180,9 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orphans_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     child, parent = _pair({"p_type": {"separator": " "}}, {"word": {}}, **_reference("p_type", "word"))
-    parts = _cells(spark, sf_dir, "part", "p_partkey", "p_type")
-    typed = parts.select(F.split("p_type", " ").alias("p_type"), F.col("p_partkey").alias("sourcenum"))
-    words = parts.filter("p_partkey % 7 = 0").select(F.explode(F.split("p_type", " ")).alias("word")).filter("word < 'M'").distinct()
+    parts = _cells(spark, sf_dir, "part", "p_partkey", "p_name")
+    typed = parts.select(F.split("p_name", " ").alias("p_type"), F.col("p_partkey").alias("sourcenum"))
+    words = parts.filter("p_partkey % 7 = 0").select(F.explode(F.split("p_name", " ")).alias("word")).filter("word < 'm'").distinct()
     return keys.check_foreign_key(typed, child, child.schema.foreign_keys[0], words, parent).groupBy("sourcenum").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -246,14 +246,14 @@ def _listing() -> TableGroup:
 
 def association_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = next(p for p in relations.plan_tables(_listing()) if p.associations)
-    df = _cells(spark, sf_dir, "part").select("p_partkey", F.split("p_type", " ").alias("words"))
+    df = _cells(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
     return relations.association_rows(plan, df)["part_word"].select("part_p_partkey", "word_word", F.col("position").cast("long").alias("position"))
 
 
 def written_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Typed values as the text of cells: lists joined, nulls as their token."""
     t = _table("part.csv", {"p_partkey": "long", "p_size": {"_": 1, "datatype": "integer", "null": "-"}, "p_type": {"_": 1, "separator": ";"}})
-    df = _cells(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 9, F.col("p_size")).cast("decimal(38,0)").alias("p_size"), F.split("p_type", " ").alias("p_type"))
+    df = _cells(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 9, F.col("p_size")).cast("decimal(38,0)").alias("p_size"), F.split("p_name", " ").alias("p_type"))
     return texts(t, df)
 
 
@@ -293,7 +293,7 @@ ORACLE_SQL = {
     "error_log": """SELECT 'orders.csv' AS url, o_orderkey + 1 AS sourcenum, 'o_orderpriority' AS "column", 'value must have at most length 6' AS message FROM orders WHERE length(o_orderpriority) > 6""",
     "lenient_cells": "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN s_acctbal END AS raw_balance FROM supplier",
     "nulls_and_defaults": "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'nobody' ELSE c_name END AS c_name FROM customer",
-    "lists": "SELECT p_partkey, CAST(len(string_split(p_type, ' ')) AS BIGINT) AS n_items, string_split(p_type, ' ')[1] AS first_item, replace(p_type, ' ', '|') AS items FROM part",
+    "lists": "SELECT p_partkey, CAST(len(string_split(p_name, ' ')) AS BIGINT) AS n_items, string_split(p_name, ' ')[1] AS first_item, replace(p_name, ' ', '|') AS items FROM part",
     "virtual_columns": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 'http://example.org/nation/' || n_nationkey || '?name=' || replace(n_name, ' ', '%20') AS uri FROM nation",
     "uri_templates": "SELECT p_partkey, 'http://example.org/' || replace(replace(p_brand, '#', '%23'), ' ', '%20') || '?p_name=' || replace(replace(p_name, '#', '%23'), ' ', '%20') || '&p_size=' || p_size || '#' || p_partkey AS uri FROM part",
     "booleans": "SELECT CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS flag, count(*) AS n FROM lineitem GROUP BY 1",
@@ -309,8 +309,8 @@ ORACLE_SQL = {
         FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r FROM orders) WHERE r > 1""",
     "orphans": """SELECT l_orderkey AS sourcenum, 'no row in parent.csv for ["' || l_orderkey || '"]' AS message, count(*) AS n
         FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2""",
-    "orphans_in_lists": """SELECT p_partkey AS sourcenum, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_type, ' ')) AS w FROM part)
-        WHERE w NOT IN (SELECT x FROM (SELECT unnest(string_split(p_type, ' ')) AS x FROM part WHERE p_partkey % 7 = 0) WHERE x < 'M') GROUP BY 1""",
+    "orphans_in_lists": """SELECT p_partkey AS sourcenum, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
+        WHERE w NOT IN (SELECT x FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part WHERE p_partkey % 7 = 0) WHERE x < 'm') GROUP BY 1""",
     "orphans_composite": """SELECT l_partkey AS sourcenum, count(*) AS n FROM lineitem l WHERE l_suppkey % 5 > 0
         AND NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_returnflag = 'A' AND p.l_partkey = l.l_partkey AND p.l_suppkey = l.l_suppkey) GROUP BY 1""",
     "strict_references": """SELECT 'null reference' AS kind, count(*) AS n FROM customer WHERE c_custkey % 4 = 0
@@ -324,8 +324,8 @@ ORACLE_SQL = {
     "json_lineitem": """SELECT l_orderkey AS rownum, '{"l_orderkey":' || l_orderkey || ',"l_linenumber":' || l_linenumber || ',"l_returnflag":"' || l_returnflag || '"}' AS json FROM lineitem""",
     "cell_triples": """SELECT CAST(n_nationkey AS BIGINT) + 1 AS rownum, 'http://example.org/nation.csv#nation-' || n_nationkey AS about, p.property, CASE p.property WHEN 'n_nationkey' THEN CAST(n_nationkey AS VARCHAR) WHEN 'schema:name' THEN n_name ELSE 'http://example.org/region/' || n_regionkey END AS value, p.property = 'n_regionkey' AS is_url
         FROM nation, (VALUES ('n_nationkey'), ('schema:name'), ('n_regionkey')) p(property)""",
-    "association_table": "SELECT p_partkey AS part_p_partkey, unnest(string_split(p_type, ' ')) AS word_word, CAST(unnest(range(len(string_split(p_type, ' ')))) AS BIGINT) AS position FROM part",
-    "written_cells": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '-' END AS p_size, replace(p_type, ' ', ';') AS p_type FROM part",
+    "association_table": "SELECT p_partkey AS part_p_partkey, unnest(string_split(p_name, ' ')) AS word_word, CAST(unnest(range(len(string_split(p_name, ' ')))) AS BIGINT) AS position FROM part",
+    "written_cells": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '-' END AS p_size, replace(p_name, ' ', ';') AS p_type FROM part",
     "csv_lines": """SELECT c_custkey, c_name || ',' || CASE WHEN c_custkey % 2 = 0 THEN '"said ""' || c_mktsegment || '"", twice"' ELSE c_mktsegment END AS line FROM customer""",
     "written_and_read": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
     "filtered_rows": "SELECT * FROM region WHERE r_regionkey > 1",
