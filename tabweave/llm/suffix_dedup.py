@@ -15,8 +15,10 @@ here only a sparse set of suffixes is sorted, chosen so that nothing is missed:
    are repeated as a whole.
 3. What is left are segments at the ends of repeated passages.  Their bytes are fetched, with
    those of one segment of each kind of equal ones that has the same token, and of each token the suffixes of all its windows are sorted and neighbours compared, by two
-   64-bit fingerprints of the windows.  Tokens with very many such segments are split into
-   single windows, which are counted by partial aggregation instead.
+   64-bit fingerprints of the windows.  Of tokens with very many such segments the same is
+   done by counting, which no task has to do alone: for slices of ``SLICE`` windows (repeated
+   as a whole, or without a repeat of the bytes that all its windows share), and for the
+   single windows of the slices that this does not decide.
 4. The repeated windows of a text become intervals, and its text is cut.
 """
 
@@ -36,8 +38,9 @@ from .common import stage, text_of
 WINDOW, TOKEN = 200, 48
 #: Windows of a text that are worked on at a time; bounds memory for very long texts.
 BLOCK = 1 << 16
-#: A token with more left-over segments than this is split into its windows.
+#: A token with more segments to compare than this is split into slices of windows.
 HOT_SEGMENTS = 256
+SLICE = 8
 #: Segments whose windows are sorted at a time.
 SORT_ROWS = 4096
 
@@ -94,7 +97,8 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def segments(text: bytes):
-    """Yield arrays (first window, number of windows, token, whole) of a text's segments."""
+    """Yield arrays (first window, number of windows, the token's place in the first window,
+    token, whole) of a text's segments."""
     whole = np.frombuffer(text, np.uint8)
     roll, n_windows, w = rollers()[0], len(text) - WINDOW + 1, WINDOW - TOKEN + 1
     for at in range(0, n_windows, BLOCK):
@@ -107,7 +111,7 @@ def segments(text: bytes):
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         count = np.diff(np.append(first, len(least)))
         selected = ((1 << 17) - 1) - (least[first] & np.uint64((1 << 17) - 1)).astype(np.int64)
-        yield first + at, count, token[selected], roll.spans(sums, first, count + (WINDOW - 1))
+        yield first + at, count, selected - first, token[selected], roll.spans(sums, first, count + (WINDOW - 1))
 
 
 def _key_columns(key: Column, text: Column) -> dict[str, Column]:
@@ -121,20 +125,20 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
 
 def _segment_rows(batches):
     for b in batches:
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         for k, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            for first, count, token, whole in segments(data) if len(data) >= WINDOW else ():
-                for x, y in zip(out, (np.full(len(first), k, np.int64), np.full(len(first), c, np.int32), first.astype(np.int32), count.astype(np.int16), token.view(np.int64), whole.view(np.int64)), strict=True):
+            for first, count, place, token, whole in segments(data) if len(data) >= WINDOW else ():
+                for x, y in zip(out, (np.full(len(first), k, np.int64), np.full(len(first), c, np.int32), first.astype(np.int32), count.astype(np.int16), place.astype(np.int16), token.view(np.int64), whole.view(np.int64)), strict=True):
                     x.append(y)
             if len(out[0]) >= 256:
                 yield _batch(out)
-                out = [[] for _ in range(6)]
+                out = [[] for _ in range(7)]
         if out[0]:
             yield _batch(out)
 
 
 def _batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["k", "c", "first", "n", "token", "whole"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["k", "c", "first", "n", "at", "token", "whole"])
 
 
 def _compare_neighbours(batches):
@@ -147,7 +151,7 @@ def _compare_neighbours(batches):
 
     def emit(rows: pa.RecordBatch, left, right, first: bool, last: bool):
         n = rows.num_rows
-        token, whole = (rows.column(i).to_numpy(zero_copy_only=False) for i in (4, 5))
+        token, whole = (rows.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
         t, w = np.zeros(n, bool), np.zeros(n, bool)
         same_t = token[1:] == token[:-1]
         same_w = same_t & (whole[1:] == whole[:-1])
@@ -171,7 +175,7 @@ def _compare_neighbours(batches):
         if not b.num_rows:
             continue
         if held is not None:
-            right = tuple(b.column(i)[0].as_py() for i in (4, 5))
+            right = tuple(b.column(i)[0].as_py() for i in (5, 6))
             made, left = emit(held, left, right, first, False)
             first = False
             yield made
@@ -180,7 +184,7 @@ def _compare_neighbours(batches):
         yield emit(held, left, None, first, True)[0]
 
 
-_SEGMENT = "k long, c int, first int, n short, token long, whole long"
+_SEGMENT = "k long, c int, first int, n short, at short, token long, whole long"
 
 
 def repeated_segments(spark: SparkSession, keyed: DataFrame) -> DataFrame:
@@ -199,9 +203,9 @@ def repeated_segments(spark: SparkSession, keyed: DataFrame) -> DataFrame:
                 fix = fixes.setdefault(r[:2], [True, False])
                 fix[1] |= a[3] == b[3]
     table = spark.createDataFrame([(p, bit, *fix) for (p, bit), fix in fixes.items()], "pid int, bit int, fix_met boolean, fix_equal boolean")
-    edges = met.filter("edge > 0").join(F.broadcast(table), (met["pid"] == table["pid"]) & (met["edge"].bitwiseAND(table["bit"]) > 0), "left").select(*[met[c] for c in ("k", "c", "first", "n", "token", "whole")], (met["met"] | F.coalesce("fix_met", F.lit(False))).alias("met"), (met["equal"] | F.coalesce("fix_equal", F.lit(False))).alias("equal"))
-    edges = edges.groupBy("k", "c", "first", "n", "token", "whole").agg(F.max("met").alias("met"), F.max("equal").alias("equal"))
-    inner = met.filter("edge = 0").select("k", "c", "first", "n", "token", "whole", "met", "equal")
+    edges = met.filter("edge > 0").join(F.broadcast(table), (met["pid"] == table["pid"]) & (met["edge"].bitwiseAND(table["bit"]) > 0), "left").select(*[met[c] for c in ("k", "c", "first", "n", "at", "token", "whole")], (met["met"] | F.coalesce("fix_met", F.lit(False))).alias("met"), (met["equal"] | F.coalesce("fix_equal", F.lit(False))).alias("equal"))
+    edges = edges.groupBy("k", "c", "first", "n", "at", "token", "whole").agg(F.max("met").alias("met"), F.max("equal").alias("equal"))
+    inner = met.filter("edge = 0").select("k", "c", "first", "n", "at", "token", "whole", "met", "equal")
     return inner.union(edges).filter("met").drop("met")
 
 
@@ -213,27 +217,59 @@ def _context_rows(batches):
             out = []
             for k, c, data, parts in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 for p in parts:
-                    out.append((p["token"], p["hot"], k, c, p["first"], data[p["first"] : p["first"] + p["n"] + WINDOW - 1]))
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["token", "hot", "k", "c", "first", "data"])
+                    out.append((p["token"], p["hot"], k, c, p["first"], p["at"], data[p["first"] : p["first"] + p["n"] + WINDOW - 1]))
+            columns = list(zip(*out, strict=True)) if out else [[]] * 7
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["token", "hot", "k", "c", "first", "at", "data"])
+
+
+class Prints:
+    """Two fingerprints of any substring of a few strings."""
+
+    def __init__(self, data: list[bytes]):
+        width = max(map(len, data), default=0)
+        grid = np.zeros((len(data), width), np.uint8)
+        for i, x in enumerate(data):
+            grid[i, : len(x)] = np.frombuffer(x, np.uint8)
+        self.sums = []
+        for roll in rollers():
+            sums = np.zeros((len(data), width + 1), np.uint64)
+            np.cumsum(roll.value[grid] * roll.power[:width], axis=1, out=sums[:, 1:])
+            self.sums.append(sums)
+
+    def of(self, row: np.ndarray, start: np.ndarray, length) -> tuple[np.ndarray, np.ndarray]:
+        return tuple(_mix((s[row, start + length] - s[row, start]) * r.unpower[start]) for s, r in zip(self.sums, rollers(), strict=True))
 
 
 def window_prints(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of each string: the string's number, the window's, two fingerprints."""
-    sizes = np.array([len(x) for x in data])
-    n = sizes - WINDOW + 1
-    out = [np.repeat(np.arange(len(data)), n), np.concatenate([np.arange(k) for k in n]) if len(n) else np.empty(0, int)]
-    width = int(sizes.max(initial=0))
-    grid = np.zeros((len(data), width), np.uint8)
-    for i, x in enumerate(data):
-        grid[i, : len(x)] = np.frombuffer(x, np.uint8)
-    for roll in rollers():
-        sums = np.zeros((len(data), width + 1), np.uint64)
-        np.cumsum(roll.value[grid] * roll.power[:width], axis=1, out=sums[:, 1:])
-        row, at = out[0], out[1]
-        out.append(_mix((sums[row, at + WINDOW] - sums[row, at]) * roll.unpower[at]))
-    return tuple(out)
+    n = np.array([len(x) - WINDOW + 1 for x in data], np.int64)
+    row, at = np.repeat(np.arange(len(data)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    return row, at, *Prints(data).of(row, at, WINDOW)
+
+
+def _slices(batches):
+    """Cut segments into slices by their windows' distance to the token: rows of the slice's
+    fingerprints and those of its core, the bytes that all windows of a full slice share."""
+    for whole in batches:
+        for start in range(0, whole.num_rows, 512):
+            b = whole.slice(start, 512)
+            k, c, first, place = (b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in ("k", "c", "first", "at"))
+            data = b.column(b.schema.get_field_index("data")).to_pylist()
+            rows, begin, count, core = [], [], [], []
+            for i, x in enumerate(data):
+                far, near = int(place[i]), int(place[i]) - (len(x) - WINDOW)
+                for q in range(near // SLICE, far // SLICE + 1):
+                    high, low = min(far, q * SLICE + SLICE - 1), max(near, q * SLICE)
+                    rows.append(i)
+                    begin.append(far - high)
+                    count.append(high - low + 1)
+                    core.append(far - q * SLICE)
+            rows, begin, count, core = (np.array(x, np.int64) for x in (rows, begin, count, core))
+            prints = Prints(data)
+            made = [*prints.of(rows, begin, count + (WINDOW - 1)), *prints.of(rows, core, np.full(len(rows), WINDOW - SLICE + 1))]
+            texts = [data[i][p : p + n + WINDOW - 1] for i, p, n in zip(rows.tolist(), begin.tolist(), count.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x.view(np.int64)) for x in made), pa.array(k[rows]), pa.array(c[rows]), pa.array((first[rows] + begin).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(texts, pa.binary())], names=["w1", "w2", "c1", "c2", "k", "c", "first", "n", "data"])
 
 
 def _runs(k: np.ndarray, c: np.ndarray, first: np.ndarray, row: np.ndarray, at: np.ndarray, hit: np.ndarray) -> pa.RecordBatch:
@@ -287,25 +323,38 @@ def _explode_windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(k[row]), pa.array(c[row]), pa.array((first[row] + at).astype(np.int32))], names=["one", "two", "k", "c", "first"])
 
 
+def _split_segments(spark: SparkSession, segments: DataFrame) -> DataFrame:
+    """(k, c, first, n): repeated windows of the segments of hot tokens, by counting alone."""
+    here = F.struct("k", "c", "first")
+    slices = stage(spark, segments.mapInArrow(_slices, "w1 long, w2 long, c1 long, c2 long, k long, c int, first int, n int, data binary"), "slices")
+    wholes = stage(spark, slices.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("kind")).filter("m > 1"), "wholes")
+    marked = stage(spark, slices.join(wholes, ["w1", "w2"], "left"), "marked")
+    equal = marked.filter("m > 1").select("k", "c", "first", "n")
+    # Undecided: slices met once, together with one of each kind of equal ones.
+    kinds = marked.filter(F.col("m").isNull() | (here == F.col("kind"))).select("c1", "c2", "k", "c", "first", "data", F.col("m").isNull().cast("int").alias("open"))
+    cores = stage(spark, kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open")).filter("n > 1 and open > 0").select("c1", "c2"), "cores")
+    windows = stage(spark, kinds.join(cores, ["c1", "c2"], "left_semi").mapInArrow(_explode_windows, "one long, two long, k long, c int, first int"), "windows")
+    twice = stage(spark, windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("one", "two"), "twice")
+    return equal.union(windows.join(twice, ["one", "two"], "left_semi").select("k", "c", "first", F.lit(1).alias("n")))
+
+
 def repeated_windows(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(k, c, first, n): runs of windows that start at byte ``first`` and also stand elsewhere."""
     keyed = _keyed(docs, key)
     met = stage(spark, repeated_segments(spark, keyed), "met")
     left = met.filter("not equal")
-    tokens = stage(spark, left.groupBy("token").agg(F.count(F.lit(1)).alias("m")), "tokens")
     # A left-over window may also stand inside an equal segment: one of each kind takes part.
-    place = F.min(F.struct("k", "c", "first", "n"))
-    kinds = met.filter("equal").groupBy("token", "whole").agg(place.alias("p")).select("token", "p.*")
-    left = left.select("token", "k", "c", "first", "n").union(kinds).join(tokens, "token")
-    left = left.select("k", "c", F.struct("first", "n", "token", (F.col("m") > HOT_SEGMENTS).alias("hot")).alias("part"))
-    parts = left.groupBy("k", "c").agg(F.collect_set("part").alias("parts"))
-    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c int, first int, data binary")
+    kind = F.min(F.struct("k", "c", "first", "n", "at")).alias("p")
+    kinds = met.filter("equal").groupBy("token", "whole").agg(kind).select("token", "p.*", F.lit(0).alias("open"))
+    some = left.select("token", "k", "c", "first", "n", "at", F.lit(1).alias("open")).union(kinds)
+    tokens = some.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("open").alias("open")).filter("open > 0 and m > 1")
+    tokens = stage(spark, tokens.select("token", (F.col("m") > HOT_SEGMENTS).alias("hot")), "tokens")
+    parts = some.drop("open").join(tokens, "token").groupBy("k", "c").agg(F.collect_set(F.struct("first", "n", "at", "token", "hot")).alias("parts"))
+    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c int, first int, at short, data binary")
     fetched = stage(spark, fetched, "contexts")
     runs = "k long, c int, first int, n int"
     cold = fetched.filter("not hot").repartition("token").sortWithinPartitions("token").select("token", "k", "c", "first", "data").mapInArrow(_sort_windows, runs)
-    windows = fetched.filter("hot").mapInArrow(_explode_windows, "one long, two long, k long, c int, first int")
-    twice = stage(spark, windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("one", "two"), "twice")
-    split = windows.join(twice, ["one", "two"], "left_semi").select("k", "c", "first", F.lit(1).alias("n"))
+    split = _split_segments(spark, fetched.filter("hot").select("k", "c", "first", "at", "data"))
     equal = met.filter("equal").select("k", "c", "first", F.col("n").cast("int").alias("n"))
     return equal.union(cold).union(split)
 
