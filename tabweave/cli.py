@@ -7,6 +7,7 @@ import json
 import sys
 import warnings
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from . import describe as describing
@@ -50,7 +51,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for w in seen:
                 print(w.message)
             return int(bool(found or seen))
-    except (ValueError, OSError) as e:
+    except (ValueError, OSError, PySparkException) as e:
         print(e, file=sys.stderr)
         return 2
     return 0

@@ -137,7 +137,7 @@ def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[st
             elif high == -1:
                 value = F.when(c.rlike("^-.*[1-9]"), value)
             elif high is not None and spark_type not in ("bigint", "smallint", "tinyint") or (low == 0 and high is not None):
-                value = F.when(value <= F.lit(high).cast("decimal(20,0)"), value)
+                value = F.when(value <= F.lit(str(high)).cast("decimal(20,0)"), value)
             return value
 
         return Compiled(name, spark_type, parse, lambda v: format_decimal(v.cast("decimal(38,0)"), f))

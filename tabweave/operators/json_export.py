@@ -75,15 +75,18 @@ def _entry(table: Table, field: Field, values: dict[str, Expr]) -> tuple[str, Ex
     if url:
         made = _resolved(table, url, {**values, "_name": F.lit(column.header)})
         if name == "rdf:type":
-            for p, u in sorted(NAMESPACES.items(), key=lambda x: len(x[1])):
-                made = F.when(made.startswith(u), F.concat(F.lit(f"{p}:"), F.substring(made, len(u) + 1, 10_000))).otherwise(made)
+            known, full = None, made
+            for p, u in sorted(NAMESPACES.items(), key=lambda x: -len(x[1])):
+                short = F.concat(F.lit(f"{p}:"), F.substring(full, len(u) + 1, 10_000))
+                known = F.when(full.startswith(u), short) if known is None else known.when(full.startswith(u), short)
+            made = known.otherwise(full)
             name = "@type"
         text = F.to_json(F.array(made)).substr(F.lit(2), F.length(F.to_json(F.array(made))) - 2)
         return name, text if column.virtual else F.when(field.value.isNotNull(), text)
     if column.inherit("separator") is not None:
         items = F.array_join(F.transform(F.filter(field.value, lambda x: x.isNotNull()), lambda x: literal(column, x)), ",")
         return name, F.when(F.size(field.value) > 0, F.concat(F.lit("["), items, F.lit("]")))
-    empty = (field.raw == "") if field.raw is not None else F.lit(False)
+    empty = (field.value == "") if compiled_type(column).spark_type == "string" else F.lit(False)
     fallback = F.when(field.raw.isNotNull() & field.error.isNotNull(), F.to_json(F.array(field.raw)).substr(F.lit(2), F.length(F.to_json(F.array(field.raw))) - 2)) if field.raw is not None else F.lit(None).cast("string")
     return name, F.when(~F.coalesce(empty, F.lit(False)), F.coalesce(literal(column, field.value), fallback))
 

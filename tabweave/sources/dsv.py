@@ -18,6 +18,7 @@ from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -57,8 +58,15 @@ def open_text(path: str, encoding: str) -> io.TextIOBase:
 
 
 class _File(InputPartition):
-    def __init__(self, path: str, body: bytes | None = None):
-        self.path, self.body = path, body
+    def __init__(self, path: str):
+        self.path = path
+
+
+def _numbered(path: str, stream: Iterable[str], d: Dialect) -> Iterator[tuple]:
+    rownum = 0
+    for number, comment, cells in rows_of(stream, d):
+        rownum += not comment
+        yield path, rownum, number, comment, cells
 
 
 class DsvReader(DataSourceReader):
@@ -67,23 +75,11 @@ class DsvReader(DataSourceReader):
         self.paths = json.loads(options["paths"]) if "paths" in options else [options["path"]]
 
     def partitions(self) -> list[InputPartition]:
-        from ..discover import fetch
-        from ..model import is_url
-
-        # A remote file is fetched once, on the driver, as only it may know how to.
-        return [_File(p, fetch(p) if is_url(p) else None) for p in self.paths]
+        return [_File(p) for p in self.paths]
 
     def read(self, partition: _File) -> Iterator[tuple]:
-        d = self.dialect
-        if partition.body is not None:
-            stream: Any = io.TextIOWrapper(io.BytesIO(partition.body), encoding=d.python_encoding, newline="")
-        else:
-            stream = open_text(partition.path, d.python_encoding)
-        with stream:
-            rownum = 0
-            for number, comment, cells in rows_of(stream, d):
-                rownum += not comment
-                yield partition.path, rownum, number, comment, cells
+        with open_text(partition.path, self.dialect.python_encoding) as stream:
+            yield from _numbered(partition.path, stream, self.dialect)
 
 
 class DsvSource(DataSource):
@@ -101,12 +97,24 @@ class DsvSource(DataSource):
 
 
 def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | None = None) -> DataFrame:
-    """All rows of delimited files as cells, comments included and marked."""
+    """All rows of delimited files as cells, comments included and marked.
+
+    A remote file is fetched once, on the driver, which alone may know how to."""
+    from ..discover import fetch
+    from ..model import is_url
+
     d = dialect or Dialect()
-    spark.dataSource.register(DsvSource)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    options = {"dialect": json.dumps(d.asdict(full=True)), "paths": json.dumps(paths)}
-    return spark.read.format("dsv").options(**options).load()
+    remote, local, out = [p for p in paths if is_url(p)], [p for p in paths if not is_url(p)], None
+    if remote:
+        bodies = ((p, io.TextIOWrapper(io.BytesIO(fetch(p)), encoding=d.python_encoding, newline="")) for p in remote)
+        out = spark.createDataFrame([row for p, body in bodies for row in _numbered(p, body, d)], CELLS)
+    if local:
+        spark.dataSource.register(DsvSource)
+        options = {"dialect": json.dumps(d.asdict(full=True)), "paths": json.dumps(local)}
+        read = spark.read.format("dsv").options(**options).load()
+        out = read if out is None else out.union(read)
+    return out
 
 
 def read_plain(spark: SparkSession, path: str | list[str], names: list[str], dialect: Dialect) -> DataFrame:
@@ -221,8 +229,6 @@ def filter_rows(df: DataFrame, keep: Column | Callable[[dict], bool], counter: s
     from pyspark.sql import Observation
 
     if not isinstance(keep, Column):
-        import pandas as pd
-
         function = keep
 
         @F.pandas_udf("boolean")
