@@ -64,4 +64,31 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing, op10_suffix_dedup)}
-ORACLE_SQL: dict[str, str] = {}
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_STOP_WORDS = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words.split()}))
+_RULES = ", ".join("('{}', '{}', '{}')".format(r.verdict, r.host, r.path) for r in (url_cascade.parse_rule(*x) for x in URL_RULES))
+
+#: SQL for DuckDB; the other operators hash, sort suffixes or solve knapsacks and are tested
+#: against brute force instead.
+ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": rf"""
+        WITH p AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), {_LETTERS}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+        m AS (SELECT page_id, r.verdict, r.host || r.path AS rule, row_number() OVER (PARTITION BY page_id ORDER BY length(r.host || r.path) DESC, length(r.host) DESC) AS place
+              FROM h JOIN (VALUES {_RULES}) r(verdict, host, path) ON (h.host = r.host OR suffix(h.host, '.' || r.host)) AND starts_with(h.path, r.path))
+        SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.verdict, 'allow') AS verdict FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.place = 1""",
+    "op6_quality_rules": rf"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+        win AS (SELECT doc_id, i, w[i:i + 7] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+        rep AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win),
+        cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(8) r(j) WHERE c > 1 GROUP BY doc_id),
+        m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+                len(l) AS n_lines, len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[\x20\x09-\x0D]*$'))) AS n_dots,
+                len(w) < {quality.STOP_WORD_TEXT} OR len(list_filter(w, lambda x: translate(regexp_replace(x, '[.,;:!?]+$', ''), {_LETTERS}) IN ({_STOP_WORDS}))) > 0 AS prose
+              FROM d LEFT JOIN cov ON cov.doc_id = d.doc_id),
+        b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+            NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 40 AND n_symbols / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.7 AND n_dots / n_lines <= 0.9 AND prose AS kept FROM b""",
+}
