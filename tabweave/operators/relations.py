@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import ForeignKey, Table, TableGroup
 from .keys import VIOLATION, check_foreign_key, check_primary_key
-from .scan import Scan, array_type, scan
+from .scan import array_type, scan
 
 
 def default_name(table: Table) -> str:
@@ -158,8 +158,3 @@ def read_tables(spark: SparkSession, database: str, plans: list[TablePlan]) -> d
             df = joined.withColumn(a.column, F.coalesce(F.col(f"`{a.column}`"), F.array().cast(kind)))
         out[p.table.url] = df
     return out
-
-
-def read_group(spark: SparkSession, group: TableGroup) -> dict[str, Scan]:
-    """A lazy scan of each table of a group."""
-    return {t.url: scan(spark, t) for t in group.tables}

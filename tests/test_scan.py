@@ -11,7 +11,7 @@ from tabweave import describe, discover
 from tabweave.cli import main
 from tabweave.functions.uritemplate import compile_template, expand
 from tabweave.model import CONTEXT, NaturalLanguage, TableGroup
-from tabweave.operators import json_export, keys, relations
+from tabweave.operators import groups, json_export, keys, relations
 from tabweave.operators.scan import comments, scan, write_table
 from tabweave.sources import dsv
 from tabweave.sources.dialect import Dialect, normal_name, slug
@@ -287,3 +287,13 @@ def test_streams(spark, tmp_path):
     q = scan_stream(t, stream).good.writeStream.format("memory").queryName("tw_stream").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(60)
     assert [(int(r.n), r.t) for r in spark.table("tw_stream").collect()] == [(1, "x")]
+
+
+def test_groups(spark, tmp_path):
+    group = countries(tmp_path, "1,AF;AD,AD\n2,,\n")
+    moved = groups.copy_group(group, tmp_path / "copy")
+    frames = {u: s.good for u, s in groups.read_group(spark, moved).items()}
+    assert groups.write_group(moved, frames, tmp_path / "again" / "metadata.json") == {"countries.csv": 2, "slices.csv": 2}
+    again = groups.read_group(spark, TableGroup.from_file(tmp_path / "again" / "metadata.json"))
+    for url, s in again.items():
+        assert s.good.drop("sourcenum").orderBy("rownum").collect() == frames[url].drop("sourcenum").orderBy("rownum").collect()
