@@ -228,12 +228,15 @@ def scan_frame(table: Table, df: DataFrame) -> Scan:
     return bind(table, matched, [F.col(f"`{h}`").cast("string") for h in header], df)
 
 
-def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None, strict_header: bool = True) -> Scan:
-    """Scan a table's delimited file (or files of one form, each with its own header)."""
+def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None, strict_header: bool = True, one_line: bool = False) -> Scan:
+    """Scan a table's delimited file (or files of one form, each with its own header).
+
+    With ``one_line`` the caller declares that no cell holds a line break, that headers need no
+    check and that no row number is needed; plain dialects are then read by Spark's splittable reader."""
     d, where = table.effective_dialect, path or table.location
     columns = [c for c in table.schema.columns if not c.virtual]
-    if d.plain and columns and not strict_header and isinstance(where, str):
-        return scan_frame(table, dsv.read_plain(spark, where, [c.header for c in columns], d))
+    if one_line and d.plain and columns and isinstance(where, str):
+        return scan_frame(table, dsv.read_plain(spark, where, [c.header for c in columns], d, one_line=True))
     rows = dsv.read_cells(spark, where, d).filter(~F.col("is_comment"))
     header = None
     if d.header:

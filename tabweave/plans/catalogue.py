@@ -270,7 +270,7 @@ def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _cells(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     dsv.write_dir(df, path, d)
     t = _table("customer.csv", {"c_custkey": "long", "c_name": "string", "c_mktsegment": "string"})
-    return scan_frame(t, dsv.read_plain(spark, path, list(df.columns), d)).good
+    return scan_frame(t, dsv.read_plain(spark, path, list(df.columns), d, one_line=True)).good
 
 
 def filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

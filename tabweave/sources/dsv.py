@@ -117,12 +117,14 @@ def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | N
     return out
 
 
-def read_plain(spark: SparkSession, path: str | list[str], names: list[str], dialect: Dialect) -> DataFrame:
-    """Spark's own, splittable reader: string columns ``names``; for plain dialects."""
+def read_plain(spark: SparkSession, path: str | list[str], names: list[str], dialect: Dialect, one_line: bool = False) -> DataFrame:
+    """Spark's own reader: string columns ``names``, no row numbers; for plain dialects.
+
+    It splits files only if the caller declares by ``one_line`` that no cell holds a line break."""
     if not dialect.plain:
         raise ValueError("the dialect needs the exact reader")
     schema = ", ".join(f"`{n}` string" for n in names)
-    options = dialect.spark_options() | {"multiLine": "false", "header": str(dialect.header).lower(), "enforceSchema": "true"}
+    options = dialect.spark_options() | {"multiLine": str(not one_line).lower(), "header": str(dialect.header).lower(), "enforceSchema": "true"}
     df = spark.read.schema(schema).options(**options).csv(path)
     return df.select(*[F.coalesce(F.col(f"`{n}`"), F.lit("")).alias(n) for n in names])
 
