@@ -115,8 +115,9 @@ def segments(text: bytes):
 
 
 def _key_columns(key: Column, text: Column) -> dict[str, Column]:
-    """The bytes of a text and what names it: rows named alike have one key, and equal texts."""
-    return {"_tw_k": F.coalesce(key.cast("long"), F.lit(-1)), "_tw_c": F.hash(key.isNull(), text), "_tw_data": text.cast("binary")}
+    """The bytes of a text and the 128 bits that name it: rows named alike have one key, and equal texts."""
+    parts = (key.isNull(), key.cast("long"), F.octet_length(text), text)
+    return {"_tw_k": F.xxhash64(*parts), "_tw_c": F.xxhash64(F.lit(1), *parts), "_tw_data": text.cast("binary")}
 
 
 def _keyed(docs: DataFrame, key: str) -> DataFrame:
@@ -128,7 +129,7 @@ def _segment_rows(batches):
         out = [[] for _ in range(7)]
         for k, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             for first, count, place, token, whole in segments(data) if len(data) >= WINDOW else ():
-                for x, y in zip(out, (np.full(len(first), k, np.int64), np.full(len(first), c, np.int32), first.astype(np.int32), count.astype(np.int16), place.astype(np.int16), token.view(np.int64), whole.view(np.int64)), strict=True):
+                for x, y in zip(out, (np.full(len(first), k, np.int64), np.full(len(first), c, np.int64), first.astype(np.int32), count.astype(np.int16), place.astype(np.int16), token.view(np.int64), whole.view(np.int64)), strict=True):
                     x.append(y)
             if len(out[0]) >= 256:
                 yield _batch(out)
@@ -184,7 +185,7 @@ def _compare_neighbours(batches):
         yield emit(held, left, None, first, True)[0]
 
 
-_SEGMENT = "k long, c int, first int, n short, at short, token long, whole long"
+_SEGMENT = "k long, c long, first int, n short, at short, token long, whole long"
 
 
 def repeated_segments(spark: SparkSession, keyed: DataFrame) -> DataFrame:
@@ -219,7 +220,7 @@ def _context_rows(batches):
                 for p in parts:
                     out.append((p["token"], p["hot"], k, c, p["first"], p["at"], data[p["first"] : p["first"] + p["n"] + WINDOW - 1]))
             columns = list(zip(*out, strict=True)) if out else [[]] * 7
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32(), pa.int16(), pa.binary())
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int16(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(list(x), t) for x, t in zip(columns, kinds, strict=True)], names=["token", "hot", "k", "c", "first", "at", "data"])
 
 
@@ -278,7 +279,7 @@ def _runs(k: np.ndarray, c: np.ndarray, first: np.ndarray, row: np.ndarray, at:
     begin = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (at[1:] != at[:-1] + 1)))) if len(row) else np.empty(0, int)
     count = np.diff(np.append(begin, len(row)))
     own = row[begin]
-    return pa.RecordBatch.from_arrays([pa.array(k[own].astype(np.int64)), pa.array(c[own].astype(np.int32)), pa.array((first[own] + at[begin]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["k", "c", "first", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(k[own].astype(np.int64)), pa.array(c[own].astype(np.int64)), pa.array((first[own] + at[begin]).astype(np.int32)), pa.array(count.astype(np.int32))], names=["k", "c", "first", "n"])
 
 
 def _sort_windows(batches):
@@ -326,14 +327,14 @@ def _explode_windows(batches):
 def _split_segments(spark: SparkSession, segments: DataFrame) -> DataFrame:
     """(k, c, first, n): repeated windows of the segments of hot tokens, by counting alone."""
     here = F.struct("k", "c", "first")
-    slices = stage(spark, segments.mapInArrow(_slices, "w1 long, w2 long, c1 long, c2 long, k long, c int, first int, n int, data binary"), "slices")
+    slices = stage(spark, segments.mapInArrow(_slices, "w1 long, w2 long, c1 long, c2 long, k long, c long, first int, n int, data binary"), "slices")
     wholes = stage(spark, slices.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("kind")).filter("m > 1"), "wholes")
     marked = stage(spark, slices.join(wholes, ["w1", "w2"], "left"), "marked")
     equal = marked.filter("m > 1").select("k", "c", "first", "n")
     # Undecided: slices met once, together with one of each kind of equal ones.
     kinds = marked.filter(F.col("m").isNull() | (here == F.col("kind"))).select("c1", "c2", "k", "c", "first", "data", F.col("m").isNull().cast("int").alias("open"))
     cores = stage(spark, kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open")).filter("n > 1 and open > 0").select("c1", "c2"), "cores")
-    windows = stage(spark, kinds.join(cores, ["c1", "c2"], "left_semi").mapInArrow(_explode_windows, "one long, two long, k long, c int, first int"), "windows")
+    windows = stage(spark, kinds.join(cores, ["c1", "c2"], "left_semi").mapInArrow(_explode_windows, "one long, two long, k long, c long, first int"), "windows")
     twice = stage(spark, windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("one", "two"), "twice")
     return equal.union(windows.join(twice, ["one", "two"], "left_semi").select("k", "c", "first", F.lit(1).alias("n")))
 
@@ -350,9 +351,9 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str = "doc_id")
     tokens = some.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("open").alias("open")).filter("open > 0 and m > 1")
     tokens = stage(spark, tokens.select("token", (F.col("m") > HOT_SEGMENTS).alias("hot")), "tokens")
     parts = some.drop("open").join(tokens, "token").groupBy("k", "c").agg(F.collect_set(F.struct("first", "n", "at", "token", "hot")).alias("parts"))
-    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c int, first int, at short, data binary")
+    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c long, first int, at short, data binary")
     fetched = stage(spark, fetched, "contexts")
-    runs = "k long, c int, first int, n int"
+    runs = "k long, c long, first int, n int"
     cold = fetched.filter("not hot").repartition("token").sortWithinPartitions("token").select("token", "k", "c", "first", "data").mapInArrow(_sort_windows, runs)
     split = _split_segments(spark, fetched.filter("hot").select("k", "c", "first", "at", "data"))
     equal = met.filter("equal").select("k", "c", "first", F.col("n").cast("int").alias("n"))
