@@ -7,7 +7,11 @@
 from __future__ import annotations
 
 import atexit
+import re
+import sys
+import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +25,57 @@ from pyspark.sql import types as T
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only where the session names no shared folder, as in tests on one machine.
-FALLBACK_DIR = "file:///tmp/checkpoints"
+#: Used only by a session that names no shared folder and has no executors but itself, as in tests.
+LOCAL_DIR = "file:///tmp/checkpoints"
+#: Bytes of the batches in which texts travel to Python; bounds a task's memory, whatever the texts.
+BATCH_BYTES = 4 << 20
 
 _staged: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR
+    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
+
+    Where a session names none, ``LOCAL_DIR`` stands in only if all runs in one process; on a
+    cluster executors would not see each other's files, so there it is refused.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL_DIR
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on rows travel to Python in batches of ``BATCH_BYTES`` at most (or one row).
+
+    The session's default, 64 MB, is held several times by each task: in the JVM, on its way,
+    and in Python.  A smaller setting of the user's stays.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(str(spark.conf.get(name, f"{BATCH_BYTES + 1}b")).rstrip("bB")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def per_process(name: str, build: Callable[[], object]) -> object:
+    """What ``build`` makes, made once in each Python process.
+
+    Functions of this package travel to executors by value, so its own module variables are
+    new for every task; a module of our own in ``sys.modules`` lives as long as the process.
+    """
+    held = sys.modules.setdefault("_tabweave_process", types.ModuleType("_tabweave_process")).__dict__
+    if name not in held:
+        held[name] = build()
+    return held[name]
+
+
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
+    """Cut a batch so that a slice holds about ``most`` bytes of a column, or one row."""
+    data, n = batch.column(batch.schema.get_field_index(column)), batch.num_rows
+    each = max(1, n * most // max(1, data.nbytes)) if n else 1
+    for at in range(0, n, each):
+        yield batch.slice(at, each)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
