@@ -8,24 +8,24 @@ here only a sparse set of suffixes is sorted, chosen so that nothing is missed:
    strings inside it.  The choice depends on the window's bytes alone, so equal windows
    select equal tokens.  Consecutive windows that select the same position form a segment,
    about one for 85 bytes.
-2. Segments are range-partitioned by sampled splitters of (token fingerprint, fingerprint of
-   all the segment's bytes), so a token shared by a third of all texts spreads over many
-   partitions; each bucket sorts locally and compares neighbours, and the ends of buckets
-   are compared across boundaries.  A token met once has no repeated window; equal segments
-   are repeated as a whole.
+2. Segments are range-partitioned by sampled splitters of (token fingerprint, 128-bit
+   fingerprint of all the segment's bytes), so a token shared by a third of all texts spreads
+   over many partitions; each bucket sorts locally and compares neighbours, and the ends of
+   buckets are compared across boundaries.  A token met once has no repeated window; equal
+   segments are repeated as a whole.
 3. What is left are segments at the ends of repeated passages.  Their bytes are fetched, with
-   those of one segment of each kind of equal ones that has the same token, and of each token the suffixes of all its windows are sorted and neighbours compared, by two
-   64-bit fingerprints of the windows.  Of tokens with very many such segments the same is
-   done by counting, which no task has to do alone: for slices of ``SLICE`` windows (repeated
-   as a whole, or without a repeat of the bytes that all its windows share), and for the
-   single windows of the slices that this does not decide.
+   those of one segment of each kind of equal ones that has the same token.  They are
+   range-partitioned by token, and in each bucket the suffixes at all their windows are sorted by
+   a multikey quicksort of their bytes; neighbours that agree in ``WINDOW`` bytes are repeated.
+   A token with very many such segments would not fit into a task.  There the same is done by
+   counting, which no task has to do alone: for slices of ``SLICE`` windows (repeated as a
+   whole, or without a repeat of the bytes that all its windows share), and for the single
+   windows of the slices that this does not decide.
 4. The repeated windows of a text become intervals, and its text is cut.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, text_of
+from .common import per_process, slices, small_batches, stage, text_of, unstage
 
 WINDOW, TOKEN = 200, 48
 #: Windows of a text that are worked on at a time; bounds memory for very long texts.
@@ -79,10 +79,7 @@ class Roller:
 
 def rollers() -> tuple[Roller, Roller]:
     """Built once for each worker process."""
-    built = hashlib.__dict__.setdefault("_tabweave_rollers", [])
-    if not built:
-        built.append(tuple(Roller(b, k, BLOCK + 2 * WINDOW) for k, b in enumerate(_BASES)))
-    return built[0]
+    return per_process("rollers", lambda: tuple(Roller(b, k, BLOCK + 2 * WINDOW) for k, b in enumerate(_BASES)))
 
 
 def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -98,9 +95,9 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 def segments(text: bytes):
     """Yield arrays (first window, number of windows, the token's place in the first window,
-    token, whole) of a text's segments."""
+    token, two fingerprints of the whole) of a text's segments."""
     whole = np.frombuffer(text, np.uint8)
-    roll, n_windows, w = rollers()[0], len(text) - WINDOW + 1, WINDOW - TOKEN + 1
+    (roll, second), n_windows, w = rollers(), len(text) - WINDOW + 1, WINDOW - TOKEN + 1
     for at in range(0, n_windows, BLOCK):
         data = whole[at : min(len(whole), at + BLOCK + WINDOW - 1)]
         sums = roll.sums(data)
@@ -111,7 +108,7 @@ def segments(text: bytes):
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         count = np.diff(np.append(first, len(least)))
         selected = ((1 << 17) - 1) - (least[first] & np.uint64((1 << 17) - 1)).astype(np.int64)
-        yield first + at, count, selected - first, token[selected], roll.spans(sums, first, count + (WINDOW - 1))
+        yield first + at, count, selected - first, token[selected], roll.spans(sums, first, count + (WINDOW - 1)), second.spans(second.sums(data), first, count + (WINDOW - 1))
 
 
 def _key_columns(key: Column, text: Column) -> dict[str, Column]:
@@ -124,26 +121,24 @@ def _keyed(docs: DataFrame, key: str) -> DataFrame:
     return docs.select(*[c.alias(n[4:]) for n, c in _key_columns(F.col(key), text_of()).items()])
 
 
+_SEGMENT = "k long, c long, first int, n short, at short, token long, whole long, whole2 long"
+_NAMES = [x.split()[0] for x in _SEGMENT.split(", ")]
+
+
 def _segment_rows(batches):
-    for b in batches:
-        out = [[] for _ in range(7)]
+    for b in (part for whole in batches for part in slices(whole, "data")):
+        out = [[] for _ in _NAMES]
         for k, c, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            for first, count, place, token, whole in segments(data) if len(data) >= WINDOW else ():
-                for x, y in zip(out, (np.full(len(first), k, np.int64), np.full(len(first), c, np.int64), first.astype(np.int32), count.astype(np.int16), place.astype(np.int16), token.view(np.int64), whole.view(np.int64)), strict=True):
+            for first, count, place, *prints in segments(data) if len(data) >= WINDOW else ():
+                own = (np.full(len(first), k, np.int64), np.full(len(first), c, np.int64), first.astype(np.int32), count.astype(np.int16), place.astype(np.int16))
+                for x, y in zip(out, (*own, *(p.view(np.int64) for p in prints)), strict=True):
                     x.append(y)
-            if len(out[0]) >= 256:
-                yield _batch(out)
-                out = [[] for _ in range(7)]
         if out[0]:
-            yield _batch(out)
-
-
-def _batch(out: list[list[np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["k", "c", "first", "n", "at", "token", "whole"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=_NAMES)
 
 
 def _compare_neighbours(batches):
-    """In a bucket sorted by (token, whole): which rows share them with a neighbour?
+    """In a bucket sorted by (token, whole, whole2): which rows share them with a neighbour?
 
     Keeps rows that share the token, and the bucket's first and last row, whose other
     neighbour is in another bucket.
@@ -152,10 +147,10 @@ def _compare_neighbours(batches):
 
     def emit(rows: pa.RecordBatch, left, right, first: bool, last: bool):
         n = rows.num_rows
-        token, whole = (rows.column(i).to_numpy(zero_copy_only=False) for i in (5, 6))
+        token, whole, whole2 = (rows.column(i).to_numpy(zero_copy_only=False) for i in (5, 6, 7))
         t, w = np.zeros(n, bool), np.zeros(n, bool)
         same_t = token[1:] == token[:-1]
-        same_w = same_t & (whole[1:] == whole[:-1])
+        same_w = same_t & (whole[1:] == whole[:-1]) & (whole2[1:] == whole2[:-1])
         t[1:] |= same_t
         t[:-1] |= same_t
         w[1:] |= same_w
@@ -163,20 +158,20 @@ def _compare_neighbours(batches):
         for other, i in ((left, 0), (right, n - 1)):
             if other is not None and other[0] == token[i]:
                 t[i] = True
-                w[i] |= other[1] == whole[i]
+                w[i] |= other[1:] == (whole[i], whole2[i])
         edge = np.zeros(n, np.int8)
         edge[0] |= 1 * first
         edge[-1] |= 2 * last
         keep = pa.array(t | (edge > 0))
         made = pa.RecordBatch.from_arrays([*rows.columns, pa.array(t), pa.array(w), pa.array(edge), pa.array(np.full(n, pid, np.int32))], names=[*rows.schema.names, "met", "equal", "edge", "pid"])
-        return made.filter(keep), (token[-1], whole[-1])
+        return made.filter(keep), (token[-1], whole[-1], whole2[-1])
 
     held, left, first = None, None, True
     for b in batches:
         if not b.num_rows:
             continue
         if held is not None:
-            right = tuple(b.column(i)[0].as_py() for i in (5, 6))
+            right = tuple(b.column(i)[0].as_py() for i in (5, 6, 7))
             made, left = emit(held, left, right, first, False)
             first = False
             yield made
@@ -185,36 +180,36 @@ def _compare_neighbours(batches):
         yield emit(held, left, None, first, True)[0]
 
 
-_SEGMENT = "k long, c long, first int, n short, at short, token long, whole long"
-
-
 def repeated_segments(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     """Segments whose token is met elsewhere; ``equal`` if the whole segment is."""
-    found = keyed.select("k", "c", "data").mapInArrow(_segment_rows, _SEGMENT)
-    order = ["token", "whole", "k", "first"]
+    # Staged, as the splitters are sampled from it before it is dealt out.
+    found = stage(spark, keyed.select("k", "c", "data").mapInArrow(_segment_rows, _SEGMENT), "segments")
+    order = ["token", "whole", "whole2", "k", "first"]
     dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    met = stage(spark, dealt.mapInArrow(_compare_neighbours, f"{_SEGMENT}, met boolean, equal boolean, edge byte, pid int"), "segments")
+    met = stage(spark, dealt.mapInArrow(_compare_neighbours, f"{_SEGMENT}, met boolean, equal boolean, edge byte, pid int"), "met")
+    unstage(spark, found)
     # Across the boundaries of buckets: two rows a bucket.
-    ends = met.filter("edge > 0").select("pid", "edge", "token", "whole").orderBy("pid", "edge").collect()
+    ends = met.filter("edge > 0").select("pid", "edge", "token", "whole", "whole2").orderBy("pid", "edge").collect()
     fixes: dict[tuple[int, int], list[bool]] = {}
-    rows = sorted({(e.pid, bit, e.token, e.whole) for e in ends for bit in (1, 2) if e.edge & bit})
+    rows = sorted({(e.pid, bit, e.token, e.whole, e.whole2) for e in ends for bit in (1, 2) if e.edge & bit})
     for a, b in zip(rows, rows[1:], strict=False):
         if a[0] != b[0] and a[2] == b[2]:
             for r in (a, b):
                 fix = fixes.setdefault(r[:2], [True, False])
-                fix[1] |= a[3] == b[3]
+                fix[1] |= a[3:] == b[3:]
     table = spark.createDataFrame([(p, bit, *fix) for (p, bit), fix in fixes.items()], "pid int, bit int, fix_met boolean, fix_equal boolean")
-    edges = met.filter("edge > 0").join(F.broadcast(table), (met["pid"] == table["pid"]) & (met["edge"].bitwiseAND(table["bit"]) > 0), "left").select(*[met[c] for c in ("k", "c", "first", "n", "at", "token", "whole")], (met["met"] | F.coalesce("fix_met", F.lit(False))).alias("met"), (met["equal"] | F.coalesce("fix_equal", F.lit(False))).alias("equal"))
-    edges = edges.groupBy("k", "c", "first", "n", "at", "token", "whole").agg(F.max("met").alias("met"), F.max("equal").alias("equal"))
-    inner = met.filter("edge = 0").select("k", "c", "first", "n", "at", "token", "whole", "met", "equal")
+    fixed = (met["pid"] == table["pid"]) & (met["edge"].bitwiseAND(table["bit"]) > 0)
+    now = [(met[x] | F.coalesce(f"fix_{x}", F.lit(False))).alias(x) for x in ("met", "equal")]
+    edges = met.filter("edge > 0").join(F.broadcast(table), fixed, "left").select(*[met[c] for c in _NAMES], *now)
+    edges = edges.groupBy(*_NAMES).agg(F.max("met").alias("met"), F.max("equal").alias("equal"))
+    inner = met.filter("edge = 0").select(*_NAMES, "met", "equal")
     return inner.union(edges).filter("met").drop("met")
 
 
 def _context_rows(batches):
     """The bytes of a text's left-over segments."""
     for b in batches:
-        for at in range(0, b.num_rows, 512):
-            part = b.slice(at, 512)
+        for part in slices(b, "data"):
             out = []
             for k, c, data, parts in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                 for p in parts:
@@ -242,13 +237,45 @@ class Prints:
         return tuple(_mix((s[row, start + length] - s[row, start]) * r.unpower[start]) for s, r in zip(self.sums, rollers(), strict=True))
 
 
+def _windows(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each window of each string: the string's number and the window's."""
+    n = np.array([len(x) - WINDOW + 1 for x in data], np.int64)
+    return np.repeat(np.arange(len(data)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def window_prints(data: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each window of each string: the string's number, the window's, two fingerprints."""
-    n = np.array([len(x) - WINDOW + 1 for x in data], np.int64)
-    row, at = np.repeat(np.arange(len(data)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, at = _windows(data)
     return row, at, *Prints(data).of(row, at, WINDOW)
 
 
+def equal_suffixes(flat: np.ndarray, start: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """Which suffixes of ``flat`` agree in ``WINDOW`` bytes with another one of their group?
+
+    A multikey quicksort whose characters are eight bytes wide: suffixes are sorted by a
+    character and split where it differs, and only ties go on to the next one.  What is still
+    tied after ``WINDOW`` bytes is equal.
+    """
+    padded = np.concatenate((flat, np.zeros(8, np.uint8)))
+    words = np.zeros(len(flat) + 1, np.uint64)
+    for j in range(8):
+        words = (words << np.uint64(8)) | padded[j : j + len(words)]
+    tied, part = np.arange(len(start)), group
+    for depth in range(0, WINDOW, 8):
+        word = words[start[tied] + depth]
+        order = np.lexsort((word, part))
+        tied, part, word = tied[order], part[order], word[order]
+        new = np.concatenate(([True], (part[1:] != part[:-1]) | (word[1:] != word[:-1])))[: len(tied)]
+        alone = new & np.append(new[1:], True)[: len(tied)]
+        part = np.cumsum(new)[~alone]
+        tied = tied[~alone]
+        if not len(tied):
+            break
+    hit = np.zeros(len(start), bool)
+    hit[tied] = True
+    return hit
+
+
 def _slices(batches):
     """Cut segments into slices by their windows' distance to the token: rows of the slice's
     fingerprints and those of its core, the bytes that all windows of a full slice share."""
@@ -283,17 +310,18 @@ def _runs(k: np.ndarray, c: np.ndarray, first: np.ndarray, row: np.ndarray, at:
 
 
 def _sort_windows(batches):
-    """Rows sorted by token: sort the windows of each token, and compare neighbours."""
+    """Rows sorted by token: sort the suffixes at the windows of each token."""
 
     def done(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
-        token, k, c, first = (t.column(n).to_numpy() for n in ("token", "k", "c", "first"))
-        row, at, one, two = window_prints(t.column("data").to_pylist())
-        order = np.lexsort((two, one, token[row]))
-        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (token[row][order][1:] == token[row][order][:-1])
-        hit = np.zeros(len(row), bool)
-        hit[order[1:][same]] = True
-        hit[order[:-1][same]] = True
+        token, k, c, first, place = (t.column(n).to_numpy() for n in ("token", "k", "c", "first", "at"))
+        data = t.column("data").to_pylist()
+        row, at = _windows(data)
+        lengths = np.array([len(x) for x in data], np.int64)
+        start = (np.cumsum(lengths) - lengths)[row] + at
+        # Equal windows have their token at the same place.
+        kind = np.cumsum(np.concatenate(([0], token[1:] != token[:-1])))
+        hit = equal_suffixes(np.frombuffer(b"".join(data), np.uint8), start, kind[row] * WINDOW + place[row] - at)
         return _runs(k, c, first, row, at, hit)
 
     held: list[pa.RecordBatch] = []
@@ -341,12 +369,13 @@ def _split_segments(spark: SparkSession, segments: DataFrame) -> DataFrame:
 
 def repeated_windows(spark: SparkSession, docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """(k, c, first, n): runs of windows that start at byte ``first`` and also stand elsewhere."""
+    small_batches(spark)
     keyed = _keyed(docs, key)
-    met = stage(spark, repeated_segments(spark, keyed), "met")
+    met = stage(spark, repeated_segments(spark, keyed), "repeated")
     left = met.filter("not equal")
     # A left-over window may also stand inside an equal segment: one of each kind takes part.
     kind = F.min(F.struct("k", "c", "first", "n", "at")).alias("p")
-    kinds = met.filter("equal").groupBy("token", "whole").agg(kind).select("token", "p.*", F.lit(0).alias("open"))
+    kinds = met.filter("equal").groupBy("token", "whole", "whole2").agg(kind).select("token", "p.*", F.lit(0).alias("open"))
     some = left.select("token", "k", "c", "first", "n", "at", F.lit(1).alias("open")).union(kinds)
     tokens = some.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("open").alias("open")).filter("open > 0 and m > 1")
     tokens = stage(spark, tokens.select("token", (F.col("m") > HOT_SEGMENTS).alias("hot")), "tokens")
@@ -354,7 +383,7 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str = "doc_id")
     fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c long, first int, at short, data binary")
     fetched = stage(spark, fetched, "contexts")
     runs = "k long, c long, first int, n int"
-    cold = fetched.filter("not hot").repartition("token").sortWithinPartitions("token").select("token", "k", "c", "first", "data").mapInArrow(_sort_windows, runs)
+    cold = fetched.filter("not hot").repartitionByRange("token").sortWithinPartitions("token").select("token", "k", "c", "first", "at", "data").mapInArrow(_sort_windows, runs)
     split = _split_segments(spark, fetched.filter("hot").select("k", "c", "first", "at", "data"))
     equal = met.filter("equal").select("k", "c", "first", F.col("n").cast("int").alias("n"))
     return equal.union(cold).union(split)
@@ -381,7 +410,8 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
     A null text is empty; a text shorter than the window keeps everything.  Repeated rows,
     rows with one key and different texts and null keys are texts of their own, so a text
     that stands twice is removed from both.  An empty table gives an empty table; other
-    columns pass through.
+    columns pass through (names that begin with ``_tw_`` are reserved, columns named like a
+    result are replaced).  A text is held in one task with about 30 bytes for each of its own.
     """
     added = ("kept", "n_bytes", "n_spans")
     rest = [f for f in docs.schema.fields if f.name != text and f.name not in added]
@@ -392,8 +422,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
 
     def cut(batches):
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
+            for part in slices(b, "_tw_data"):
                 data, runs = (part.column(i).to_pylist() for i in (len(rest), len(rest) + 1))
                 made = [cut_bytes(d, [(r["first"], r["n"]) for r in rs]) if rs else (d, 0) for d, rs in zip(data, runs, strict=True)]
                 kept = [x.decode("utf-8", "ignore") if as_text else x for x, _ in made]
