@@ -18,12 +18,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import stage, unstage
 from .graph import components
 
 THRESHOLD = 0.93
-#: Vectors for each pivot, and how many pivots are sent to all tasks at most.
-VECTORS_PER_PIVOT, MAX_PIVOTS = 256, 1 << 15
+#: Vectors for each pivot; how many pivots, and how many numbers in them, are sent to all tasks at most.
+VECTORS_PER_PIVOT, MAX_PIVOTS, MAX_VALUES = 256, 1 << 15, 1 << 22
+#: Pivots are halved until vectors visit so many cells on average, by a sample of so many vectors:
+#: where the triangle inequality prunes little, more cells only mean more copies.
+MOST_VISITS, PROBES = 4.0, 1024
 #: A cell is cut into this many chunks, of a size within the bounds; pairs of chunks are blocks.
 CHUNKS, LEAST_CHUNK, MOST_CHUNK = 16, 512, 1 << 14
 TILE = 512
@@ -46,44 +49,60 @@ def unit_rows(column: pa.Array) -> np.ndarray:
 
 
 class Pivots:
-    """Pivots by part (label and length of vector); cells are numbered over all parts."""
+    """Pivots by part (label and length of vector): (cells, unit vectors); cells are numbered
+    over all parts.  Holds nothing but that, so it grows with the number of pivots only."""
 
-    def __init__(self, rows: list[tuple[str, list[float]]], threshold: float):
-        self.reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
-        self.parts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+    def __init__(self, parts: dict[str, tuple[np.ndarray, np.ndarray]], threshold: float):
+        self.parts, self.reach = parts, math.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+
+    @staticmethod
+    def parts_of(rows: list[tuple[str, list[float]]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
         by_part: dict[str, list[tuple[int, np.ndarray]]] = {}
         for i, (part, v) in enumerate(rows):
             v = np.asarray(v, np.float64)
             v = v / np.abs(v).max()
             by_part.setdefault(part, []).append((i, v / np.linalg.norm(v)))
-        for part, found in by_part.items():
-            at = np.stack([v for _, v in found])
-            gaps = np.sqrt(np.maximum(0, 2 - 2 * at @ at.T))
-            self.parts[part] = (np.array([i for i, _ in found]), at, np.where(gaps > 0, gaps, np.inf))
+        return {part: (np.array([i for i, _ in found]), np.stack([v for _, v in found])) for part, found in by_part.items()}
 
     def home(self, part: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and distance to its pivot; cell -1 for a part without pivots."""
         if part not in self.parts:
             return np.full(len(x), -1), np.zeros(len(x))
-        cells, at, _ = self.parts[part]
+        cells, at = self.parts[part]
         dots = x @ at.T
         near = dots.argmax(axis=1)
         return cells[near], np.sqrt(np.maximum(0, 2 - 2 * dots[np.arange(len(x)), near]))
 
-    def visits(self, part: str, x: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, cell): the cells before its home that a vector has to be replicated to."""
+    def visits(self, part: str, x: np.ndarray, radius: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """(row, cell): the cells before its home that a vector has to be replicated to; without
+        the cells' radius, those on this side of its reach beyond the half-way planes."""
         if part not in self.parts:
             return np.empty(0, int), np.empty(0, int)
-        cells, at, gaps = self.parts[part]
+        cells, at = self.parts[part]
         dots = x @ at.T
         near = dots.argmax(axis=1)
-        to_plane = (dots[np.arange(len(x)), near][:, None] - dots) / gaps[near]
-        to_pivot = np.sqrt(np.maximum(0, 2 - 2 * dots))
-        go = (to_plane <= self.reach) & (to_pivot <= radius[cells][None, :] + self.reach) & (np.arange(len(cells))[None, :] < near[:, None])
+        homes, own = np.unique(near, return_inverse=True)
+        gaps = np.sqrt(np.maximum(0, 2 - 2 * at[homes] @ at.T))
+        # Twin pivots have no plane between them: a distance of zero rules nothing out.
+        to_plane = (dots[np.arange(len(x)), near][:, None] - dots) / np.where(gaps > 0, gaps, np.inf)[own]
+        go = (to_plane <= self.reach) & (np.arange(len(cells))[None, :] < near[:, None])
+        if radius is not None:
+            go &= np.sqrt(np.maximum(0, 2 - 2 * dots)) <= radius[cells][None, :] + self.reach
         row, k = np.nonzero(go)
         return row, cells[k]
 
 
+def choose_pivots(sample: list[tuple[str, list[float]]], probes: list[tuple[str, list[float]]], threshold: float) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """As many of the sampled pivots as keep the probes' visits within ``MOST_VISITS``."""
+    tests = Pivots.parts_of(probes)
+    while True:
+        parts = Pivots.parts_of(sample)
+        visits = sum(len(Pivots(parts, threshold).visits(part, x, None)[0]) for part, (_, x) in tests.items())
+        if visits <= MOST_VISITS * len(probes) or len(sample) <= 1:
+            return parts
+        sample = sample[: len(sample) // 2]
+
+
 def _parts(batch: pa.RecordBatch):
     """Rows of a batch by part: (part, row numbers, unit vectors)."""
     names = np.array(batch.column(batch.schema.get_field_index("part")).to_pylist(), dtype=object)
@@ -95,19 +114,24 @@ def _parts(batch: pa.RecordBatch):
             yield part, some, unit_rows(vectors.take(pa.array(some)))
 
 
-def _homes(pivots: Pivots):
+def _homes(shared, threshold: float):
+    """(part, cell, radius, n) of a batch's vectors; the part is told only where it has no pivots."""
+
     def run(batches):
+        pivots = Pivots(shared.value, threshold)
         for b in batches:
             for part, _, x in _parts(b):
                 cell, far = pivots.home(part, x)
-                found = pd.DataFrame({"cell": cell, "far": far}).query("cell >= 0").groupby("cell").far.agg(["max", "size"]).reset_index()
-                yield pa.RecordBatch.from_arrays([pa.array(found["cell"].to_numpy(np.int32)), pa.array(found["max"].to_numpy(float)), pa.array(found["size"].to_numpy(np.int64))], names=["cell", "radius", "n"])
+                found = pd.DataFrame({"cell": cell, "far": far}).groupby("cell").far.agg(["max", "size"]).reset_index()
+                names = pa.array([part if c < 0 else None for c in found["cell"]], pa.string())
+                yield pa.RecordBatch.from_arrays([names, pa.array(found["cell"].to_numpy(np.int32)), pa.array(found["max"].to_numpy(float)), pa.array(found["size"].to_numpy(np.int64))], names=["part", "cell", "radius", "n"])
 
     return run
 
 
-def _visitors(pivots: Pivots, radius: np.ndarray):
+def _visitors(shared, threshold: float, radius: np.ndarray):
     def run(batches):
+        pivots = Pivots(shared.value, threshold)
         for b in batches:
             for part, _, x in _parts(b):
                 cell, n = np.unique(pivots.visits(part, x, radius)[1], return_counts=True)
@@ -120,24 +144,23 @@ def _chunks(n: int) -> int:
     return max(1, math.ceil(n / min(MOST_CHUNK, max(LEAST_CHUNK, n / CHUNKS))))
 
 
-def _deal(pivots: Pivots, radius: np.ndarray, home_chunks: np.ndarray, visit_chunks: np.ndarray):
+def _deal(shared, threshold: float, radius: np.ndarray, home_chunks: np.ndarray, visit_chunks: np.ndarray, undivided: dict[str, int]):
     """Each vector once for every block that it takes part in."""
 
     def run(batches):
+        pivots = Pivots(shared.value, threshold)
         for b in batches:
-            ids = b.column(b.schema.get_field_index("id")).to_numpy(zero_copy_only=False)
+            ids = b.column(b.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             for part, rows, x in _parts(b):
                 cell, _ = pivots.home(part, x)
                 out: list[tuple[int, int, int, int, int]] = []  # row, cell, block's two chunks, side
                 for k, c in enumerate(cell):
-                    if c < 0:
-                        out.append((rows[k], c, 0, 0, 0))
-                        continue
-                    own = int(mixed[rows[k]] % np.uint64(home_chunks[c]))
-                    out += [(rows[k], c, own, j, 0) for j in range(own, home_chunks[c])]
+                    homes, visitors = (undivided.get(part, 1), 0) if c < 0 else (home_chunks[c], visit_chunks[c])
+                    own = int(mixed[rows[k]] % np.uint64(homes))
+                    out += [(rows[k], c, own, j, 0) for j in range(own, homes)]
                     out += [(rows[k], c, i, own, 1) for i in range(own)]
-                    out += [(rows[k], c, own, -1 - d, 0) for d in range(visit_chunks[c])]
+                    out += [(rows[k], c, own, -1 - d, 0) for d in range(visitors)]
                 for k, c in zip(*pivots.visits(part, x, radius), strict=True):
                     d = int(mixed[rows[k]] % np.uint64(visit_chunks[c]))
                     out += [(rows[k], c, i, -1 - d, 1) for i in range(home_chunks[c])]
@@ -152,7 +175,7 @@ def _deal(pivots: Pivots, radius: np.ndarray, home_chunks: np.ndarray, visit_chu
 def _join_block(threshold: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, m, side = (table.column(n).to_numpy() for n in ("id", "m", "side"))
+        ids, m, side = (table.column(n).to_numpy() for n in ("c", "m", "side"))
         vectors = table.column("vector").combine_chunks()
         vectors = vectors if isinstance(vectors, pa.ListArray) else pa.concat_arrays(vectors.chunks)
         x = unit_rows(vectors)
@@ -189,7 +212,7 @@ def _join_block(threshold: float):
         some, child = np.flatnonzero(links), np.flatnonzero(label != rank)
         return pa.table(
             {
-                "id": pa.array(np.concatenate([ids[some], ids[child]]), pa.int64()),
+                "c": pa.array(np.concatenate([ids[some], ids[child]]), pa.int64()),
                 "links": pa.array(np.concatenate([links[some], np.zeros(len(child), np.int64)]), pa.int64()),
                 "root": pa.array([None] * len(some) + ids[order][label[child]].tolist(), pa.int64()),
             }
@@ -204,36 +227,52 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
 
     Null labels, null or zero vectors and vectors with null or non-finite components link
     with nothing, as do rows with a null vec_id; vectors of different lengths never link.
-    Equal vectors of a label form a class first, so a group of copies is one row in the
-    join, and each copy counts the others.  Repeated rows are vectors of their own.  An empty
-    table gives an empty table.
+    Equal vectors of a label form a class first (named by 128 bits of label and vector), so a
+    group of copies is one row in the join, and each copy counts the others.  Repeated rows
+    are vectors of their own, and so are rows that share a vec_id and differ.  An empty table
+    gives an empty table; other columns are not read.
 
     Pivots are a sample (the classes with the smallest hashes) of ``1 / per_pivot`` of the
-    classes and ``MAX_PIVOTS`` at most; the sample decides the cells' sizes, never the
-    result.  A hot cell is cut into chunks and joined block by block; a block gives counts
-    and a spanning forest of its links, never its pairs.
+    classes, ``MAX_PIVOTS`` and ``MAX_VALUES`` numbers at most, and fewer where they would
+    not prune (see :func:`choose_pivots`); the sample decides the cells' sizes, never the
+    result.  A cell, and a label without pivots, is cut into chunks and joined block by block;
+    a block gives counts and a spanning forest of its links, never its pairs.
     """
-    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector"), F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string")).alias("part"), (usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()).alias("ok"))
-    fine = rows.filter("ok")
-    classes = stage(spark, fine.groupBy("part", "vector").agg(F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("m")), "vectors")
-    n = classes.count()
-    sample = classes.select("part", "vector", F.xxhash64("id").alias("h")).orderBy("h").limit(min(MAX_PIVOTS, max(1, n // per_pivot))).collect()
-    pivots = Pivots([(r.part, r.vector) for r in sample], threshold)
-    radius, homes, visits = np.zeros(len(sample)), np.zeros(len(sample), np.int64), np.zeros(len(sample), np.int64)
-    for r in classes.mapInArrow(_homes(pivots), "cell int, radius double, n long").groupBy("cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")).collect():
+    part = F.concat_ws(":", F.col("label").cast("string"), F.size("embedding").cast("string"))
+    ok = usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+    rows = vectors.select("vec_id", F.col("embedding").alias("vector"), part.alias("part"), ok.alias("ok"))
+    fine = rows.filter("ok").select("vec_id", "vector", "part", F.xxhash64("part", "vector").alias("h1"), F.xxhash64(F.lit(1), "part", "vector").alias("h2"))
+    grouped = fine.groupBy("h1", "h2").agg(F.first("part").alias("part"), F.first("vector").alias("vector"), F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("m"))
+    classes = stage(spark, grouped.withColumn("c", F.monotonically_increasing_id()), "vectors")
+    n, longest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
+    most = max(1, min(MAX_PIVOTS, MAX_VALUES // longest, n // per_pivot))
+    sample = [(r.part, r.vector) for r in classes.select("part", "vector", "h1", "h2").orderBy("h1", "h2").limit(most + PROBES).collect()]
+    chosen = choose_pivots(sample[:most], sample[most:], threshold)
+    shared, n_cells = spark.sparkContext.broadcast(chosen), 1 + max((int(cells.max()) for cells, _ in chosen.values()), default=-1)
+    narrow = classes.select("c", "part", "vector", "m")
+    radius, homes, visits = np.zeros(n_cells), np.zeros(n_cells, np.int64), np.zeros(n_cells, np.int64)
+    found = narrow.mapInArrow(_homes(shared, threshold), "part string, cell int, radius double, n long")
+    found = stage(spark, found.groupBy("part", "cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")), "homes")
+    for r in found.filter("cell >= 0").collect():
         radius[r.cell], homes[r.cell] = r.radius, r.n
-    for r in classes.mapInArrow(_visitors(pivots, radius), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    # Of labels without pivots only those that have to be cut are told: one for MOST_CHUNK vectors at most.
+    undivided = {r.part: _chunks(r.n) for r in found.filter((F.col("cell") < 0) & (F.col("n") > MOST_CHUNK)).collect()}
+    for r in narrow.mapInArrow(_visitors(shared, threshold, radius), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         visits[r.cell] = r.n
     home_chunks = np.array([_chunks(k) for k in homes], np.int64)
     visit_chunks = np.array([_chunks(k) if k else 0 for k in visits], np.int64)
-    kinds = {f.name: f.dataType.simpleString() for f in classes.schema.fields}
-    dealt = classes.mapInArrow(_deal(pivots, radius, home_chunks, visit_chunks), ", ".join(f"`{k}` {v}" for k, v in kinds.items()) + ", cell int, i int, j int, side int")
-    joined = dealt.groupBy("part", "cell", "i", "j").applyInArrow(_join_block(threshold), "id long, links long, root long")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields)
+    dealt = narrow.mapInArrow(_deal(shared, threshold, radius, home_chunks, visit_chunks, undivided), f"{kinds}, cell int, i int, j int, side int")
+    joined = dealt.groupBy("part", "cell", "i", "j").applyInArrow(_join_block(threshold), "c long, links long, root long")
     joined = stage(spark, joined, "block-links")
-    counts = joined.filter("root is null").groupBy("id").agg(F.sum("links").alias("links"))
-    found = components(spark, joined.filter("root is not null").select(F.col("root").alias("a"), F.col("id").alias("b")))
-    placed = classes.join(counts, "id", "left").join(found, F.col("id") == F.col("node"), "left")
-    placed = stage(spark, placed.select("part", "vector", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "placed")
-    back = rows.join(placed.withColumn("ok", F.lit(True)), ["part", "vector", "ok"], "left")
-    own = F.coalesce("component_id", "vec_id")
-    return back.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))
+    counts = joined.filter("root is null").groupBy("c").agg(F.sum("links").alias("links"))
+    linked = components(spark, joined.filter("root is not null").select(F.col("root").alias("a"), F.col("c").alias("b")))
+    placed = classes.join(counts, "c", "left").join(linked, F.col("c") == F.col("node"), "left")
+    placed = stage(spark, placed.select("h1", "h2", "id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), F.coalesce("component", "c").alias("g")), "placed")
+    names = stage(spark, placed.groupBy("g").agg(F.min("id").alias("component_id")), "names")
+    placed = stage(spark, placed.join(names, "g").select("h1", "h2", "n_links", "component_id"), "named")
+    linked = fine.select("vec_id", "h1", "h2").join(placed, ["h1", "h2"]).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
+    alone = rows.filter("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    for df in (found, joined, names):
+        unstage(spark, df)
+    return linked.union(alone)
