@@ -1,12 +1,13 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a paragraph of several lines.  It matches a template when it holds at
-least ``threshold`` of the template's distinct words.  Words of the templates are ordered by
-how many blocks of the corpus hold them, the rarest first; a template's prefix is as many of
-its rarest words as leave fewer than the needed overlap outside, so every match shares a
-prefix word.  From the first shared prefix word on, the words still to come bound the overlap
-(positional filter), and a block with fewer distinct words than needed is skipped (length
-filter).  Templates are few and are sent to all tasks, so no text is shuffled.
+A block is a line, or as many consecutive paragraphs as a template has.  It matches a template
+when it holds at least ``threshold`` of the template's distinct words.  Words of the templates
+are ordered by how many blocks of the corpus hold them, the rarest first; a template's prefix
+is as many of its rarest words as leave fewer than the needed overlap outside, so every match
+shares a prefix word.  From the first shared prefix word on, the words still to come bound the
+overlap (positional filter), and a block with fewer distinct words than needed is skipped
+(length filter).  Templates are sent to all tasks, so no text is shuffled; where they outgrow
+``MAX_TEMPLATE_BYTES`` they are sent in several parts, with a pass over the texts for each.
 """
 
 from __future__ import annotations
@@ -19,25 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import slices, small_batches, text_of
+from .license_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels; fixed values.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Notices as licensors recommend them; fixed values.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit", "Released under the MIT License"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
-)
-#: Templates are broadcast with every task.
+#: Bytes of templates that are sent to all tasks at a time.
 MAX_TEMPLATE_BYTES = 1 << 20
 
 #: Bytes that belong to no word; those from 0x80 on are parts of letters outside ASCII.
@@ -63,34 +52,41 @@ def phrase_places(words: list[bytes], phrases: list[bytes]) -> dict[int, list[in
     return found
 
 
-def blocks_of(text: str) -> list[str]:
-    """Each line, and each paragraph (ended by an empty line) of more than one line."""
-    out = []
-    for paragraph in _BLOCK_END.split(text):
-        lines = paragraph.split("\n")
-        out += lines
-        if len(lines) > 1:
-            out.append(paragraph)
+def paragraphs_of(text: str) -> list[str]:
+    return [p for p in _BLOCK_END.split(text) if p.strip()]
+
+
+def blocks_of(text: str, spans: tuple[int, ...] = (1,)) -> list[str]:
+    """Each line, and each run of so many paragraphs (ended by empty lines) as ``spans`` says,
+    or of all if there are fewer; runs of one line are lines already."""
+    out = text.split("\n")
+    paragraphs = paragraphs_of(text)
+    for n in sorted({min(s, len(paragraphs)) for s in spans} - {0}):
+        out += [run for run in ("\n\n".join(paragraphs[i : i + n]) for i in range(len(paragraphs) - n + 1)) if "\n" in run]
     return out
 
 
+def spans_of(templates) -> tuple[int, ...]:
+    return tuple(sorted({1, *(len(paragraphs_of(text)) for _, text in templates)}))
+
+
 def _vocabulary(templates) -> set[bytes]:
     return {w for _, text in templates for w in words_of(text)}
 
 
 def word_frequencies(docs: DataFrame, templates, text: str = "text") -> dict[bytes, int]:
     """Blocks that hold each template word; each task counts, so a row a task and word moves."""
-    vocabulary = sorted(_vocabulary(templates))
+    vocabulary, spans = sorted(_vocabulary(templates)), spans_of(templates)
 
     def run(batches):
         from collections import Counter
 
         counts: Counter = Counter()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "t")):
             for t in b.column(0).to_pylist():
                 whole = set(words_of(t)).intersection(vocabulary)
                 if whole:
-                    for block in blocks_of(t):
+                    for block in blocks_of(t, spans):
                         counts.update(whole.intersection(words_of(block)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
@@ -133,42 +129,88 @@ class TemplateIndex:
         return found
 
 
+def template_parts(templates) -> list[list]:
+    """The templates cut into parts of at most ``MAX_TEMPLATE_BYTES`` (or one template)."""
+    parts, held = [[]], 0
+    for t in templates:
+        if parts[-1] and held + len(t[1].encode()) > MAX_TEMPLATE_BYTES:
+            parts.append([])
+            held = 0
+        parts[-1].append(t)
+        held += len(t[1].encode())
+    return parts
+
+
+def _matches(index: TemplateIndex, spans: tuple[int, ...], text: str, words: list[bytes]) -> dict[str, float]:
+    """The best containment of each label that a block of the text matches."""
+    found: dict[str, float] = {}
+    if any(index.order.get(w) in index.prefix for w in set(words).intersection(index.order)):
+        for block in blocks_of(text, spans):
+            for label, share in index.best(words_of(block)).items():
+                found[label] = max(found.get(label, 0.0), share)
+    return found
+
+
+_FOUND = T.MapType(T.StringType(), T.DoubleType())
+
+
+def _scan_part(index: TemplateIndex, spans: tuple[int, ...]):
+    """Adds what a part of the templates matches to ``_tw_found``."""
+
+    def run(batches):
+        for b in (part for whole in batches for part in slices(whole, "_tw_text")):
+            texts, before = (b.column(b.schema.get_field_index(n)).to_pylist() for n in ("_tw_text", "_tw_found"))
+            made = []
+            for t, old in zip(texts, before, strict=True):
+                found = dict(old)
+                for label, share in _matches(index, spans, t, words_of(t)).items():
+                    found[label] = max(found.get(label, 0.0), share)
+                made.append(list(found.items()))
+            columns = [c for n, c in zip(b.schema.names, b.columns, strict=True) if n != "_tw_found"]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(made, pa.map_(pa.string(), pa.float64()))], names=[*(n for n in b.schema.names if n != "_tw_found"), "_tw_found"])
+
+    return run
+
+
 def scan_licenses(spark: SparkSession, docs: DataFrame, text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = 0.9) -> DataFrame:
     """Replace ``text`` by ``n_words``, ``n_base`` (places of all phrases), ``first_word``,
     ``last_word``, ``base_labels``, ``labels`` and ``score``.
 
     ``labels`` joins the phrases' labels and those of matching templates; ``score`` is 1 with
     a phrase, else the best containment, else 0.  A null text is empty and has no label;
-    repeated rows are scanned one by one; an empty table gives an empty table; other columns
-    pass through.  A text is held in one task with its words, nothing else.
+    templates that tie add one label each; repeated rows are scanned one by one; an empty table
+    gives an empty table; other columns pass through (columns named like a result are replaced,
+    ``_tw_text`` and ``_tw_found`` are reserved).  A text is held in one task with its words and
+    one block, nothing else.
     """
-    if sum(len(t) for _, t in templates) > MAX_TEMPLATE_BYTES:
-        raise ValueError("too many templates to send to every task")
-    index = TemplateIndex(templates, word_frequencies(docs, templates, text), threshold)
+    small_batches(spark)
     needles, names = [b" ".join(words_of(p)) for p, _ in phrases], [label for _, label in phrases]
-    added = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_labels", T.StringType()), ("labels", T.StringType()), ("score", T.DoubleType())]
-    rest = [f for f in docs.schema.fields if f.name != text and f.name not in dict(added)]
-    rarest = set(index.prefix)
-
-    def scan(t: str) -> tuple:
+    kinds = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    types = {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.float64(): T.DoubleType()}
+    rest = [f for f in docs.schema.fields if f.name != text and f.name not in kinds]
+    frequency = word_frequencies(docs, templates, text)
+    parts = [(TemplateIndex(p, frequency, threshold), spans_of(p)) for p in template_parts(templates)]
+    none = F.create_map().cast(_FOUND)
+    rows = docs.select(*[f.name for f in rest], text_of(text).alias("_tw_text"), none.alias("_tw_found"))
+    for part in parts[:-1]:
+        rows = rows.mapInArrow(_scan_part(*part), rows.schema)
+    last = parts[-1]
+
+    def scan(t: str, before: list) -> tuple:
         words = words_of(t)
         places = phrase_places(words, needles)
         base = {names[k] for k in places}
         every = [w for found in places.values() for w in found]
-        found: dict[str, float] = {}
-        if any(index.order.get(w) in rarest for w in set(words).intersection(index.order)):
-            for block in blocks_of(t):
-                for label, share in index.best(words_of(block)).items():
-                    found[label] = max(found.get(label, 0.0), share)
+        found = dict(before)
+        for label, share in _matches(*last, t, words).items():
+            found[label] = max(found.get(label, 0.0), share)
         score = 1.0 if base else max(found.values(), default=0.0)
         return len(words), len(every), min(every, default=None), max(every, default=None), ",".join(sorted(base)), ",".join(sorted(base | set(found))), score
 
     def run(batches):
-        for b in batches:
-            rows = [scan(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in added]
-            made = [pa.array(list(c), {T.LongType(): pa.int64(), T.StringType(): pa.string(), T.DoubleType(): pa.float64()}[kind]) for c, (_, kind) in zip(columns, added, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=[*b.schema.names[:-1], *[n for n, _ in added]])
-
-    schema = T.StructType([*rest, *[T.StructField(n, kind) for n, kind in added]])
-    return docs.select(*[f.name for f in rest], text_of(text).alias("_text")).mapInArrow(run, schema)
+        for b in (part for whole in batches for part in slices(whole, "_tw_text")):
+            made = [scan(t, old) for t, old in zip(b.column(b.num_columns - 2).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True)]
+            columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(list(c), kind) for c, kind in zip(columns, kinds.values(), strict=True))], names=[*b.schema.names[:-2], *kinds])
+
+    return rows.mapInArrow(run, T.StructType([*rest, *[T.StructField(n, types[kind]) for n, kind in kinds.items()]]))

@@ -80,7 +80,7 @@ def _weights(spark: SparkSession, sources: DataFrame, cap: int) -> DataFrame:
 def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("size", kind="stable")
     size, target = int(group["source_size"].iloc[0]), float(group["target"].iloc[0])
-    copies = min(int(target // size), 1 << 30) if size else 0
+    copies = int(target // size) if size else 0
     rest = round(target - copies * size)
     take = fit_budget(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), rest)
     return pd.DataFrame({"_source": group["_source"], "_null": group["_null"], "size": group["size"], "source_size": group["source_size"], "target": group["target"], "_copies": copies, "_extra": take})
@@ -96,7 +96,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
     of each size the first documents in a seeded order are selected.
 
     Null texts, and texts without words, have size 0 and take 0.  Repeated rows count and are
-    selected one by one.  An empty table gives an empty table.  A hot source, or one size that
+    selected one by one.  An empty table gives an empty table; columns named like a result are
+    replaced, others pass through (``_source``, ``_null``, ``_hash``, ``_hash2`` and ``_rank`` are
+    reserved), and a text of any length is only counted.  A hot source, or one size that
     a third of all rows have, spreads over tasks (see ``rank_within``).
     """
     added = {"size", "source_size", "target", "taken", "copies"}
@@ -111,7 +113,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
     sources = histogram.groupBy("_null", "_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = _weights(spark, sources, cap)
     schema = "_source string, _null boolean, size long, source_size long, target double, _copies long, _extra long"
-    fitted = histogram.join(targets, ["_null", "_source"]).groupBy("_null", "_source").applyInPandas(_fit_source, schema)
+    # Dealt by a fixed number, as adaptive execution would put all sources into one task.
+    dealt = histogram.join(targets, ["_null", "_source"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_null", "_source")
+    fitted = dealt.groupBy("_null", "_source").applyInPandas(_fit_source, schema)
     plan = stage(spark, fitted, "plan")
     # Two hashes of the whole row order rows of one size; rows that tie in both are equal.
     row = [c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]
@@ -127,5 +131,6 @@ def word_count(text: str = "text") -> Column:
 
 
 def mix_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The mix of ``documents``; texts stay where they are read, only their sizes travel."""
-    return mix_sources(spark, docs.select("doc_id", "source", word_count().alias("size")), F.col("size"))
+    """The mix of ``documents``; texts stay where they are read, and are counted once."""
+    sizes = stage(spark, docs.select("doc_id", "source", word_count().alias("size")), "sizes")
+    return mix_sources(spark, sizes, F.col("size"))

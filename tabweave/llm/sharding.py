@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import rank_within, text_of
+from .common import rank_within, stage, text_of
+
+#: Strata whose sizes are sent to all tasks.
+FEW_STRATA = 10_000
 
 
 def interleaved_shards(spark: SparkSession, rows: DataFrame, strata: str, key: list[str], n_shards: int, seed: int = 8) -> DataFrame:
@@ -19,20 +22,24 @@ def interleaved_shards(spark: SparkSession, rows: DataFrame, strata: str, key: l
 
     A null stratum is a stratum of its own.  Repeated rows and equal texts are dealt one by
     one (a group that holds a third of all rows could not stay in one shard of equal size).
-    An empty table gives an empty table.  No stratum has to fit into a task: both ranks come
+    An empty table gives an empty table; columns named ``shard`` or ``slot`` are replaced, other
+    columns pass through (``_tw_stratum``, ``_tw_hash``, ``_tw_rank``, ``_tw_n``, ``_tw_fraction``
+    and ``_tw_place`` are reserved), and texts of any length travel with their row.  No stratum has to fit into a task: both ranks come
     from range-partitioned sorts of narrow rows.
     """
-    kept = rows.columns
-    dealt = rows.withColumn("_stratum", F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("")))
-    dealt = dealt.withColumn("_hash", F.xxhash64(F.lit(seed), *key))
-    ranked = rank_within(spark, dealt, ["_stratum"], ["_hash", *key], "_rank")
-    sizes = ranked.groupBy("_stratum").agg(F.count(F.lit(1)).alias("_n"))
-    total = ranked.count()
-    placed = ranked.join(sizes, "_stratum").withColumn("_fraction", (F.col("_rank") + 0.5) / F.col("_n"))
-    placed = rank_within(spark, placed, [], ["_fraction", "_stratum", "_rank"], "_place")
+    kept = [c for c in rows.columns if c not in ("shard", "slot")]
+    dealt = rows.select(*kept).withColumn("_tw_stratum", F.coalesce(F.concat(F.lit("="), F.col(strata).cast("string")), F.lit("")))
+    dealt = dealt.withColumn("_tw_hash", F.xxhash64(F.lit(seed), *key))
+    ranked = rank_within(spark, dealt, ["_tw_stratum"], ["_tw_hash", *key], "_tw_rank")
+    sizes = stage(spark, ranked.groupBy("_tw_stratum").agg(F.count(F.lit(1)).alias("_tw_n")), "strata")
+    n_strata, total = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("_tw_n"), F.lit(0))).first()
+    # One row a stratum goes to all tasks if there are few; else both sides are dealt by stratum.
+    sizes = F.broadcast(sizes) if n_strata <= FEW_STRATA else sizes
+    placed = ranked.join(sizes, "_tw_stratum").withColumn("_tw_fraction", (F.col("_tw_rank") + 0.5) / F.col("_tw_n"))
+    placed = rank_within(spark, placed, [], ["_tw_fraction", "_tw_stratum", "_tw_rank"], "_tw_place")
     # Integer arithmetic throughout: shard k begins at the first place with place * shards >= k * rows.
-    placed = placed.withColumn("shard", F.expr(f"cast(_place * {n_shards}L div {max(total, 1)}L as int)"))
-    placed = placed.withColumn("slot", F.expr(f"_place - (shard * {total}L + {n_shards - 1}L) div {n_shards}L"))
+    placed = placed.withColumn("shard", F.expr(f"cast(_tw_place * {n_shards}L div {max(total, 1)}L as int)"))
+    placed = placed.withColumn("slot", F.expr(f"_tw_place - (shard * {total}L + {n_shards - 1}L) div {n_shards}L"))
     return placed.select(*kept, "shard", "slot")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stage, text_of
+from .common import slices, small_batches, stage, text_of
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
     rest = [f for f in docs.schema.fields if f.name not in (text, out)]
 
     def run(batches):
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "_text")):
             made = [fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(made, np.uint64).view(np.int64))], names=[*b.schema.names[:-1], out])
 
@@ -77,8 +77,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     one row from then on); classes are linked by :func:`link_classes`, and links are followed
     to the end.  Null and empty texts have fingerprint 0 and are linked like others; repeated
     rows are one class and each is returned; a null key never is the smallest one unless its
-    class has no other (component_id is null then); an empty table gives an empty table.
+    class has no other (component_id is null then); an empty table gives an empty table;
+    other columns are not read, so their names do not matter.
     """
+    small_batches(spark)
     marked = stage(spark, fingerprints(docs.select(key, text), text), "fingerprints")
     classes = stage(spark, marked.groupBy("fp").agg(F.min(key).alias("id")), "classes")
     keyed = classes.filter(F.col("id").isNotNull())

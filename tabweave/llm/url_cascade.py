@@ -6,6 +6,10 @@ not listed, and those are encoded by level 1; of the listed keys level 1 accepts
 level 2 encodes, and so on until a level accepts nothing wrong.  A key of the corpus is listed
 if the first level that rejects it is an odd one: exact for the whole key universe, and no
 join is needed to apply it.
+
+A cascade is sent to all tasks.  Where it would outgrow ``MAX_FILTER_BYTES``, the keys are cut
+into slices by their hash, each with a cascade of its own, and one pass over the URLs for each
+slice decides the keys of that slice.
 """
 
 from __future__ import annotations
@@ -21,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import ascii_lower, stage, unstage
 
-#: The bit arrays are broadcast; beyond this many bytes in total, building stops with an error.
-MAX_FILTER_BYTES = 1 << 28
+#: Bytes of the bit arrays that are sent to all tasks at a time.
+MAX_FILTER_BYTES = 1 << 26
 MAX_LEVELS = 64
 
 
@@ -60,7 +64,7 @@ def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, probes: int) -> list[np.ndarray]:
     a, b = h1.view(np.uint64), h2.view(np.uint64)
-    a = (a ^ (np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+    a = (a ^ np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0xD6E8FEB86659FD93)
     a, b = a ^ (a >> np.uint64(32)), b * np.uint64(2 * level + 1) | np.uint64(1)
     return [((a + np.uint64(k) * b) >> np.uint64(11)) % np.uint64(bits) for k in range(probes)]
 
@@ -100,19 +104,15 @@ def _encode(spark: SparkSession, keys: DataFrame, n: int, level: int, rate: floa
     """Bits of a level: each task sets its own, words of 64 bits are merged by OR."""
     bits = max(64, math.ceil(max(n, 1) * -math.log(rate) / math.log(2) ** 2))
     probes = max(1, round(-math.log2(rate)))
-    if bits // 8 > MAX_FILTER_BYTES:
-        raise ValueError(f"level {level} needs {bits // 8} bytes to broadcast; {MAX_FILTER_BYTES} are allowed")
-
     def words(batches):
         for b in batches:
             h1, h2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             at = np.unique(np.concatenate(_positions(h1, h2, level, bits, probes))) if len(h1) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
 
-    merged = keys.select("h1", "h2").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).collect()
+    merged = keys.select("h1", "h2").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     field = np.zeros(-(-bits // 64), np.uint64)
-    for r in merged:
-        field[r.word] = np.uint64(r.mask & (2**64 - 1))
+    field[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
     return Level(bits, probes, field.tobytes())
 
 
@@ -126,38 +126,65 @@ def _accepted(keys: DataFrame, level: Level, k: int) -> DataFrame:
     return keys.mapInArrow(run, keys.schema)
 
 
-def build(spark: SparkSession, listed: DataFrame, universe: DataFrame) -> Cascade:
-    """A cascade for the distinct keys ``listed`` over the distinct keys ``universe``.
+def _hashed(keys: DataFrame) -> DataFrame:
+    return keys.select("key", F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
 
-    Both have one column ``key``.  Level 0's rate is chosen so that it lets about as many
-    unlisted keys pass as are listed, the others' is 1/2, so all levels together need a few
-    bits for each listed key and each doubling of the universe.
-    """
-    hashed = lambda df: df.select("key", F.xxhash64("key", F.lit(1)).alias("h1"), F.xxhash64("key", F.lit(2)).alias("h2"))
-    listed = stage(spark, hashed(listed.distinct()), "listed")
-    others = hashed(universe.distinct()).join(listed.select("key"), "key", "left_anti")
-    others = stage(spark, others, "others")
-    n_listed, n_others = listed.count(), others.count()
-    rate = min(0.5, max(1e-9, math.sqrt(0.5) * max(n_listed, 1) / max(n_others, 1)))
-    levels, inside, outside, n = [], listed, others, n_listed
+
+def _rate(n_listed: int, n_others: int) -> float:
+    """Level 0 lets about as many unlisted keys pass as are listed."""
+    return min(0.5, max(1e-9, math.sqrt(0.5) * max(n_listed, 1) / max(n_others, 1)))
+
+
+def slices_for(n_listed: int, n_others: int) -> int:
+    """How many cascades it takes to keep each within ``MAX_FILTER_BYTES``."""
+    # Level 0, and the levels of rate 1/2 after it, which halve from level to level.
+    bits = max(n_listed, 1) * (-math.log2(_rate(n_listed, n_others)) + 6) / math.log(2)
+    return max(1, math.ceil(bits / 8 / MAX_FILTER_BYTES))
+
+
+def _split(listed: DataFrame, universe: DataFrame, spark: SparkSession) -> tuple[DataFrame, DataFrame, int, int]:
+    listed = stage(spark, _hashed(listed.distinct()), "listed")
+    others = stage(spark, _hashed(universe.distinct()).join(listed.select("key"), "key", "left_anti"), "others")
+    return listed, others, listed.count(), others.count()
+
+
+def _cascade(spark: SparkSession, listed: DataFrame, others: DataFrame) -> Cascade:
+    n = listed.count()
+    levels, inside, outside, made = [], listed, others, []
+    rate = _rate(n, others.count())
     while n:
         k = len(levels)
         if k == MAX_LEVELS:
             raise ValueError("two keys have the same 128 bits of hash: no cascade tells them apart")
         levels.append(_encode(spark, inside, n, k, rate if k == 0 else 0.5))
-        wrong = stage(spark, _accepted(outside, levels[-1], k), "wrong")
-        unstage(spark, outside)
-        inside, outside, n = wrong, inside, wrong.count()
-    for df in (inside, outside):
+        made.append(stage(spark, _accepted(outside, levels[-1], k), "wrong"))
+        inside, outside, n = made[-1], inside, made[-1].count()
+    for df in made:
         unstage(spark, df)
     return Cascade(tuple(levels))
 
 
-def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade) -> DataFrame:
-    """Add ``_rule``, the place (from 0) of the first of the row's ``keys`` that ``cascade``
-    lists (-1 without one), and ``_marked``: does ``marks``, whose universe is what
-    ``cascade`` lists, list that key?  ``keys`` is an array of strings."""
+def build(spark: SparkSession, listed: DataFrame, universe: DataFrame) -> Cascade:
+    """A cascade for the distinct keys ``listed`` over the distinct keys ``universe``.
+
+    Both have one column ``key``.  Level 0's rate is chosen so that it lets about as many
+    unlisted keys pass as are listed, the others' is 1/2, so all levels together need a few
+    bits for each listed key and each doubling of the universe.
+    """
+    listed, others, _, _ = _split(listed, universe, spark)
+    made = _cascade(spark, listed, others)
+    for df in (listed, others):
+        unstage(spark, df)
+    return made
+
+
+def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade, part: tuple[int, int] = (0, 1)) -> DataFrame:
+    """Set ``_rule``, the place (from 0) of the first of the row's ``keys`` that is listed (-1
+    without one), and ``_marked``: does ``marks``, whose universe is what ``cascade`` lists,
+    list that key?  ``keys`` is an array of strings, ``part`` the slice of keys that the
+    cascades decide; what other slices have found before counts too."""
     rows = rows.withColumn("_h1", F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))).withColumn("_h2", F.transform(keys, lambda k: F.xxhash64(k, F.lit(2))))
+    number, of = part
 
     def run(batches):
         for b in batches:
@@ -166,45 +193,70 @@ def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade) -
             h1, h2 = (b.column(i[x]).flatten().to_numpy(zero_copy_only=False) for x in ("_h1", "_h2"))
             begin = np.cumsum(sizes) - sizes
             row = np.repeat(np.arange(len(sizes)), sizes)
-            hit = np.flatnonzero(cascade.contains(h1, h2))[::-1]
+            hit = np.flatnonzero(cascade.contains(h1, h2) & (h1 % of == number))[::-1]
             first = np.full(len(sizes), -1, np.int64)
             first[row[hit]] = hit - begin[row[hit]]
             marked, where = np.zeros(len(sizes), bool), np.flatnonzero(first >= 0)
             at = begin[where] + first[where]
             marked[where] = marks.contains(h1[at], h2[at])
-            keep = [j for n, j in i.items() if n not in ("_h1", "_h2")]
+            before, was = (b.column(i[x]).to_numpy(zero_copy_only=False) for x in ("_rule", "_marked"))
+            old = (before >= 0) & ((first < 0) | (before < first))
+            first, marked = np.where(old, before, first), np.where(old, was, marked).astype(bool)
+            keep = [j for n, j in i.items() if n not in ("_h1", "_h2", "_rule", "_marked")]
             yield pa.RecordBatch.from_arrays([*(b.column(j) for j in keep), pa.array(first.astype(np.int32)), pa.array(marked)], names=[*(b.schema.names[j] for j in keep), "_rule", "_marked"])
 
-    fields = [f for f in rows.schema.fields if f.name not in ("_h1", "_h2")]
+    fields = [f for f in rows.schema.fields if f.name not in ("_h1", "_h2", "_rule", "_marked")]
     return rows.mapInArrow(run, T.StructType([*fields, T.StructField("_rule", T.IntegerType()), T.StructField("_marked", T.BooleanType())]))
 
 
-def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule], url: str = "url", unlisted: str = "allow") -> DataFrame:
+def rules_frame(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
+    """(host, path, verdict) of the rules; two verdicts for one key are an error."""
+    if not isinstance(rules, DataFrame):
+        rules = spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")
+    rules = rules.select("host", "path", "verdict", F.concat("host", "path").alias("key")).distinct()
+    twice = rules.groupBy("key").agg(F.count_distinct("verdict").alias("n")).filter("n > 1").first()
+    if twice:
+        raise ValueError(f"two verdicts for {twice.key}")
+    return rules
+
+
+def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule] | DataFrame, url: str = "url", unlisted: str = "allow") -> DataFrame:
     """Judge each URL: adds ``host``, ``path``, ``rule`` and ``verdict`` (replacing such columns).
 
-    A rule fits its host and all subdomains if the path starts with the rule's; the longest
-    (in characters of host and path, then of host) wins.  A URL that no rule fits gets
-    ``unlisted``.  Two cascades decide: one of all rules over the corpus, one of those that allow over the rules.  A null URL
-    or one without ``://`` has an empty host and path.  Repeated rows are judged alike; an
-    empty table gives an empty table.  Two rules with one key and different verdicts are an error.
+    ``rules`` is a list, or a DataFrame (host, path, verdict: allow or block).  A rule fits its
+    host and all subdomains if the path starts with the rule's; the longest (in characters of
+    host and path, then of host) wins, so of rules that tie in length the one with the longer
+    host.  A URL that no rule fits gets ``unlisted``.  Two cascades decide: one of all rules
+    over the corpus, one of those that allow over the rules.
+
+    A null URL or one without ``://`` has an empty host and path.  A URL may be as long as a
+    row allows: its keys are those at the rules' lengths, however many labels it has.
+    Repeated rows are judged alike; an empty table gives an empty table, an empty list of rules
+    leaves all unlisted.  Other columns pass through (``_keys``, ``_rule``, ``_marked``, ``_h1``
+    and ``_h2`` are reserved).
     """
-    verdicts = {}
-    for r in rules:
-        if verdicts.setdefault(r.key, r.verdict) != r.verdict:
-            raise ValueError(f"two verdicts for {r.key}")
-    labels = sorted({r.host.count(".") + 1 for r in rules})
-    lengths = sorted({len(r.path) for r in rules})
+    rules = stage(spark, rules_frame(spark, rules), "rules")
+    labels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
+    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().collect())
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     host, path = host_and_path(url)
     split = pages.select(*kept, host.alias("host"), path.alias("path"))
-    if not rules:
+    if not labels:
         return split.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(unlisted))
     keyed = split.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
-    universe = keyed.select(F.explode("_keys").alias("key")).distinct()
-    listed = spark.createDataFrame([(k, v) for k, v in verdicts.items()], "key string, verdict string")
-    both = build(spark, listed.select("key"), universe)
-    allowing = build(spark, listed.filter("verdict = 'allow'").select("key"), listed.select("key"))
-    judged = first_listed(keyed, "_keys", both, allowing)
+    listed, others, n_listed, n_others = _split(rules.select("key"), keyed.select(F.explode("_keys").alias("key")), spark)
+    allowing = _hashed(rules.filter("verdict = 'allow'").select("key"))
+    others_of_rules = _hashed(rules.filter("verdict <> 'allow'").select("key"))
+    judged, of = keyed.withColumns({"_rule": F.lit(-1), "_marked": F.lit(False)}), slices_for(n_listed, n_others)
+    for number in range(of):
+        mine = F.pmod("h1", F.lit(of)) == number
+        both = _cascade(spark, listed.filter(mine), others.filter(mine))
+        marks = _cascade(spark, allowing.filter(mine), others_of_rules.filter(mine))
+        judged = first_listed(judged, "_keys", both, marks, (number, of))
+        if number + 1 < of:  # one cascade in memory at a time
+            judged = stage(spark, judged, "judged")
+    for df in (listed, others):
+        unstage(spark, df)
     rule = F.when(F.col("_rule") >= 0, F.get("_keys", F.col("_rule")))
     verdict = F.when(F.col("_rule") < 0, F.lit(unlisted)).when(F.col("_marked"), F.lit("allow")).otherwise(F.lit("block"))
     return judged.select(*kept, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

@@ -1,10 +1,13 @@
 """Operators at the borders of their bounds, and rows that share a key."""
 
 import collections
+import re
 
 import numpy as np
 
-from tabweave.llm import embedding_dedup
+from pyspark.sql import functions as F
+
+from tabweave.llm import embedding_dedup, license_scan, url_cascade
 
 
 def test_rows_that_share_a_vec_id(spark):
@@ -35,3 +38,58 @@ def test_pivots_are_halved_where_they_do_not_prune():
     centres = r.normal(size=(40, 64))
     clear = [("a", (centres[i % 40] + r.normal(size=64) * 0.01).tolist()) for i in range(1000)]
     assert sum(len(c) for c, _ in embedding_dedup.choose_pivots(clear[:40], clear[40:], 0.93).values()) == 40
+
+
+def test_url_rules_beyond_one_cascade(spark, monkeypatch):
+    rules = [url_cascade.Rule(f"h{i}.org", f"/p{i % 7}/", "allow" if i % 3 else "block") for i in range(400)]
+    rules += [url_cascade.Rule("org", "/p1/", "block"), url_cascade.Rule("rg", "", "allow"), url_cascade.Rule("h5.org", "", "allow")]
+    urls = [f"http://a.h{i}.org/p{i % 5}/{'x' * (i % 50)}" for i in range(1500)] + ["http://" + "a." * 3000 + "h5.org/" + "y" * 50_000, None, "http://h5.org", "http://rg/q", "http://x.org/p1/"]
+    pages = spark.createDataFrame([(i, u, "old") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+
+    def judged(given):
+        return {r.page_id: (r.rule, r.verdict) for r in url_cascade.filter_urls(spark, pages, given).drop("url").collect()}
+
+    whole = judged(rules)
+    for i, u in enumerate(urls):
+        host, _, path = (u or "").partition("://")[2].partition("/")
+        fits = [r for r in rules if (host == r.host or host.endswith("." + r.host)) and ("/" + path if "/" in (u or "")[8:] else "").startswith(r.path)]
+        best = max(fits, key=lambda r: (len(r.key), len(r.host)), default=None)
+        assert whole[i] == ((best.key, best.verdict) if best else (None, "allow")), u
+    monkeypatch.setattr(url_cascade, "MAX_FILTER_BYTES", 200)
+    assert url_cascade.slices_for(403, 5000) > 2
+    assert judged(spark.createDataFrame([(r.host, r.path, r.verdict) for r in rules], "host string, path string, verdict string")) == whole
+    assert url_cascade.filter_urls(spark, pages, []).filter("rule is null and verdict = 'allow'").count() == len(urls)
+
+
+def plain_words(text):
+    return set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)))
+
+
+def plain_share(text, template):
+    """Containment of a template in a text's best block, written without the operator's code."""
+    cut = lambda t: [p for p in re.split(r"\n[^\S\n]*\n", t) if p.strip()]
+    paragraphs, n = cut(text), len(cut(template))
+    blocks = text.split("\n") + [" ".join(paragraphs[i : i + n]) for i in range(max(1, len(paragraphs) - n + 1))]
+    want = plain_words(template)
+    return max(len(plain_words(b) & want) / len(want) for b in blocks)
+
+
+def test_license_templates_of_several_paragraphs(spark, monkeypatch):
+    full = {label: text for label, text in license_scan.TEMPLATES}  # the last text of each label
+    notices = [text for _, text in license_scan.TEMPLATES]
+    texts = notices + ["Intro.\n\n" + full["bsd"] + "\n\nOutro", full["zlib"].replace(" ", "\n", 30), full["isc"].upper(), full["unlicense"].split("\n\n")[0], "", "words " * 3000 + full["lgpl"]]
+    texts += ["\n\n".join(t.split("\n\n")[:-1]) for t in notices]
+    df = spark.createDataFrame([(i, t, "old") for i, t in enumerate([*texts, None])], "doc_id long, text string, labels string")
+
+    def scanned():
+        return {r.doc_id: (r.labels, round(r.score, 9)) for r in license_scan.scan_licenses(spark, df, phrases=()).collect()}
+
+    found = scanned()
+    for i, t in enumerate([*texts, ""]):
+        shares = [(label, plain_share(t, text)) for label, text in license_scan.TEMPLATES]
+        want = {label: s for label, s in shares if s >= 0.9}
+        assert found[i] == (",".join(sorted(want)), round(max((s for _, s in shares if s >= 0.9), default=0), 9)), t
+    for i, (label, _) in enumerate(license_scan.TEMPLATES):
+        assert label in found[i][0].split(",")
+    monkeypatch.setattr(license_scan, "MAX_TEMPLATE_BYTES", 2000)
+    assert len(license_scan.template_parts(license_scan.TEMPLATES)) > 3 and scanned() == found
