@@ -45,6 +45,14 @@ class NumberFormat:
         whole, decimals, exponent = self._halves()
         return len(re.search("0*$", whole)[0]), len(re.match("0*", decimals)[0]), sum(c in "#0" for c in decimals), sum(c in "#0" for c in exponent)
 
+    @property
+    def scale(self) -> int:
+        """Digits behind the point of the values: as many as the pattern allows, else 18."""
+        if not self.pattern or self._halves()[2]:
+            return 18
+        shift = 2 if "%" in self.pattern else 3 if "‰" in self.pattern else 0
+        return min(18, self.digits()[2] + shift)
+
     def regex(self) -> str:
         """Matches a text whose group and decimal characters are ``,`` and ``.`` already."""
         least, low, high, exponent = self.digits()
@@ -67,14 +75,23 @@ def plain_number(text: Column, f: NumberFormat) -> Column:
 
 
 def parse_decimal(text: Column, f: NumberFormat, scale: int = 18) -> Column:
-    """decimal(38, scale), null if malformed: exponents and doubled group characters are."""
+    """decimal(38, scale), null if malformed: exponents and doubled group characters are, and
+    so is a number with more digits than the type holds."""
     plain = plain_number(text, f)
     ok = plain.rlike(r"^(?!.*,,)(?=.*\d)[+\-%‰]?[\d,]*\.?\d*[%‰]?\z")
     if f.pattern:
         ok = ok & plain.rlike(f.regex())
-    number = F.translate(plain, ",%‰", "").try_cast(f"decimal(38,{scale})")
-    shifted = F.when(plain.contains("%"), number / 100).when(plain.contains("‰"), number / 1000).otherwise(number)
-    return F.when(ok, shifted.cast(f"decimal(38,{scale})"))
+    bare = F.translate(plain, ",%‰", "")
+
+    def held(behind: int) -> Column:
+        fits = bare.rlike(rf"^[+-]?0*\d{{0,{38 - scale}}}(?:\.\d{{0,{max(0, behind)}}}0*)?\z")
+        return F.when(fits, bare.try_cast(f"decimal(38,{scale})"))
+
+    # A shifted number is read with its point where it will stand.
+    moved = lambda k: F.regexp_replace(F.regexp_replace(bare, r"^([+-]?)(\d*)\.?(\d*)\z", "$1" + "0" * k + "$2.$3"), rf"(\d{{{k}}})\.", ".$1").try_cast(f"decimal(38,{scale})")
+    few = lambda k: bare.rlike(rf"^[+-]?0*\d{{0,{38 - scale}}}(?:\.\d{{0,{max(0, scale - k)}}}0*)?\z")
+    shifted = F.when(plain.contains("%"), F.when(few(2), moved(2))).when(plain.contains("‰"), F.when(few(3), moved(3))).otherwise(held(scale))
+    return F.when(ok, shifted)
 
 
 def format_decimal(value: Column, f: NumberFormat) -> Column:
@@ -86,7 +103,7 @@ def format_decimal(value: Column, f: NumberFormat) -> Column:
         least, low, high, _ = f.digits()
         percent = next((c for c in "%‰" if c in f.pattern), "")
         factor = {"%": 100, "‰": 1000}.get(percent, 1)
-        rounded = F.round(value * F.lit(factor), high).cast("decimal(38,18)")
+        rounded = F.round(value * F.lit(factor) if factor > 1 else value, high).cast(f"decimal(38,{high})")
         sign = F.when(rounded < 0, "-").otherwise("")
         digits = F.abs(rounded).cast("string")
         whole = F.lpad(F.regexp_replace(F.substring_index(digits, ".", 1), "^0+(?=.)", ""), 40, " ")

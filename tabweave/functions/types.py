@@ -10,7 +10,9 @@ import json
 import re
 import warnings
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ class Compiled:
     parse: Callable[[Column], Column]
     format: Callable[[Column], Column]
     checks: tuple[tuple[Callable[[Column, Column], Column], str], ...] = field(default=())
+    #: What bounds compare, in this order of importance: all of them have to agree.
+    order: Callable[[Column], tuple[Column, ...]] = lambda v: (v,)
 
     def error(self, text: Column, value: Column | None = None) -> Column:
         """The first complaint about a text, or null; ``value`` is what it was parsed to."""
@@ -46,6 +50,11 @@ def java_regex(pattern: str) -> str:
     return rf"^(?:{re.sub(r'[(][?]P<([A-Za-z][A-Za-z0-9]*)>', r'(?<\1>', pattern)})\z"
 
 
+def java_part(pattern: str) -> str:
+    """A pattern that may match anywhere, in Java's notation."""
+    return re.sub(r"[(][?]P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
+
+
 def _regex_or_warn(pattern: object) -> str | None:
     if not isinstance(pattern, str):
         return None
@@ -112,8 +121,10 @@ def _number_format(fmt: object) -> NumberFormat:
 
 
 def _decimal(name: str, fmt: object) -> Compiled:
+    """decimal(38, s): s is what the pattern allows behind the point, else 18.  A number with more
+    digits than that holds is malformed, never rounded."""
     f = _number_format(fmt)
-    return Compiled(name, "decimal(38,18)", lambda c: parse_decimal(c, f), lambda v: format_decimal(v, f))
+    return Compiled(name, f"decimal(38,{f.scale})", lambda c: parse_decimal(c, f, f.scale), lambda v: format_decimal(v, f))
 
 
 def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[str, object], Compiled]:
@@ -126,7 +137,7 @@ def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[st
             # The common form; anything else (groups, percent) goes the long way, and is whole
             # if nothing but zeros stands behind the point.
             simple = F.substring_index(plain, ".", 1).try_cast(spark_type)
-            long_way = F.regexp_extract(parse_decimal(c, f).cast("string"), r"^(-?\d+)(?:\.0*)?\z", 1).try_cast(spark_type)
+            long_way = F.regexp_extract(parse_decimal(c, f, 3).cast("string"), r"^(-?\d+)(?:\.0*)?\z", 1).try_cast(spark_type)
             value = long_way if f.pattern else F.when(plain.rlike(r"^[+-]?\d+(?:\.0*)?\z"), simple).otherwise(long_way)
             if low == 0:
                 value = F.when(~c.rlike("^-.*[1-9]"), value)
@@ -145,10 +156,17 @@ def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[st
     return build
 
 
+#: Lexical form of floating-point numbers, INF and NaN aside.
+_FLOAT = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?\z"
+
+
 def _float(name: str, fmt: object) -> Compiled:
     f = _number_format(fmt)
 
     def parse(c: Column) -> Column:
+        # Casts also take a type's suffix, hexadecimal digits, blanks and names of infinity.
+        plain = F.translate(c, "%‰,", "") if f.pattern else c
+        c = F.when(plain.rlike(_FLOAT) | c.isin("INF", "+INF", "-INF", "NaN"), c)
         value = F.regexp_replace(c, r"^[+-]?INF\z", "Infinity").try_cast("double")
         value = F.when(c == "-INF", F.lit(float("-inf"))).when(c.rlike(r"^[+]?INF\z"), F.lit(float("inf"))).otherwise(value)
         return F.when(c.rlike(f.regex()) | c.isin("INF", "-INF", "NaN"), value) if f.pattern else value
@@ -160,44 +178,72 @@ def _float(name: str, fmt: object) -> Compiled:
     return Compiled(name, "double", parse, show)
 
 
-_ISO = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})?\z"
+#: A value with an offset: its clock, and the offset as it counts (Z, +02:00; null if none).
+ZONED, ZONED_DATE = "struct<local:timestamp_ntz,zone:string>", "struct<local:date,zone:string>"
+_ISO = r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?)"
+_OFFSET = r"(Z|[+-](?:0\d|1[0-4]):?[0-5]\d)\z"
+
+
+def _zone(text: Column) -> Column:
+    """An offset in one form: Z or +hh:mm; null if there is none."""
+    bare = F.replace(F.trim(text), F.lit(":"))
+    long = F.concat(F.substring(bare, 1, 3), F.lit(":"), F.rpad(F.substring(bare, 4, 2), 2, "0"))
+    return F.when(bare == "Z", bare).when(bare != "", long)
+
+
+def _shown_zone(zone: Column, marker: str) -> Column:
+    """An offset as a marker (blanks before it included) asks for it."""
+    blank, letters = marker[: len(marker) - len(marker.strip())], marker.strip()
+    hours, minutes = F.substring(zone, 1, 3), F.substring(zone, 5, 2)
+    shown = {1: F.when(minutes == "00", hours).otherwise(F.concat(hours, minutes)), 2: F.concat(hours, minutes), 3: zone}[len(letters)]
+    zero = "Z" if letters[0] == "X" else {1: "+00", 2: "+0000", 3: "+00:00"}[len(letters)]
+    return F.concat(F.lit(blank), F.when(zone == "Z", F.lit(zero)).otherwise(shown))
 
 
 def _clock(c: Column, f: DateFormat) -> Column:
-    return F.regexp_replace(c, f.zone_regex + r"\z", "")
+    return F.regexp_replace(c, f.zone_regex + r"\z", "") if f.zone else c
+
+
+def iso_text(local: Column) -> Column:
+    text = F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
+def _instant(v: Column) -> tuple[Column, ...]:
+    return (F.to_timestamp(F.concat(iso_text(v["local"].cast("timestamp_ntz")), F.coalesce(v["zone"], F.lit("Z")))),)
 
 
 def _datetime(needs_zone: bool) -> Callable[[str, object], Compiled]:
+    """Without a zone in the format, timestamp_ntz, and a text with an offset is malformed (it
+    would be lost); with one, and for stamps, the clock and its offset."""
+
     def build(name: str, fmt: object) -> Compiled:
         fmt = fmt.get("pattern") if isinstance(fmt, dict) else fmt
         f = parse_format(fmt) if fmt else None
         if needs_zone and f and not f.zone:
             raise ValueError(f"{name} needs a zone marker: {fmt}")
         zoned = needs_zone or bool(f and f.zone)
-        kind = "timestamp" if zoned else "timestamp_ntz"
 
-        def parse(c: Column) -> Column:
+        def local(c: Column) -> Column:
             if f is None:
-                ok = c.rlike(_ISO) & (F.regexp_extract(c, _ISO, 1) != "") if needs_zone else c.rlike(_ISO)
-                return F.when(ok, c.try_cast("timestamp" if needs_zone else "timestamp_ntz"))
-            lexical = f.lexical + (f.zone_regex if f.zone else "")
-            pattern = f.spark + (f.zone.replace("x", "X") if f.zone else "")
-            return F.when(c.rlike(rf"^{lexical}\z"), F.try_to_timestamp(c, F.lit(pattern)).cast(kind))
+                iso = rf"{_ISO}{_OFFSET}" if needs_zone else rf"{_ISO}\z"
+                return F.when(c.rlike(iso), F.regexp_extract(c, _ISO, 1).try_cast("timestamp_ntz"))
+            return F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), F.try_to_timestamp(_clock(c, f), F.lit(f.spark)).cast("timestamp_ntz"))
 
-        def show(v: Column) -> Column:
-            if f is None:
-                text = F.date_format(v, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-                text = F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
-                return F.concat(text, F.lit("Z")) if zoned else text
-            text = F.date_format(v, f.spark.replace("[", "").replace("]", "") + (f.zone.replace("x", "X") if f.zone else ""))
-            return text
+        def shown(v: Column) -> Column:
+            return iso_text(v) if f is None else F.date_format(v, f.spark.replace("[", "").replace("]", ""))
 
-        return Compiled(name, kind, parse, show)
+        if not zoned:
+            return Compiled(f"{name} without an offset" if f is None else name, "timestamp_ntz", local, shown)
+        offset = (lambda c: F.regexp_extract(c, _OFFSET, 1)) if f is None else (lambda c: F.regexp_extract(c, f"({f.zone_regex})" + r"\z", 1))
+        parse = lambda c: F.when(local(c).isNotNull(), F.struct(local(c).alias("local"), _zone(offset(c)).alias("zone")))
+        return Compiled(name, ZONED, parse, lambda v: F.concat(shown(v["local"]), _shown_zone(v["zone"], f.zone) if f else v["zone"]), order=_instant)
 
     return build
 
 
 def _date(name: str, fmt: object) -> Compiled:
+    """A date; with a zone marker in the format, the date and its offset."""
     fmt = fmt.get("pattern") if isinstance(fmt, dict) else fmt
     try:
         f = parse_format(fmt or "yyyy-MM-dd")
@@ -206,28 +252,49 @@ def _date(name: str, fmt: object) -> Compiled:
     except ValueError:
         warnings.warn(f"not a date format: {fmt}", stacklevel=3)
         f = parse_format("yyyy-MM-dd")
-    return Compiled(name, "date", lambda c: F.when(c.rlike(rf"^{f.lexical}{f.zone_regex}\z"), F.try_to_date(_clock(c, f), f.date)), lambda v: F.date_format(v, f.date))
+    day = lambda c: F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), F.try_to_date(_clock(c, f), f.date))
+    if not f.zone:
+        return Compiled(name, "date", day, lambda v: F.date_format(v, f.date))
+    parse = lambda c: F.when(day(c).isNotNull(), F.struct(day(c).alias("local"), _zone(F.regexp_extract(c, f"({f.zone_regex})" + r"\z", 1)).alias("zone")))
+    return Compiled(name, ZONED_DATE, parse, lambda v: F.concat(F.date_format(v["local"], f.date), _shown_zone(v["zone"], f.zone)), order=_instant)
 
 
 def _time(name: str, fmt: object) -> Compiled:
-    """A time of day in canonical form: HH:mm:ss, the fraction and zone as they are."""
+    """A time of day in canonical form: HH:mm:ss, the fraction, and the offset as Z or +hh:mm."""
     fmt = fmt.get("pattern") if isinstance(fmt, dict) else fmt
     f = parse_format(fmt or "HH:mm:ss", time_only=True)
+    parts = rf"^(\d{{2}}:\d{{2}}:\d{{2}})(\.\d+)?(Z|[+-]\d{{2}}:\d{{2}})?\z"
 
     def parse(c: Column) -> Column:
-        bare = _clock(c, f)
+        bare = F.regexp_replace(c, f.zone_regex + r"\z", "")
         digits = F.rpad(F.replace(F.substring_index(bare, ".", 1), F.lit(":")), 6, "0")
         h, m, s = (F.substring(digits, k, 2) for k in (1, 3, 5))
-        rest = F.regexp_extract(c, r"(\.\d+)?(" + f.zone_regex + r")\z", 0)
+        zone = _zone(F.regexp_extract(c, f"({f.zone_regex})" + r"\z", 1))
         ok = c.rlike(rf"^{f.lexical}{f.zone_regex}\z") & (h < "24") & (m < "60") & (s < "60")
-        return F.when(ok, F.concat(h, F.lit(":"), m, F.lit(":"), s, F.trim(rest)))
+        return F.when(ok, F.concat(h, F.lit(":"), m, F.lit(":"), s, F.regexp_extract(bare, r"(\.\d+)?\z", 0), F.coalesce(zone, F.lit(""))))
 
     def show(v: Column) -> Column:
-        digits = F.replace(F.substring(v, 1, 8), F.lit(":"))
-        parts = {"HH:mm:ss": F.substring(v, 1, 8), "HHmmss": digits, "HH:mm": F.substring(v, 1, 5), "HHmm": F.substring(digits, 1, 4)}
-        return F.concat(parts[f.time], F.substring(v, 9, 40))
+        clock = F.regexp_extract(v, parts, 1)
+        digits = F.replace(clock, F.lit(":"))
+        shapes = {"HH:mm:ss": clock, "HHmmss": digits, "HH:mm": F.substring(clock, 1, 5), "HHmm": F.substring(digits, 1, 4)}
+        zone = F.regexp_extract(v, parts, 3)
+        return F.concat(shapes[f.time], F.regexp_extract(v, parts, 2), F.when(zone != "", _shown_zone(zone, f.zone)).otherwise("") if f.zone else zone)
+
+    def moment(v: Column) -> tuple[Column, ...]:
+        zone = F.regexp_extract(v, parts, 3)
+        return (F.to_timestamp(F.concat(F.lit("2000-01-01T"), F.regexp_extract(v, r"^[\d:.]+", 0), F.when(zone != "", zone).otherwise(F.lit("Z")))),)
+
+    return Compiled(name, "string", parse, show, order=moment)
+
+
+#: Days from which months are counted to compare durations; fixed values of the recommendation.
+_STARTS = ("1696-09-01", "1697-02-01", "1903-03-01", "1903-07-01")
+
 
-    return Compiled(name, "string", parse, show)
+def _elapsed(v: Column) -> tuple[Column, ...]:
+    """Microseconds from each of four days: one duration is longer if it is so from all."""
+    days = (F.datediff(F.add_months(F.lit(d).cast("date"), v["months"]), F.lit(d).cast("date")) for d in _STARTS)
+    return tuple(d.cast("long") * 86_400_000_000 + v["micros"] for d in days)
 
 
 _DURATION = r"^(-?)P(?:(\d+)Y)?(?:(\d+)M)?(?:(\d+)D)?(T(?:(\d+)H)?(?:(\d+)M)?(?:(\d+(?:\.\d+)?)S)?)?\z"
@@ -263,36 +330,112 @@ def _duration(months: bool, micros: bool) -> Callable[[str, object], Compiled]:
             sign = F.when((v["months"] < 0) | (v["micros"] < 0), "-").otherwise("")
             return F.concat(sign, F.lit("P"), F.when(body == "", F.lit("0D") if micros else F.lit("0M")).otherwise(body))
 
-        return Compiled(name, "struct<months:int,micros:bigint>", parse, show)
+        return Compiled(name, "struct<months:int,micros:bigint>", parse, show, order=_elapsed)
 
     return build
 
 
-def schema_predicate(variant: Column, schema: dict, path: str = "$") -> Column:
-    """A subset of JSON Schema (type, enum, required, properties, minimum, maximum,
-    minLength, maxLength) as one predicate over a parsed document."""
-    ok = F.lit(True)
-    at = F.try_variant_get(variant, path, "variant")
+#: Keywords that say nothing about what is valid; fixed names.
+_SAYS_NOTHING = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "definitions", "$defs", "readOnly", "writeOnly", "deprecated", "format"}
+_KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
+
+
+def _same_json(at: Column, value: object) -> Column:
+    """Is a document equal to a value?  Compared as normalised text, so the order of keys counts not."""
+    made = F.try_parse_json(F.lit(json.dumps(value)))
+    return F.to_json(at) == F.to_json(made)
+
+
+def schema_predicate(at: Column, schema: dict | bool) -> Column:
+    """A JSON Schema as one predicate over a parsed document (a variant).
+
+    Knows type, enum, const, bounds, multipleOf, lengths, pattern, items, prefixItems,
+    additionalItems, contains, numbers and uniqueness of items, required, properties,
+    patternProperties, additionalProperties, propertyNames, numbers of properties, and allOf,
+    anyOf, oneOf, not, if.  Other keywords warn: they are not checked.
+    """
+    if isinstance(schema, bool):
+        return F.lit(schema)
+    known, ok = set(_SAYS_NOTHING), F.lit(True)
     kind = F.regexp_extract(F.coalesce(F.schema_of_variant(at), F.lit("")), "^([A-Z]+)", 1)
-    names = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
-    if "type" in schema:
-        wanted = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        ok = ok & kind.isin([n for t in wanted for n in names.get(t, [])])
-    if "enum" in schema:
-        ok = ok & F.to_json(at).isin([json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in schema["enum"]])
-    for key in schema.get("required", []):
-        ok = ok & F.try_variant_get(variant, f"{path}['{key}']", "variant").isNotNull()
-    number = F.try_variant_get(variant, path, "double")
-    for key, test in (("minimum", lambda n, b: n >= b), ("maximum", lambda n, b: n <= b), ("exclusiveMinimum", lambda n, b: n > b), ("exclusiveMaximum", lambda n, b: n < b)):
-        if key in schema:
-            ok = ok & (number.isNull() | test(number, F.lit(float(schema[key]))))
-    text = F.when(kind == "STRING", F.try_variant_get(variant, path, "string"))
-    for key, test in (("minLength", lambda n, b: n >= b), ("maxLength", lambda n, b: n <= b)):
-        if key in schema:
-            ok = ok & (text.isNull() | test(F.length(text), F.lit(schema[key])))
-    for key, sub in schema.get("properties", {}).items():
-        inner = F.try_variant_get(variant, f"{path}['{key}']", "variant")
-        ok = ok & (inner.isNull() | schema_predicate(variant, sub, f"{path}['{key}']"))
+    # A null inside a document is a variant of its own kind, with no value of any type.
+    is_a = lambda *names: kind.isin([n for t in names for n in _KINDS.get(t, [])])
+
+    def fits(sub: dict | bool) -> Callable[[Column], Column]:
+        return lambda x: schema_predicate(x, sub)
+
+    def key_is_like(pattern: str, like: bool) -> Callable[[Column, Column], Column]:
+        return lambda k, _: k.rlike(java_part(pattern)) if like else ~k.rlike(java_part(pattern))
+
+    def take(*keys: str):
+        known.update(keys)
+        return ((k, schema[k]) for k in keys if k in schema)
+
+    number = F.when(is_a("number"), F.try_variant_get(at, "$", "double"))
+    text = F.when(is_a("string"), F.try_variant_get(at, "$", "string"))
+    entries = F.when(is_a("object"), F.try_variant_get(at, "$", "map<string,variant>"))
+    items = F.when(is_a("array"), F.try_variant_get(at, "$", "array<variant>"))
+    for _, wanted in take("type"):
+        wanted = wanted if isinstance(wanted, list) else [wanted]
+        whole = is_a("number") & (number == F.floor(number)) if "integer" in wanted else F.lit(False)
+        ok = ok & (is_a(*wanted) | whole)
+    for _, values in take("enum"):
+        ok = ok & F.array_max(F.array(F.lit(False), *[_same_json(at, v) for v in values]))
+    for _, value in take("const"):
+        ok = ok & _same_json(at, value)
+    bounds = {"minimum": lambda n, b: n >= b, "maximum": lambda n, b: n <= b, "exclusiveMinimum": lambda n, b: n > b, "exclusiveMaximum": lambda n, b: n < b, "multipleOf": lambda n, b: F.abs(n / b - F.round(n / b)) < 1e-9}
+    for key, bound in take(*bounds):
+        ok = ok & (number.isNull() | bounds[key](number, F.lit(float(bound))))
+    sizes = {"minLength": (text, F.length), "maxLength": (text, F.length), "minItems": (items, F.size), "maxItems": (items, F.size), "minProperties": (entries, F.size), "maxProperties": (entries, F.size)}
+    for key, bound in take(*sizes):
+        what, size = sizes[key]
+        ok = ok & (what.isNull() | (size(what) >= bound if key.startswith("min") else size(what) <= bound))
+    for _, pattern in take("pattern"):
+        ok = ok & (text.isNull() | text.rlike(java_part(pattern)))
+    head = next((x for _, x in take("prefixItems")), None)
+    each = next((x for _, x in take("items")), None)
+    rest = next((x for _, x in take("additionalItems")), None)
+    if isinstance(each, list):
+        head, each = each, rest
+    for i, sub in enumerate(head or ()):
+        ok = ok & (items.isNull() | (F.size(items) <= i) | schema_predicate(F.get(items, F.lit(i)), sub))
+    if each is not None:
+        later = F.slice(items, len(head) + 1, F.greatest(F.size(items) - len(head), F.lit(0))) if head else items
+        ok = ok & (items.isNull() | F.forall(later, fits(each)))
+    for _, sub in take("contains"):
+        ok = ok & (items.isNull() | F.exists(items, fits(sub)))
+    for _, unique in take("uniqueItems"):
+        ok = ok & (items.isNull() | (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) == F.size(items)) if unique else F.lit(True))
+    for _, names in take("required"):
+        ok = ok & (entries.isNull() | F.forall(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.map_contains_key(entries, n)))
+    named = next((x for _, x in take("properties")), {})
+    for key, sub in named.items():
+        ok = ok & (entries.isNull() | ~F.map_contains_key(entries, F.lit(key)) | schema_predicate(F.try_element_at(entries, F.lit(key)), sub))
+    matched = next((x for _, x in take("patternProperties")), {})
+    for pattern, sub in matched.items():
+        ok = ok & (entries.isNull() | F.forall(F.map_values(F.map_filter(entries, key_is_like(pattern, True))), fits(sub)))
+    for _, sub in take("additionalProperties"):
+        others = F.map_filter(entries, lambda k, _: ~k.isin(list(named)) if named else F.lit(True))
+        for pattern in matched:
+            others = F.map_filter(others, key_is_like(pattern, False))
+        ok = ok & (entries.isNull() | F.forall(F.map_values(others), fits(sub)))
+    for _, sub in take("propertyNames"):
+        names = F.transform(F.map_keys(entries), lambda k: F.try_variant_get(F.try_parse_json(F.to_json(F.array(k))), "$[0]", "variant"))
+        ok = ok & (entries.isNull() | F.forall(names, fits(sub)))
+    count = lambda subs: sum((schema_predicate(at, x).cast("int") for x in subs), F.lit(0))
+    for _, subs in take("allOf"):
+        ok = ok & (count(subs) == len(subs))
+    for _, subs in take("anyOf"):
+        ok = ok & (count(subs) > 0)
+    for _, subs in take("oneOf"):
+        ok = ok & (count(subs) == 1)
+    for _, sub in take("not"):
+        ok = ok & ~schema_predicate(at, sub)
+    for _, sub in take("if"):
+        ok = ok & F.when(schema_predicate(at, sub), schema_predicate(at, schema.get("then", True))).otherwise(schema_predicate(at, schema.get("else", True)))
+    known |= {"then", "else"}
+    for key in schema.keys() - known:
+        warnings.warn(f"JSON Schema keyword that is not checked: {key}", stacklevel=2)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -384,9 +527,12 @@ def compile_datatype(base: str = "string", format: object = None, **facets: obje
         if key in lengths:
             checks.append((lambda v, t, test=test, b=lengths[key]: test(measure(v), F.lit(b)), f"value must have {word} {lengths[key]}"))
     tests = {"minimum": (lambda v, b: v < b, ">="), "minInclusive": (lambda v, b: v < b, ">="), "minExclusive": (lambda v, b: v <= b, ">"), "maximum": (lambda v, b: v > b, "<="), "maxInclusive": (lambda v, b: v > b, "<="), "maxExclusive": (lambda v, b: v >= b, "<")}
-    if base in ORDERED_TYPES:  # bounds of durations are kept, but a duration has no total order
-        for key in BOUNDS:
-            if key in bounds:
-                test, sign = tests[key]
-                checks.append((lambda v, t, test=test, b=bounds[key]: test(v, built.parse(F.lit(b))), f"value must be {sign} {bounds[key]}"))
-    return Compiled(built.name, built.spark_type, built.parse, built.format, tuple(checks))
+    for key in BOUNDS:
+        if key in bounds:
+            test, sign = tests[key]
+
+            def outside(v: Column, t: Column, test=test, b=bounds[key]) -> Column:
+                return reduce(or_, (test(x, y) for x, y in zip(built.order(v), built.order(built.parse(F.lit(b))), strict=True)))
+
+            checks.append((outside, f"value must be {sign} {bounds[key]}"))
+    return replace(built, checks=tuple(checks))

@@ -10,6 +10,7 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import ZONED, ZONED_DATE, iso_text
 from ..functions.uritemplate import compile_template
 from ..model import NAMESPACES, Column, Datatype, Table, TableGroup, compact_name, expand_name, is_url
 from .scan import Field, Scan, compiled_type, scan
@@ -31,13 +32,17 @@ def literal(column: Column, value: Expr) -> Expr:
         text = value.cast("string")
         special = F.when(F.isnan(value), quoted(F.lit("NaN"))).when(value == float("inf"), quoted(F.lit("INF"))).when(value == float("-inf"), quoted(F.lit("-INF")))
         return special.otherwise(text)
-    if kind.spark_type.startswith("decimal(38,18"):
-        return F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
+    if base == "decimal":
+        text = value.cast("string") if not kind.spark_type.endswith(",0)") else F.concat(value.cast("string"), F.lit(".0"))
+        return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
     if kind.spark_type.startswith(_BARE):
         return value.cast("string")
-    if kind.spark_type.startswith("timestamp"):
-        text = F.regexp_replace(F.regexp_replace(F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "0+$", ""), r"\.$", "")
-        return quoted(F.concat(text, F.lit("Z")) if kind.spark_type == "timestamp" else text)
+    if kind.spark_type == "timestamp_ntz":
+        return quoted(iso_text(value))
+    if kind.spark_type == ZONED:
+        return quoted(F.concat(iso_text(value["local"]), F.coalesce(value["zone"], F.lit(""))))
+    if kind.spark_type == ZONED_DATE:
+        return quoted(F.concat(F.date_format(value["local"], "yyyy-MM-dd"), F.coalesce(value["zone"], F.lit(""))))
     if kind.spark_type == "date":
         return quoted(F.date_format(value, "yyyy-MM-dd"))
     return quoted(kind.format(value))
@@ -77,7 +82,7 @@ def _entry(table: Table, field: Field, values: dict[str, Expr]) -> tuple[str, Ex
         if name == "rdf:type":
             known, full = None, made
             for p, u in sorted(NAMESPACES.items(), key=lambda x: -len(x[1])):
-                short = F.concat(F.lit(f"{p}:"), F.substring(full, len(u) + 1, 10_000))
+                short = F.concat(F.lit(f"{p}:"), F.substring(full, F.lit(len(u) + 1), F.length(full)))
                 known = F.when(full.startswith(u), short) if known is None else known.when(full.startswith(u), short)
             made = known.otherwise(full)
             name = "@type"
