@@ -45,9 +45,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             for p in relations.write_tables(session(), group, args.database, force=args.force):
                 print(p.name)
         else:
-            found = keys.validate(session(), group).limit(100).collect()
-            for v in found:
+            found = 0
+            for v in keys.validate(session(), group).toLocalIterator():
                 print(f"{v.url}:{v.sourcenum}: {v.kind}: {v.columns}: {v.message}")
+                found += 1
             for w in seen:
                 print(w.message)
             return int(bool(found or seen))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import ForeignKey, Table, TableGroup
+from ..staging import stage
 from .scan import Scan, scan
 
 VIOLATION = "kind string, url string, sourcenum long, columns string, message string"
@@ -32,13 +33,15 @@ def check_primary_key(table: Table, df: DataFrame) -> DataFrame:
     """A violation for every row but the first (by ``rownum``) of a key.
 
     Only the first row number of each repeated key is joined back, so no key's rows have to
-    meet in one task as in a window."""
+    meet in one task as in a window.  Rows without a ``rownum`` are numbered first, in a table of
+    their keys that is written once, so that both sides of the join see the same numbers."""
     key = [table.schema.column(k).header for k in table.schema.primary_key]
     spark = df.sparkSession
     if not key:
         return spark.createDataFrame([], VIOLATION)
     place = F.col("rownum") if "rownum" in df.columns else F.monotonically_increasing_id()
     rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)], place.alias("place"), _number(df).alias("sourcenum"), _key(key).alias("shown"))
+    rows = rows if "rownum" in df.columns else stage(spark, rows, "keys")
     names = [f"k{i}" for i in range(len(key))]
     repeated = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).filter("n > 1").select(*[F.col(n).alias(f"r{n}") for n in names], "first")
     same = [F.col(n).eqNullSafe(F.col(f"r{n}")) for n in names]
@@ -86,21 +89,44 @@ def strict_checks(child: DataFrame, table: Table, key: ForeignKey, parent: DataF
     return nulls.union(twice)
 
 
+def _keys_of(group: TableGroup, t: Table) -> list[str]:
+    """The columns of a table that a key of the group reads."""
+    names = [*t.schema.primary_key]
+    for child, key in group.foreign_keys():
+        names += key.columns if child is t else []
+        names += key.target if group.table(key.resource) is t else []
+    return list(dict.fromkeys(t.schema.column(n).header for n in names))
+
+
+def checked_once(spark: SparkSession, group: TableGroup, t: Table, s: Scan) -> tuple[DataFrame, DataFrame]:
+    """(complaints, keys of the rows without one) of a table, parsed in one pass.
+
+    A table that no key reads needs no second look; of others, complaints and keys are written
+    to the shared folder: narrow rows, whatever the table holds."""
+    keys = _keys_of(group, t)
+    if not keys:
+        return s.errors, s.rows.limit(0)
+    once = stage(spark, s.checked(*keys), "checked")
+    return s.told(once), once.filter(F.size("_errors") == 0).drop("_errors")
+
+
 def validate(spark: SparkSession, group: TableGroup, frames: dict[str, Scan] | None = None, strict: bool = True) -> DataFrame:
     """All violations of a group of tables: cells, primary keys, foreign keys.
 
-    Each table is scanned once and parsed in the plan of its checks; the report is one lazy
+    Each table is scanned and parsed once (see :func:`checked_once`); the report is one lazy
     DataFrame (kind, url, sourcenum, columns, message), empty for valid tables."""
     group.validate_schema()
     scans = frames or {t.url: scan(spark, t, strict_header=False) for t in group.tables}
+    found = {t.url: checked_once(spark, group, t, scans[t.url]) for t in group.tables}
     report = spark.createDataFrame([], VIOLATION)
     for t in group.tables:
-        cells = scans[t.url].errors
+        cells, good = found[t.url]
         report = report.union(cells.select(F.lit("cell").alias("kind"), "url", "sourcenum", F.col("column").alias("columns"), "message"))
-        report = report.union(check_primary_key(t, scans[t.url].good))
+        if t.schema.primary_key:
+            report = report.union(check_primary_key(t, good))
     for t, key in group.foreign_keys():
         parent = group.table(key.resource)
-        pair = (scans[t.url].good, t, key, scans[parent.url].good, parent)
+        pair = (found[t.url][1], t, key, found[parent.url][1], parent)
         report = report.union(check_foreign_key(*pair))
         if strict:
             report = report.union(strict_checks(*pair))

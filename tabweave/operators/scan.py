@@ -206,11 +206,20 @@ class Scan:
         raw = F.map_from_entries(F.array_compact(F.array(*wrong))) if wrong else F.create_map().cast("map<string,string>")
         return self.rows.select(*self._numbers(), *self._values(), raw.alias("_raw"))
 
+    def checked(self, *names: str) -> DataFrame:
+        """All rows with some of their values and ``_errors``, their complaints."""
+        wanted = [f.parsed.alias(f.name) for f in self.fields if f.name in names]
+        return self.rows.select(*self._numbers(), *wanted, self._errors().alias("_errors"))
+
+    def told(self, checked: DataFrame) -> DataFrame:
+        """The complaints of rows made by :meth:`checked`, one by one."""
+        number = F.col("sourcenum") if "sourcenum" in checked.columns else F.lit(None).cast("long")
+        found = checked.select(number.alias("sourcenum"), F.explode("_errors").alias("e"))
+        return found.select(F.lit(self.table.url).alias("url"), "sourcenum", "e.column", "e.message")
+
     @property
     def errors(self) -> DataFrame:
-        number = F.col("sourcenum") if "sourcenum" in self.rows.columns else F.lit(None).cast("long")
-        found = self.rows.select(number.alias("sourcenum"), F.explode(self._errors()).alias("e"))
-        return found.select(F.lit(self.table.url).alias("url"), "sourcenum", "e.column", "e.message")
+        return self.told(self.checked())
 
     def error_counts(self) -> DataFrame:
         """(column, n): complaints of each column, counted in one pass without a row for each."""

@@ -6,8 +6,6 @@ a description into expressions over them.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +18,7 @@ from ..operators import json_export, keys, relations
 from ..operators.scan import Scan, scan_frame, texts
 from ..sources import dsv
 from ..sources.dialect import Dialect
+from ..staging import new_path
 
 FLAGSHIP = "typed_lineitem"
 
@@ -265,8 +264,7 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder of delimited files, written and read again by the splittable reader."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    path, d = f"{shared}/tabweave-csv-{uuid.uuid4().hex}", Dialect(comment_prefix=None, skip_blank_rows=True)
+    path, d = new_path(spark, "csv"), Dialect(comment_prefix=None, skip_blank_rows=True)
     df = _cells(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment")
     dsv.write_dir(df, path, d)
     t = _table("customer.csv", {"c_custkey": "long", "c_name": "string", "c_mktsegment": "string"})
