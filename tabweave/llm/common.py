@@ -1,16 +1,13 @@
 """Things that several training-data operators share.
 
-* :func:`stage` cuts lineage by writing a table to the cluster's shared folder.
+* :func:`small_batches` and :func:`slices` bound what a task holds of long texts.
 * :func:`rank_within` ranks rows inside groups without putting a group into one task.
 """
 
 from __future__ import annotations
 
-import atexit
-import re
 import sys
 import types
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -21,31 +18,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..staging import stage, unstage  # noqa: F401
+
 #: Letters that the contracts lower-case; other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Used only by a session that names no shared folder and has no executors but itself, as in tests.
-LOCAL_DIR = "file:///tmp/checkpoints"
 #: Bytes of the batches in which texts travel to Python; bounds a task's memory, whatever the texts.
 BATCH_BYTES = 4 << 20
 
-_staged: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where a session names none, ``LOCAL_DIR`` stands in only if all runs in one process; on a
-    cluster executors would not see each other's files, so there it is refused.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return LOCAL_DIR
-
 
 def small_batches(spark: SparkSession) -> None:
     """From now on rows travel to Python in batches of ``BATCH_BYTES`` at most (or one row).
@@ -78,44 +59,6 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
         yield batch.slice(at, each)
 
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a staged folder through Hadoop's file systems, so that any store works."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def stage(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and return the table that was written.
-
-    Survives lost executors (the files are in the shared store) and evaluates ``df`` once.
-    Staged tables live until the session's process ends, as lazy results may read them.
-    """
-    path = f"{shared_dir(spark)}/tabweave-{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    _staged.append((spark, path))
-    out = spark.read.schema(df.schema).parquet(path)
-    out.staged_path = path
-    return out
-
-
-def unstage(spark: SparkSession, df: DataFrame) -> None:
-    """Delete a staged table that nothing will read any more."""
-    path = getattr(df, "staged_path", None)
-    if path:
-        drop_path(spark, path)
-        _staged[:] = [x for x in _staged if x[1] != path]
-
-
-@atexit.register
-def _drop_staged() -> None:
-    for spark, path in _staged:
-        try:
-            drop_path(spark, path)
-        except Exception:  # the session has ended; its folder goes with the cluster
-            return
-
-
 def text_of(column: str | Column = "text") -> Column:
     """The text, empty where it is null."""
     column = F.col(column) if isinstance(column, str) else column
