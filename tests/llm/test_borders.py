@@ -7,7 +7,7 @@ import numpy as np
 
 from pyspark.sql import functions as F
 
-from tabweave.llm import embedding_dedup, license_scan, url_cascade
+from tabweave.llm import embedding_dedup, license_scan, shingles, url_cascade
 
 
 def test_rows_that_share_a_vec_id(spark):
@@ -93,3 +93,33 @@ def test_license_templates_of_several_paragraphs(spark, monkeypatch):
         assert label in found[i][0].split(",")
     monkeypatch.setattr(license_scan, "MAX_TEMPLATE_BYTES", 2000)
     assert len(license_scan.template_parts(license_scan.TEMPLATES)) > 3 and scanned() == found
+
+
+def test_groups_of_near_copies_are_those_of_brute_force(spark):
+    r = np.random.default_rng(8)
+    base = [f"w{i}" for i in r.integers(0, 10**6, 150)]
+    texts = []
+    for k in range(60):  # one group whose members are near to its centre, and often not to each other
+        new = list(base)
+        for i in r.integers(0, 150, k % 6):
+            new[i] = f"x{k}{i}"
+        texts.append(" ".join(new))
+    passage = [f"p{i}" for i in range(40)]
+    texts += [" ".join([f"y{k}{i}" for i in range(5 + k % 9)] + passage + [f"z{k}{i}" for i in range(k % 7)]) for k in range(40)]
+    texts += [" ".join(base[: 150 - k]) for k in range(0, 60, 7)] + [texts[3], "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    sets = [frozenset(tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))) if (t or "").split() else frozenset() for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) > 0:
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {root(i) for i in range(len(texts))}
+    assert {r.doc_id for r in shingles.keep_one(spark, docs).collect()} == want and len(want) == 62
