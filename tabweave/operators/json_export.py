@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 from typing import Any
 from urllib.parse import urljoin
 
@@ -15,6 +19,8 @@ from ..functions.uritemplate import compile_template
 from ..model import NAMESPACES, Column, Datatype, Table, TableGroup, compact_name, expand_name, is_url
 from .scan import Field, Scan, compiled_type, scan
 
+#: Subjects of a row up to which objects are nested: the expressions grow with their orders.
+MOST_NESTED = 4
 #: Types whose JSON value is a number or a boolean; others are written as text.
 _BARE = ("decimal", "double", "bigint", "int", "smallint", "tinyint", "boolean")
 
@@ -70,12 +76,28 @@ def _resolved(table: Table, template: str, values: dict[str, Expr]) -> Expr:
     return F.when(made.rlike("^[a-z][a-z0-9+.-]*:"), made).otherwise(F.concat(F.lit(base), made))
 
 
-def _entry(table: Table, field: Field, values: dict[str, Expr]) -> tuple[str, Expr]:
-    """A cell as property name and JSON text, null if the cell is left out."""
+def _quoted(text: Expr) -> Expr:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
+
+
+@dataclass(frozen=True)
+class Entry:
+    """A cell as property name and JSON text, null if the cell is left out; of a list, its items
+    without brackets; of a URL, the URL."""
+
+    name: str
+    text: Expr
+    items: Expr | None = None
+    url: Expr | None = None
+
+
+def _entry(table: Table, field: Field, values: dict[str, Expr]) -> Entry:
     column = field.column
     name = property_name(table, column) if column else field.name
     if column is None:
-        return name, F.when(field.value != "", F.to_json(F.array(field.value)).substr(F.lit(2), F.length(F.to_json(F.array(field.value))) - 2))
+        return Entry(name, F.when(field.value != "", _quoted(field.value)))
     url = column.inherit("valueUrl")
     if url:
         made = _resolved(table, url, {**values, "_name": F.lit(column.header)})
@@ -86,57 +108,108 @@ def _entry(table: Table, field: Field, values: dict[str, Expr]) -> tuple[str, Ex
                 known = F.when(full.startswith(u), short) if known is None else known.when(full.startswith(u), short)
             made = known.otherwise(full)
             name = "@type"
-        text = F.to_json(F.array(made)).substr(F.lit(2), F.length(F.to_json(F.array(made))) - 2)
-        return name, text if column.virtual else F.when(field.value.isNotNull(), text)
+        made = made if column.virtual else F.when(field.value.isNotNull(), made)
+        return Entry(name, _quoted(made), url=made)
     if column.inherit("separator") is not None:
         items = F.array_join(F.transform(F.filter(field.value, lambda x: x.isNotNull()), lambda x: literal(column, x)), ",")
-        return name, F.when(F.size(field.value) > 0, F.concat(F.lit("["), items, F.lit("]")))
+        items = F.when(F.size(field.value) > 0, items)
+        return Entry(name, F.concat(F.lit("["), items, F.lit("]")), items=items)
     empty = (field.value == "") if compiled_type(column).spark_type == "string" else F.lit(False)
-    fallback = F.when(field.raw.isNotNull() & field.error.isNotNull(), F.to_json(F.array(field.raw)).substr(F.lit(2), F.length(F.to_json(F.array(field.raw))) - 2)) if field.raw is not None else F.lit(None).cast("string")
-    return name, F.when(~F.coalesce(empty, F.lit(False)), F.coalesce(literal(column, field.value), fallback))
-
-
-def _object(entries: list[tuple[str, Expr]], subject: Expr | None) -> Expr:
-    """A JSON object of the entries that are not null; equal names share one list."""
-    by_name: dict[str, list[Expr]] = {}
-    for name, text in entries:
-        by_name.setdefault(name, []).append(text)
-    parts = []
-    if subject is not None:
-        parts.append(F.concat(F.lit('"@id":'), F.to_json(F.array(subject)).substr(F.lit(2), F.length(F.to_json(F.array(subject))) - 2)))
+    fallback = F.when(field.raw.isNotNull() & field.error.isNotNull(), _quoted(field.raw)) if field.raw is not None else F.lit(None).cast("string")
+    return Entry(name, F.when(~F.coalesce(empty, F.lit(False)), F.coalesce(literal(column, field.value), fallback)))
+
+
+def _object(entries: list[Entry], subject: Expr | None, within: Callable[[Entry], Expr]) -> Expr:
+    """A JSON object of the entries that are not null; equal names share one list.  ``within``
+    gives the text of an entry, which may be a nested object."""
+    by_name: dict[str, list[Entry]] = {}
+    for e in entries:
+        by_name.setdefault(e.name, []).append(e)
+    parts = [] if subject is None else [F.concat(F.lit('"@id":'), _quoted(subject))]
     for name, found in by_name.items():
-        text = found[0]
+        text = within(found[0])
         if len(found) > 1:
-            bare = F.array_compact(F.array(*[F.regexp_replace(t, r"^\[(.*)\]$", "$1") for t in found]))
-            text = F.when(F.size(bare) > 1, F.concat(F.lit("["), F.array_join(bare, ","), F.lit("]"))).when(F.size(bare) == 1, F.coalesce(*found))
+            listed = any(e.items is not None for e in found)
+            bare = F.array_compact(F.array(*[within(e) if e.items is None else e.items for e in found]))
+            as_list = F.concat(F.lit("["), F.array_join(bare, ","), F.lit("]"))
+            text = F.when(F.size(bare) > 1, as_list).when(F.size(bare) == 1, as_list if listed else F.get(bare, F.lit(0)))
         parts.append(F.concat(F.lit(json.dumps(name, ensure_ascii=False) + ":"), text))
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
+@dataclass(frozen=True)
+class Subject:
+    id: Expr | None
+    entries: list[Entry]
+
+
+def _framed(subjects: list[Subject]) -> Expr:
+    """The objects of a row as an array of JSON texts.
+
+    An object that exactly one URL of the row's cells refers to stands in the place of that
+    URL, and not in the array; the row's own object always stands there, first, and so does one
+    that only objects refer to which would be nested in it.  Rows of more than ``MOST_NESTED``
+    subjects are not nested."""
+    n = len(subjects)
+
+    def plain(i: int) -> Expr:
+        return _object(subjects[i].entries, subjects[i].id, lambda e: e.text)
+
+    if n == 1 or n > MOST_NESTED:
+        return F.array(*[plain(i) for i in range(n)])
+    refers = {(j, i): [F.coalesce(e.url == subjects[i].id, F.lit(False)) for e in subjects[j].entries if e.url is not None] for j in range(n) for i in range(1, n)}
+    by = {(j, i): sum((x.cast("int") for x in found), F.lit(0)) for (j, i), found in refers.items()}
+    once = {i: sum((by[j, i] for j in range(n)), F.lit(0)) == 1 for i in range(1, n)}
+
+    def rooted(i: int, seen: tuple[int, ...]) -> Expr:
+        """Does what refers to an object stand in the array, or is it nested in what does?"""
+        if i == 0:
+            return F.lit(True)
+        above = (((by[j, i] == 1) & rooted(j, (*seen, i))) for j in range(n) if j not in seen and j != i)
+        return ~once[i] | reduce(or_, above, F.lit(False))
+
+    nested = {i: once[i] & reduce(or_, ((by[j, i] == 1) & rooted(j, (i,)) for j in range(n) if j != i), F.lit(False)) for i in range(1, n)}
+
+    def text(i: int, above: tuple[int, ...]) -> Expr:
+        def within(e: Entry) -> Expr:
+            out = e.text
+            for k in range(1, n):
+                if e.url is not None and k not in above and k != i:
+                    out = F.when(nested[k] & F.coalesce(e.url == subjects[k].id, F.lit(False)), text(k, (*above, i))).otherwise(out)
+            return out
+
+        return _object(subjects[i].entries, subjects[i].id, within)
+
+    return F.array_compact(F.array(text(0, ()), *[F.when(~nested[i], text(i, ())) for i in range(1, n)]))
+
+
 def describe_rows(s: Scan) -> DataFrame:
     """(rownum, sourcenum, describes, titles): the objects of each row as JSON texts.
 
     Cells with the row's subject make one object; a column with an ``aboutUrl`` of its own
-    starts or joins another.  An object that exactly one other refers to is not nested: each
-    subject stands in the list, the row's own first."""
+    starts or joins another (see :func:`_framed`).  Without a subject of the row, its cells go
+    into the only other object if there is just one."""
     table, numbers = s.table, s._numbers()
     values = {f.name: f.value for f in s.fields} | {"_row": F.col("rownum") if "rownum" in numbers else F.lit(1), "_sourceRow": F.col("sourcenum") if "sourcenum" in numbers else F.lit(1)}
     texts = {k: v.cast("string") if k.startswith("_") else _shown(s, k, v) for k, v in values.items()}
-    subjects: dict[str | None, list[tuple[str, Expr]]] = {}
     row_subject = table.schema.inherit("aboutUrl")
-    subjects[row_subject] = []
+    found: dict[str | None, list[Entry]] = {row_subject: []}
     for f in s.fields:
         if f.column is not None and f.column.suppress_output:
             continue
         about = (f.column.own.get("aboutUrl") if f.column is not None else None) or row_subject
-        subjects.setdefault(about, []).append(_entry(table, f, texts))
-    objects = [_object(entries, _resolved(table, about, texts) if about else None) for about, entries in subjects.items() if entries or about == row_subject]
-    titles = [F.col(f"`{t}`") for t in ()]
+        found.setdefault(about, []).append(_entry(table, f, texts))
+    if row_subject is None and len(found) == 2:
+        own = found.pop(None)
+        about, others = next(iter(found.items()))
+        found = {about: own + others}
+    subjects = [Subject(_resolved(table, about, texts) if about else None, entries) for about, entries in found.items() if entries or about == row_subject]
+    titles = []
     for t in table.schema.row_titles:
         column = table.schema.column(t)
         if column is not None:
             titles.append(next(f.value.cast("string") for f in s.fields if f.name == column.header))
-    return s.rows.select(*numbers, F.array(*objects).alias("describes"), (F.array_compact(F.array(*titles)) if titles else F.array().cast("array<string>")).alias("titles"))
+    return s.rows.select(*numbers, _framed(subjects).alias("describes"), (F.array_compact(F.array(*titles)) if titles else F.array().cast("array<string>")).alias("titles"))
 
 
 def _shown(s: Scan, name: str, value: Expr) -> Expr:

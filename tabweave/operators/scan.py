@@ -246,11 +246,12 @@ def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None,
     columns = [c for c in table.schema.columns if not c.virtual]
     if one_line and d.plain and columns and isinstance(where, str):
         return scan_frame(table, dsv.read_plain(spark, where, [c.header for c in columns], d, one_line=True))
+    where = dsv.fetched(spark, [where] if isinstance(where, str) else list(where))
     rows = dsv.read_cells(spark, where, d).filter(~F.col("is_comment"))
     header = None
     if d.header:
-        first = rows.filter("rownum = 1").select("cells").first()
-        header = list(first.cells) if first else [c.header for c in columns]
+        first = dsv.first_cells(spark, where[0], d)
+        header = list(first) if first is not None else [c.header for c in columns]
         rows = rows.filter("rownum > 1").withColumn("rownum", F.col("rownum") - 1)
     elif not columns:
         width = rows.agg(F.max(F.size("cells"))).first()[0] or 0

@@ -1,9 +1,9 @@
 """Exact reading and writing of delimited files.
 
-The format ``dsv`` is a Python data source: one partition for each file, rows of
-``(url, rownum, sourcenum, is_comment, cells)``.  It knows comments, skipped rows, blank
-rows, line numbers of rows with line breaks in cells, any encoding, and zipped members.
-Where a dialect needs none of that, :func:`read_cells` uses Spark's own reader.
+:func:`read_cells` gives rows of ``(url, rownum, sourcenum, is_comment, cells)``: comments,
+skipped rows, blank rows, line numbers of rows with line breaks in cells.  Files in UTF-8 are
+read in parallel, block by block (see :mod:`.split`).  The format ``dsv``, a Python data source
+with one partition for each file, reads the rest: other encodings and zipped members.
 """
 
 from __future__ import annotations
@@ -12,9 +12,11 @@ import csv
 import io
 import json
 import os
+import re
 import shutil
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from pathlib import Path
 from typing import Any
 
@@ -26,19 +28,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from .dialect import Dialect, normal_name
 
 CELLS = "url string, rownum long, sourcenum long, is_comment boolean, cells array<string>"
-#: Rows of a text that are handed to Spark at a time.
-ROWS = 10_000
 
 
-def rows_of(lines: Iterable[str], d: Dialect) -> Iterator[tuple[int, bool, list[str]]]:
-    """(line number, is comment, cells); the number is that of the row's last line.
+def rows_of(lines: Iterable[str], d: Dialect, before: int = 0) -> Iterator[tuple[int, bool, list[str]]]:
+    """(line number, is comment, cells); the number is that of the row's last line, after
+    ``before`` lines.
 
     Skipped rows that hold anything become comments; a comment's cells are its text without
     the prefix.
     """
     reader = csv.reader(lines, **d.csv_options())
     for cells in reader:
-        number = reader.line_num
+        number = before + reader.line_num
         if d.comment_prefix and cells and cells[0].startswith(d.comment_prefix):
             yield number, True, [d.delimiter.join(cells)[len(d.comment_prefix) :].strip()]
         elif number <= d.skip_rows:
@@ -96,25 +97,48 @@ class DsvSource(DataSource):
         return DsvReader(dict(self.options))
 
 
-def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | None = None) -> DataFrame:
-    """All rows of delimited files as cells, comments included and marked.
+def _zipped(path: str) -> bool:
+    return "://" not in path and not os.path.exists(path) and os.path.exists(f"{path}.zip")
+
 
-    A remote file is fetched once, on the driver, which alone may know how to."""
+def fetched(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files that only the driver may fetch are put into the shared folder, one by one, and are
+    read there like any other file."""
     from ..discover import fetch
     from ..model import is_url
+    from ..staging import write_bytes
+
+    return [write_bytes(spark, fetch(p), "fetched.csv") if is_url(p) else p for p in paths]
+
+
+def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | None = None) -> DataFrame:
+    """All rows of delimited files (or folders of them) as cells, comments included and marked."""
+    from .split import read_split, splittable
 
     d = dialect or Dialect()
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    remote, local, out = [p for p in paths if is_url(p)], [p for p in paths if not is_url(p)], None
-    if remote:
-        bodies = ((p, io.TextIOWrapper(io.BytesIO(fetch(p)), encoding=d.python_encoding, newline="")) for p in remote)
-        out = spark.createDataFrame([row for p, body in bodies for row in _numbered(p, body, d)], CELLS)
-    if local:
+    paths = fetched(spark, [paths] if isinstance(paths, str) else list(paths))
+    whole = [p for p in paths if not splittable(d) or _zipped(p)]
+    split = [p for p in paths if p not in whole]
+    found = []
+    if split:
+        rows = read_split(spark, split, d)
+        whole += split if rows is None else []
+        found += [] if rows is None else [rows.withColumn("url", F.lit(split[0])) if len(split) == 1 and os.path.isfile(split[0]) else rows]
+    if whole:
         spark.dataSource.register(DsvSource)
+        local = [re.sub("^file:/*(?=/)", "", p) for p in whole]
         options = {"dialect": json.dumps(d.asdict(full=True)), "paths": json.dumps(local)}
-        read = spark.read.format("dsv").options(**options).load()
-        out = read if out is None else out.union(read)
-    return out
+        found.append(spark.read.format("dsv").options(**options).load())
+    return reduce(DataFrame.union, found)
+
+
+def first_cells(spark: SparkSession, path: str, d: Dialect) -> list[str] | None:
+    """The first row of a file that is no comment; only its begin is read."""
+    if "://" in path and not path.startswith("file:") or os.path.isdir(path):
+        first = read_cells(spark, path, d).filter("rownum = 1 and not is_comment").select("cells").first()
+        return list(first.cells) if first else None
+    with open_text(re.sub("^file:/*(?=/)", "", path), d.python_encoding) as stream:
+        return next((cells for _, comment, cells in rows_of(stream, d) if not comment), None)
 
 
 def read_plain(spark: SparkSession, path: str | list[str], names: list[str], dialect: Dialect, one_line: bool = False) -> DataFrame:

@@ -40,6 +40,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def write_bytes(spark: SparkSession, data: bytes, label: str) -> str:
+    """A file of the shared folder with these bytes; returns its path."""
+    target, store = _place(spark, new_path(spark, label))
+    out = store.create(target)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return target.toString()
+
+
 def stage(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table that was written.
 
