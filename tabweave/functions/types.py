@@ -532,7 +532,9 @@ def compile_datatype(base: str = "string", format: object = None, **facets: obje
             test, sign = tests[key]
 
             def outside(v: Column, t: Column, test=test, b=bounds[key]) -> Column:
-                return reduce(or_, (test(x, y) for x, y in zip(built.order(v), built.order(built.parse(F.lit(b))), strict=True)))
+                far = lambda value: reduce(or_, (test(x, y) for x, y in zip(built.order(value), built.order(built.parse(F.lit(b))), strict=True)))
+                # A value that is looked at more than once is worked out once, as a lambda's variable.
+                return F.exists(F.array(v), far) if base in DURATION_TYPES else far(v)
 
             checks.append((outside, f"value must be {sign} {bounds[key]}"))
     return replace(built, checks=tuple(checks))

@@ -6,10 +6,12 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import TableGroup, is_url
-from .scan import Scan, scan, write_table
+from ..sources import dsv
+from .scan import Scan, scan, texts, write_table
 
 
 def read_group(spark: SparkSession, group: TableGroup, strict_header: bool = True) -> dict[str, Scan]:
@@ -17,8 +19,9 @@ def read_group(spark: SparkSession, group: TableGroup, strict_header: bool = Tru
     return {t.url: scan(spark, t, strict_header=strict_header) for t in group.tables}
 
 
-def write_group(group: TableGroup, frames: dict[str, DataFrame], description: str | Path, zipped: bool = False) -> dict[str, int]:
-    """Write the description and, beside it, the file of each table that has a frame.
+def write_group(group: TableGroup, frames: dict[str, DataFrame], description: str | Path, zipped: bool = False, folders: bool = False) -> dict[str, int]:
+    """Write the description and, beside it, the file of each table that has a frame; with
+    ``folders`` a folder of parts for each, written in parallel, which a scan reads as well.
 
     Returns the number of rows written by URL."""
     folder = Path(description).parent
@@ -28,6 +31,12 @@ def write_group(group: TableGroup, frames: dict[str, DataFrame], description: st
         if t.url in frames:
             where = folder / t.url
             where.parent.mkdir(parents=True, exist_ok=True)
+            if folders:
+                seen = Observation(f"rows of {t.url}")
+                made = texts(t, frames[t.url]).observe(seen, F.count(F.lit(1)).alias("n"))
+                dsv.write_dir(made, str(where), t.effective_dialect)
+                counts[t.url] = seen.get["n"]
+                continue
             counts[t.url] = write_table(t, frames[t.url], str(where), zipped)
     group.to_file(description)
     return counts

@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.types import Compiled
 from ..model import ForeignKey, Table, TableGroup
-from .keys import VIOLATION, check_foreign_key, check_primary_key
-from .scan import array_type, scan
+from .keys import VIOLATION, _number, check_foreign_key, check_primary_key
+from .scan import array_type, compiled_type, scan
 
 
 def default_name(table: Table) -> str:
@@ -97,12 +98,52 @@ def association_rows(plan: TablePlan, df: DataFrame) -> dict[str, DataFrame]:
     return out
 
 
+def _complaint(kind: Compiled) -> Callable[[Column], Column]:
+    def first(v: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for fails, message in reversed(kind.checks):
+            out = F.when(fails(v, kind.format(v)), F.lit(message)).otherwise(out)
+        return out
+
+    return first
+
+
+def check_values(table: Table, df: DataFrame) -> DataFrame:
+    """A violation for each typed value (or item of a list) outside the bounds and lengths of its
+    column's datatype."""
+    found = []
+    for c in table.schema.columns:
+        if c.virtual or c.header not in df.columns:
+            continue
+        kind, value = compiled_type(c), F.col(f"`{c.header}`")
+        if not kind.checks:
+            continue
+        complaint = _complaint(kind)
+        wrong = F.array_compact(F.transform(value, complaint) if c.inherit("separator") is not None else F.array(complaint(value)))
+        found.append(F.when(F.size(wrong) > 0, F.struct(F.lit(c.header).alias("columns"), F.get(wrong, F.lit(0)).alias("message"))))
+    rows = df.select(_number(df).alias("sourcenum"), F.explode(F.array_compact(F.array(*found))).alias("e")) if found else None
+    if rows is None:
+        return df.sparkSession.createDataFrame([], VIOLATION)
+    return rows.select(F.lit("check").alias("kind"), F.lit(table.url).alias("url"), "sourcenum", "e.columns", "e.message")
+
+
+def with_lists(plan: TablePlan, df: DataFrame, associations: dict[str, DataFrame]) -> DataFrame:
+    """Rows with their lists of references again, in order; absent lists are empty."""
+    for a in plan.associations:
+        items = F.transform(F.sort_array(F.collect_list(F.struct("position", F.col(f"`{a.target_key}`").alias("v")))), lambda x: x["v"])
+        lists = associations[a.name].filter(F.col("context") == a.context).groupBy(F.col(f"`{a.own_key}`").alias("_tw_key")).agg(items.alias(a.column))
+        kind = array_type(plan.table.schema.column(a.column))
+        joined = df.join(lists, df[f"`{plan.key[0]}`"] == lists["_tw_key"], "left").drop("_tw_key")
+        df = joined.withColumn(a.column, F.coalesce(F.col(f"`{a.column}`"), F.array().cast(kind)))
+    return df
+
+
 def violations(spark: SparkSession, group: TableGroup, frames: dict[str, DataFrame], plans: list[TablePlan]) -> DataFrame:
     """What would break a constraint of the tables: keys, references, required columns."""
     found = spark.createDataFrame([], VIOLATION)
     for p in plans:
         df = frames[p.table.url]
-        found = found.union(check_primary_key(p.table, df))
+        found = found.union(check_primary_key(p.table, df)).union(check_values(p.table, df))
         for key in p.table.schema.foreign_keys:
             parent = group.table(key.resource) if key.resource else None
             if parent is not None:
@@ -149,12 +190,6 @@ def read_tables(spark: SparkSession, database: str, plans: list[TablePlan]) -> d
     """The tables again, lists of references in their order; absent lists are empty."""
     out = {}
     for p in plans:
-        df = spark.table(f"`{database}`.`{p.name}`")
-        for a in p.associations:
-            items = F.transform(F.sort_array(F.collect_list(F.struct("position", F.col(f"`{a.target_key}`").alias("v")))), lambda x: x["v"])
-            lists = spark.table(f"`{database}`.`{a.name}`").filter(F.col("context") == a.context).groupBy(F.col(f"`{a.own_key}`").alias("_tw_key")).agg(items.alias(a.column))
-            kind = array_type(p.table.schema.column(a.column))
-            joined = df.join(lists, df[f"`{p.key[0]}`"] == lists["_tw_key"], "left").drop("_tw_key")
-            df = joined.withColumn(a.column, F.coalesce(F.col(f"`{a.column}`"), F.array().cast(kind)))
-        out[p.table.url] = df
+        linked = {a.name: spark.table(f"`{database}`.`{a.name}`") for a in p.associations}
+        out[p.table.url] = with_lists(p, spark.table(f"`{database}`.`{p.name}`"), linked)
     return out

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..describe import infer_types
+from ..functions.names import name_column, slug_column
 from ..functions.numbers import NumberFormat, format_decimal, parse_decimal
 from ..functions.types import compile_datatype
 from ..functions.uritemplate import compile_template
 from ..model import ForeignKey, Table, TableGroup
 from ..operators import json_export, keys, relations
-from ..operators.scan import Scan, scan_frame, texts
+from ..operators.scan import Scan, scan, scan_frame, texts
 from ..sources import dsv
 from ..sources.dialect import Dialect
 from ..staging import new_path
@@ -136,8 +137,8 @@ def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def binaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     b64, hexed = compile_datatype("base64Binary", minLength=1), compile_datatype("hexBinary")
-    name = F.col("n_name").cast("binary")
-    return _cells(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), b64.format(name).alias("base64"), hexed.format(hexed.parse(hexed.format(name))).alias("hex"), b64.parse(b64.format(name)).cast("string").alias("back"))
+    name = F.col("c_name").cast("binary")
+    return _cells(spark, sf_dir, "customer").select("c_custkey", b64.format(name).alias("base64"), hexed.format(hexed.parse(hexed.format(name))).alias("hex"), b64.parse(b64.format(name)).cast("string").alias("back"))
 
 
 def json_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,7 +182,7 @@ def orphans_in_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     child, parent = _pair({"p_type": {"separator": " "}}, {"word": {}}, **_reference("p_type", "word"))
     parts = _cells(spark, sf_dir, "part", "p_partkey", "p_name")
     typed = parts.select(F.split("p_name", " ").alias("p_type"), F.col("p_partkey").alias("sourcenum"))
-    words = parts.filter("p_partkey % 7 = 0").select(F.explode(F.split("p_name", " ")).alias("word")).filter("word < 'm'").distinct()
+    words = _cells(spark, sf_dir, "part", "p_name", "p_brand").filter("p_brand = 'Brand#4'").select(F.explode(F.split("p_name", " ")).alias("word")).filter("word < 'm'").distinct()
     return keys.check_foreign_key(typed, child, child.schema.foreign_keys[0], words, parent).groupBy("sourcenum").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -272,15 +273,126 @@ def written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filtered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dsv.filter_rows(_cells(spark, sf_dir, "region"), F.col("r_regionkey") > 1)[0]
+    return dsv.filter_rows(_cells(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus"), F.col("o_orderstatus") != "F")[0]
 
 
 def added_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    region = _cells(spark, sf_dir, "region")
-    return dsv.add_rows(region, region.select((F.col("r_regionkey") + 100).cast("int").alias("r_regionkey"), F.upper("r_name").alias("r_name")))
+    customers = _cells(spark, sf_dir, "customer", "c_custkey", "c_name")
+    return dsv.add_rows(customers, customers.select((-F.col("c_custkey")).alias("c_custkey"), F.upper("c_name").alias("c_name")))
 
 
-QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows)}
+def offset_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps keep the offset that they were written with."""
+    kind = compile_datatype("datetime", "d.M.yyyy HH:mm X")
+    text = F.concat(F.date_format("o_orderdate", "d.M.yyyy HH:mm"), F.lit(" +0"), (F.col("o_orderkey") % 9).cast("string"))
+    value = kind.parse(text)
+    return _cells(spark, sf_dir, "orders").select("o_orderkey", kind.format(value).alias("shown"), value["zone"].alias("zone"), F.date_format(value["local"], "yyyy-MM-dd HH:mm").alias("clock"))
+
+
+def exact_decimals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digits beyond the type are zeros, or the cell is refused."""
+    kind = compile_datatype("decimal")
+    text = F.concat(F.col("o_orderkey").cast("string"), F.lit(".5"), F.repeat(F.lit("0"), F.lit(20)), F.when(F.col("o_orderkey") % 2 == 0, "0").otherwise("1"))
+    return _cells(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", kind.format(kind.parse(text)).alias("shown"), kind.error(text).isNull().alias("valid"))
+
+
+def lexical_floats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("number")
+    endings = F.array(*[F.lit(x) for x in ("d", "e1", ".5", " ", "f", "")])
+    text = F.concat(F.col("p_partkey").cast("string"), F.get(endings, (F.col("p_partkey") % 6).cast("int")))
+    return _cells(spark, sf_dir, "part", "p_partkey").select("p_partkey", kind.parse(text).alias("value"))
+
+
+def json_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = compile_datatype("json", {"type": "object", "additionalProperties": False, "patternProperties": {"^k$": {"type": "integer", "multipleOf": 3, "exclusiveMinimum": 10}}, "minProperties": 1})
+    lists = compile_datatype("json", {"type": "array", "prefixItems": [{"type": "integer"}], "items": {"type": "string", "pattern": "^a[0-4]"}, "maxItems": 2})
+    listed = F.concat(F.lit("["), F.col("user_id").cast("string"), F.lit(',"a'), F.col("user_id").cast("string"), F.lit('"]'))
+    return _cells(spark, sf_dir, "events").select("event_id", objects.error(F.col("props")).isNull().alias("valid_object"), lists.error(listed).isNull().alias("valid_list"))
+
+
+def duration_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A duration is longer than another if it is so from whatever month one counts."""
+    kind = compile_datatype("duration", minInclusive="P1D", maxExclusive="P1M")
+    size = F.col("p_size").cast("string")
+    days, hours = F.concat(F.lit("P"), size, F.lit("D")), F.concat(F.lit("PT"), size, F.lit("H"))
+    return _cells(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", kind.error(days).isNull().alias("days"), kind.error(hours).isNull().alias("hours"))
+
+
+def required_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("orders.csv", {"o_orderkey": "long", "o_orderpriority": {"_": 1, "required": True, "null": ["5-LOW", ""]}})
+    cells = _cells(spark, sf_dir, "orders", "o_orderkey", "o_orderpriority").withColumn("sourcenum", F.col("o_orderkey") + 1)
+    return scan_frame(t, cells).errors.select("sourcenum", "column", "message")
+
+
+def slug_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cells(spark, sf_dir, "customer", "c_custkey", "c_name").select("c_custkey", slug_column(F.col("c_name")).alias("slug"), name_column(F.concat(F.lit("1 "), F.col("c_name"))).alias("name"))
+
+
+def any_uri_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = compile_datatype("anyURI")
+    return _cells(spark, sf_dir, "pages", "page_id", "url").select("page_id", kind.format(kind.parse(F.concat(F.upper(F.substring("url", 1, 20)), F.substring(F.col("url"), F.lit(21), F.length("url"))))).alias("uri"))
+
+
+def group_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a row about two subjects; the one that the other refers to stands inside it."""
+    t = _table("http://example.org/orders.csv", {
+        "o_orderkey": {"_": 1, "datatype": "long", "aboutUrl": "http://example.org/order/{o_orderkey}"},
+        "by": {"_": 1, "virtual": False, "datatype": "long", "aboutUrl": "http://example.org/order/{o_orderkey}", "propertyUrl": "schema:customer", "valueUrl": "http://example.org/customer/{by}"},
+        "status": {"_": 1, "aboutUrl": "http://example.org/customer/{by}", "propertyUrl": "schema:status"},
+    }, aboutUrl="http://example.org/order/{o_orderkey}")
+    orders = _cells(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus")
+    rows = orders.select("o_orderkey", F.col("o_custkey").alias("by"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("rownum"), F.col("o_orderkey").alias("sourcenum"))
+    return json_export.describe_rows(scan_frame(t, rows)).select("rownum", F.array_join("describes", ",").alias("json"))
+
+
+def check_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _table("lineitem.csv", {"l_quantity": {"base": "double", "maximum": "40"}, "l_returnflag": {"base": "string", "minLength": 2}, "l_tax": {"base": "double", "minExclusive": "0"}})
+    found = relations.check_values(t, _cells(spark, sf_dir, "lineitem", "l_quantity", "l_returnflag", "l_tax"))
+    return found.groupBy("kind", "columns", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def assoc_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists that went to an association table, read back in order; absent ones are empty."""
+    plan = next(p for p in relations.plan_tables(_listing()) if p.associations)
+    df = _cells(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") > 5, F.split("p_name", " ")).alias("words"))
+    rows = relations.with_lists(plan, df.select("p_partkey"), relations.association_rows(plan, df))
+    return rows.select("p_partkey", F.array_join("words", "|").alias("words"))
+
+
+def _written_text(spark: SparkSession, lines: DataFrame) -> str:
+    path = new_path(spark, "text")
+    lines.write.text(path)
+    return path
+
+
+def dsv_comments_skip_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments, blank rows, a skipped column and trimmed cells, by the parallel exact reader."""
+    c = _cells(spark, sf_dir, "customer")
+    line = F.when(F.col("c_custkey") % 10 == 0, F.concat(F.lit("# note "), F.col("c_name"))).when(F.col("c_custkey") % 10 == 1, "").otherwise(F.concat_ws(",", F.lit("x"), F.concat(F.lit("  "), F.col("c_name"), F.lit(" ")), F.concat(F.lit('" '), F.col("c_mktsegment"), F.lit(', ""so"" "'))))
+    path = _written_text(spark, c.select(line.alias("value")))
+    rows = dsv.read_cells(spark, path, Dialect(header=False, skip_blank_rows=True, skip_columns=1, trim="true"))
+    comment = F.col("is_comment")
+    return rows.select(comment.alias("is_comment"), F.get("cells", F.lit(0)).alias("first"), F.when(~comment, F.get("cells", F.lit(1))).alias("second"))
+
+
+def dsv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A typed scan of files with quoted line breaks, by the parallel exact reader."""
+    o = _cells(spark, sf_dir, "orders")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.concat(F.lit('"'), F.col("o_orderstatus"), F.lit('\n""'), F.col("o_orderpriority"), F.lit('""\n"')), F.col("o_custkey").cast("string"))
+    path = _written_text(spark, o.select(line.alias("value")))
+    t = TableGroup.of({"url": path, "dialect": {"header": False}, "tableSchema": {"columns": [{"name": "o_orderkey", "datatype": "long"}, {"name": "note"}, {"name": "o_custkey", "datatype": {"base": "long", "maximum": "900"}}]}}).tables[0]
+    return scan(spark, t, path).good.select("o_orderkey", "note", "o_custkey")
+
+
+def rewrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row changed, or dropped, by a Python function."""
+    lines = _cells(spark, sf_dir, "supplier").select(F.concat_ws(",", F.col("s_suppkey").cast("string"), "s_name").alias("value"))
+    rows = dsv.read_cells(spark, _written_text(spark, lines), Dialect(header=False))
+    made = dsv.visit_rows(rows, lambda i, cells: [cells[0], cells[1].upper()] if int(cells[0]) % 3 else None)
+    return made.select(F.get("cells", F.lit(0)).cast("long").alias("s_suppkey"), F.get("cells", F.lit(1)).alias("name"))
+
+
+QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows)}
 
 ORACLE_SQL = {
     "typed_lineitem": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
@@ -299,7 +411,7 @@ ORACLE_SQL = {
     "parsed_numbers": "SELECT o_orderkey, round(o_totalprice, 2) AS price FROM orders",
     "dates": "SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) AS shown, CAST(o_orderdate AS DATE) AS parsed, CAST(o_orderdate AS DATE) >= DATE '1995-01-01' AS valid FROM orders",
     "durations": "SELECT p_partkey, CAST(12 AS INTEGER) AS months, (CAST(p_size AS BIGINT) * 24 + 2) * 3600000000 AS micros, 'P1Y' || p_size || 'DT2H' AS shown FROM part",
-    "binaries": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, base64(encode(n_name)) AS base64, hex(n_name) AS hex, n_name AS back FROM nation",
+    "binaries": "SELECT c_custkey, base64(encode(c_name)) AS base64, hex(c_name) AS hex, c_name AS back FROM customer",
     "json_cells": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, false) AS valid FROM events",
     "inferred_types": """SELECT 'o_custkey' AS "column", 'integer' AS datatype UNION ALL SELECT 'o_orderdate', 'date' UNION ALL SELECT 'o_orderkey', 'integer' UNION ALL SELECT 'o_orderpriority', 'string' UNION ALL SELECT 'o_orderstatus', 'string' UNION ALL SELECT 'o_totalprice', 'decimal'""",
     "repeated_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
@@ -308,7 +420,7 @@ ORACLE_SQL = {
     "orphans": """SELECT l_orderkey AS sourcenum, 'no row in parent.csv for ["' || l_orderkey || '"]' AS message, count(*) AS n
         FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') GROUP BY 1, 2""",
     "orphans_in_lists": """SELECT p_partkey AS sourcenum, count(*) AS n FROM (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part)
-        WHERE w NOT IN (SELECT x FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part WHERE p_partkey % 7 = 0) WHERE x < 'm') GROUP BY 1""",
+        WHERE w NOT IN (SELECT x FROM (SELECT unnest(string_split(p_name, ' ')) AS x FROM part WHERE p_brand = 'Brand#4') WHERE x < 'm') GROUP BY 1""",
     "orphans_composite": """SELECT l_partkey AS sourcenum, count(*) AS n FROM lineitem l WHERE l_suppkey % 5 > 0
         AND NOT EXISTS (SELECT 1 FROM lineitem p WHERE p.l_returnflag = 'A' AND p.l_partkey = l.l_partkey AND p.l_suppkey = l.l_suppkey) GROUP BY 1""",
     "strict_references": """SELECT 'null reference' AS kind, count(*) AS n FROM customer WHERE c_custkey % 4 = 0
@@ -326,6 +438,26 @@ ORACLE_SQL = {
     "written_cells": "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CASE WHEN p_size > 9 THEN CAST(p_size AS VARCHAR) ELSE '-' END AS p_size, replace(p_name, ' ', ';') AS p_type FROM part",
     "csv_lines": """SELECT c_custkey, c_name || ',' || CASE WHEN c_custkey % 2 = 0 THEN '"said ""' || c_mktsegment || '"", twice"' ELSE c_mktsegment END AS line FROM customer""",
     "written_and_read": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
-    "filtered_rows": "SELECT * FROM region WHERE r_regionkey > 1",
-    "added_rows": "SELECT r_regionkey, r_name FROM region UNION ALL SELECT r_regionkey + 100, upper(r_name) FROM region",
+    "filtered_rows": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'F'",
+    "added_rows": "SELECT c_custkey, c_name FROM customer UNION ALL SELECT -c_custkey, upper(c_name) FROM customer",
+    "offset_stamps": """SELECT o_orderkey, day(o_orderdate) || '.' || month(o_orderdate) || '.' || year(o_orderdate) || strftime(o_orderdate, ' %H:%M') || ' +0' || (o_orderkey % 9) AS shown,
+        '+0' || (o_orderkey % 9) || ':00' AS zone, strftime(o_orderdate, '%Y-%m-%d %H:%M') AS clock FROM orders""",
+    "exact_decimals": "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey || '.5' END AS shown, o_orderkey % 2 = 0 AS valid FROM orders",
+    "lexical_floats": "SELECT p_partkey, CASE p_partkey % 6 WHEN 1 THEN p_partkey * 10.0 WHEN 2 THEN p_partkey + 0.5 WHEN 5 THEN p_partkey END::DOUBLE AS value FROM part",
+    "json_schemas": """SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) > 10 AND CAST(json_extract(props, '$.k') AS BIGINT) % 3 = 0, false) AS valid_object,
+        CAST(user_id AS VARCHAR)[1] IN ('0', '1', '2', '3', '4') AS valid_list FROM events""",
+    "duration_bounds": "SELECT p_partkey, p_size BETWEEN 1 AND 27 AS days, p_size BETWEEN 24 AND 28 * 24 - 1 AS hours FROM part",
+    "required_cells": """SELECT o_orderkey + 1 AS sourcenum, 'o_orderpriority' AS "column", 'required value is missing' AS message FROM orders WHERE o_orderpriority = '5-LOW'""",
+    "slug_names": "SELECT c_custkey, lower(replace(c_name, '#', '')) AS slug, '_1_' || replace(c_name, '#', '_') AS name FROM customer",
+    "any_uri_normalise": """SELECT page_id, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*:)', 1)) || lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)', 1))
+        || regexp_replace(u, '^[A-Za-z][A-Za-z0-9+.-]*:(//[^/?#]*)?', '') AS uri FROM (SELECT page_id, upper(url[1:20]) || url[21:] AS u FROM pages)""",
+    "group_triples": """SELECT o_orderkey AS rownum, '{"@id":"http://example.org/order/' || o_orderkey || '","o_orderkey":' || o_orderkey || ',"schema:customer":{"@id":"http://example.org/customer/' || o_custkey || '","schema:status":"' || o_orderstatus || '"}}' AS json FROM orders""",
+    "check_violations": """SELECT 'check' AS kind, 'l_quantity' AS columns, 'value must be <= 40' AS message, count(*) AS n FROM lineitem WHERE l_quantity > 40 HAVING count(*) > 0
+        UNION ALL SELECT 'check', 'l_returnflag', 'value must have at least length 2', count(*) FROM lineitem WHERE length(l_returnflag) < 2 HAVING count(*) > 0
+        UNION ALL SELECT 'check', 'l_tax', 'value must be > 0', count(*) FROM lineitem WHERE l_tax <= 0 HAVING count(*) > 0""",
+    "assoc_read": "SELECT p_partkey, CASE WHEN p_size > 5 THEN replace(p_name, ' ', '|') ELSE '' END AS words FROM part",
+    "dsv_comments_skip_trim": """SELECT c_custkey % 10 = 0 AS is_comment, CASE WHEN c_custkey % 10 = 0 THEN 'note ' || c_name ELSE c_name END AS first, CASE WHEN c_custkey % 10 > 1 THEN c_mktsegment || ', "so"' END AS second
+        FROM customer WHERE c_custkey % 10 <> 1""",
+    "dsv_line_breaks": """SELECT o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '"' || chr(10) AS note, o_custkey FROM orders WHERE o_custkey <= 900""",
+    "rewrite_rows": "SELECT s_suppkey, upper(s_name) AS name FROM supplier WHERE s_suppkey % 3 > 0",
 }

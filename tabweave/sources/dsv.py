@@ -21,6 +21,7 @@ from pathlib import Path
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -249,6 +250,20 @@ def rewrite(spark: SparkSession, path: str, visitor: Callable[[int, list[str]],
     shutil.move(part, path)
 
 
+def visit_rows(rows: DataFrame, visitor: Callable[[int, list[str]], list[str] | None]) -> DataFrame:
+    """The distributed form of :func:`rewrite`, over rows of :func:`read_cells`: the cells that
+    ``visitor(index, cells)`` makes of each row, without those that it drops."""
+
+    def run(batches):
+        for b in batches:
+            numbers, cells = (b.column(i).to_pylist() for i in range(2))
+            made = [(n, visitor(n - 1, c)) for n, c in zip(numbers, cells, strict=True)]
+            made = [(n, c) for n, c in made if c is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.list_(pa.string()))], names=["rownum", "cells"])
+
+    return rows.filter(~F.col("is_comment")).select("rownum", "cells").mapInArrow(run, "rownum long, cells array<string>")
+
+
 def filter_rows(df: DataFrame, keep: Column | Callable[[dict], bool], counter: str | None = None) -> tuple[DataFrame, Any]:
     """Rows that satisfy ``keep`` (a predicate, or a Python function of the row as a dict) and
     an observation whose ``get`` tells how many were removed, once the result was written."""
