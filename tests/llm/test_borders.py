@@ -2,12 +2,13 @@
 
 import collections
 import re
+import zlib
 
 import numpy as np
 
 from pyspark.sql import functions as F
 
-from tabweave.llm import embedding_dedup, license_scan, shingles, url_cascade
+from tabweave.llm import embedding_dedup, license_scan, mixing, sharding, shingles, suffix_dedup, url_cascade
 
 
 def test_rows_that_share_a_vec_id(spark):
@@ -123,3 +124,99 @@ def test_groups_of_near_copies_are_those_of_brute_force(spark):
                 parent[y] = x
     want = {root(i) for i in range(len(texts))}
     assert {r.doc_id for r in shingles.keep_one(spark, docs).collect()} == want and len(want) == 62
+
+
+def test_shards_hold_every_source_in_its_share(spark):
+    rows = [(i, None if i % 50 == 0 else "big" if i % 3 else f"s{i % 5}", f"text {i % 40} é", "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, shard string").repartition(7)
+    found = sharding.shard_documents(spark, docs).collect()
+    text = {i: t for i, _, t, _ in rows}
+    assert {r.law for r in found} == {"rows"} and sorted(r.doc_id for r in found) == list(range(3000))
+    assert all(r.text_crc32 == zlib.crc32(text[r.doc_id].encode()) and r["size"] == len(text[r.doc_id].encode()) + 1 for r in found)
+    counts = collections.Counter(r.shard for r in found)
+    assert len(counts) == 16 and max(counts.values()) - min(counts.values()) <= 1
+    for source, n in collections.Counter(r.source for r in found).items():
+        per = collections.Counter(r.shard for r in found if r.source == source)
+        assert all(abs(per[s] - n / 16) <= 2 for s in range(16)), source
+    slots = collections.defaultdict(list)
+    for r in found:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    again = sharding.interleaved_shards(spark, docs, "source", ["doc_id"], 4)
+    assert again.columns.count("shard") == 1 and {r.shard for r in again.select("shard").collect()} == {0, 1, 2, 3}
+
+
+def plain_targets(sizes):
+    """Targets of the mix, written without the operator's code."""
+    names = sorted((n for n in sizes if n is not None), key=lambda n: n.encode()) + [n for n in sizes if n is None]
+    weight = {n: i % 3 + 1 for i, n in enumerate(names)}
+    total, fixed = sum(sizes.values()), {}
+    while True:
+        rest = total - sum(fixed.values())
+        free = {n: weight[n] for n in names if n not in fixed}
+        now = {n: rest * w / sum(free.values()) for n, w in free.items()}
+        over = {n: 3.0 * sizes[n] for n in now if now[n] > 3 * sizes[n] * (1 + 1e-12)}
+        if not over:
+            return fixed | now
+        fixed |= over
+
+
+def test_mix_meets_its_targets(spark):
+    r = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else ("a", "a", "b", "c", "d", "ü")[int(r.integers(0, 6))] if i % 9 else "tiny", " ".join(["w"] * int(r.integers(0, 90)))) for i in range(1500)]
+    rows += [(9000, "empty", None), (9001, "empty", "  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    found = mixing.mix_documents(spark, docs).collect()
+    words = {i: len((t or "").split()) for i, _, t in rows}
+    sizes = collections.Counter()
+    for i, s, _ in rows:
+        sizes[s] += words[i]
+    target, taken = plain_targets(sizes), collections.Counter()
+    assert len(found) == len(rows)
+    for x in found:
+        assert x["size"] == words[x.doc_id] and x.source_size == sizes[x.source] and abs(x.target - target[x.source]) < 1e-6 * max(1, target[x.source])
+        assert 0 <= x.taken <= 3 * x["size"] and (x["size"] == 0 or x.taken % x["size"] == 0)
+        taken[x.source] += x.taken
+    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert {(x.doc_id, x.taken) for x in mixing.mix_documents(spark, docs.repartition(3)).collect()} == {(x.doc_id, x.taken) for x in found}
+
+
+def test_budgets_are_fitted_on_both_sides_of_the_greedy_border():
+    lengths, counts = np.array([1, 7, 50, 300]), np.array([400, 300, 200, 100])
+    for fit_words in (1, 40, 1000, 1 << 20):
+        for budget in (0, 1, 999, 20_000, int((lengths * counts).sum()) - 1):
+            take = mixing.fit_budget(lengths, counts, budget, fit_words)
+            assert (take >= 0).all() and (take <= counts).all() and (lengths * take).sum() == budget
+
+
+def test_suffixes_on_both_sides_of_the_hot_border(spark, monkeypatch):
+    r = np.random.default_rng(6)
+    word = lambda: "".join(chr(97 + x) for x in r.integers(0, 26, 7))
+    passage = " ".join(word() for _ in range(40))
+    texts = [" ".join(word() for _ in range(12)) + passage[k : 215 + 2 * k] + " ".join(word() for _ in range(12)) for k in range(24)]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3])] + list(enumerate(texts[4:]))
+    seen = collections.Counter(t.encode()[p : p + 200] for _, t in rows for p in range(len(t) - 199))
+    want = collections.Counter()
+    for i, t in rows:
+        b, gone = t.encode(), set()
+        for p in range(len(b) - 199):
+            if seen[b[p : p + 200]] > 1:
+                gone.update(range(p, p + 200))
+        want[(i, len(b), len(gone), bytes(x for k, x in enumerate(b) if k not in gone))] += 1
+    docs = spark.createDataFrame([(*x, "y") for x in rows], "doc_id long, text string, n_spans string")
+    results = []
+    for border in (1, 23, 24, 25, 26, 1 << 20):
+        monkeypatch.setattr(suffix_dedup, "HOT_SEGMENTS", border)
+        found = suffix_dedup.remove_repeats(spark, docs.drop("n_spans") if border == 1 else docs).collect()
+        results.append(collections.Counter((x.doc_id, x.n_bytes, x.n_bytes - len(x.kept), bytes(x.kept)) for x in found))
+    assert all(x == want for x in results)
+
+
+def test_equal_suffixes_are_those_of_a_sorted_list():
+    r = np.random.default_rng(7)
+    flat = np.tile(r.integers(0, 2, 90, dtype=np.uint8), 30) ^ (r.random(2700) < 0.004).astype(np.uint8)
+    start = r.permutation(2500)[:1500]
+    group = r.integers(0, 3, 1500)
+    keys = [(g, flat[s : s + 200].tobytes()) for s, g in zip(start, group, strict=True)]
+    count = collections.Counter(keys)
+    assert suffix_dedup.equal_suffixes(flat, start, group).tolist() == [count[k] > 1 for k in keys] and max(count.values()) > 1
