@@ -11,6 +11,7 @@ from pathlib import Path
 from typing import Any
 from urllib.parse import urljoin, urlparse
 
+from . import validators
 from .functions import uritemplate
 from .functions.types import BOUNDS, LENGTHS, REGISTRY, Compiled, compile_datatype
 from .sources.dialect import Dialect
@@ -96,7 +97,10 @@ class NaturalLanguage:
             return v
         listed = lambda x: [y for y in (x if isinstance(x, list) else [x]) if isinstance(y, str)]
         if isinstance(v, dict):
-            return cls({k: listed(x) for k, x in v.items()})
+            for k in v:
+                if not validators.is_language(k):
+                    warnings.warn(f"not a language tag: {k}", stacklevel=2)
+            return cls({k: listed(x) for k, x in v.items() if validators.is_language(k)})
         if isinstance(v, (str, list)):
             return cls({"und": listed(v)})
         warnings.warn(f"not a natural language property: {v!r}", stacklevel=2)
@@ -164,13 +168,13 @@ class Description:
         rest = {}
         for k, x in v.items():
             if k in INHERITED:
-                self.own[k] = x
+                self.own[k] = validators.inherited_property(k, x)
             elif k.startswith("@"):
-                self.at[k] = x
+                self.at[k] = validators.at_property(k, x, type(self).__name__)
             elif k in known:
                 rest[k] = x
             elif ":" in k:
-                self.common[k] = x
+                self.common[k] = validators.common_property(x, NAMESPACES)
             else:
                 warnings.warn(f"unknown property: {k}", stacklevel=3)
         if "null" in self.own:
@@ -232,6 +236,12 @@ class Column(Description):
     def has_title(self, text: str) -> bool:
         return self.name == text or (self.titles is not None and any(x == text for _, x in self.titles.all()))
 
+    def title_language(self, text: str) -> str | None:
+        """The language in which a text is a title of the column, if it is not its name."""
+        if self.name == text or self.titles is None:
+            return None
+        return next((lang for lang, x in self.titles.all() if x == text), None)
+
     def asdict(self) -> dict:
         d = {"name": self.name, "titles": self.titles.asdict() if self.titles else None, "virtual": self.virtual or None, "suppressOutput": self.suppress_output or None}
         return {**{k: v for k, v in d.items() if v is not None}, **self._json()}
@@ -332,6 +342,10 @@ class Table(Description):
         made.dialect = Dialect.of(rest["dialect"], described=True) if "dialect" in rest else None
         made.notes, made.suppress_output = rest.get("notes") or [], bool(rest.get("suppressOutput"))
         made.inert = {k: rest[k] for k in ("tableDirection", "transformations") if k in rest}
+        if "transformations" in made.inert:
+            made.inert["transformations"] = validators.transformations(made.inert["transformations"])
+        if made.inert.get("tableDirection", "auto") not in ("rtl", "ltr", "auto"):
+            warnings.warn(f"not a value of tableDirection: {made.inert.pop('tableDirection')!r}", stacklevel=2)
         return made
 
     @property

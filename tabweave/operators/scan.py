@@ -112,6 +112,9 @@ def match_header(table: Table, header: list[str] | None, strict: bool = True) ->
         c = columns[i] if i < len(columns) else None
         if c is not None and not c.has_title(h):
             warnings.warn(f"{table.url}: column {i + 1} is titled {h}", stacklevel=3)
+        lang = c.title_language(h) if c is not None else None
+        if lang and lang.split("-")[0] not in ("und", table.inherit("lang").split("-")[0]):
+            warnings.warn(f"{table.url}: column {i + 1} is titled in {lang}", stacklevel=3)
         out.append((c.header if c else f"_col.{i + 1}", c))
     return out
 

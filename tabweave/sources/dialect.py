@@ -49,6 +49,11 @@ class Dialect:
             return v
         start = cls(comment_prefix=None) if described else cls()
         good: dict[str, Any] = {}
+        if v is not None and not isinstance(v, dict):
+            warnings.warn(f"not a dialect: {v!r}", stacklevel=2)
+            v = {}
+        if (v or {}).get("@type", "Dialect") != "Dialect":
+            raise ValueError(f"@type of a Dialect is {v['@type']!r}")
         for key, value in (v or {}).items():
             if key.startswith("@"):
                 continue
