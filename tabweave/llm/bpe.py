@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_process, slices, small_batches, text_of
+from .common import lean, per_process, slices, small_batches, text_of
 
 CHUNK_CHARS, OVERLAP = 32_768, 512
 #: A match may depend on so many characters behind its end: contractions look two ahead.
@@ -223,13 +223,13 @@ def _long_texts(whole: DataFrame, ranks: bytes, pattern: str, chunk_chars: int,
     chunk = F.substring("_tw_text", F.col("_start") + 1, F.lit(chunk_chars + overlap))
     chunks = chunks.select("_tw_row", F.when(F.col("_number") == 0, F.col("_tw_rest")).alias("_tw_rest"), "_number", "_start", chunk.alias("_chunk"))
     ints = T.ArrayType(T.IntegerType())
-    dealt = chunks.repartition("_tw_row", "_number").mapInArrow(_bound_chunks(pattern, alike), T.StructType([*chunks.schema.fields, T.StructField("_bounds", ints)]))
+    dealt = chunks.repartition("_tw_row", "_number").mapInArrow(*lean(_bound_chunks(pattern, alike), T.StructType([*chunks.schema.fields, T.StructField("_bounds", ints)])))
     parts = F.struct("_number", F.col("_start").alias("start"), F.col("_chunk").alias("chunk"), F.col("_bounds").alias("bounds"))
     first = F.first("_tw_rest", ignorenulls=True).alias("_tw_rest")
     gathered = dealt.groupBy("_tw_row").agg(first, F.sort_array(F.collect_list(parts)).alias("_chunks"))
     head = [gathered.schema["_tw_row"], gathered.schema["_tw_rest"], T.StructField("_number", T.IntegerType())]
-    stretches = gathered.mapInArrow(_stitch_rows(pattern, alike), T.StructType([*head, T.StructField("_stretch", T.StringType()), T.StructField("_cuts", ints)]))
-    encoded = stretches.repartition("_tw_row", "_number").mapInArrow(_encode_pieces(ranks, pattern), T.StructType([*head, T.StructField("_ids", ints)]))
+    stretches = gathered.mapInArrow(*lean(_stitch_rows(pattern, alike), T.StructType([*head, T.StructField("_stretch", T.StringType()), T.StructField("_cuts", ints)])))
+    encoded = stretches.repartition("_tw_row", "_number").mapInArrow(*lean(_encode_pieces(ranks, pattern), T.StructType([*head, T.StructField("_ids", ints)])))
     joined = encoded.groupBy("_tw_row").agg(first, F.sort_array(F.collect_list(F.struct("_number", "_ids"))).alias("_all"))
     return joined.select(*[F.col(f"_tw_rest.`{n}`").alias(n) for n in rest], F.flatten(F.col("_all._ids")).alias("_ids"))
 
@@ -255,7 +255,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, tex
     def run(batches):
         return back(ids(batches)) if back else ids(batches)
 
-    short = whole.filter(F.length("_tw_text") <= chunk_chars).mapInArrow(run, T.StructType(fields))
+    short = whole.filter(F.length("_tw_text") <= chunk_chars).mapInArrow(*lean(run, T.StructType(fields)))
     long = _long_texts(whole, ranks, pattern, chunk_chars, overlap, [f.name for f in rest]).withColumnRenamed("_ids", out)
     return short.unionByName(decode(long, ranks, out, decoded) if decoded else long)
 
@@ -263,7 +263,7 @@ def encode(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str, tex
 def decode(tokens: DataFrame, ranks: bytes, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add ``out``: the bytes (binary) of the ids, concatenated.  Null ids give null."""
     fields = [f for f in tokens.schema.fields if f.name != out]
-    return tokens.mapInArrow(_decode_lists(ranks, ids, out), T.StructType([*fields, T.StructField(out, T.BinaryType())]))
+    return tokens.mapInArrow(*lean(_decode_lists(ranks, ids, out), T.StructType([*fields, T.StructField(out, T.BinaryType())])))
 
 
 def digests(spark: SparkSession, docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:

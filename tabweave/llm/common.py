@@ -51,6 +51,25 @@ def per_process(name: str, build: Callable[[], object]) -> object:
     return held[name]
 
 
+def lean(run: Callable, schema) -> tuple:
+    """The arguments of ``mapInArrow`` for a function whose process gives its memory back.
+
+    Worker processes are used again and again; without this, what one task has freed stays
+    with its process beside what the next tasks of others need."""
+
+    def trimmed(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return trimmed, schema
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20):
     """Cut a batch so that a slice holds about ``most`` bytes of a column, or one row."""
     data, n = batch.column(batch.schema.get_field_index(column)), batch.num_rows
@@ -115,7 +134,7 @@ def rank_within(spark: SparkSession, df: DataFrame, groups: list[str], order: li
     keys = groups or ["_all"]
     sort = [*groups, *order]
     schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_first", T.BooleanType())])
-    ranked = df.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(_rank_rows(keys), schema)
+    ranked = df.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(*lean(_rank_rows(keys), schema))
     staged = stage(spark, ranked, "rank")
     group = F.struct(*keys)
     edge = F.struct(*[F.col(f) for f in order], "_local")

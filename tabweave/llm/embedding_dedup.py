@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import lean, stage, unstage
 from .graph import components
 
 THRESHOLD = 0.93
@@ -251,18 +251,18 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     shared, n_cells = spark.sparkContext.broadcast(chosen), 1 + max((int(cells.max()) for cells, _ in chosen.values()), default=-1)
     narrow = classes.select("c", "part", "vector", "m")
     radius, homes, visits = np.zeros(n_cells), np.zeros(n_cells, np.int64), np.zeros(n_cells, np.int64)
-    found = narrow.mapInArrow(_homes(shared, threshold), "part string, cell int, radius double, n long")
+    found = narrow.mapInArrow(*lean(_homes(shared, threshold), "part string, cell int, radius double, n long"))
     found = stage(spark, found.groupBy("part", "cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")), "homes")
     for r in found.filter("cell >= 0").collect():
         radius[r.cell], homes[r.cell] = r.radius, r.n
     # Of labels without pivots only those that have to be cut are told: one for MOST_CHUNK vectors at most.
     undivided = {r.part: _chunks(r.n) for r in found.filter((F.col("cell") < 0) & (F.col("n") > MOST_CHUNK)).collect()}
-    for r in narrow.mapInArrow(_visitors(shared, threshold, radius), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in narrow.mapInArrow(*lean(_visitors(shared, threshold, radius), "cell int, n long")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         visits[r.cell] = r.n
     home_chunks = np.array([_chunks(k) for k in homes], np.int64)
     visit_chunks = np.array([_chunks(k) if k else 0 for k in visits], np.int64)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields)
-    dealt = narrow.mapInArrow(_deal(shared, threshold, radius, home_chunks, visit_chunks, undivided), f"{kinds}, cell int, i int, j int, side int")
+    dealt = narrow.mapInArrow(*lean(_deal(shared, threshold, radius, home_chunks, visit_chunks, undivided), f"{kinds}, cell int, i int, j int, side int"))
     joined = dealt.groupBy("part", "cell", "i", "j").applyInArrow(_join_block(threshold), "c long, links long, root long")
     joined = stage(spark, joined, "block-links")
     counts = joined.filter("root is null").groupBy("c").agg(F.sum("links").alias("links"))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage, unstage
+from .common import lean, stage, unstage
 
 
 def _local_stars(batches):
@@ -39,7 +39,7 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 100) ->
     the partition of a node that very many others point to.  No links give no rows.
     """
     edges = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).filter("a < b")
-    edges = stage(spark, edges.mapInArrow(_local_stars, "a long, b long"), "links")
+    edges = stage(spark, edges.mapInArrow(*lean(_local_stars, "a long, b long")), "links")
     state = None
     for _ in range(max_rounds):
         # Large star: every node hands its larger neighbours to its smallest neighbour.
@@ -53,7 +53,7 @@ def components(spark: SparkSession, links: DataFrame, max_rounds: int = 100) ->
         # Small star: every node hands its smaller neighbours, and itself, to the smallest.
         least = stage(spark, new.groupBy("b").agg(F.min("a").alias("m")), "small-min")
         other = new.join(least, "b").filter("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = stage(spark, least.select(F.col("m").alias("a"), "b").union(other).distinct().mapInArrow(_local_stars, "a long, b long"), "small")
+        edges = stage(spark, least.select(F.col("m").alias("a"), "b").union(other).distinct().mapInArrow(*lean(_local_stars, "a long, b long")), "small")
         for df in (least, new):
             unstage(spark, df)
         s = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

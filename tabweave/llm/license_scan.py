@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, text_of
+from .common import lean, slices, small_batches, text_of
 from .license_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels; fixed values.
@@ -90,7 +90,7 @@ def word_frequencies(docs: DataFrame, templates, text: str = "text") -> dict[byt
                         counts.update(whole.intersection(words_of(block)))
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
-    counted = docs.select(text_of(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = docs.select(text_of(text).alias("t")).mapInArrow(*lean(run, "word binary, n long")).groupBy("word").agg(F.sum("n").alias("n")).collect()
     return {w: 0 for w in vocabulary} | {bytes(r.word): r.n for r in counted}
 
 
@@ -193,7 +193,7 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, text: str = "text", temp
     none = F.create_map().cast(_FOUND)
     rows = docs.select(*[f.name for f in rest], text_of(text).alias("_tw_text"), none.alias("_tw_found"))
     for part in parts[:-1]:
-        rows = rows.mapInArrow(_scan_part(*part), rows.schema)
+        rows = rows.mapInArrow(*lean(_scan_part(*part), rows.schema))
     last = parts[-1]
 
     def scan(t: str, before: list) -> tuple:
@@ -213,4 +213,4 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, text: str = "text", temp
             columns = list(zip(*made, strict=True)) if made else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([*b.columns[:-2], *(pa.array(list(c), kind) for c, kind in zip(columns, kinds.values(), strict=True))], names=[*b.schema.names[:-2], *kinds])
 
-    return rows.mapInArrow(run, T.StructType([*rest, *[T.StructField(n, types[kind]) for n, kind in kinds.items()]]))
+    return rows.mapInArrow(*lean(run, T.StructType([*rest, *[T.StructField(n, types[kind]) for n, kind in kinds.items()]])))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, small_batches, stage, text_of
+from .common import lean, slices, small_batches, stage, text_of
 from .graph import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -46,7 +46,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
             made = [fingerprint(t) for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.array(made, np.uint64).view(np.int64))], names=[*b.schema.names[:-1], out])
 
-    return docs.select(*[f.name for f in rest], text_of(text).alias("_text")).mapInArrow(run, T.StructType([*rest, T.StructField(out, T.LongType())]))
+    return docs.select(*[f.name for f in rest], text_of(text).alias("_text")).mapInArrow(*lean(run, T.StructType([*rest, T.StructField(out, T.LongType())])))
 
 
 def ball(fp: str, radius: int):

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import per_process, slices, small_batches, stage, text_of, unstage
+from .common import lean, per_process, slices, small_batches, stage, text_of, unstage
 
 WINDOW, TOKEN = 200, 48
 #: Windows of a text that are worked on at a time; bounds memory for very long texts.
@@ -183,10 +183,10 @@ def _compare_neighbours(batches):
 def repeated_segments(spark: SparkSession, keyed: DataFrame) -> DataFrame:
     """Segments whose token is met elsewhere; ``equal`` if the whole segment is."""
     # Staged, as the splitters are sampled from it before it is dealt out.
-    found = stage(spark, keyed.select("k", "c", "data").mapInArrow(_segment_rows, _SEGMENT), "segments")
+    found = stage(spark, keyed.select("k", "c", "data").mapInArrow(*lean(_segment_rows, _SEGMENT)), "segments")
     order = ["token", "whole", "whole2", "k", "first"]
     dealt = found.repartitionByRange(*order).sortWithinPartitions(*order)
-    met = stage(spark, dealt.mapInArrow(_compare_neighbours, f"{_SEGMENT}, met boolean, equal boolean, edge byte, pid int"), "met")
+    met = stage(spark, dealt.mapInArrow(*lean(_compare_neighbours, f"{_SEGMENT}, met boolean, equal boolean, edge byte, pid int")), "met")
     unstage(spark, found)
     # Across the boundaries of buckets: two rows a bucket.
     ends = met.filter("edge > 0").select("pid", "edge", "token", "whole", "whole2").orderBy("pid", "edge").collect()
@@ -355,14 +355,14 @@ def _explode_windows(batches):
 def _split_segments(spark: SparkSession, segments: DataFrame) -> DataFrame:
     """(k, c, first, n): repeated windows of the segments of hot tokens, by counting alone."""
     here = F.struct("k", "c", "first")
-    slices = stage(spark, segments.mapInArrow(_slices, "w1 long, w2 long, c1 long, c2 long, k long, c long, first int, n int, data binary"), "slices")
+    slices = stage(spark, segments.mapInArrow(*lean(_slices, "w1 long, w2 long, c1 long, c2 long, k long, c long, first int, n int, data binary")), "slices")
     wholes = stage(spark, slices.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("m"), F.min(here).alias("kind")).filter("m > 1"), "wholes")
     marked = stage(spark, slices.join(wholes, ["w1", "w2"], "left"), "marked")
     equal = marked.filter("m > 1").select("k", "c", "first", "n")
     # Undecided: slices met once, together with one of each kind of equal ones.
     kinds = marked.filter(F.col("m").isNull() | (here == F.col("kind"))).select("c1", "c2", "k", "c", "first", "data", F.col("m").isNull().cast("int").alias("open"))
     cores = stage(spark, kinds.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n"), F.sum("open").alias("open")).filter("n > 1 and open > 0").select("c1", "c2"), "cores")
-    windows = stage(spark, kinds.join(cores, ["c1", "c2"], "left_semi").mapInArrow(_explode_windows, "one long, two long, k long, c long, first int"), "windows")
+    windows = stage(spark, kinds.join(cores, ["c1", "c2"], "left_semi").mapInArrow(*lean(_explode_windows, "one long, two long, k long, c long, first int")), "windows")
     twice = stage(spark, windows.groupBy("one", "two").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("one", "two"), "twice")
     return equal.union(windows.join(twice, ["one", "two"], "left_semi").select("k", "c", "first", F.lit(1).alias("n")))
 
@@ -380,10 +380,10 @@ def repeated_windows(spark: SparkSession, docs: DataFrame, key: str = "doc_id")
     tokens = some.groupBy("token").agg(F.count(F.lit(1)).alias("m"), F.sum("open").alias("open")).filter("open > 0 and m > 1")
     tokens = stage(spark, tokens.select("token", (F.col("m") > HOT_SEGMENTS).alias("hot")), "tokens")
     parts = some.drop("open").join(tokens, "token").groupBy("k", "c").agg(F.collect_set(F.struct("first", "n", "at", "token", "hot")).alias("parts"))
-    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(_context_rows, "token long, hot boolean, k long, c long, first int, at short, data binary")
+    fetched = keyed.select("k", "c", "data").join(parts.hint("shuffle_hash"), ["k", "c"]).select("k", "c", "data", "parts").mapInArrow(*lean(_context_rows, "token long, hot boolean, k long, c long, first int, at short, data binary"))
     fetched = stage(spark, fetched, "contexts")
     runs = "k long, c long, first int, n int"
-    cold = fetched.filter("not hot").repartitionByRange("token").sortWithinPartitions("token").select("token", "k", "c", "first", "at", "data").mapInArrow(_sort_windows, runs)
+    cold = fetched.filter("not hot").repartitionByRange("token").sortWithinPartitions("token").select("token", "k", "c", "first", "at", "data").mapInArrow(*lean(_sort_windows, runs))
     split = _split_segments(spark, fetched.filter("hot").select("k", "c", "first", "at", "data"))
     equal = met.filter("equal").select("k", "c", "first", F.col("n").cast("int").alias("n"))
     return equal.union(cold).union(split)
@@ -430,7 +430,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, key: str = "doc_id", te
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(rest)], *columns], names=[*part.schema.names[: len(rest)], *added])
 
     kinds = (T.StringType() if as_text else T.BinaryType(), T.LongType(), T.LongType())
-    return joined.mapInArrow(cut, T.StructType([*rest, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]]))
+    return joined.mapInArrow(*lean(cut, T.StructType([*rest, *[T.StructField(n, k) for n, k in zip(added, kinds, strict=True)]])))
 
 
 def digests(spark: SparkSession, docs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, stage, unstage
+from .common import ascii_lower, lean, stage, unstage
 
 #: Bytes of the bit arrays that are sent to all tasks at a time.
 MAX_FILTER_BYTES = 1 << 26
@@ -110,7 +110,7 @@ def _encode(spark: SparkSession, keys: DataFrame, n: int, level: int, rate: floa
             at = np.unique(np.concatenate(_positions(h1, h2, level, bits, probes))) if len(h1) else np.empty(0, np.uint64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (at & np.uint64(63))).view(np.int64))], names=["word", "mask"])
 
-    merged = keys.select("h1", "h2").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    merged = keys.select("h1", "h2").mapInArrow(*lean(words, "word long, mask long")).groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     field = np.zeros(-(-bits // 64), np.uint64)
     field[merged.column("word").to_numpy()] = merged.column("mask").to_numpy().view(np.uint64)
     return Level(bits, probes, field.tobytes())
@@ -123,7 +123,7 @@ def _accepted(keys: DataFrame, level: Level, k: int) -> DataFrame:
             ok = level.accepts(b.column(i["h1"]).to_numpy(zero_copy_only=False), b.column(i["h2"]).to_numpy(zero_copy_only=False), k)
             yield b.filter(pa.array(ok))
 
-    return keys.mapInArrow(run, keys.schema)
+    return keys.mapInArrow(*lean(run, keys.schema))
 
 
 def _hashed(keys: DataFrame) -> DataFrame:
@@ -206,7 +206,7 @@ def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade, p
             yield pa.RecordBatch.from_arrays([*(b.column(j) for j in keep), pa.array(first.astype(np.int32)), pa.array(marked)], names=[*(b.schema.names[j] for j in keep), "_rule", "_marked"])
 
     fields = [f for f in rows.schema.fields if f.name not in ("_h1", "_h2", "_rule", "_marked")]
-    return rows.mapInArrow(run, T.StructType([*fields, T.StructField("_rule", T.IntegerType()), T.StructField("_marked", T.BooleanType())]))
+    return rows.mapInArrow(*lean(run, T.StructType([*fields, T.StructField("_rule", T.IntegerType()), T.StructField("_marked", T.BooleanType())])))
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
