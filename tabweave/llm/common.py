@@ -6,6 +6,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import types
 from collections.abc import Callable
@@ -35,7 +36,8 @@ def small_batches(spark: SparkSession) -> None:
     and in Python.  A smaller setting of the user's stays.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(str(spark.conf.get(name, f"{BATCH_BYTES + 1}b")).rstrip("bB")) > BATCH_BYTES:
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", str(spark.conf.get(name, "64m")).lower()).groups()
+    if int(number) << 10 * " kmgt".index(unit or " ") > BATCH_BYTES:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
