@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, embedding_dedup, license_scan, mixing, quality, sharding, simhash, suffix_dedup, url_cascade
+from . import bpe, chat, compression_classifier, embedding_dedup, lexical_search, license_scan, mixing, quality, sharding, simhash, suffix_dedup, token_alignment, url_cascade
 
 #: The rules of the URL query, in the form verdict, host and path.
 URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -63,7 +63,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(spark, _read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing, op10_suffix_dedup)}
+def tokenizers() -> token_alignment.Tokenizers:
+    """The two public tokenizers that are aligned."""
+    import public_tokenizers
+
+    read = lambda name: bpe.read_ranks(public_tokenizers.path(name))
+    return token_alignment.Tokenizers(read("byte_bpe_50k.json"), public_tokenizers.PATTERN, read("piece_bpe_32k.model"))
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(spark, _read(spark, sf_dir, "documents"), tokenizers())
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.classify(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_embedding_dedup, op2_simhash_dedup, op3_url_filter, op4_bpe, op5_chat_format, op6_quality_rules, op7_license_scan, op8_sharding, op9_mixing, op10_suffix_dedup, op11_token_alignment, op12_lexical_search, op13_quality_classifier)}
 _LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _STOP_WORDS = ", ".join(f"'{w}'" for w in sorted({w for words in quality.STOP_WORDS.values() for w in words.split()}))
 _RULES = ", ".join("('{}', '{}', '{}')".format(r.verdict, r.host, r.path) for r in (url_cascade.parse_rule(*x) for x in URL_RULES))
@@ -91,4 +111,13 @@ ORACLE_SQL: dict[str, str] = {
         b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
             NOT base_failed AND word_chars / n_words BETWEEN 1.5 AND 40 AND n_symbols / n_words <= 0.5 AND n_dup_lines / n_lines <= 0.7 AND n_dots / n_lines <= 0.9 AND prose AS kept FROM b""",
+    "op12_lexical_search": rf"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+        tf AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY ALL), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY ALL),
+        s AS (SELECT count(*) AS nn, CAST(sum(n) AS BIGINT) AS l FROM n),
+        w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, s GROUP BY term),
+        q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_LETTERS}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * nn) // l)))) AS BIGINT) AS score
+              FROM q JOIN w USING (term) JOIN tf USING (term) JOIN n USING (doc_id), s GROUP BY ALL)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 50""",
 }
