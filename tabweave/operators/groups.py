@@ -6,8 +6,7 @@ import os
 import shutil
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from ..model import TableGroup, is_url
 from ..sources import dsv
@@ -20,8 +19,8 @@ def read_group(spark: SparkSession, group: TableGroup, strict_header: bool = Tru
 
 
 def write_group(group: TableGroup, frames: dict[str, DataFrame], description: str | Path, zipped: bool = False, folders: bool = False) -> dict[str, int]:
-    """Write the description and, beside it, the file of each table that has a frame; with
-    ``folders`` a folder of parts for each, written in parallel, which a scan reads as well.
+    """Write the description and, beside it, the file of each table that has a frame (by tasks, part
+    by part, then joined); with ``folders`` a folder of parts for each, which a scan reads as well.
 
     Returns the number of rows written by URL."""
     folder = Path(description).parent
@@ -32,10 +31,9 @@ def write_group(group: TableGroup, frames: dict[str, DataFrame], description: st
             where = folder / t.url
             where.parent.mkdir(parents=True, exist_ok=True)
             if folders:
-                seen = Observation(f"rows of {t.url}")
-                made = texts(t, frames[t.url]).observe(seen, F.count(F.lit(1)).alias("n"))
-                dsv.write_dir(made, str(where), t.effective_dialect)
-                counts[t.url] = seen.get["n"]
+                df = frames[t.url]
+                made = texts(t, df.orderBy("rownum") if "rownum" in df.columns else df)
+                counts[t.url] = dsv.write_dir(made, str(where), t.effective_dialect)
                 continue
             counts[t.url] = write_table(t, frames[t.url], str(where), zipped)
     group.to_file(description)

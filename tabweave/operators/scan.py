@@ -241,7 +241,8 @@ def scan_frame(table: Table, df: DataFrame) -> Scan:
 
 
 def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None, strict_header: bool = True, one_line: bool = False) -> Scan:
-    """Scan a table's delimited file (or files of one form, each with its own header).
+    """Scan a table's delimited file (or files of one form, each with its own header): ``rownum``
+    counts the rows of all files, ``sourcenum`` the lines of each.
 
     With ``one_line`` the caller declares that no cell holds a line break, that headers need no
     check and that no row number is needed; plain dialects are then read by Spark's splittable reader."""
@@ -250,12 +251,11 @@ def scan(spark: SparkSession, table: Table, path: str | list[str] | None = None,
     if one_line and d.plain and columns and isinstance(where, str):
         return scan_frame(table, dsv.read_plain(spark, where, [c.header for c in columns], d, one_line=True))
     where = dsv.fetched(spark, [where] if isinstance(where, str) else list(where))
-    rows = dsv.read_cells(spark, where, d).filter(~F.col("is_comment"))
+    rows = dsv.table_rows(dsv.read_cells(spark, where, d), d.header)
     header = None
     if d.header:
         first = dsv.first_cells(spark, where[0], d)
         header = list(first) if first is not None else [c.header for c in columns]
-        rows = rows.filter("rownum > 1").withColumn("rownum", F.col("rownum") - 1)
     elif not columns:
         width = rows.agg(F.max(F.size("cells"))).first()[0] or 0
         header = [""] * width

@@ -1,7 +1,8 @@
 """Exact reading and writing of delimited files.
 
-:func:`read_cells` gives rows of ``(url, rownum, sourcenum, is_comment, cells)``: comments,
-skipped rows, blank rows, line numbers of rows with line breaks in cells.  Files in UTF-8 are
+:func:`read_cells` gives rows of ``(url, rownum, sourcenum, is_comment, cells)`` with
+``rows_before`` and ``files_before``: comments, skipped rows, blank rows, line numbers of rows
+with line breaks in cells; :func:`table_rows` numbers them over all files.  Files in UTF-8 are
 read in parallel, block by block (see :mod:`.split`).  The format ``dsv``, a Python data source
 with one partition for each file, reads the rest: other encodings and zipped members.
 """
@@ -14,6 +15,7 @@ import json
 import os
 import re
 import shutil
+import warnings
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -22,10 +24,11 @@ from typing import Any
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..staging import drop_path, join_files, new_path, part_files, write_bytes
 from .dialect import Dialect, normal_name
 
 CELLS = "url string, rownum long, sourcenum long, is_comment boolean, cells array<string>"
@@ -107,30 +110,72 @@ def fetched(spark: SparkSession, paths: list[str]) -> list[str]:
     read there like any other file."""
     from ..discover import fetch
     from ..model import is_url
-    from ..staging import write_bytes
 
     return [write_bytes(spark, fetch(p), "fetched.csv") if is_url(p) else p for p in paths]
 
 
 def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | None = None) -> DataFrame:
-    """All rows of delimited files (or folders of them) as cells, comments included and marked."""
+    """All rows of delimited files (or folders of them) as cells, comments included and marked.
+
+    ``rownum`` and ``sourcenum`` count the rows and lines of each file; ``rows_before`` and
+    ``files_before`` are the rows of all files before it, and how many of these have rows.  Files come in
+    the order of ``paths``, those of a folder by name."""
     from .split import read_split, splittable
 
     d = dialect or Dialect()
     paths = fetched(spark, [paths] if isinstance(paths, str) else list(paths))
     whole = [p for p in paths if not splittable(d) or _zipped(p)]
     split = [p for p in paths if p not in whole]
-    found = []
+    found, totals = [], {}
     if split:
-        rows = read_split(spark, split, d)
-        whole += split if rows is None else []
-        found += [] if rows is None else [rows.withColumn("url", F.lit(split[0])) if len(split) == 1 and os.path.isfile(split[0]) else rows]
+        read = read_split(spark, split, d)
+        if read is None:
+            whole += split
+        else:
+            rows, totals = read
+            named = len(split) == 1 and os.path.isfile(split[0])
+            found.append(rows.withColumn("url", F.lit(split[0])) if named else rows)
+            totals = {split[0]: n for n in totals.values()} if named else totals
     if whole:
         spark.dataSource.register(DsvSource)
         local = [re.sub("^file:/*(?=/)", "", p) for p in whole]
         options = {"dialect": json.dumps(d.asdict(full=True)), "paths": json.dumps(local)}
-        found.append(spark.read.format("dsv").options(**options).load())
-    return reduce(DataFrame.union, found)
+        rows = spark.read.format("dsv").options(**options).load()
+        found.append(rows)
+        if len(paths) > 1:
+            totals |= dict(rows.filter(~F.col("is_comment")).groupBy("url").count().collect())
+    return _placed(spark, reduce(DataFrame.union, found), paths, totals)
+
+
+def _bare_path(path: str) -> str:
+    return re.sub("^file:/*(?=/)", "", path).rstrip("/")
+
+
+def _placed(spark: SparkSession, rows: DataFrame, paths: list[str], totals: dict[str, int]) -> DataFrame:
+    """Add what the files before a row's file hold: sums over one row a file, which are sent to all tasks."""
+    if len(totals) < 2:
+        return rows.withColumns({"rows_before": F.lit(0).cast("long"), "files_before": F.lit(0).cast("long")})
+    given = [_bare_path(p) for p in paths]
+
+    def order(url: str) -> tuple[int, str]:
+        bare = _bare_path(url)
+        return next((i for i, p in enumerate(given) if bare == p or bare.startswith(f"{p}/")), len(given)), url
+
+    table, before = [], 0
+    for k, url in enumerate(sorted(totals, key=order)):
+        table.append((url, before, k))
+        before += totals[url]
+    return rows.join(F.broadcast(spark.createDataFrame(table, "url string, rows_before long, files_before long")), "url", "left")
+
+
+def table_rows(rows: DataFrame, header: bool) -> DataFrame:
+    """Rows of :func:`read_cells` without comments (and without the header of each file), numbered
+    over all files."""
+    body = rows.filter(~F.col("is_comment"))
+    number = F.col("rows_before") + F.col("rownum")
+    if header:
+        body, number = body.filter("rownum > 1"), number - F.col("files_before") - 1
+    return body.withColumn("rownum", number).drop("rows_before", "files_before")
 
 
 def first_cells(spark: SparkSession, path: str, d: Dialect) -> list[str] | None:
@@ -159,17 +204,18 @@ def read_dsv(spark: SparkSession, paths: str | list[str], dialect: Dialect | Non
     (a column for each header, made an identifier).
 
     Surplus cells go under ``restkey`` (joined by the delimiter) or are left out; missing
-    ones are ``restval``.  The header is the first row of the first file.
+    ones are ``restval``.  The header is the first row of the first file; every file has one.  Rows are
+    numbered over all files, without headers where they go by name.
     """
     d = dialect or Dialect()
-    rows = read_cells(spark, paths, d).filter(~F.col("is_comment"))
+    rows = read_cells(spark, paths, d)
     if as_ == "cells":
-        return rows.select("rownum", "sourcenum", "cells")
+        return table_rows(rows, False).select("rownum", "sourcenum", "cells")
     if as_ not in ("dicts", "names"):
         raise ValueError(f"rows are cells, dicts or names, not {as_}")
-    first = rows.orderBy("url", "rownum").select("cells").first()
+    first = rows.filter("not is_comment and rownum = 1 and files_before = 0").select("cells").first()
     header = list(first.cells) if first else []
-    body = rows.filter((F.col("rownum") > 1) & (F.size("cells") > 0))
+    body = table_rows(rows, True).filter(F.size("cells") > 0)
     cell = [F.coalesce(F.get("cells", F.lit(i)), F.lit(restval)) for i in range(len(header))]
     rest = F.array_join(F.slice("cells", len(header) + 1, F.greatest(F.size("cells") - len(header), F.lit(0))), d.delimiter)
     if as_ == "names":
@@ -181,18 +227,20 @@ def read_dsv(spark: SparkSession, paths: str | list[str], dialect: Dialect | Non
     return body.select("rownum", "sourcenum", entries.alias("row"))
 
 
-# Writing: text is made by expressions; Spark's text sink writes parts, or one file is named.
+# Writing: expressions make the lines, Spark's text sink writes them, part by part.
 
 
 def csv_line(cells: list[Column], d: Dialect) -> Column:
-    """One line of a delimited file, quoted where it has to be."""
+    """One line of a delimited file, quoted where it has to be; null cells are empty."""
+    cells = [F.coalesce(c, F.lit("")) for c in cells]
+    special = "[" + "".join(f"\\{c}" for c in (d.delimiter, *([d.quote_char] if d.quote_char else ()))) + r"\r\n]" + (r"|\\" if not d.double_quote else "") + ("|^ " if d.skip_initial_space else "")
     if d.quote_char is None:
-        return F.concat_ws(d.delimiter, *cells)
+        lost = F.raise_error(F.lit("a cell holds a delimiter or a line break, and the dialect has no quotes"))
+        return F.concat_ws(d.delimiter, *[F.when(c.rlike(special), lost).otherwise(c) for c in cells])
     q = d.quote_char
     inner = (lambda c: F.replace(c, F.lit(q), F.lit(q + q))) if d.double_quote else (lambda c: F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit(q), F.lit("\\" + q)))
-    special = "[" + "".join(f"\\{c}" for c in (d.delimiter, q)) + r"\r\n]" + (r"|\\" if not d.double_quote else "")
     comment = (lambda c: c.startswith(d.comment_prefix)) if d.comment_prefix else (lambda c: F.lit(False))
-    quoted = [F.when(F.coalesce(c, F.lit("")).rlike(special) | comment(F.coalesce(c, F.lit(""))), F.concat(F.lit(q), inner(c), F.lit(q))).otherwise(F.coalesce(c, F.lit(""))) for c in cells]
+    quoted = [F.when(c.rlike(special) | comment(c), F.concat(F.lit(q), inner(c), F.lit(q))).otherwise(c) for c in cells]
     if len(quoted) == 1:  # a lone empty cell would be a blank line
         quoted = [F.when(quoted[0] == "", F.lit(q + q)).otherwise(quoted[0])]
     return F.concat_ws(d.delimiter, *quoted)
@@ -204,25 +252,67 @@ def _plain_line(cells: list[str], d: Dialect) -> str:
     return out.getvalue()
 
 
-def write_dir(df: DataFrame, path: str, d: Dialect | None = None, header: bool | None = None) -> None:
-    """A folder of delimited parts, in parallel; every part has the header if there is one."""
+def _lines_of(df: DataFrame, d: Dialect) -> DataFrame:
+    """Rows as lines; a row whose first cell would be read as a comment is an error, as it would be lost."""
+    cells = [F.col(f"`{c}`").cast("string") for c in df.columns]
+    line = csv_line(cells, d)
+    if d.comment_prefix:
+        if df.columns and df.columns[0].startswith(d.comment_prefix) and d.header:
+            raise ValueError(f"the header would be read as a comment: {df.columns[0]}")
+        line = F.when(cells[0].startswith(d.comment_prefix), F.raise_error(F.concat(F.lit("a row would be read as a comment: "), cells[0]))).otherwise(line)
+    if d.trim != "false":
+        warnings.warn(f"blanks around cells are lost when they are read with trim {d.trim}", stacklevel=3)
+    return df.select(line.alias("value"))
+
+
+def _utf8(d: Dialect) -> bool:
+    return d.python_encoding == "utf-8-sig"
+
+
+def _write_lines(lines: DataFrame, path: str, end: str) -> None:
+    """A folder of parts in UTF-8: each task writes its own, and only those of tasks that succeed count."""
+    lines.write.mode("overwrite").text(path, lineSep=end)
+
+
+def write_dir(df: DataFrame, path: str, d: Dialect | None = None, header: bool | None = None) -> int:
+    """A folder of delimited parts in UTF-8, written in parallel, each with the header if there is
+    one; returns the number of rows.  Every text of a cell is read back as it was."""
     d = d or Dialect()
-    options = {"sep": d.delimiter, "quote": d.quote_char or "\u0000", "escape": d.quote_char or "\\", "emptyValue": "", "nullValue": "", "header": str(d.header if header is None else header).lower(), "encoding": d.encoding}
-    df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns]).write.mode("overwrite").options(**options).csv(path)
+    if not _utf8(d):
+        raise ValueError(f"parts are written in UTF-8, not {d.encoding}")
+    end, head = d.line_terminators[0], _plain_line(list(df.columns), d)
+    seen = Observation(f"rows of {path}")
+    lines = _lines_of(df, d).observe(seen, F.count(F.lit(1)).alias("n"))
+    if d.header if header is None else header:
+        first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+        lines = lines.select(F.when(first, F.concat(F.lit(head + end), "value")).otherwise(F.col("value")).alias("value"))
+    _write_lines(lines, path, end)
+    if not seen.get["n"] and (d.header if header is None else header):
+        _write_lines(df.sparkSession.createDataFrame([(head,)], "value string").coalesce(1), path, end)
+    return seen.get["n"]
 
 
 def write_file(df: DataFrame, path: str | None, d: Dialect | None = None, zipped: bool = False, order: list[str] | None = None) -> bytes | int:
-    """One delimited file, written partition after partition; its rows come to the driver one
-    partition at a time.  Returns the number of rows, or the bytes if ``path`` is None."""
+    """One delimited file; returns the number of rows, or the bytes if ``path`` is None.
+
+    Tasks write its parts, in the order of the rows, into the shared folder, and the parts are joined
+    there; no row comes to the driver.  Bytes, zipped files and encodings other than UTF-8 are made
+    by the driver, which takes one partition at a time."""
     d = d or Dialect()
-    lines = df.orderBy(*order) if order else df
-    lines = lines.select(csv_line([F.col(f"`{c}`").cast("string") for c in df.columns], d).alias("line"))
-    end, encoding, n = d.line_terminators[0], d.python_encoding.replace("utf-8-sig", "utf-8"), 0
-    sink: Any = io.BytesIO() if path is None or zipped else open(f"{path}.part", "wb")
-    if d.header:
-        sink.write((_plain_line(list(df.columns), d) + end).encode(encoding))
+    lines = _lines_of(df.orderBy(*order) if order else df, d)
+    end, encoding = d.line_terminators[0], d.python_encoding.replace("utf-8-sig", "utf-8")
+    head = [(_plain_line(list(df.columns), d) + end).encode(encoding)] if d.header else []
+    if path is not None and not zipped and _utf8(d):
+        spark, parts, seen = df.sparkSession, new_path(df.sparkSession, "parts"), Observation(f"rows of {path}")
+        _write_lines(lines.observe(seen, F.count(F.lit(1)).alias("n")), parts, end)
+        join_files(spark, [*head, *part_files(spark, parts)], path)
+        drop_path(spark, parts)
+        return seen.get["n"]
+    n, sink = 0, io.BytesIO() if path is None or zipped else open(f"{path}.part", "wb")
+    for data in head:
+        sink.write(data)
     for row in lines.toLocalIterator():
-        sink.write((row.line + end).encode(encoding))
+        sink.write((row.value + end).encode(encoding))
         n += 1
     if path is None:
         return sink.getvalue()
@@ -261,14 +351,12 @@ def visit_rows(rows: DataFrame, visitor: Callable[[int, list[str]], list[str] |
             made = [(n, c) for n, c in made if c is not None]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in made], pa.int64()), pa.array([c for _, c in made], pa.list_(pa.string()))], names=["rownum", "cells"])
 
-    return rows.filter(~F.col("is_comment")).select("rownum", "cells").mapInArrow(run, "rownum long, cells array<string>")
+    return table_rows(rows, False).select("rownum", "cells").mapInArrow(run, "rownum long, cells array<string>")
 
 
 def filter_rows(df: DataFrame, keep: Column | Callable[[dict], bool], counter: str | None = None) -> tuple[DataFrame, Any]:
     """Rows that satisfy ``keep`` (a predicate, or a Python function of the row as a dict) and
     an observation whose ``get`` tells how many were removed, once the result was written."""
-    from pyspark.sql import Observation
-
     if not isinstance(keep, Column):
         function = keep
 

@@ -51,6 +51,38 @@ def write_bytes(spark: SparkSession, data: bytes, label: str) -> str:
     return target.toString()
 
 
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that Spark has written into a folder, in the order of their partitions."""
+    target, store = _place(spark, path)
+    found = [f.getPath() for f in store.listStatus(target) if f.isFile() and re.match(r"part-\d+", f.getPath().getName())]
+    return [f.toString() for f in sorted(found, key=lambda f: (int(re.match(r"part-(\d+)", f.getName())[1]), f.getName()))]
+
+
+def join_files(spark: SparkSession, pieces: list[str | bytes], path: str) -> None:
+    """One file of the bytes and files given, one behind the other, under a name that it gets once it is
+    whole.  Bytes are copied from store to store in blocks; neither rows nor files are held."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    part, store = _place(spark, f"{path}.part-{uuid.uuid4().hex}")
+    out = store.create(part)
+    try:
+        for piece in pieces:
+            if isinstance(piece, bytes):
+                out.write(bytearray(piece))
+                continue
+            source, its_store = _place(spark, piece)
+            stream = its_store.open(source)
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, conf, False)
+            finally:
+                stream.close()
+    finally:
+        out.close()
+    target, _ = _place(spark, path)
+    store.delete(target, False)
+    if not store.rename(part, target):
+        raise OSError(f"{part} could not be renamed to {path}")
+
+
 def stage(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and return the table that was written.
 
@@ -68,6 +100,11 @@ def stage(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -
 def unstage(spark: SparkSession, df: DataFrame) -> None:
     """Delete a staged table that nothing will read any more."""
     if path := getattr(df, "staged_path", None):
-        target, store = _place(spark, path)
-        store.delete(target, True)
-        store.cancelDeleteOnExit(target)
+        drop_path(spark, path)
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder or file made by :func:`new_path`."""
+    target, store = _place(spark, path)
+    store.delete(target, True)
+    store.cancelDeleteOnExit(target)
