@@ -33,6 +33,11 @@ class DateFormat:
         middle = "'T'" if self.separator == "T" else self.separator
         return (self.date or "") + middle + (self.time or "") + (f"[.{'S' * self.fraction}]" if self.fraction else "")
 
+    @property
+    def castable(self) -> bool:
+        """Is a text of this form one that a cast reads, which costs less than a pattern?"""
+        return self.date == "yyyy-MM-dd" and self.time in (None, "HH:mm:ss") and self.fraction <= 6
+
     @property
     def lexical(self) -> str:
         body = _FIELD.sub(lambda m: _LEXICAL[m[0]], re.escape(self.date or "").replace(r"\-", "-"))

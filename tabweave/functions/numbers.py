@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -74,13 +75,27 @@ def plain_number(text: Column, f: NumberFormat) -> Column:
     return F.translate(text, f.group + f.point, ",.")
 
 
+def rarely(text: Column, build: Callable[[Column], Column]) -> Column:
+    """What ``build`` makes of a text that few cells have: as a function over a list of one item it stays
+    out of the generated code, whose methods are compiled only while they are short."""
+    return F.get(F.transform(F.array(text), build), F.lit(0))
+
+
 def parse_decimal(text: Column, f: NumberFormat, scale: int = 18) -> Column:
     """decimal(38, scale), null if malformed: exponents and doubled group characters are, and
-    so is a number with more digits than the type holds."""
-    plain = plain_number(text, f)
+    so is a number with more digits than the type holds.
+
+    Digits with a point or without are read at once, all else (percent, groups without a pattern,
+    many zeros) the long way."""
+    plain, kind = plain_number(text, f), f"decimal(38,{scale})"
+    bare = F.translate(plain, ",", "") if f.pattern and f.grouping() else plain
+    common = rf"^[+-]?\d{{1,{38 - scale}}}" + (rf"(?:\.\d{{1,{scale}}})?\z" if scale else r"\z")
+    value = F.when(bare.rlike(common), bare.try_cast(kind)).otherwise(rarely(plain, lambda x: _any_decimal(x, scale)))
+    return F.when(plain.rlike(f.regex()), value) if f.pattern else value
+
+
+def _any_decimal(plain: Column, scale: int) -> Column:
     ok = plain.rlike(r"^(?!.*,,)(?=.*\d)[+\-%‰]?[\d,]*\.?\d*[%‰]?\z")
-    if f.pattern:
-        ok = ok & plain.rlike(f.regex())
     bare = F.translate(plain, ",%‰", "")
 
     def held(behind: int) -> Column:

@@ -12,13 +12,13 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import DateFormat, parse_format
-from .numbers import PATTERN_CHARS, NumberFormat, format_decimal, parse_decimal, plain_number
+from .numbers import PATTERN_CHARS, NumberFormat, format_decimal, parse_decimal, plain_number, rarely
 
 BOUNDS = ("minimum", "minInclusive", "minExclusive", "maximum", "maxInclusive", "maxExclusive")
 LENGTHS = ("length", "minLength", "maxLength")
@@ -128,27 +128,25 @@ def _decimal(name: str, fmt: object) -> Compiled:
 
 
 def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[str, object], Compiled]:
-    """Whole numbers; the text decides the sign, the type or one comparison the size."""
+    """Whole numbers; the type or a comparison decides about the size."""
+    # What a type cannot hold is null by itself.
+    held = {"bigint": (-(2**63), 2**63 - 1), "smallint": (-(2**15), 2**15 - 1), "tinyint": (-128, 127)}.get(spark_type, (None, None))
+
     def build(name: str, fmt: object) -> Compiled:
         f = _number_format(fmt)
 
+        def long_way(plain: Column) -> Column:
+            # Groups and percent; whole if nothing but zeros stands behind the point.
+            return F.regexp_extract(parse_decimal(plain, NumberFormat(), 3).cast("string"), r"^(-?\d+)(?:\.0*)?\z", 1).try_cast(spark_type)
+
         def parse(c: Column) -> Column:
             plain = plain_number(c, f)
-            # The common form; anything else (groups, percent) goes the long way, and is whole
-            # if nothing but zeros stands behind the point.
-            simple = F.substring_index(plain, ".", 1).try_cast(spark_type)
-            long_way = F.regexp_extract(parse_decimal(c, f, 3).cast("string"), r"^(-?\d+)(?:\.0*)?\z", 1).try_cast(spark_type)
-            value = long_way if f.pattern else F.when(plain.rlike(r"^[+-]?\d+(?:\.0*)?\z"), simple).otherwise(long_way)
-            if low == 0:
-                value = F.when(~c.rlike("^-.*[1-9]"), value)
-            elif low == 1:
-                value = F.when(c.rlike("[1-9]") & ~c.startswith("-"), value)
-            if high == 0:
-                value = F.when(c.startswith("-") | ~c.rlike("[1-9]"), value)
-            elif high == -1:
-                value = F.when(c.rlike("^-.*[1-9]"), value)
-            elif high is not None and spark_type not in ("bigint", "smallint", "tinyint") or (low == 0 and high is not None):
-                value = F.when(value <= F.lit(str(high)).cast("decimal(20,0)"), value)
+            bare = F.translate(plain, ",", "") if f.pattern and f.grouping() else plain
+            value = F.when(bare.rlike(r"^[+-]?\d+(?:\.0*)?\z"), F.substring_index(bare, ".", 1).try_cast(spark_type)).otherwise(rarely(plain, long_way))
+            value = F.when(plain.rlike(f.regex()), value) if f.pattern else value
+            for bound, fits in ((low, lambda v, b: v >= b), (high, lambda v, b: v <= b)):
+                if bound is not None and bound not in held:
+                    value = F.when(fits(value, F.lit(bound) if abs(bound) < 2**31 else F.lit(str(bound)).cast("decimal(20,0)")), value)
             return value
 
         return Compiled(name, spark_type, parse, lambda v: format_decimal(v.cast("decimal(38,0)"), f))
@@ -165,11 +163,10 @@ def _float(name: str, fmt: object) -> Compiled:
 
     def parse(c: Column) -> Column:
         # Casts also take a type's suffix, hexadecimal digits, blanks and names of infinity.
-        plain = F.translate(c, "%‰,", "") if f.pattern else c
-        c = F.when(plain.rlike(_FLOAT) | c.isin("INF", "+INF", "-INF", "NaN"), c)
-        value = F.regexp_replace(c, r"^[+-]?INF\z", "Infinity").try_cast("double")
-        value = F.when(c == "-INF", F.lit(float("-inf"))).when(c.rlike(r"^[+]?INF\z"), F.lit(float("inf"))).otherwise(value)
-        return F.when(c.rlike(f.regex()) | c.isin("INF", "-INF", "NaN"), value) if f.pattern else value
+        fits = c.rlike(f.regex()) & F.translate(c, "%‰,", "").rlike(_FLOAT) if f.pattern else c.rlike(_FLOAT)
+        special = F.when(c == "NaN", F.lit(float("nan"))).when(c == "-INF", F.lit(float("-inf")))
+        special = special.when(c.isin("INF") if f.pattern else c.isin("INF", "+INF"), F.lit(float("inf")))
+        return F.when(fits, c.try_cast("double")).otherwise(special)
 
     def show(v: Column) -> Column:
         text = F.regexp_replace(v.cast("string"), r"\.0$", "")
@@ -228,7 +225,8 @@ def _datetime(needs_zone: bool) -> Callable[[str, object], Compiled]:
             if f is None:
                 iso = rf"{_ISO}{_OFFSET}" if needs_zone else rf"{_ISO}\z"
                 return F.when(c.rlike(iso), F.regexp_extract(c, _ISO, 1).try_cast("timestamp_ntz"))
-            return F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), F.try_to_timestamp(_clock(c, f), F.lit(f.spark)).cast("timestamp_ntz"))
+            clock = _clock(c, f).try_cast("timestamp_ntz") if f.castable else F.try_to_timestamp(_clock(c, f), F.lit(f.spark)).cast("timestamp_ntz")
+            return F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), clock)
 
         def shown(v: Column) -> Column:
             return iso_text(v) if f is None else F.date_format(v, f.spark.replace("[", "").replace("]", ""))
@@ -252,7 +250,8 @@ def _date(name: str, fmt: object) -> Compiled:
     except ValueError:
         warnings.warn(f"not a date format: {fmt}", stacklevel=3)
         f = parse_format("yyyy-MM-dd")
-    day = lambda c: F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), F.try_to_date(_clock(c, f), f.date))
+    read = lambda c: c.try_cast("date") if f.castable else F.try_to_date(c, f.date)
+    day = lambda c: F.when(c.rlike(rf"^{f.lexical}{f.zone_regex if f.zone else ''}\z"), read(_clock(c, f)))
     if not f.zone:
         return Compiled(name, "date", day, lambda v: F.date_format(v, f.date))
     parse = lambda c: F.when(day(c).isNotNull(), F.struct(day(c).alias("local"), _zone(F.regexp_extract(c, f"({f.zone_regex})" + r"\z", 1)).alias("zone")))
@@ -356,10 +355,15 @@ def schema_predicate(at: Column, schema: dict | bool) -> Column:
     """
     if isinstance(schema, bool):
         return F.lit(schema)
+    # The kind of a document is worked out once, as a field of a function's variable.
+    told = F.array(F.struct(at.alias("at"), F.coalesce(F.schema_of_variant(at), F.lit("")).alias("kind")))
+    return F.coalesce(F.exists(told, lambda x: _predicate(x["at"], x["kind"], schema)), F.lit(False))
+
+
+def _predicate(at: Column, kind: Column, schema: dict) -> Column:
     known, ok = set(_SAYS_NOTHING), F.lit(True)
-    kind = F.regexp_extract(F.coalesce(F.schema_of_variant(at), F.lit("")), "^([A-Z]+)", 1)
     # A null inside a document is a variant of its own kind, with no value of any type.
-    is_a = lambda *names: kind.isin([n for t in names for n in _KINDS.get(t, [])])
+    is_a = lambda *names: reduce(or_, [kind.startswith(n) for t in names for n in _KINDS.get(t, [])], F.lit(False))
 
     def fits(sub: dict | bool) -> Callable[[Column], Column]:
         return lambda x: schema_predicate(x, sub)
@@ -406,11 +410,17 @@ def schema_predicate(at: Column, schema: dict | bool) -> Column:
         ok = ok & (items.isNull() | F.exists(items, fits(sub)))
     for _, unique in take("uniqueItems"):
         ok = ok & (items.isNull() | (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) == F.size(items)) if unique else F.lit(True))
+    def member(name: str) -> Column:
+        """A key's value, null if there is none: by its path, or of all entries where no path names it."""
+        if '"' in name or "\\" in name:
+            return F.try_element_at(entries, F.lit(name))
+        return F.try_variant_get(at, f'$["{name}"]', "variant")
+
     for _, names in take("required"):
-        ok = ok & (entries.isNull() | F.forall(F.array(*[F.lit(n) for n in names]).cast("array<string>"), lambda n: F.map_contains_key(entries, n)))
+        ok = ok & (reduce(and_, [member(n).isNotNull() for n in names], F.lit(True)) | ~is_a("object"))
     named = next((x for _, x in take("properties")), {})
     for key, sub in named.items():
-        ok = ok & (entries.isNull() | ~F.map_contains_key(entries, F.lit(key)) | schema_predicate(F.try_element_at(entries, F.lit(key)), sub))
+        ok = ok & (member(key).isNull() | schema_predicate(member(key), sub) | ~is_a("object"))
     matched = next((x for _, x in take("patternProperties")), {})
     for pattern, sub in matched.items():
         ok = ok & (entries.isNull() | F.forall(F.map_values(F.map_filter(entries, key_is_like(pattern, True))), fits(sub)))

@@ -25,10 +25,16 @@ MOST_NESTED = 4
 _BARE = ("decimal", "double", "bigint", "int", "smallint", "tinyint", "boolean")
 
 
+def _quoted(text: Expr) -> Expr:
+    """A text as a JSON string; most need no escapes."""
+    escaped = F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]\z", "")
+    return F.when(text.rlike(r'["\\\x00-\x1F\x7F]'), escaped).otherwise(F.concat(F.lit('"'), text, F.lit('"')))
+
+
 def literal(column: Column, value: Expr) -> Expr:
     """The JSON text of one value: numbers and booleans bare, all else quoted."""
     kind = compiled_type(column)
-    quoted = lambda text: F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2)
+    quoted = _quoted
     base = (column.inherit("datatype") or Datatype()).base
     if base == "json":
         return value
@@ -76,12 +82,6 @@ def _resolved(table: Table, template: str, values: dict[str, Expr]) -> Expr:
     return F.when(made.rlike("^[a-z][a-z0-9+.-]*:"), made).otherwise(F.concat(F.lit(base), made))
 
 
-def _quoted(text: Expr) -> Expr:
-    """A text as a JSON string."""
-    listed = F.to_json(F.array(text))
-    return F.when(text.isNotNull(), F.substring(listed, F.lit(2), F.length(listed) - 2))
-
-
 @dataclass(frozen=True)
 class Entry:
     """A cell as property name and JSON text, null if the cell is left out; of a list, its items

@@ -41,7 +41,7 @@ def rows_of(lines: Iterable[str], d: Dialect, before: int = 0) -> Iterator[tuple
     Skipped rows that hold anything become comments; a comment's cells are its text without
     the prefix.
     """
-    reader = csv.reader(lines, **d.csv_options())
+    reader, as_is = csv.reader(lines, **d.csv_options()), d.trim == "false" and not d.skip_columns
     for cells in reader:
         number = before + reader.line_num
         if d.comment_prefix and cells and cells[0].startswith(d.comment_prefix):
@@ -50,7 +50,7 @@ def rows_of(lines: Iterable[str], d: Dialect, before: int = 0) -> Iterator[tuple
             if any(cells):
                 yield number, True, [d.delimiter.join(cells)]
         elif not d.skip_blank_rows or any(cells):
-            yield number, False, [d.trimmed(c) for c in cells][d.skip_columns :]
+            yield number, False, cells if as_is else [d.trimmed(c) for c in cells][d.skip_columns :]
 
 
 def open_text(path: str, encoding: str) -> io.TextIOBase:

@@ -22,6 +22,7 @@ import io
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ from .dialect import Dialect
 
 #: Rows that are handed to Spark at a time.
 ROWS = 2_000
+#: Lines of which one that is no row by itself decides how all are read.
+FIRST_LINES = 500
 #: Blocks with parts of rows that are named in a filter; of more, all blocks are looked through.
 FEW_BLOCKS = 1_000
 _BLOCKS = "url string, at long, lines long, end_out boolean, rows_out long, open_out boolean, broken_out boolean, end_in boolean, rows_in long, open_in boolean, broken_in boolean, closes boolean"
@@ -293,6 +296,15 @@ def _made(rows: list, schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
+def _cells_batch(url: str, rownum: int, rows: tuple) -> pa.RecordBatch:
+    """Rows of a file as they come from ``rows_of``, after ``rownum`` that are no comments."""
+    numbers, comments, cells = zip(*rows)
+    comments = np.array(comments, bool)
+    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(c) for c in cells])), pa.int32()), pa.array([c for x in cells for c in x], pa.string()))
+    columns = [pa.repeat(pa.scalar(url, pa.string()), len(cells)), pa.array(rownum + np.cumsum(~comments)), pa.array(numbers, pa.int64()), pa.array(comments), listed]
+    return pa.RecordBatch.from_arrays(columns, names=["url", "rownum", "sourcenum", "is_comment", "cells"])
+
+
 def _summaries(d: Dialect, by_line: bool):
     """One row a block.  Unless ``by_line``, a guess under which counting quotes cannot tell is given up:
     mostly it is the wrong one, which nobody asks for."""
@@ -356,7 +368,7 @@ def _parse(d: Dialect, shared):
     from .dsv import rows_of
 
     def run(batches):
-        plan, quoting, out = shared.value, Quoting(d), []
+        plan, quoting = shared.value, Quoting(d)
         for url, at, runs in _blocks(batches):
             inside, before, rownum = plan[(url, at)][:3]
             earlier, held = inside, []
@@ -371,14 +383,10 @@ def _parse(d: Dialect, shared):
                     continue
                 cut = int(ends[-1]) + 1 if len(ends) else 0
                 whole, held = (held + lines[:cut], lines[cut:]) if cut else ([], held + lines)
-                for number, comment, cells in rows_of(whole, d, before):
-                    rownum += not comment
-                    out.append((url, rownum, number, comment, cells))
-                    if len(out) >= ROWS:
-                        yield _made(out, _CELLS)
-                        out = []
+                for some in batched(rows_of(whole, d, before), ROWS):
+                    yield _cells_batch(url, rownum, some)
+                    rownum += sum(not comment for _, comment, _ in some)
                 before += len(whole)
-        yield _made(out, _CELLS)
 
     return run
 
@@ -457,7 +465,8 @@ def read_split(spark: SparkSession, paths: list[str], d: Dialect) -> tuple[DataF
     """(cells, rows of each file that has any) of files, or folders of them, that Spark reads; None if
     a file's skipped rows do not all stand in its first block.  Rows are numbered in each file."""
     lines = _lines(spark, paths)
-    if _native(d):
+    # A look at the first lines saves the pass over all of them where it cannot help.
+    if _native(d) and lines.select("value").limit(FIRST_LINES).filter(_strange(d, _bare(F.regexp_replace("value", "^\ufeff", "")))).isEmpty():
         blocks = _plain_blocks(lines, d)
         if not any(b.odd for b in blocks):
             totals: dict[str, int] = {}
