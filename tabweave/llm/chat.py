@@ -18,7 +18,7 @@ _CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>|\|)")
 _ROLE_CONTROL = re.compile(r"\\|#(?=##)|<(?=/turn>|\|)|:")
 _HEAD = re.compile(r"### ((?:\\.|[^\\:])*): ", re.DOTALL)
 _BODY = re.compile(r"((?:[^\\<]+|\\.|(?!</turn>\n)<)*)</turn>\n", re.DOTALL)
-_PLACEHOLDER = re.compile(r"(\\.)|<\|(?:image|audio|document):\d+\|>", re.DOTALL)
+_PLACEHOLDER = re.compile(r"(\\.)|<\|(?:image|audio|document|other):\d+\|>", re.DOTALL)
 
 
 def escape(text: str, control: re.Pattern = _CONTROL) -> str:
@@ -34,7 +34,8 @@ class PartVisitor:
 
     ``visit`` returns the runs of a turn: (is text, string).  Attachments get consecutive
     numbers over the conversation and the number of tokens that their placeholder expands to:
-    an image one for each patch of 14 by 14 pixels, audio 25 a second, a document 512 a page.
+    an image one for each patch of 14 by 14 pixels, audio 25 a second, a document 512 a page.  A part
+    of any other kind is an attachment of that kind and one token, and its text, if any, follows it.
     """
 
     def __init__(self) -> None:
@@ -44,20 +45,24 @@ class PartVisitor:
         runs: list[tuple[bool, str]] = []
         for part in parts or []:
             kind = part["type"] or "text"
-            made = getattr(self, f"visit_{kind}", self.visit_unknown)(part)
-            if isinstance(made, str):
+            known = kind in ("text", "image", "audio", "document")
+            made = getattr(self, f"visit_{kind}" if known else "visit_other")(part)
+            if not isinstance(made, str):
+                name = kind if known else "other"
+                self.attachments.append({"turn": turn, "kind": kind, "ref": part["ref"], "number": len(self.attachments), "tokens": made})
+                runs.append((False, f"<|{name}:{len(self.attachments) - 1}|>"))
+                made = None if known else part["text"]
+            if made is not None:
                 if runs and runs[-1][0]:
                     made = runs.pop()[1] + made  # escaped together: a control string may begin in one part and end in the next
                 runs.append((True, made))
-            else:
-                self.attachments.append({"turn": turn, "kind": kind, "ref": part["ref"], "number": len(self.attachments), "tokens": made})
-                runs.append((False, f"<|{kind}:{len(self.attachments) - 1}|>"))
         return runs
 
     def visit_text(self, part: dict) -> str:
         return part["text"] or ""
 
-    visit_unknown = visit_text
+    def visit_other(self, part: dict) -> int:
+        return 1
 
     def visit_image(self, part: dict) -> int:
         return max(1, math.ceil((part["width"] or 0) / 14) * math.ceil((part["height"] or 0) / 14))
@@ -124,7 +129,8 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
     Turns stand in the order of ``turn`` (nulls first; ties by role and parts, so repeated
     rows stand side by side and each counts).  A null conv_id is a conversation of its own,
-    null parts or text are empty, a null role is an empty one.  An empty table gives an empty
+    null parts or text are empty, a null role is an empty one; parts of unknown kinds are kept as
+    attachments.  An empty table gives an empty
     table.  The rows are dealt by conversation and sorted; a task holds one conversation at a
     time, which is one row of the result, so no conversation may exceed what a row can hold.
     """

@@ -116,7 +116,7 @@ def _rank_rows(groups: list[str]):
             in_first = np.where(begin >= 0, (begin == 0) & (not started), first)
             last, seen, first, started = tuple(c[n - 1].as_py() for c in columns), int(local[-1]) + 1, bool(in_first[-1]), True
             more = [pa.array(np.full(n, pid, np.int32)), pa.array(local.astype(np.int64)), pa.array(in_first)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_pid", "_local", "_first"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "_tw_pid", "_tw_local", "_tw_first"])
 
     return run
 
@@ -132,34 +132,34 @@ def rank_within(spark: SparkSession, df: DataFrame, groups: list[str], order: li
     that tie in all columns of ``order`` get different ranks in an arbitrary order.  The
     result is read from a staged table, so reruns of a lost task see the same ranks.
     """
-    df = df.withColumn("_all", F.lit(0)) if not groups else df
-    keys = groups or ["_all"]
+    df = df.withColumn("_tw_all", F.lit(0)) if not groups else df
+    keys = groups or ["_tw_all"]
     sort = [*groups, *order]
-    schema = T.StructType([*df.schema.fields, T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.LongType()), T.StructField("_first", T.BooleanType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("_tw_pid", T.IntegerType()), T.StructField("_tw_local", T.LongType()), T.StructField("_tw_first", T.BooleanType())])
     ranked = df.repartitionByRange(*sort).sortWithinPartitions(*sort).mapInArrow(*lean(_rank_rows(keys), schema))
     staged = stage(spark, ranked, "rank")
     group = F.struct(*keys)
-    edge = F.struct(*[F.col(f) for f in order], "_local")
+    edge = F.struct(*[F.col(f) for f in order], "_tw_local")
     edges = (
-        staged.groupBy("_pid")
+        staged.groupBy("_tw_pid")
         .agg(
             F.min(F.struct(group.alias("g"), edge.alias("o"))).alias("lo"),
             F.max(F.struct(group.alias("g"), edge.alias("o"))).alias("hi"),
-            F.sum(F.col("_first").cast("long")).alias("n_first"),
+            F.sum(F.col("_tw_first").cast("long")).alias("n_first"),
             F.count(F.lit(1)).alias("n"),
         )
-        .orderBy("_pid")
+        .orderBy("_tw_pid")
         .collect()
     )
     offsets, open_key, length = [], None, 0
     for e in edges:
         carried = length if e.lo.g == open_key else 0
-        offsets.append((e["_pid"], carried))
-        length = carried + e.n if e.n_first == e.n else e.hi.o["_local"] + 1
+        offsets.append((e["_tw_pid"], carried))
+        length = carried + e.n if e.n_first == e.n else e.hi.o["_tw_local"] + 1
         open_key = e.hi.g
-    table = spark.createDataFrame(offsets, "_pid int, _offset long")
+    table = spark.createDataFrame(offsets, "_tw_pid int, _tw_offset long")
     return (
-        staged.join(F.broadcast(table), "_pid", "left")
-        .withColumn(rank, F.col("_local") + F.when(F.col("_first"), F.coalesce("_offset", F.lit(0))).otherwise(F.lit(0)))
-        .drop("_pid", "_local", "_first", "_offset", "_all")
+        staged.join(F.broadcast(table), "_tw_pid", "left")
+        .withColumn(rank, F.col("_tw_local") + F.when(F.col("_tw_first"), F.coalesce("_tw_offset", F.lit(0))).otherwise(F.lit(0)))
+        .drop("_tw_pid", "_tw_local", "_tw_first", "_tw_offset", "_tw_all")
     )

@@ -30,6 +30,8 @@ MOST_VISITS, PROBES = 4.0, 1024
 #: A cell is cut into this many chunks, of a size within the bounds; pairs of chunks are blocks.
 CHUNKS, LEAST_CHUNK, MOST_CHUNK = 16, 512, 1 << 14
 TILE = 512
+#: Bytes of the five matrices of vectors by pivots that a worker holds, and of a chunk's vectors.
+MATRIX_BYTES, CHUNK_BYTES = 64 << 20, 64 << 20
 #: Rounding of distances; being generous here only replicates more.
 SLACK = 1e-9
 
@@ -64,6 +66,11 @@ class Pivots:
             by_part.setdefault(part, []).append((i, v / np.linalg.norm(v)))
         return {part: (np.array([i for i, _ in found]), np.stack([v for _, v in found])) for part, found in by_part.items()}
 
+    def rows_at_once(self, part: str) -> int:
+        """So many vectors that their matrices with all pivots of the part stay within ``MATRIX_BYTES``."""
+        n = len(self.parts[part][0]) if part in self.parts else 1
+        return max(1, min(2048, MATRIX_BYTES // (5 * 8 * n)))
+
     def home(self, part: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Cell and distance to its pivot; cell -1 for a part without pivots."""
         if part not in self.parts:
@@ -97,20 +104,25 @@ def choose_pivots(sample: list[tuple[str, list[float]]], probes: list[tuple[str,
     tests = Pivots.parts_of(probes)
     while True:
         parts = Pivots.parts_of(sample)
-        visits = sum(len(Pivots(parts, threshold).visits(part, x, None)[0]) for part, (_, x) in tests.items())
+        pivots = Pivots(parts, threshold)
+        visits = 0
+        for part, (_, x) in tests.items():
+            step = pivots.rows_at_once(part)
+            visits += sum(len(pivots.visits(part, x[at : at + step], None)[0]) for at in range(0, len(x), step))
         if visits <= MOST_VISITS * len(probes) or len(sample) <= 1:
             return parts
         sample = sample[: len(sample) // 2]
 
 
-def _parts(batch: pa.RecordBatch):
+def _parts(batch: pa.RecordBatch, pivots: Pivots):
     """Rows of a batch by part: (part, row numbers, unit vectors)."""
     names = np.array(batch.column(batch.schema.get_field_index("part")).to_pylist(), dtype=object)
     vectors = batch.column(batch.schema.get_field_index("vector"))
     for part in dict.fromkeys(names):
         rows = np.flatnonzero(names == part)
-        for at in range(0, len(rows), 2048):
-            some = rows[at : at + 2048]
+        step = pivots.rows_at_once(part)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
             yield part, some, unit_rows(vectors.take(pa.array(some)))
 
 
@@ -120,7 +132,7 @@ def _homes(shared, threshold: float):
     def run(batches):
         pivots = Pivots(shared.value, threshold)
         for b in batches:
-            for part, _, x in _parts(b):
+            for part, _, x in _parts(b, pivots):
                 cell, far = pivots.home(part, x)
                 found = pd.DataFrame({"cell": cell, "far": far}).groupby("cell").far.agg(["max", "size"]).reset_index()
                 names = pa.array([part if c < 0 else None for c in found["cell"]], pa.string())
@@ -133,15 +145,20 @@ def _visitors(shared, threshold: float, radius: np.ndarray):
     def run(batches):
         pivots = Pivots(shared.value, threshold)
         for b in batches:
-            for part, _, x in _parts(b):
+            for part, _, x in _parts(b, pivots):
                 cell, n = np.unique(pivots.visits(part, x, radius)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     return run
 
 
-def _chunks(n: int) -> int:
-    return max(1, math.ceil(n / min(MOST_CHUNK, max(LEAST_CHUNK, n / CHUNKS))))
+def _most(longest: int) -> int:
+    """Vectors of a chunk at most, by their number and their bytes."""
+    return max(1, min(MOST_CHUNK, CHUNK_BYTES // (8 * longest)))
+
+
+def _chunks(n: int, most: int) -> int:
+    return max(1, math.ceil(n / min(most, max(LEAST_CHUNK, n / CHUNKS))))
 
 
 def _deal(shared, threshold: float, radius: np.ndarray, home_chunks: np.ndarray, visit_chunks: np.ndarray, undivided: dict[str, int]):
@@ -152,7 +169,7 @@ def _deal(shared, threshold: float, radius: np.ndarray, home_chunks: np.ndarray,
         for b in batches:
             ids = b.column(b.schema.get_field_index("c")).to_numpy(zero_copy_only=False)
             mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
-            for part, rows, x in _parts(b):
+            for part, rows, x in _parts(b, pivots):
                 cell, _ = pivots.home(part, x)
                 out: list[tuple[int, int, int, int, int]] = []  # row, cell, block's two chunks, side
                 for k, c in enumerate(cell):
@@ -245,7 +262,7 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     grouped = fine.groupBy("h1", "h2").agg(F.first("part").alias("part"), F.first("vector").alias("vector"), F.min("vec_id").cast("long").alias("id"), F.count(F.lit(1)).alias("m"))
     classes = stage(spark, grouped.withColumn("c", F.monotonically_increasing_id()), "vectors")
     n, longest = classes.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(1))).first()
-    most = max(1, min(MAX_PIVOTS, MAX_VALUES // longest, n // per_pivot))
+    most, chunk = max(1, min(MAX_PIVOTS, MAX_VALUES // longest, n // per_pivot)), _most(longest)
     sample = [(r.part, r.vector) for r in classes.select("part", "vector", "h1", "h2").orderBy("h1", "h2").limit(most + PROBES).collect()]
     chosen = choose_pivots(sample[:most], sample[most:], threshold)
     shared, n_cells = spark.sparkContext.broadcast(chosen), 1 + max((int(cells.max()) for cells, _ in chosen.values()), default=-1)
@@ -255,12 +272,12 @@ def near_vectors(spark: SparkSession, vectors: DataFrame, threshold: float = THR
     found = stage(spark, found.groupBy("part", "cell").agg(F.max("radius").alias("radius"), F.sum("n").alias("n")), "homes")
     for r in found.filter("cell >= 0").collect():
         radius[r.cell], homes[r.cell] = r.radius, r.n
-    # Of labels without pivots only those that have to be cut are told: one for MOST_CHUNK vectors at most.
-    undivided = {r.part: _chunks(r.n) for r in found.filter((F.col("cell") < 0) & (F.col("n") > MOST_CHUNK)).collect()}
+    # Of labels without pivots only those that have to be cut are told: one for a chunk of vectors at most.
+    undivided = {r.part: _chunks(r.n, chunk) for r in found.filter((F.col("cell") < 0) & (F.col("n") > chunk)).collect()}
     for r in narrow.mapInArrow(*lean(_visitors(shared, threshold, radius), "cell int, n long")).groupBy("cell").agg(F.sum("n").alias("n")).collect():
         visits[r.cell] = r.n
-    home_chunks = np.array([_chunks(k) for k in homes], np.int64)
-    visit_chunks = np.array([_chunks(k) if k else 0 for k in visits], np.int64)
+    home_chunks = np.array([_chunks(k, chunk) for k in homes], np.int64)
+    visit_chunks = np.array([_chunks(k, chunk) if k else 0 for k in visits], np.int64)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in narrow.schema.fields)
     dealt = narrow.mapInArrow(*lean(_deal(shared, threshold, radius, home_chunks, visit_chunks, undivided), f"{kinds}, cell int, i int, j int, side int"))
     joined = dealt.groupBy("part", "cell", "i", "j").applyInArrow(_join_block(threshold), "c long, links long, root long")

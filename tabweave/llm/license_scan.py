@@ -7,7 +7,8 @@ is as many of its rarest words as leave fewer than the needed overlap outside, s
 shares a prefix word.  From the first shared prefix word on, the words still to come bound the
 overlap (positional filter), and a block with fewer distinct words than needed is skipped
 (length filter).  Templates are sent to all tasks, so no text is shuffled; where they outgrow
-``MAX_TEMPLATE_BYTES`` they are sent in several parts, with a pass over the texts for each.
+``MAX_TEMPLATE_BYTES`` they are sent in several parts, each in a pass of its own over the texts,
+whose result is written before the next begins, so that one part is in memory at a time.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean, slices, small_batches, text_of
+from .common import lean, slices, small_batches, stage, text_of, unstage
 from .license_texts import TEMPLATES
 
 #: Phrases whose places are counted, and their labels; fixed values.
@@ -98,7 +99,7 @@ class TemplateIndex:
     """Prefixes of the templates, over words in the global order."""
 
     def __init__(self, templates, frequency: dict[bytes, int], threshold: float):
-        order = {w: i for i, w in enumerate(sorted(frequency, key=lambda w: (frequency[w], w)))}
+        order = {w: i for i, w in enumerate(sorted(_vocabulary(templates), key=lambda w: (frequency[w], w)))}
         self.order, self.prefix = order, {}
         self.templates = []
         for label, text in templates:
@@ -193,7 +194,8 @@ def scan_licenses(spark: SparkSession, docs: DataFrame, text: str = "text", temp
     none = F.create_map().cast(_FOUND)
     rows = docs.select(*[f.name for f in rest], text_of(text).alias("_tw_text"), none.alias("_tw_found"))
     for part in parts[:-1]:
-        rows = rows.mapInArrow(*lean(_scan_part(*part), rows.schema))
+        earlier, rows = rows, stage(spark, rows.mapInArrow(*lean(_scan_part(*part), rows.schema)), "licenses")
+        unstage(spark, earlier)
     last = parts[-1]
 
     def scan(t: str, before: list) -> tuple:

@@ -64,7 +64,7 @@ def _weights(spark: SparkSession, sources: DataFrame, cap: int) -> DataFrame:
     Shares of sources at the cap are dealt anew among the others until none is above; only
     sums travel to the driver.
     """
-    ranked = rank_within(spark, sources, [], ["_null", "_source"], "_at").withColumn("weight", (F.col("_at") % 3 + 1).cast("double"))
+    ranked = rank_within(spark, sources, [], ["_tw_null", "_tw_source"], "_at").withColumn("weight", (F.col("_at") % 3 + 1).cast("double"))
     total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     limit, price = F.col("source_size") * F.lit(float(cap)), None
     while True:
@@ -83,7 +83,7 @@ def _fit_source(group: pd.DataFrame) -> pd.DataFrame:
     copies = int(target // size) if size else 0
     rest = round(target - copies * size)
     take = fit_budget(group["size"].to_numpy(np.int64), group["n"].to_numpy(np.int64), rest)
-    return pd.DataFrame({"_source": group["_source"], "_null": group["_null"], "size": group["size"], "source_size": group["source_size"], "target": group["target"], "_copies": copies, "_extra": take})
+    return pd.DataFrame({"_tw_source": group["_tw_source"], "_tw_null": group["_tw_null"], "size": group["size"], "source_size": group["source_size"], "target": group["target"], "_tw_copies": copies, "_tw_extra": take})
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3, seed: int = 9) -> DataFrame:
@@ -97,7 +97,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
 
     Null texts, and texts without words, have size 0 and take 0.  Repeated rows count and are
     selected one by one.  An empty table gives an empty table; columns named like a result are
-    replaced, others pass through (``_source``, ``_null``, ``_hash``, ``_hash2`` and ``_rank`` are
+    replaced, others pass through (``_tw_source``, ``_tw_null``, ``_tw_hash``, ``_tw_hash2`` and ``_tw_rank`` are
     reserved), and a text of any length is only counted.  A hot source, or one size that
     a third of all rows have, spreads over tasks (see ``rank_within``).
     """
@@ -105,23 +105,23 @@ def mix_sources(spark: SparkSession, docs: DataFrame, size: Column, cap: int = 3
     base = docs.select(
         *[c for c in docs.columns if c not in added],
         size.cast("long").alias("size"),
-        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_source"),
-        F.col("source").isNull().alias("_null"),
+        F.coalesce(F.col("source").cast("string"), F.lit("")).alias("_tw_source"),
+        F.col("source").isNull().alias("_tw_null"),
     )
-    keys = ["_null", "_source", "size"]
+    keys = ["_tw_null", "_tw_source", "size"]
     histogram = stage(spark, base.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), "histogram")
-    sources = histogram.groupBy("_null", "_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    sources = histogram.groupBy("_tw_null", "_tw_source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     targets = _weights(spark, sources, cap)
-    schema = "_source string, _null boolean, size long, source_size long, target double, _copies long, _extra long"
+    schema = "_tw_source string, _tw_null boolean, size long, source_size long, target double, _tw_copies long, _tw_extra long"
     # Dealt by a fixed number, as adaptive execution would put all sources into one task.
-    dealt = histogram.join(targets, ["_null", "_source"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_null", "_source")
-    fitted = dealt.groupBy("_null", "_source").applyInPandas(_fit_source, schema)
+    dealt = histogram.join(targets, ["_tw_null", "_tw_source"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "_tw_null", "_tw_source")
+    fitted = dealt.groupBy("_tw_null", "_tw_source").applyInPandas(_fit_source, schema)
     plan = stage(spark, fitted, "plan")
     # Two hashes of the whole row order rows of one size; rows that tie in both are equal.
     row = [c for c, kind in base.dtypes if not kind.startswith(("map", "variant"))]
-    hashed = base.withColumn("_hash", F.xxhash64(F.lit(seed), *row)).withColumn("_hash2", F.xxhash64(F.lit(seed + 1), *row))
-    ranked = rank_within(spark, hashed, keys, ["_hash", "_hash2"], "_rank")
-    times = F.col("_copies") + (F.col("_rank") < F.col("_extra")).cast("long")
+    hashed = base.withColumn("_tw_hash", F.xxhash64(F.lit(seed), *row)).withColumn("_tw_hash2", F.xxhash64(F.lit(seed + 1), *row))
+    ranked = rank_within(spark, hashed, keys, ["_tw_hash", "_tw_hash2"], "_tw_rank")
+    times = F.col("_tw_copies") + (F.col("_tw_rank") < F.col("_tw_extra")).cast("long")
     out = ranked.join(plan, keys).withColumn("copies", F.when(F.col("size") > 0, times).otherwise(F.lit(0).cast("long")))
     return out.select(*[c for c in docs.columns if c not in added], "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 

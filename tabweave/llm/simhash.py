@@ -50,19 +50,30 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp") -> DataFr
 
 
 def ball(fp: str, radius: int):
-    """Array of all values that differ from a long column in at most ``radius`` (0 or 1) bits."""
-    one = [F.col(fp).bitwiseXOR(F.lit(-(1 << 63) if i == 63 else 1 << i)) for i in range(64)] if radius else []
-    return F.array(F.col(fp), *one)
+    """Array of all values that differ from a long column in at most ``radius`` bits."""
+    bits = [F.lit(-(1 << 63) if i == 63 else 1 << i) for i in range(64)]
+    if radius < 2:
+        return F.array(F.col(fp), *[F.col(fp).bitwiseXOR(b) for b in bits[: 64 * radius]])
+    turned, values = F.array(*bits), F.array(F.col(fp))
+    for _ in range(radius):
+        values = F.array_distinct(F.flatten(F.transform(values, lambda v: F.concat(F.array(v), F.transform(turned, lambda b: v.bitwiseXOR(b))))))
+    return values
 
 
 def link_classes(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between the ``id`` of rows whose ``fp`` (all different) are near.
+    """Links (a, b) between the ``id`` of rows whose ``fp`` (all different) are near, for any radius.
 
     Each fingerprint emits every variant within half the radius; two fingerprints within the
-    radius share one.  A variant's bucket holds at most 65 fingerprints, whatever the data.
-    Each is linked with the one before it in its bucket, which connects the bucket; a link
-    is kept if the fingerprints really are within the radius.
+    radius share one.  A variant's bucket holds at most as many fingerprints as a ball has values (65
+    for a radius of 2), whatever the data.  All of a bucket are within an even radius, so each is linked
+    with the one before it in its bucket, which connects the bucket.  Of an odd radius one side emits
+    the larger half, and all pairs of the two sides that meet are verified.
     """
+    if radius % 2:
+        small, large = (classes.select(F.col("id").alias(x), F.col("fp").alias(f"fp_{x}"), F.explode(ball("fp", radius // 2 + k)).alias("variant")) for k, x in enumerate("ab"))
+        met = small.join(large, "variant").filter("a <> b")
+        near = met.filter(F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= radius).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        return near.distinct()
     variants = classes.select("id", "fp", F.explode(ball("fp", radius // 2)).alias("variant"))
     before = Window.partitionBy("variant").orderBy("fp")
     pairs = variants.select("id", "fp", F.lag("id").over(before).alias("other"), F.lag("fp").over(before).alias("other_fp"))

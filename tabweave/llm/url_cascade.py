@@ -56,10 +56,13 @@ def host_and_path(url: str = "url") -> tuple[Column, Column]:
 def candidate_keys(host: Column, path: Column, labels: list[int], lengths: list[int]) -> Column:
     """The keys that a rule could equal, the longest first; of equally long ones the longer host."""
     parts = F.split(host, r"\.")
-    suffixes = [F.when(F.size(parts) >= n, F.array_join(F.slice(parts, -n, n), ".")) for n in labels]
-    prefixes = [F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths]
-    keys = [F.when(s.isNotNull() & p.isNotNull(), F.struct(F.negative(F.length(s) + F.length(p)).alias("a"), F.negative(F.length(s)).alias("b"), F.concat(s, p).alias("key"))) for s in suffixes for p in prefixes]
-    return F.transform(F.sort_array(F.array_compact(F.array(*keys))), lambda x: x["key"])
+    whole = lambda numbers: F.array(*[F.lit(n) for n in numbers]).cast("array<int>")
+    suffixes = F.transform(F.filter(whole(labels), lambda n: n <= F.size(parts)), lambda n: F.array_join(F.slice(parts, -n, n), "."))
+    prefixes = F.transform(F.filter(whole(lengths), lambda n: n <= F.length(path)), lambda n: F.substring(path, F.lit(1), n))
+    # Functions over both arrays: the plan has the same size whatever the rules' depths and lengths.
+    pair = lambda s, p: F.struct(F.negative(F.length(s) + F.length(p)).alias("a"), F.negative(F.length(s)).alias("b"), F.concat(s, p).alias("key"))
+    keys = F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: pair(s, p))))
+    return F.transform(F.sort_array(keys), lambda x: x["key"])
 
 
 def _positions(h1: np.ndarray, h2: np.ndarray, level: int, bits: int, probes: int) -> list[np.ndarray]:
@@ -179,18 +182,18 @@ def build(spark: SparkSession, listed: DataFrame, universe: DataFrame) -> Cascad
 
 
 def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade, part: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Set ``_rule``, the place (from 0) of the first of the row's ``keys`` that is listed (-1
-    without one), and ``_marked``: does ``marks``, whose universe is what ``cascade`` lists,
+    """Set ``_tw_rule``, the place (from 0) of the first of the row's ``keys`` that is listed (-1
+    without one), and ``_tw_marked``: does ``marks``, whose universe is what ``cascade`` lists,
     list that key?  ``keys`` is an array of strings, ``part`` the slice of keys that the
     cascades decide; what other slices have found before counts too."""
-    rows = rows.withColumn("_h1", F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))).withColumn("_h2", F.transform(keys, lambda k: F.xxhash64(k, F.lit(2))))
+    rows = rows.withColumn("_tw_h1", F.transform(keys, lambda k: F.xxhash64(k, F.lit(1)))).withColumn("_tw_h2", F.transform(keys, lambda k: F.xxhash64(k, F.lit(2))))
     number, of = part
 
     def run(batches):
         for b in batches:
             i = {n: j for j, n in enumerate(b.schema.names)}
-            sizes = np.diff(b.column(i["_h1"]).offsets.to_numpy())
-            h1, h2 = (b.column(i[x]).flatten().to_numpy(zero_copy_only=False) for x in ("_h1", "_h2"))
+            sizes = np.diff(b.column(i["_tw_h1"]).offsets.to_numpy())
+            h1, h2 = (b.column(i[x]).flatten().to_numpy(zero_copy_only=False) for x in ("_tw_h1", "_tw_h2"))
             begin = np.cumsum(sizes) - sizes
             row = np.repeat(np.arange(len(sizes)), sizes)
             hit = np.flatnonzero(cascade.contains(h1, h2) & (h1 % of == number))[::-1]
@@ -199,14 +202,14 @@ def first_listed(rows: DataFrame, keys: str, cascade: Cascade, marks: Cascade, p
             marked, where = np.zeros(len(sizes), bool), np.flatnonzero(first >= 0)
             at = begin[where] + first[where]
             marked[where] = marks.contains(h1[at], h2[at])
-            before, was = (b.column(i[x]).to_numpy(zero_copy_only=False) for x in ("_rule", "_marked"))
+            before, was = (b.column(i[x]).to_numpy(zero_copy_only=False) for x in ("_tw_rule", "_tw_marked"))
             old = (before >= 0) & ((first < 0) | (before < first))
             first, marked = np.where(old, before, first), np.where(old, was, marked).astype(bool)
-            keep = [j for n, j in i.items() if n not in ("_h1", "_h2", "_rule", "_marked")]
-            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in keep), pa.array(first.astype(np.int32)), pa.array(marked)], names=[*(b.schema.names[j] for j in keep), "_rule", "_marked"])
+            keep = [j for n, j in i.items() if n not in ("_tw_h1", "_tw_h2", "_tw_rule", "_tw_marked")]
+            yield pa.RecordBatch.from_arrays([*(b.column(j) for j in keep), pa.array(first.astype(np.int32)), pa.array(marked)], names=[*(b.schema.names[j] for j in keep), "_tw_rule", "_tw_marked"])
 
-    fields = [f for f in rows.schema.fields if f.name not in ("_h1", "_h2", "_rule", "_marked")]
-    return rows.mapInArrow(*lean(run, T.StructType([*fields, T.StructField("_rule", T.IntegerType()), T.StructField("_marked", T.BooleanType())])))
+    fields = [f for f in rows.schema.fields if f.name not in ("_tw_h1", "_tw_h2", "_tw_rule", "_tw_marked")]
+    return rows.mapInArrow(*lean(run, T.StructType([*fields, T.StructField("_tw_rule", T.IntegerType()), T.StructField("_tw_marked", T.BooleanType())])))
 
 
 def rules_frame(spark: SparkSession, rules: list[Rule] | DataFrame) -> DataFrame:
@@ -232,8 +235,8 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule] | DataF
     A null URL or one without ``://`` has an empty host and path.  A URL may be as long as a
     row allows: its keys are those at the rules' lengths, however many labels it has.
     Repeated rows are judged alike; an empty table gives an empty table, an empty list of rules
-    leaves all unlisted.  Other columns pass through (``_keys``, ``_rule``, ``_marked``, ``_h1``
-    and ``_h2`` are reserved).
+    leaves all unlisted.  Other columns pass through (``_tw_keys``, ``_tw_rule``, ``_tw_marked``, ``_tw_h1``
+    and ``_tw_h2`` are reserved).
     """
     rules = stage(spark, rules_frame(spark, rules), "rules")
     labels = sorted(r[0] for r in rules.select(F.size(F.split("host", r"\."))).distinct().collect())
@@ -243,20 +246,20 @@ def filter_urls(spark: SparkSession, pages: DataFrame, rules: list[Rule] | DataF
     split = pages.select(*kept, host.alias("host"), path.alias("path"))
     if not labels:
         return split.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(unlisted))
-    keyed = split.withColumn("_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
-    listed, others, n_listed, n_others = _split(rules.select("key"), keyed.select(F.explode("_keys").alias("key")), spark)
+    keyed = split.withColumn("_tw_keys", candidate_keys(F.col("host"), F.col("path"), labels, lengths))
+    listed, others, n_listed, n_others = _split(rules.select("key"), keyed.select(F.explode("_tw_keys").alias("key")), spark)
     allowing = _hashed(rules.filter("verdict = 'allow'").select("key"))
     others_of_rules = _hashed(rules.filter("verdict <> 'allow'").select("key"))
-    judged, of = keyed.withColumns({"_rule": F.lit(-1), "_marked": F.lit(False)}), slices_for(n_listed, n_others)
+    judged, of = keyed.withColumns({"_tw_rule": F.lit(-1), "_tw_marked": F.lit(False)}), slices_for(n_listed, n_others)
     for number in range(of):
         mine = F.pmod("h1", F.lit(of)) == number
         both = _cascade(spark, listed.filter(mine), others.filter(mine))
         marks = _cascade(spark, allowing.filter(mine), others_of_rules.filter(mine))
-        judged = first_listed(judged, "_keys", both, marks, (number, of))
+        judged = first_listed(judged, "_tw_keys", both, marks, (number, of))
         if number + 1 < of:  # one cascade in memory at a time
             judged = stage(spark, judged, "judged")
     for df in (listed, others):
         unstage(spark, df)
-    rule = F.when(F.col("_rule") >= 0, F.get("_keys", F.col("_rule")))
-    verdict = F.when(F.col("_rule") < 0, F.lit(unlisted)).when(F.col("_marked"), F.lit("allow")).otherwise(F.lit("block"))
+    rule = F.when(F.col("_tw_rule") >= 0, F.get("_tw_keys", F.col("_tw_rule")))
+    verdict = F.when(F.col("_tw_rule") < 0, F.lit(unlisted)).when(F.col("_tw_marked"), F.lit("allow")).otherwise(F.lit("block"))
     return judged.select(*kept, "host", "path", rule.alias("rule"), verdict.alias("verdict"))

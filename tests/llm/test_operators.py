@@ -282,7 +282,7 @@ def test_suffixes(spark, docs, monkeypatch, hot):
 
 
 def test_every_operator_has_a_query():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 11))
+    assert {int(k[2:].split("_")[0]) for k in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark, docs):
