@@ -19,13 +19,15 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     """Exit codes: 0 fine, 1 not valid, 2 it could not be judged."""
     parser = argparse.ArgumentParser(prog="tabweave", description=__doc__)
     commands = parser.add_subparsers(dest="command", required=True)
-    for name, more in (("describe", ()), ("validate", ()), ("to-json", ("minimal",)), ("to-tables", ("database", "force")), ("to-markdown", ())):
+    for name, more in (("describe", ()), ("validate", ()), ("to-json", ("minimal", "output")), ("to-tables", ("database", "force")), ("to-markdown", ())):
         p = commands.add_parser(name)
         p.add_argument("url")
         p.add_argument("--metadata")
         for option in more:
             if option == "database":
                 p.add_argument("database")
+            elif option == "output":
+                p.add_argument("--output", help="a file, written by tasks, instead of standard output")
             else:
                 p.add_argument(f"--{option}", action="store_true")
     args = parser.parse_args(argv)
@@ -39,6 +41,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             group = open_dataset(args.url, args.metadata)
         if args.command == "to-markdown":
             print(describing.to_markdown(group))
+        elif args.command == "to-json" and args.output:
+            json_export.write_json(session(), group, args.output, args.minimal)
         elif args.command == "to-json":
             print(json.dumps(json_export.to_json(session(), group, args.minimal), indent=2, ensure_ascii=False))
         elif args.command == "to-tables":

@@ -5,8 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 from typing import Any
 from urllib.parse import urljoin
 
@@ -17,10 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.types import ZONED, ZONED_DATE, iso_text
 from ..functions.uritemplate import compile_template
 from ..model import NAMESPACES, Column, Datatype, Table, TableGroup, compact_name, expand_name, is_url
+from ..staging import drop_path, join_files, new_path, part_files
 from .scan import Field, Scan, compiled_type, scan
 
-#: Subjects of a row up to which objects are nested: the expressions grow with their orders.
-MOST_NESTED = 4
 #: Types whose JSON value is a number or a boolean; others are written as text.
 _BARE = ("decimal", "double", "bigint", "int", "smallint", "tinyint", "boolean")
 
@@ -143,44 +140,56 @@ class Subject:
     entries: list[Entry]
 
 
+def _let(value: Expr, body: Callable[[Expr], Expr]) -> Expr:
+    """``body`` of a value that is worked out once, as a function's variable."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _framed(subjects: list[Subject]) -> Expr:
     """The objects of a row as an array of JSON texts.
 
     An object that exactly one URL of the row's cells refers to stands in the place of that
-    URL, and not in the array; the row's own object always stands there, first, and so does one
-    that only objects refer to which would be nested in it.  Rows of more than ``MOST_NESTED``
-    subjects are not nested."""
+    URL, and not in the array; the row's own object always stands there, first, and so do objects
+    that only refer to each other in a circle.  A row's URLs are edges between its objects, in an array:
+    edges are counted, each object follows its only one upwards, and the objects that are nested are
+    put into what holds them, the deepest first.  The work grows with the square of the subjects."""
     n = len(subjects)
-
-    def plain(i: int) -> Expr:
-        return _object(subjects[i].entries, subjects[i].id, lambda e: e.text)
-
-    if n == 1 or n > MOST_NESTED:
-        return F.array(*[plain(i) for i in range(n)])
-    refers = {(j, i): [F.coalesce(e.url == subjects[i].id, F.lit(False)) for e in subjects[j].entries if e.url is not None] for j in range(n) for i in range(1, n)}
-    by = {(j, i): sum((x.cast("int") for x in found), F.lit(0)) for (j, i), found in refers.items()}
-    once = {i: sum((by[j, i] for j in range(n)), F.lit(0)) == 1 for i in range(1, n)}
-
-    def rooted(i: int, seen: tuple[int, ...]) -> Expr:
-        """Does what refers to an object stand in the array, or is it nested in what does?"""
-        if i == 0:
-            return F.lit(True)
-        above = (((by[j, i] == 1) & rooted(j, (*seen, i))) for j in range(n) if j not in seen and j != i)
-        return ~once[i] | reduce(or_, above, F.lit(False))
-
-    nested = {i: once[i] & reduce(or_, ((by[j, i] == 1) & rooted(j, (i,)) for j in range(n) if j != i), F.lit(False)) for i in range(1, n)}
-
-    def text(i: int, above: tuple[int, ...]) -> Expr:
-        def within(e: Entry) -> Expr:
-            out = e.text
-            for k in range(1, n):
-                if e.url is not None and k not in above and k != i:
-                    out = F.when(nested[k] & F.coalesce(e.url == subjects[k].id, F.lit(False)), text(k, (*above, i))).otherwise(out)
-            return out
-
-        return _object(subjects[i].entries, subjects[i].id, within)
-
-    return F.array_compact(F.array(text(0, ()), *[F.when(~nested[i], text(i, ())) for i in range(1, n)]))
+    if n == 1:
+        return F.array(_object(subjects[0].entries, subjects[0].id, lambda e: e.text))
+    linked = [(j, e) for j, x in enumerate(subjects) for e in x.entries if e.url is not None]
+    if not linked:
+        return F.array(*[_object(x.entries, x.id, lambda e: e.text) for x in subjects])
+    numbers, sources = F.sequence(F.lit(0), F.lit(n - 1)), F.array(*[F.lit(j) for j, _ in linked])
+    ids = F.array(*[x.id if x.id is not None else F.lit(None).cast("string") for x in subjects[1:]])
+    mark = lambda i: F.concat(F.lit("\u0001"), i.cast("string"), F.lit("\u0001"))  # noqa: E731  no JSON text holds it bare
+
+    def edges(ids: Expr) -> Expr:
+        """The object that each URL refers to, 0 if there is none: nothing can hold the row's own."""
+        return F.array(*[F.coalesce(F.array_position(ids, e.url), F.lit(0)).cast("int") for _, e in linked])
+
+    def parents(to: Expr) -> Expr:
+        """What holds the only URL that refers to an object, else -1."""
+        only = lambda i: F.size(F.filter(to, lambda t: t == i)) == 1
+        return F.transform(numbers, lambda i: F.when((i > 0) & only(i), F.get(sources, F.array_position(to, i).cast("int") - 1)).otherwise(F.lit(-1)))
+
+    def depths(above: Expr) -> Expr:
+        """How many objects stand around each one; 0 also for those that a circle holds."""
+        start = lambda i: F.struct(i.cast("int").alias("at"), F.lit(0).alias("up"))
+        step = lambda x, _: F.when(F.get(above, x["at"]) >= 0, F.struct(F.get(above, x["at"]).alias("at"), (x["up"] + 1).alias("up"))).otherwise(x)
+        done = lambda x: F.when(F.get(above, x["at"]) < 0, x["up"]).otherwise(F.lit(0))
+        return F.transform(numbers, lambda i: F.aggregate(numbers, start(i), step, done))
+
+    def texts(to: Expr, deep: Expr) -> Expr:
+        place = {id(e): F.get(to, F.lit(k)) for k, (_, e) in enumerate(linked)}
+        within = lambda e: F.when(F.get(deep, place[id(e)]) > 0, mark(place[id(e)])).otherwise(e.text) if e.url is not None else e.text
+        return F.array(*[_object(x.entries, x.id, within) for x in subjects])
+
+    def folded(to: Expr, above: Expr, deep: Expr) -> Expr:
+        inner = F.filter(F.transform(deep, lambda d, i: F.struct((-d).alias("d"), i.alias("i"))), lambda x: x["d"] < 0)
+        put = lambda made, x: F.transform(made, lambda t, k: F.when(k == F.get(above, x["i"]), F.replace(t, mark(x["i"]), F.get(made, x["i"]))).otherwise(t))
+        return F.filter(F.aggregate(F.array_sort(inner), texts(to, deep), put), lambda _, k: F.get(deep, k) == 0)
+
+    return _let(ids, lambda ids: _let(edges(ids), lambda to: _let(parents(to), lambda above: _let(depths(above), lambda deep: folded(to, above, deep)))))
 
 
 def describe_rows(s: Scan) -> DataFrame:
@@ -243,32 +252,60 @@ def _simplify(v: Any) -> Any:
     return v
 
 
-def to_json(spark: SparkSession, group: TableGroup, minimal: bool = False, scans: dict[str, Scan] | None = None) -> Any:
-    """The whole document, on the driver: for files whose JSON one process can hold.
-
-    :func:`json_rows` is the distributed form."""
-    tables, minimal_rows = [], []
-    for t in group.tables:
-        if t.suppress_output:
-            continue
-        s = (scans or {}).get(t.url) or scan(spark, t, strict_header=False)
-        rows = [json.loads(r.json) for r in json_rows(s, minimal).orderBy("rownum").toLocalIterator()]
-        minimal_rows += rows
+def _heads(group: TableGroup, minimal: bool) -> tuple[dict, list[tuple[Table, dict]]]:
+    """What a document tells of the group, and of each table before its rows."""
+    tables = []
+    for t in (t for t in group.tables if not t.suppress_output):
         head: dict[str, Any] = {"url": t.url}
         if "@id" in t.at:
             head["@id"] = t.at["@id"]
         if t.notes:
             head["notes"] = _simplify(t.notes) if isinstance(t.notes, list) and len(t.notes) > 1 else [_simplify(x) for x in t.notes]
-        head |= {k: _simplify(v) for k, v in t.common.items()}
-        tables.append({**head, "row": rows})
-    if minimal:
-        return minimal_rows
+        tables.append((t, head | {k: _simplify(v) for k, v in t.common.items()}))
     out: dict[str, Any] = {}
     if not group.single:
         if "@id" in group.at:
             out["@id"] = group.at["@id"]
         out |= {k: _simplify(v) for k, v in group.common.items()}
-    return {**out, "tables": tables}
+    return out, tables
+
+
+def write_json(spark: SparkSession, group: TableGroup, path: str, minimal: bool = False, scans: dict[str, Scan] | None = None) -> None:
+    """The whole document as one file, a line for each row.
+
+    Tasks write the rows of each table, in order, into parts in the shared folder, each row but the
+    first with the comma before it; the parts are joined there with what stands around the rows.  No
+    row comes to the driver."""
+    about, tables = _heads(group, minimal)
+    pieces: list[str | bytes] = [b"[\n" if minimal else (json.dumps(about, ensure_ascii=False)[:-1] + (", " if about else "") + '"tables": [\n').encode()]
+    made, some = [], False
+    for k, (t, head) in enumerate(tables):
+        s = (scans or {}).get(t.url) or scan(spark, t, strict_header=False)
+        first = s.rows.agg(F.min("rownum")).first()[0]
+        starts = (F.col("rownum") == first) if not (minimal and some) else F.lit(False)
+        lines = json_rows(s, minimal).orderBy("rownum").select(F.when(starts, F.col("json")).otherwise(F.concat(F.lit(","), "json")).alias("value"))
+        made.append(new_path(spark, "json"))
+        lines.write.text(made[-1])
+        some = some or first is not None
+        rows = part_files(spark, made[-1])
+        pieces += rows if minimal else [((",\n" if k else "") + json.dumps(head, ensure_ascii=False)[:-1] + ', "row": [\n').encode(), *rows, b"]}\n"]
+    join_files(spark, [*pieces, b"]\n" if minimal else b"]}\n"], path)
+    for p in made:
+        drop_path(spark, p)
+
+
+def to_json(spark: SparkSession, group: TableGroup, minimal: bool = False, scans: dict[str, Scan] | None = None) -> Any:
+    """The whole document, on the driver: for files whose JSON one process can hold.
+
+    :func:`write_json` writes it as a file, :func:`json_rows` gives its rows."""
+    out, tables = _heads(group, minimal)
+    documents, every = [], []
+    for t, head in tables:
+        s = (scans or {}).get(t.url) or scan(spark, t, strict_header=False)
+        rows = [json.loads(r.json) for r in json_rows(s, minimal).orderBy("rownum").toLocalIterator()]
+        every += rows
+        documents.append({**head, "row": rows})
+    return every if minimal else {**out, "tables": documents}
 
 
 def triples(s: Scan) -> DataFrame:

@@ -6,6 +6,8 @@ a description into expressions over them.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -392,7 +394,87 @@ def rewrite_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select(F.get("cells", F.lit(0)).cast("long").alias("s_suppkey"), F.get("cells", F.lit(1)).alias("name"))
 
 
-QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows)}
+def primary_key_over_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that repeat in other part files of a table, at the same place in each: rows are numbered over all parts."""
+    c = _cells(spark, sf_dir, "customer", "c_nationkey", "c_custkey")
+    parts = [new_path(spark, "part") for _ in range(3)]
+    for k, path in enumerate(parts):
+        dsv.write_dir(c.filter(F.col("c_custkey") % 3 == k).orderBy("c_custkey"), path, Dialect(comment_prefix=None))
+    t = _table("customer.csv", {"c_nationkey": "integer", "c_custkey": "long"}, primaryKey="c_nationkey")
+    return keys.check_primary_key(t, scan(spark, t, parts).good).groupBy("columns", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
+def written_exactly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of blanks, tabs, carriage returns, line feeds, quotes and backslashes, written in parallel as one file and as a
+    folder, and read again."""
+    odd = F.array(*[F.lit(x) for x in ("  ", "\t", " a ", "b\r", "c\r\nd", "\n", '"', '""', "\\", 'x,"y"', "", ",", "é\u2028", "#")])
+    cells = _cells(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("key"), F.get(odd, (F.col("c_custkey") % 14).cast("int")).alias("odd"), F.concat(F.lit(" "), "c_name", F.lit(" ")).alias("name"))
+    d, folder = Dialect(comment_prefix=None), new_path(spark, "folder")
+    file = new_path(spark, "file.csv")
+    dsv.write_dir(cells, folder, d)
+    dsv.write_file(cells, file, d, order=["name"])
+    read = [dsv.table_rows(dsv.read_cells(spark, path, d), True).select(F.lit(form).alias("form"), *[F.get("cells", F.lit(i)).alias(c) for i, c in enumerate(cells.columns)]) for form, path in (("folder", folder), ("file", file))]
+    return read[0].union(read[1])
+
+
+def nested_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of a row about five subjects, each of which stands inside the one that refers to it."""
+    base = "http://example.org/"
+    about = [base + x for x in ("order/{o}", "customer/{c}", "status/{s}", "priority/{p}", "day/{d}")]
+    columns: dict = {"o": {"_": 1, "aboutUrl": about[0]}}
+    for k, name in enumerate("cspd"):
+        columns[name] = {"_": 1, "aboutUrl": about[k], "propertyUrl": f"schema:{name}", "valueUrl": about[k + 1]}
+    columns["total"] = {"_": 1, "datatype": "double", "aboutUrl": about[4]}
+    t = _table("http://example.org/orders.csv", columns, aboutUrl=about[0])
+    o = _cells(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_orderkey").alias("o"), F.col("o_custkey").alias("c"), F.col("o_orderstatus").alias("s"), F.substring("o_orderpriority", 1, 1).alias("p"), F.date_format("o_orderdate", "yyyyMMdd").alias("d"), (F.col("o_orderkey") + 0.5).alias("total"), F.col("o_orderkey").alias("rownum"), F.col("o_orderkey").alias("sourcenum"))
+    return json_export.describe_rows(scan_frame(t, rows)).select("rownum", F.array_join("describes", ",").alias("json"))
+
+
+def json_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole document of two tables, written by tasks and joined in the shared folder; its lines."""
+    group = TableGroup.of({"tables": [{"url": f"http://example.org/{t}.csv", "tableSchema": {"columns": [{"name": c, "datatype": kind} for c, kind in columns]}} for t, columns in (("nation", (("n_nationkey", "integer"), ("n_name", "string"))), ("customer", (("c_custkey", "long"), ("c_name", "string"))))]})
+    scans = {}
+    for t, name, key in zip(group.tables, ("nation", "customer"), ("n_nationkey", "c_custkey"), strict=True):
+        cells = _cells(spark, sf_dir, name, *[c.header for c in t.schema.columns])
+        scans[t.url] = scan_frame(t, cells.withColumn("rownum", F.col(key).cast("long") + 1).withColumn("sourcenum", F.col(key).cast("long") + 2))
+    path = new_path(spark, "document.json")
+    json_export.write_json(spark, group, path, minimal=True, scans=scans)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+def repeated_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns with one property share a list; a cell that is null leaves a single value."""
+    t = _table("part.csv", {"p_partkey": "long", "p_brand": {"_": 1, "propertyUrl": "schema:about"}, "p_type": {"_": 1, "propertyUrl": "schema:about", "separator": " "}, "p_size": {"_": 1, "datatype": "integer", "propertyUrl": "schema:size"}, "more": {"_": 1, "datatype": "integer", "propertyUrl": "schema:size", "null": "-"}})
+    p = _cells(spark, sf_dir, "part")
+    cells = p.select("p_partkey", "p_brand", F.col("p_name").alias("p_type"), "p_size", F.when(F.col("p_size") > 9, F.col("p_size").cast("string")).otherwise("-").alias("more"), F.col("p_partkey").alias("rownum"), F.col("p_partkey").alias("sourcenum"))
+    return json_export.json_rows(scan_frame(t, cells), minimal=True)
+
+
+def short_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Skipped rows, short rows and a column without a description, read from a file, with the lines where rows stand."""
+    s = _cells(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), "s_name").orderBy("k")
+    line = F.when(F.col("k") % 3 == 0, F.col("k").cast("string")).otherwise(F.concat_ws(",", F.col("k").cast("string"), "s_name", F.lit("x")))
+    head = spark.createDataFrame([(-3, "about this,file"), (-2, ""), (-1, "key,name,extra")], "k int, value string")
+    path = _written_text(spark, head.union(s.select("k", line.alias("value"))).coalesce(1).sortWithinPartitions("k").select("value"))
+    t = TableGroup.of({"url": path, "dialect": {"skipRows": 2, "header": True}, "tableSchema": {"columns": [{"name": "key", "datatype": "integer"}, {"name": "name"}]}}).tables[0]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # of the column without a description
+        rows = scan(spark, t, path).good
+    return rows.select("rownum", "sourcenum", F.col("key").cast("long").alias("key"), "name", "extra")
+
+
+def row_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a file as maps by its header; surplus cells go under a key of their own."""
+    s = _cells(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("int").alias("k"), "s_name").orderBy("k")
+    line = F.concat_ws(",", F.col("k").cast("string"), "s_name", F.when(F.col("k") % 2 == 0, F.lit("p,q")))
+    head = spark.createDataFrame([(-1, "key,name")], "k int, value string")
+    path = _written_text(spark, head.union(s.select("k", line.alias("value"))).coalesce(1).sortWithinPartitions("k").select("value"))
+    rows = dsv.read_dsv(spark, path, as_="dicts", restkey="rest").select("row")
+    return rows.select(F.col("row")["key"].cast("long").alias("key"), F.col("row")["name"].alias("name"), F.try_element_at("row", F.lit("rest")).alias("rest"))
+
+
+QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows, primary_key_over_parts, written_exactly, nested_subjects, json_document, repeated_properties, short_rows, row_maps)}
 
 ORACLE_SQL = {
     "typed_lineitem": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
@@ -460,4 +542,14 @@ ORACLE_SQL = {
         FROM customer WHERE c_custkey % 10 <> 1""",
     "dsv_line_breaks": """SELECT o_orderkey, o_orderstatus || chr(10) || '"' || o_orderpriority || '"' || chr(10) AS note, o_custkey FROM orders WHERE o_custkey <= 900""",
     "rewrite_rows": "SELECT s_suppkey, upper(s_name) AS name FROM supplier WHERE s_suppkey % 3 > 0",
+    "primary_key_over_parts": """SELECT 'c_nationkey' AS columns, 'duplicate key ["' || c_nationkey || '"]' AS message, count(*) - 1 AS n FROM customer GROUP BY c_nationkey HAVING count(*) > 1""",
+    "written_exactly": """SELECT form, CAST(c_custkey AS VARCHAR) AS key, (['  ', chr(9), ' a ', 'b' || chr(13), 'c' || chr(13) || chr(10) || 'd', chr(10), '"', '""', chr(92), 'x,"y"', '', ',', 'é' || chr(8232), '#'])[c_custkey % 14 + 1] AS odd, ' ' || c_name || ' ' AS name
+        FROM customer, (VALUES ('folder'), ('file')) f(form)""",
+    "nested_subjects": """SELECT o_orderkey AS rownum, '{"@id":"http://example.org/order/' || o_orderkey || '","o":"' || o_orderkey || '","schema:c":{"@id":"http://example.org/customer/' || o_custkey || '","schema:s":{"@id":"http://example.org/status/' || o_orderstatus
+        || '","schema:p":{"@id":"http://example.org/priority/' || o_orderpriority[1] || '","schema:d":{"@id":"http://example.org/day/' || strftime(o_orderdate, '%Y%m%d') || '","total":' || o_orderkey || '.5}}}}}' AS json FROM orders""",
+    "json_document": """SELECT '[' AS line UNION ALL SELECT ']' UNION ALL SELECT CASE WHEN n_nationkey > 0 THEN ',' ELSE '' END || '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '"}' FROM nation
+        UNION ALL SELECT ',{"c_custkey":' || c_custkey || ',"c_name":"' || c_name || '"}' FROM customer""",
+    "repeated_properties": """SELECT p_partkey AS rownum, '{"p_partkey":' || p_partkey || ',"schema:about":["' || p_brand || '","' || replace(p_name, ' ', '","') || '"],"schema:size":' || CASE WHEN p_size > 9 THEN '[' || p_size || ',' || p_size || ']' ELSE p_size::VARCHAR END || '}' AS json FROM part""",
+    "short_rows": """SELECT row_number() OVER (ORDER BY s_suppkey) AS rownum, row_number() OVER (ORDER BY s_suppkey) + 3 AS sourcenum, CAST(s_suppkey AS BIGINT) AS key, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'x' END AS extra FROM supplier""",
+    "row_maps": "SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'p,q' END AS rest FROM supplier",
 }
