@@ -12,12 +12,13 @@ import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from functools import reduce
-from operator import and_, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .dates import DateFormat, parse_format
+from .json_schema import fits_schema
 from .numbers import PATTERN_CHARS, NumberFormat, format_decimal, parse_decimal, plain_number, rarely
 
 BOUNDS = ("minimum", "minInclusive", "minExclusive", "maximum", "maxInclusive", "maxExclusive")
@@ -50,11 +51,6 @@ def java_regex(pattern: str) -> str:
     return rf"^(?:{re.sub(r'[(][?]P<([A-Za-z][A-Za-z0-9]*)>', r'(?<\1>', pattern)})\z"
 
 
-def java_part(pattern: str) -> str:
-    """A pattern that may match anywhere, in Java's notation."""
-    return re.sub(r"[(][?]P<([A-Za-z][A-Za-z0-9]*)>", r"(?<\1>", pattern)
-
-
 def _regex_or_warn(pattern: object) -> str | None:
     if not isinstance(pattern, str):
         return None
@@ -334,121 +330,6 @@ def _duration(months: bool, micros: bool) -> Callable[[str, object], Compiled]:
     return build
 
 
-#: Keywords that say nothing about what is valid; fixed names.
-_SAYS_NOTHING = {"$schema", "$id", "$comment", "title", "description", "default", "examples", "definitions", "$defs", "readOnly", "writeOnly", "deprecated", "format"}
-_KINDS = {"string": ["STRING"], "integer": ["BIGINT"], "number": ["BIGINT", "DECIMAL", "DOUBLE", "FLOAT"], "boolean": ["BOOLEAN"], "object": ["OBJECT"], "array": ["ARRAY"], "null": ["VOID"]}
-
-
-def _same_json(at: Column, value: object) -> Column:
-    """Is a document equal to a value?  Compared as normalised text, so the order of keys counts not."""
-    made = F.try_parse_json(F.lit(json.dumps(value)))
-    return F.to_json(at) == F.to_json(made)
-
-
-def schema_predicate(at: Column, schema: dict | bool) -> Column:
-    """A JSON Schema as one predicate over a parsed document (a variant).
-
-    Knows type, enum, const, bounds, multipleOf, lengths, pattern, items, prefixItems,
-    additionalItems, contains, numbers and uniqueness of items, required, properties,
-    patternProperties, additionalProperties, propertyNames, numbers of properties, and allOf,
-    anyOf, oneOf, not, if.  Other keywords warn: they are not checked.
-    """
-    if isinstance(schema, bool):
-        return F.lit(schema)
-    # The kind of a document is worked out once, as a field of a function's variable.
-    told = F.array(F.struct(at.alias("at"), F.coalesce(F.schema_of_variant(at), F.lit("")).alias("kind")))
-    return F.coalesce(F.exists(told, lambda x: _predicate(x["at"], x["kind"], schema)), F.lit(False))
-
-
-def _predicate(at: Column, kind: Column, schema: dict) -> Column:
-    known, ok = set(_SAYS_NOTHING), F.lit(True)
-    # A null inside a document is a variant of its own kind, with no value of any type.
-    is_a = lambda *names: reduce(or_, [kind.startswith(n) for t in names for n in _KINDS.get(t, [])], F.lit(False))
-
-    def fits(sub: dict | bool) -> Callable[[Column], Column]:
-        return lambda x: schema_predicate(x, sub)
-
-    def key_is_like(pattern: str, like: bool) -> Callable[[Column, Column], Column]:
-        return lambda k, _: k.rlike(java_part(pattern)) if like else ~k.rlike(java_part(pattern))
-
-    def take(*keys: str):
-        known.update(keys)
-        return ((k, schema[k]) for k in keys if k in schema)
-
-    number = F.when(is_a("number"), F.try_variant_get(at, "$", "double"))
-    text = F.when(is_a("string"), F.try_variant_get(at, "$", "string"))
-    entries = F.when(is_a("object"), F.try_variant_get(at, "$", "map<string,variant>"))
-    items = F.when(is_a("array"), F.try_variant_get(at, "$", "array<variant>"))
-    for _, wanted in take("type"):
-        wanted = wanted if isinstance(wanted, list) else [wanted]
-        whole = is_a("number") & (number == F.floor(number)) if "integer" in wanted else F.lit(False)
-        ok = ok & (is_a(*wanted) | whole)
-    for _, values in take("enum"):
-        ok = ok & F.array_max(F.array(F.lit(False), *[_same_json(at, v) for v in values]))
-    for _, value in take("const"):
-        ok = ok & _same_json(at, value)
-    bounds = {"minimum": lambda n, b: n >= b, "maximum": lambda n, b: n <= b, "exclusiveMinimum": lambda n, b: n > b, "exclusiveMaximum": lambda n, b: n < b, "multipleOf": lambda n, b: F.abs(n / b - F.round(n / b)) < 1e-9}
-    for key, bound in take(*bounds):
-        ok = ok & (number.isNull() | bounds[key](number, F.lit(float(bound))))
-    sizes = {"minLength": (text, F.length), "maxLength": (text, F.length), "minItems": (items, F.size), "maxItems": (items, F.size), "minProperties": (entries, F.size), "maxProperties": (entries, F.size)}
-    for key, bound in take(*sizes):
-        what, size = sizes[key]
-        ok = ok & (what.isNull() | (size(what) >= bound if key.startswith("min") else size(what) <= bound))
-    for _, pattern in take("pattern"):
-        ok = ok & (text.isNull() | text.rlike(java_part(pattern)))
-    head = next((x for _, x in take("prefixItems")), None)
-    each = next((x for _, x in take("items")), None)
-    rest = next((x for _, x in take("additionalItems")), None)
-    if isinstance(each, list):
-        head, each = each, rest
-    for i, sub in enumerate(head or ()):
-        ok = ok & (items.isNull() | (F.size(items) <= i) | schema_predicate(F.get(items, F.lit(i)), sub))
-    if each is not None:
-        later = F.slice(items, len(head) + 1, F.greatest(F.size(items) - len(head), F.lit(0))) if head else items
-        ok = ok & (items.isNull() | F.forall(later, fits(each)))
-    for _, sub in take("contains"):
-        ok = ok & (items.isNull() | F.exists(items, fits(sub)))
-    for _, unique in take("uniqueItems"):
-        ok = ok & (items.isNull() | (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) == F.size(items)) if unique else F.lit(True))
-    def member(name: str) -> Column:
-        """A key's value, null if there is none: by its path, or of all entries where no path names it."""
-        if '"' in name or "\\" in name:
-            return F.try_element_at(entries, F.lit(name))
-        return F.try_variant_get(at, f'$["{name}"]', "variant")
-
-    for _, names in take("required"):
-        ok = ok & (reduce(and_, [member(n).isNotNull() for n in names], F.lit(True)) | ~is_a("object"))
-    named = next((x for _, x in take("properties")), {})
-    for key, sub in named.items():
-        ok = ok & (member(key).isNull() | schema_predicate(member(key), sub) | ~is_a("object"))
-    matched = next((x for _, x in take("patternProperties")), {})
-    for pattern, sub in matched.items():
-        ok = ok & (entries.isNull() | F.forall(F.map_values(F.map_filter(entries, key_is_like(pattern, True))), fits(sub)))
-    for _, sub in take("additionalProperties"):
-        others = F.map_filter(entries, lambda k, _: ~k.isin(list(named)) if named else F.lit(True))
-        for pattern in matched:
-            others = F.map_filter(others, key_is_like(pattern, False))
-        ok = ok & (entries.isNull() | F.forall(F.map_values(others), fits(sub)))
-    for _, sub in take("propertyNames"):
-        names = F.transform(F.map_keys(entries), lambda k: F.try_variant_get(F.try_parse_json(F.to_json(F.array(k))), "$[0]", "variant"))
-        ok = ok & (entries.isNull() | F.forall(names, fits(sub)))
-    count = lambda subs: sum((schema_predicate(at, x).cast("int") for x in subs), F.lit(0))
-    for _, subs in take("allOf"):
-        ok = ok & (count(subs) == len(subs))
-    for _, subs in take("anyOf"):
-        ok = ok & (count(subs) > 0)
-    for _, subs in take("oneOf"):
-        ok = ok & (count(subs) == 1)
-    for _, sub in take("not"):
-        ok = ok & ~schema_predicate(at, sub)
-    for _, sub in take("if"):
-        ok = ok & F.when(schema_predicate(at, sub), schema_predicate(at, schema.get("then", True))).otherwise(schema_predicate(at, schema.get("else", True)))
-    known |= {"then", "else"}
-    for key in schema.keys() - known:
-        warnings.warn(f"JSON Schema keyword that is not checked: {key}", stacklevel=2)
-    return F.coalesce(ok, F.lit(False))
-
-
 def _json(name: str, fmt: object) -> Compiled:
     if isinstance(fmt, str):
         try:
@@ -460,7 +341,7 @@ def _json(name: str, fmt: object) -> Compiled:
     def parse(c: Column) -> Column:
         parsed = F.try_parse_json(c)
         ok = parsed.isNotNull()
-        return F.when(ok & schema_predicate(parsed, schema) if schema else ok, c)
+        return F.when(ok & fits_schema(c, parsed, schema) if schema else ok, c)
 
     return Compiled(name, "string", parse, lambda v: v)
 

@@ -6,6 +6,7 @@ a description into expressions over them.
 
 from __future__ import annotations
 
+import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ from ..operators import json_export, keys, relations
 from ..operators.scan import Scan, scan, scan_frame, texts
 from ..sources import dsv
 from ..sources.dialect import Dialect
-from ..staging import new_path
+from ..staging import new_path, stage
 
 FLAGSHIP = "typed_lineitem"
 
@@ -361,6 +362,50 @@ def assoc_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join("words", "|").alias("words"))
 
 
+def json_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schemas with references: to a part that several keys share, and to themselves."""
+    shared = compile_datatype("json", {"$defs": {"score": {"type": "integer", "minimum": 50}}, "type": "object", "properties": {"k": {"$ref": "#/$defs/score"}}, "required": ["k"], "dependentRequired": {"j": ["k"]}})
+    chain = compile_datatype("json", {"$defs": {"link": {"type": "object", "required": ["at"], "properties": {"at": {"type": "integer", "maximum": 900}, "next": {"$ref": "#/$defs/link"}}}}, "$ref": "#/$defs/link"})
+    user, event = F.col("user_id").cast("string"), F.col("event_id").cast("string")
+    text = F.concat(F.lit('{"at":1,"next":{"at":2,"next":{"at":'), user, F.when(F.col("event_id") % 2 == 0, F.concat(F.lit(',"next":{"no":'), event, F.lit("}"))).otherwise(""), F.lit("}}}"))
+    return _cells(spark, sf_dir, "events", "event_id", "user_id", "props").select("event_id", shared.error(F.col("props")).isNull().alias("valid_shared"), chain.error(text).isNull().alias("valid_chain"))
+
+
+def catalog_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A group of tables written with one commit, columns renamed, and read back with its lists."""
+    group = _listing()
+    p = _cells(spark, sf_dir, "part").select("p_partkey", F.split("p_name", " ").alias("words"))
+    words = p.select(F.explode("words").alias("word")).distinct()
+    database = f"tw_{uuid.uuid4().hex}"
+    frames = {"part.csv": p, "word.csv": words}
+    plans = relations.write_tables(spark, group, database, frames, column=lambda t, header: f"c_{header}", context=lambda t, header: f"{t.url}#{header}")
+    rows = relations.read_tables(spark, database, plans)["part.csv"]
+    staged = stage(spark, rows.select("p_partkey", F.array_join("words", "|").alias("words")), "catalog")
+    spark.sql(f"DROP DATABASE `{database}` CASCADE")
+    return staged
+
+
+def refused_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that break a constraint of their table: all of them, as a table; nothing else is written."""
+    group = TableGroup.of({"tables": [
+        {"url": "customer.csv", "tableSchema": {"columns": [{"name": "c_custkey", "datatype": "long"}, {"name": "c_acctbal", "datatype": {"base": "double", "minimum": "0"}}, {"name": "c_mktsegment", "required": True}], "primaryKey": "c_custkey"}},
+        {"url": "orders.csv", "tableSchema": {"columns": [{"name": "o_orderkey", "datatype": "long"}, {"name": "o_custkey", "datatype": "long"}], "primaryKey": "o_orderkey", "foreignKeys": [{"columnReference": "o_custkey", "reference": {"resource": "customer.csv", "columnReference": "c_custkey"}}]}},
+    ]})
+    c, o = _cells(spark, sf_dir, "customer"), _cells(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    frames = {
+        "customer.csv": c.filter("c_custkey % 7 > 0").select("c_custkey", "c_acctbal", F.when(F.col("c_custkey") % 10 > 0, F.col("c_mktsegment")).alias("c_mktsegment"), F.col("c_custkey").alias("rownum"), F.col("c_custkey").alias("sourcenum")),
+        "orders.csv": o.withColumn("rownum", F.col("o_orderkey")).withColumn("sourcenum", F.col("o_orderkey")),
+    }
+    database = f"tw_{uuid.uuid4().hex}"
+    try:
+        relations.write_tables(spark, group, database, frames, refused="refused")
+    except ValueError:
+        pass  # what is wrong is in the table
+    staged = stage(spark, spark.table(f"`{database}`.refused").select("kind", "url", "sourcenum", "columns"), "refused")
+    spark.sql(f"DROP DATABASE `{database}` CASCADE")
+    return staged
+
+
 def _written_text(spark: SparkSession, lines: DataFrame) -> str:
     path = new_path(spark, "text")
     lines.write.text(path)
@@ -474,7 +519,7 @@ def row_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row")["key"].cast("long").alias("key"), F.col("row")["name"].alias("name"), F.try_element_at("row", F.lit("rest")).alias("rest"))
 
 
-QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows, primary_key_over_parts, written_exactly, nested_subjects, json_document, repeated_properties, short_rows, row_maps)}
+QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows, primary_key_over_parts, written_exactly, nested_subjects, json_document, repeated_properties, short_rows, row_maps, json_references, catalog_tables, refused_rows)}
 
 ORACLE_SQL = {
     "typed_lineitem": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
@@ -552,4 +597,9 @@ ORACLE_SQL = {
     "repeated_properties": """SELECT p_partkey AS rownum, '{"p_partkey":' || p_partkey || ',"schema:about":["' || p_brand || '","' || replace(p_name, ' ', '","') || '"],"schema:size":' || CASE WHEN p_size > 9 THEN '[' || p_size || ',' || p_size || ']' ELSE p_size::VARCHAR END || '}' AS json FROM part""",
     "short_rows": """SELECT row_number() OVER (ORDER BY s_suppkey) AS rownum, row_number() OVER (ORDER BY s_suppkey) + 3 AS sourcenum, CAST(s_suppkey AS BIGINT) AS key, CASE WHEN s_suppkey % 3 > 0 THEN s_name END AS name, CASE WHEN s_suppkey % 3 > 0 THEN 'x' END AS extra FROM supplier""",
     "row_maps": "SELECT CAST(s_suppkey AS BIGINT) AS key, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN 'p,q' END AS rest FROM supplier",
+    "json_references": """SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT) >= 50, false) AS valid_shared, user_id <= 900 AND event_id % 2 = 1 AS valid_chain FROM events""",
+    "catalog_tables": "SELECT p_partkey, replace(p_name, ' ', '|') AS words FROM part",
+    "refused_rows": """SELECT 'check' AS kind, 'customer.csv' AS url, c_custkey AS sourcenum, 'c_acctbal' AS columns FROM customer WHERE c_custkey % 7 > 0 AND c_acctbal < 0
+        UNION ALL SELECT 'not null', 'customer.csv', c_custkey, 'c_mktsegment' FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 10 = 0
+        UNION ALL SELECT 'foreign key', 'orders.csv', o_orderkey, 'o_custkey' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 > 0)""",
 }

@@ -7,6 +7,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
+from tabweave.functions.json_schema import Checker
 from tabweave.functions.types import compile_datatype
 
 
@@ -91,6 +92,20 @@ SCHEMAS = [
     ({"type": ["integer", "null"]}, [1, 1.0, None], [1.5, "1"]),
     ({"type": "number", "exclusiveMinimum": 0, "exclusiveMaximum": 1}, [0.5], [0, 1]),
     ({"minLength": 2, "maxLength": 3}, ["ab", "abc", 1], ["a", "abcd"]),
+    ({"$defs": {"n": {"type": "integer"}}, "properties": {"a": {"$ref": "#/$defs/n"}, "b": {"$ref": "#/$defs/n"}}}, [{"a": 1, "b": 2}, {}], [{"a": "x"}, {"a": 1, "b": "y"}]),
+    ({"definitions": {"a/b~c": {"minimum": 3}, "x": {"$anchor": "here", "maximum": 5}}, "allOf": [{"$ref": "#/definitions/a~1b~0c"}, {"$ref": "#here"}]}, [3, 5], [2, 6]),
+    ({"dependentRequired": {"a": ["b", "c"]}}, [{"b": 1}, {"a": 1, "b": 1, "c": None}, 4], [{"a": 1, "b": 2}]),
+    ({"dependentSchemas": {"a": {"properties": {"b": {"type": "string"}}}}, "dependencies": {"c": ["d"], "e": {"minProperties": 2}}}, [{"b": 1}, {"a": 1, "b": "x"}, {"c": 1, "d": 2}, {"e": 1, "f": 1}], [{"a": 1, "b": 1}, {"c": 1}, {"e": 1}]),
+    ({"contains": {"type": "integer"}, "minContains": 2, "maxContains": 3}, [[1, 2], [1, 2, 3, "x"]], [[1], [1, 2, 3, 4]]),
+]
+
+#: Schemas that no predicate can hold: documents are checked one by one.
+ONE_BY_ONE = [
+    ({"properties": {"next": {"$ref": "#"}, "v": {"type": "integer"}}, "required": ["v"]}, [{"v": 1}, {"v": 1, "next": {"v": 2, "next": {"v": 3}}}, 5], [{"v": 1, "next": {"v": 2, "next": {"v": "x"}}}, {"v": 1, "next": {}}]),
+    ({"$defs": {"tree": {"type": "array", "items": {"anyOf": [{"type": "string"}, {"$ref": "#/$defs/tree"}]}}}, "$ref": "#/$defs/tree"}, [[], ["a", ["b", ["c", []]]]], [[["a", [1]]], "x"]),
+    ({"properties": {"a": {}}, "anyOf": [{"properties": {"b": {"type": "string"}}}, True], "unevaluatedProperties": False}, [{"a": 1}, {"a": 1, "b": "x"}], [{"c": 1}, {"b": 5}]),
+    ({"prefixItems": [{"type": "integer"}], "allOf": [{"contains": {"const": "x"}}], "unevaluatedItems": {"type": "null"}}, [[1, "x"], [1, "x", None]], [[1, "x", 2], [1]]),
+    ({"$ref": "#"}, [1, {}], []),
 ]
 
 
@@ -102,7 +117,35 @@ def test_json_schema(spark, schema, good, bad):
     assert valid(spark, kind, [json.dumps(x) for x in good + bad]) == [True] * len(good) + [False] * len(bad)
 
 
+@pytest.mark.parametrize("schema, good, bad", ONE_BY_ONE, ids=[json.dumps(s)[:40] for s, _, _ in ONE_BY_ONE])
+def test_json_schemas_without_a_predicate(spark, schema, good, bad):
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        kind = compile_datatype("json", schema)
+    assert valid(spark, kind, [json.dumps(x) for x in good + bad] + ["[1", "NaN"]) == [True] * len(good) + [False] * (len(bad) + 2)
+
+
+def test_predicates_and_functions_agree():
+    for schema, good, bad in SCHEMAS:
+        check = Checker(schema)
+        assert [check.fits(x, schema) for x in good + bad] == [True] * len(good) + [False] * len(bad), schema
+
+
+def test_large_schemas_are_checked_one_by_one(spark):
+    levels = {f"l{i}": {"properties": {"a": {"$ref": f"#/$defs/l{i + 1}"}, "b": {"$ref": f"#/$defs/l{i + 1}"}}} for i in range(12)}
+    schema = {"$defs": levels | {"l12": {"type": "integer"}}, "$ref": "#/$defs/l0"}
+    deep = good = bad = None
+    for value in (1, "x"):
+        deep = value
+        for _ in range(12):
+            deep = {"b": deep}
+        good, bad = (deep, bad) if value == 1 else (good, deep)
+    assert valid(spark, compile_datatype("json", schema), [json.dumps(good), json.dumps(bad)]) == [True, False]
+
+
 def test_keywords_that_are_not_checked_warn(spark):
-    with pytest.warns(UserWarning, match="dependentRequired"):
-        kind = compile_datatype("json", {"dependentRequired": {"a": ["b"]}})
+    with pytest.warns(UserWarning, match="contentMediaType"):
+        kind = compile_datatype("json", {"contentMediaType": "text/plain"})
         assert valid(spark, kind, ['{"a": 1}']) == [True]
+    with pytest.warns(UserWarning, match="cannot be followed"):
+        assert valid(spark, compile_datatype("json", {"$ref": "http://example.org/other.json"}), ["1"]) == [True]
