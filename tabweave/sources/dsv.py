@@ -2,9 +2,10 @@
 
 :func:`read_cells` gives rows of ``(url, rownum, sourcenum, is_comment, cells)`` with
 ``rows_before`` and ``files_before``: comments, skipped rows, blank rows, line numbers of rows
-with line breaks in cells; :func:`table_rows` numbers them over all files.  Files in UTF-8 are
-read in parallel, block by block (see :mod:`.split`).  The format ``dsv``, a Python data source
-with one partition for each file, reads the rest: other encodings and zipped members.
+with line breaks in cells; :func:`table_rows` numbers them over all files.  Files in UTF-8 and in
+encodings of one byte a character are read in parallel, block by block (see :mod:`.split`); others and zipped
+ones are taken whole, by one task each, from whatever store Spark reads.  The format ``dsv`` is a Python
+data source over local files.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ import warnings
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import batched
 from pathlib import Path
 from typing import Any
+from urllib.parse import unquote
 
 import pandas as pd
 import pyarrow as pa
@@ -28,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..staging import drop_path, join_files, new_path, part_files, write_bytes
+from ..staging import drop_path, join_files, new_path, part_files, path_exists, write_bytes
 from .dialect import Dialect, normal_name
 
 CELLS = "url string, rownum long, sourcenum long, is_comment boolean, cells array<string>"
@@ -101,8 +104,31 @@ class DsvSource(DataSource):
         return DsvReader(dict(self.options))
 
 
-def _zipped(path: str) -> bool:
-    return "://" not in path and not os.path.exists(path) and os.path.exists(f"{path}.zip")
+def _zipped(spark: SparkSession, path: str) -> bool:
+    return not path_exists(spark, path) and path_exists(spark, f"{path}.zip")
+
+
+def _whole(d: Dialect):
+    """Rows of files that are held whole, or of the member of a zip file that has its name."""
+
+    def run(batches):
+        from .split import _cells_batch
+
+        for b in batches:
+            for url, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                stream: Any = pa.py_buffer(content.as_buffer())
+                stream = io.BytesIO(stream)
+                if url.endswith(".zip"):
+                    url = url.removesuffix(".zip")
+                    archive = zipfile.ZipFile(stream)
+                    member = next((n for n in archive.namelist() if os.path.basename(n) == unquote(os.path.basename(url))), archive.namelist()[0])
+                    stream = archive.open(member)
+                rownum = 0
+                for some in batched(rows_of(io.TextIOWrapper(stream, encoding=d.python_encoding, newline=""), d), 2_000):
+                    yield _cells_batch(url, rownum, some)
+                    rownum += sum(not comment for _, comment, _ in some)
+
+    return run
 
 
 def fetched(spark: SparkSession, paths: list[str]) -> list[str]:
@@ -124,7 +150,8 @@ def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | N
 
     d = dialect or Dialect()
     paths = fetched(spark, [paths] if isinstance(paths, str) else list(paths))
-    whole = [p for p in paths if not splittable(d) or _zipped(p)]
+    zipped = [p for p in paths if _zipped(spark, p)]
+    whole = [p for p in paths if not splittable(d) or p in zipped]
     split = [p for p in paths if p not in whole]
     found, totals = [], {}
     if split:
@@ -137,10 +164,8 @@ def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | N
             found.append(rows.withColumn("url", F.lit(split[0])) if named else rows)
             totals = {split[0]: n for n in totals.values()} if named else totals
     if whole:
-        spark.dataSource.register(DsvSource)
-        local = [re.sub("^file:/*(?=/)", "", p) for p in whole]
-        options = {"dialect": json.dumps(d.asdict(full=True)), "paths": json.dumps(local)}
-        rows = spark.read.format("dsv").options(**options).load()
+        files = spark.read.format("binaryFile").load([f"{p}.zip" if p in zipped else p for p in whole])
+        rows = files.select("path", "content").mapInArrow(_whole(d), CELLS)
         found.append(rows)
         if len(paths) > 1:
             totals |= dict(rows.filter(~F.col("is_comment")).groupBy("url").count().collect())
@@ -180,10 +205,10 @@ def table_rows(rows: DataFrame, header: bool) -> DataFrame:
 
 def first_cells(spark: SparkSession, path: str, d: Dialect) -> list[str] | None:
     """The first row of a file that is no comment; only its begin is read."""
-    if "://" in path and not path.startswith("file:") or os.path.isdir(path):
+    if "://" in path and not path.startswith("file:") or not os.path.isfile(_bare_path(path)) and not os.path.isfile(_bare_path(path) + ".zip"):
         first = read_cells(spark, path, d).filter("rownum = 1 and not is_comment").select("cells").first()
         return list(first.cells) if first else None
-    with open_text(re.sub("^file:/*(?=/)", "", path), d.python_encoding) as stream:
+    with open_text(_bare_path(path), d.python_encoding) as stream:
         return next((cells for _, comment, cells in rows_of(stream, d) if not comment), None)
 
 

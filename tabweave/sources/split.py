@@ -43,14 +43,43 @@ _CELLS = "url string, rownum long, sourcenum long, is_comment boolean, cells arr
 _PARTS = "url string, owner long, at long, rownum long, sourcenum long, part string"
 
 
+def _upper_half(encoding: str) -> str | None:
+    """The characters of the bytes from 0x80 on, U+FFFD for those that have none; None if the encoding
+    does not have a byte for each character, with ASCII in its lower half."""
+    lower = bytes(range(128))
+    try:
+        if lower.decode(encoding) != lower.decode("ascii"):
+            return None
+        upper = "".join(bytes([b]).decode(encoding, "replace") for b in range(128, 256))
+        # What bytes make one by one they make together, unless the encoding joins them.
+        together = bytes(range(128, 256)).decode(encoding, "replace")
+    except (LookupError, UnicodeError):
+        return None
+    return upper if len(upper) == 128 and upper == together and upper.count("\ufffd") < 128 else None
+
+
 def splittable(d: Dialect) -> bool:
-    """UTF-8 only: other encodings have no line ends that a block could begin behind."""
-    return d.python_encoding == "utf-8-sig" and not (d.comment_prefix and d.quote_char and d.quote_char in d.comment_prefix)
+    """UTF-8, and encodings of one byte a character: others have no line ends that a block could
+    begin behind."""
+    known = d.python_encoding == "utf-8-sig" or _upper_half(d.python_encoding)
+    return bool(known) and not (d.comment_prefix and d.quote_char and d.quote_char in d.comment_prefix)
+
+
+def _decoded(line: Column, encoding: str) -> Column:
+    """The text of a line's bytes, which Spark hands on as they are."""
+    if encoding == "utf-8-sig":
+        return line
+    upper, latin = _upper_half(encoding), "".join(chr(b) for b in range(128, 256))
+    text = F.decode(line.cast("binary"), "ISO-8859-1")
+    lost = "".join(a for a, b in zip(latin, upper, strict=True) if b == "\ufffd")
+    if lost:
+        text = F.when(F.translate(text, lost, "") == text, text).otherwise(F.raise_error(F.lit(f"a byte is no character of {encoding}")))
+    return text if upper == latin else F.translate(text, latin, upper)
 
 
-def _lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+def _lines(spark: SparkSession, paths: list[str], d: Dialect) -> DataFrame:
     read = spark.read.text(paths, lineSep="\n")
-    return read.select("value", F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("at"))
+    return read.select(_decoded(F.col("value"), d.python_encoding).alias("value"), F.col("_metadata.file_path").alias("url"), F.col("_metadata.file_block_start").alias("at"))
 
 
 #: Stands for a delimiter outside of quotes while a line is split; a line that holds it is not plain.
@@ -464,7 +493,7 @@ def _read_blocks(spark: SparkSession, lines: DataFrame, d: Dialect) -> tuple[Dat
 def read_split(spark: SparkSession, paths: list[str], d: Dialect) -> tuple[DataFrame, dict[str, int]] | None:
     """(cells, rows of each file that has any) of files, or folders of them, that Spark reads; None if
     a file's skipped rows do not all stand in its first block.  Rows are numbered in each file."""
-    lines = _lines(spark, paths)
+    lines = _lines(spark, paths, d)
     # A look at the first lines saves the pass over all of them where it cannot help.
     if _native(d) and lines.select("value").limit(FIRST_LINES).filter(_strange(d, _bare(F.regexp_replace("value", "^\ufeff", "")))).isEmpty():
         blocks = _plain_blocks(lines, d)

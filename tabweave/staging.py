@@ -31,6 +31,11 @@ def _place(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, store = _place(spark, path)
+    return store.exists(target)
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """A folder in the shared one that is deleted when the driver's JVM ends, whether the
     session was stopped before or not."""

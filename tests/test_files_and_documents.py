@@ -45,6 +45,30 @@ def test_files_of_other_encodings_are_numbered_too(spark, tmp_path):
     assert [(r.rownum, r.url[-5:], r.cells[1]) for r in rows] == [(1, "b.csv", "ä"), (2, "b.csv", "ö"), (3, "a.csv", "ä"), (4, "a.csv", "ö")]
 
 
+@pytest.mark.parametrize("encoding", ["latin-1", "cp1252", "iso8859-15", "koi8-r", "utf-16", "utf-16-le", "shift_jis", "utf-32"])
+def test_encodings_from_any_store(spark, tmp_path, encoding, monkeypatch):
+    word = {"koi8-r": "мир", "shift_jis": "日本", "latin-1": "naïve"}.get(encoding, "œuf €" if encoding != "utf-16-le" else "été")
+    text = "id,note\n" + "".join(f'{i},"{word}\n{i}"\n' for i in range(40))
+    path = tmp_path / "t.csv"
+    path.write_bytes(text.encode(encoding))
+    monkeypatch.setattr(dsv, "open_text", lambda *a: pytest.fail("a local path was opened"))
+    d = Dialect(encoding=encoding, comment_prefix=None)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200")
+    try:
+        rows = dsv.table_rows(dsv.read_cells(spark, path.as_uri(), d), True)
+        assert split.splittable(d) == (encoding in ("latin-1", "cp1252", "iso8859-15", "koi8-r"))
+        assert rows.rdd.getNumPartitions() > 1 or not split.splittable(d)
+        assert [(r.rownum, r.sourcenum, r.cells) for r in rows.orderBy("rownum").collect()] == [(i + 1, 2 * i + 3, [str(i), f"{word}\n{i}"]) for i in range(40)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_bytes_that_are_no_characters_are_refused(spark, tmp_path):
+    (tmp_path / "t.csv").write_bytes(b"a\x81b\n")
+    with pytest.raises(Exception, match="no character of cp1252"):
+        dsv.read_cells(spark, str(tmp_path / "t.csv"), Dialect(encoding="cp1252")).collect()
+
+
 def test_rows_with_equal_numbers_count_once(spark):
     rows = [(1, 1), (1, 1), (1, 1), (2, 5), (2, 6), (None, 7), (None, 7), (4, 1)]
     df = spark.createDataFrame(rows, "id long, rownum long").withColumn("sourcenum", F.col("rownum"))
