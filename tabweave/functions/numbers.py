@@ -19,6 +19,8 @@ class NumberFormat:
     pattern: str | None = None
     group_char: str | None = None
     decimal_char: str | None = None
+    #: Numbers are kept as their digits, however many, instead of as a decimal of 38.
+    exact: bool = False
 
     @property
     def group(self) -> str:
@@ -75,10 +77,12 @@ def plain_number(text: Column, f: NumberFormat) -> Column:
     return F.translate(text, f.group + f.point, ",.")
 
 
-def rarely(text: Column, build: Callable[[Column], Column]) -> Column:
-    """What ``build`` makes of a text that few cells have: as a function over a list of one item it stays
-    out of the generated code, whose methods are compiled only while they are short."""
-    return F.get(F.transform(F.array(text), build), F.lit(0))
+def once(value: Column, build: Callable[[Column], Column]) -> Column:
+    """What ``build`` makes of a value that it reads more than once: worked out once, as a function's variable.
+
+    Such a function stays out of the generated code, whose methods are compiled only while they are
+    short; so it also serves for what few cells need."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
 
 
 def parse_decimal(text: Column, f: NumberFormat, scale: int = 18) -> Column:
@@ -90,7 +94,7 @@ def parse_decimal(text: Column, f: NumberFormat, scale: int = 18) -> Column:
     plain, kind = plain_number(text, f), f"decimal(38,{scale})"
     bare = F.translate(plain, ",", "") if f.pattern and f.grouping() else plain
     common = rf"^[+-]?\d{{1,{38 - scale}}}" + (rf"(?:\.\d{{1,{scale}}})?\z" if scale else r"\z")
-    value = F.when(bare.rlike(common), bare.try_cast(kind)).otherwise(rarely(plain, lambda x: _any_decimal(x, scale)))
+    value = F.when(bare.rlike(common), bare.try_cast(kind)).otherwise(once(plain, lambda x: _any_decimal(x, scale)))
     return F.when(plain.rlike(f.regex()), value) if f.pattern else value
 
 
@@ -133,3 +137,68 @@ def format_decimal(value: Column, f: NumberFormat) -> Column:
     if f.group != "," or f.point != ".":
         text = F.translate(text, ",.", f.group + f.point)
     return F.concat(text, F.lit(percent))
+
+
+# Numbers of any size, as text: a sign if negative, digits without needless zeros.
+
+
+def parse_exact(text: Column, f: NumberFormat) -> Column:
+    """The digits of a number of any size, null if malformed; percent and per mille shift the point."""
+    moved = lambda bare, k: F.regexp_replace(F.regexp_replace(bare, r"^([+-]?)(\d*)\.?(\d*)\z", "$1" + "0" * k + "$2.$3"), rf"(\d{{{k}}})\.", ".$1")
+
+    def shifted(plain: Column) -> Column:
+        bare = F.translate(plain, ",%‰", "")
+        ok = plain.rlike(r"^(?!.*,,)(?=.*\d)[+\-%‰]?[\d,]*\.?\d*[%‰]?\z")
+        ok = ok & plain.rlike(f.regex()) if f.pattern else ok
+        return F.when(ok, F.when(plain.contains("%"), moved(bare, 2)).when(plain.contains("‰"), moved(bare, 3)).otherwise(bare))
+
+    def canonical(bare: Column) -> Column:
+        digits = F.when(bare.contains("."), F.regexp_replace(F.regexp_replace(bare, r"0+\z", ""), r"\.\z", "")).otherwise(bare)
+        digits = F.regexp_replace(F.regexp_replace(digits, r"^[+-]?0*", ""), r"^(?=\.|\z)", "0")
+        return once(digits, lambda d: F.when(bare.startswith("-") & (d != "0"), F.concat(F.lit("-"), d)).otherwise(d))
+
+    return once(once(plain_number(text, f), shifted), canonical)
+
+
+def order_exact(number: Column) -> Column:
+    """A text that is smaller than another if the number is: the sign, how many whole digits there are,
+    the digits; of negative numbers the digits' complement, and what ends first is larger."""
+
+    def key(n: Column) -> Column:
+        digits = F.ltrim(n, F.lit("-"))
+        sized = F.concat(F.lpad(F.length(F.substring_index(digits, ".", 1)).cast("string"), 10, "0"), digits)
+        return F.when(n.startswith("-"), F.concat(F.lit("0"), F.translate(sized, "0123456789", "9876543210"), F.lit("~"))).otherwise(F.concat(F.lit("1"), sized))
+
+    return once(number, key)
+
+
+def format_exact(number: Column, f: NumberFormat) -> Column:
+    """The digits as the pattern demands; a pattern never takes digits away from a number that fits it."""
+    text, percent = number, ""
+    if f.pattern:
+        least, low, _, _ = f.digits()
+        percent = next((c for c in "%‰" if c in f.pattern), "")
+        if k := {"%": 2, "‰": 3}.get(percent, 0):
+            padded = F.concat(F.regexp_replace(text, r"^(-?\d+)\z", "$1."), F.lit("0" * k))
+            text = F.regexp_replace(F.regexp_replace(padded, rf"\.(\d{{{k}}})", "$1."), r"^(-?)0+(?=\d)", "$1")
+            text = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+
+        def whole_digits(t: Column) -> Column:
+            whole = F.substring_index(F.ltrim(t, F.lit("-")), ".", 1)
+            whole = F.regexp_replace(whole, r"^0\z", "") if not least else F.lpad(whole, F.greatest(F.length(whole), F.lit(least)), F.lit("0"))
+            whole = F.when((whole == "") & ~t.contains("."), "0").otherwise(whole) if not least else whole
+            if size := f.grouping():
+                first, more = size
+                whole = F.regexp_replace(whole, rf"(?<=\d)(?=(?:\d{{{more}}})*\d{{{first}}}$)", ",")
+            return whole
+
+        def shown(t: Column) -> Column:
+            decimals = F.when(t.contains("."), F.substring_index(t, ".", -1)).otherwise("")
+            decimals = F.rpad(decimals, F.greatest(F.length(decimals), F.lit(low)), F.lit("0")) if low else decimals
+            behind = once(decimals, lambda d: F.when(d == "", "").otherwise(F.concat(F.lit("."), d)))
+            return F.concat(F.when(t.startswith("-"), "-").otherwise(""), whole_digits(t), behind)
+
+        text = once(text, shown)
+    if f.group != "," or f.point != ".":
+        text = F.translate(text, ",.", f.group + f.point)
+    return F.concat(text, F.lit(percent))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .dates import DateFormat, parse_format
 from .json_schema import fits_schema
-from .numbers import PATTERN_CHARS, NumberFormat, format_decimal, parse_decimal, plain_number, rarely
+from .numbers import PATTERN_CHARS, NumberFormat, format_decimal, format_exact, once, order_exact, parse_decimal, parse_exact, plain_number
 
 BOUNDS = ("minimum", "minInclusive", "minExclusive", "maximum", "maxInclusive", "maxExclusive")
 LENGTHS = ("length", "minLength", "maxLength")
@@ -113,13 +113,31 @@ def _number_format(fmt: object) -> NumberFormat:
     if pattern and not set(pattern) <= PATTERN_CHARS:
         warnings.warn(f"not a number pattern: {pattern}", stacklevel=3)
         pattern = None
-    return NumberFormat(pattern, fmt.get("groupChar"), fmt.get("decimalChar"))
+    return NumberFormat(pattern, fmt.get("groupChar"), fmt.get("decimalChar"), fmt.get("exact") is True)
+
+
+def _exact(name: str, f: NumberFormat, low: int | None = None, high: int | None = None, whole: bool = False) -> Compiled:
+    """Numbers of any size as their digits, compared by a text that has their order."""
+
+    def parse(c: Column) -> Column:
+        def held(value: Column) -> Column:
+            ok = ~value.contains(".") if whole else F.lit(True)
+            for bound, fits in ((low, lambda a, b: a >= b), (high, lambda a, b: a <= b)):
+                ok = ok & fits(order_exact(value), order_exact(F.lit(str(bound)))) if bound is not None else ok
+            return F.when(ok, value)
+
+        return once(parse_exact(c, f), held) if whole else parse_exact(c, f)
+
+    return Compiled(name, "string", parse, lambda v: format_exact(v, f), order=lambda v: (order_exact(v),))
 
 
 def _decimal(name: str, fmt: object) -> Compiled:
     """decimal(38, s): s is what the pattern allows behind the point, else 18.  A number with more
-    digits than that holds is malformed, never rounded."""
+    digits than that holds is malformed, never rounded; with ``exact`` in the format, numbers of any
+    size are kept as text."""
     f = _number_format(fmt)
+    if f.exact:
+        return _exact(name, f)
     return Compiled(name, f"decimal(38,{f.scale})", lambda c: parse_decimal(c, f, f.scale), lambda v: format_decimal(v, f))
 
 
@@ -130,6 +148,8 @@ def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[st
 
     def build(name: str, fmt: object) -> Compiled:
         f = _number_format(fmt)
+        if f.exact:
+            return _exact(name, f, low, high, whole=True)
 
         def long_way(plain: Column) -> Column:
             # Groups and percent; whole if nothing but zeros stands behind the point.
@@ -138,7 +158,7 @@ def _between(low: int | None, high: int | None, spark_type: str) -> Callable[[st
         def parse(c: Column) -> Column:
             plain = plain_number(c, f)
             bare = F.translate(plain, ",", "") if f.pattern and f.grouping() else plain
-            value = F.when(bare.rlike(r"^[+-]?\d+(?:\.0*)?\z"), F.substring_index(bare, ".", 1).try_cast(spark_type)).otherwise(rarely(plain, long_way))
+            value = F.when(bare.rlike(r"^[+-]?\d+(?:\.0*)?\z"), F.substring_index(bare, ".", 1).try_cast(spark_type)).otherwise(once(plain, long_way))
             value = F.when(plain.rlike(f.regex()), value) if f.pattern else value
             for bound, fits in ((low, lambda v, b: v >= b), (high, lambda v, b: v <= b)):
                 if bound is not None and bound not in held:

@@ -12,7 +12,8 @@ from pyspark.sql import Column as Expr
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.types import ZONED, ZONED_DATE, iso_text
+from ..functions.numbers import once
+from ..functions.types import ORDERED_TYPES, ZONED, ZONED_DATE, iso_text
 from ..functions.uritemplate import compile_template
 from ..model import NAMESPACES, Column, Datatype, Table, TableGroup, compact_name, expand_name, is_url
 from ..staging import drop_path, join_files, new_path, part_files
@@ -41,6 +42,8 @@ def literal(column: Column, value: Expr) -> Expr:
         text = value.cast("string")
         special = F.when(F.isnan(value), quoted(F.lit("NaN"))).when(value == float("inf"), quoted(F.lit("INF"))).when(value == float("-inf"), quoted(F.lit("-INF")))
         return special.otherwise(text)
+    if kind.spark_type == "string" and base in ORDERED_TYPES - {"time"}:  # digits of any number
+        return value if base != "decimal" else F.when(value.contains("."), value).otherwise(F.concat(value, F.lit(".0")))
     if base == "decimal":
         text = value.cast("string") if not kind.spark_type.endswith(",0)") else F.concat(value.cast("string"), F.lit(".0"))
         return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ".0")
@@ -140,11 +143,6 @@ class Subject:
     entries: list[Entry]
 
 
-def _let(value: Expr, body: Callable[[Expr], Expr]) -> Expr:
-    """``body`` of a value that is worked out once, as a function's variable."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _framed(subjects: list[Subject]) -> Expr:
     """The objects of a row as an array of JSON texts.
 
@@ -189,7 +187,7 @@ def _framed(subjects: list[Subject]) -> Expr:
         put = lambda made, x: F.transform(made, lambda t, k: F.when(k == F.get(above, x["i"]), F.replace(t, mark(x["i"]), F.get(made, x["i"]))).otherwise(t))
         return F.filter(F.aggregate(F.array_sort(inner), texts(to, deep), put), lambda _, k: F.get(deep, k) == 0)
 
-    return _let(ids, lambda ids: _let(edges(ids), lambda to: _let(parents(to), lambda above: _let(depths(above), lambda deep: folded(to, above, deep)))))
+    return once(ids, lambda ids: once(edges(ids), lambda to: once(parents(to), lambda above: once(depths(above), lambda deep: folded(to, above, deep)))))
 
 
 def describe_rows(s: Scan) -> DataFrame:

@@ -362,6 +362,17 @@ def assoc_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", F.array_join("words", "|").alias("words"))
 
 
+def long_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of 60 whole digits and 30 decimals, kept, compared and shown as they are."""
+    kind = compile_datatype("decimal", {"groupChar": " ", "decimalChar": ",", "exact": True}, minExclusive="-" + "5" * 60 + "," + "0" * 29 + "1", maxInclusive="7" * 60)
+    whole = compile_datatype("positiveInteger", {"exact": True})
+    digit = (F.col("o_orderkey") % 10).cast("string")
+    sign = F.when(F.col("o_orderkey") % 20 >= 10, "-").otherwise("")
+    text = F.concat(sign, F.repeat(digit, F.lit(60)), F.lit(","), F.repeat(F.lit("0"), F.lit(29)), F.lit("10"))
+    value = kind.parse(text)
+    return _cells(spark, sf_dir, "orders", "o_orderkey").select("o_orderkey", value.alias("digits"), kind.format(value).alias("shown"), kind.error(text).isNull().alias("valid"), whole.error(F.concat(sign, F.repeat(digit, F.lit(60)))).isNull().alias("valid_whole"))
+
+
 def json_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schemas with references: to a part that several keys share, and to themselves."""
     shared = compile_datatype("json", {"$defs": {"score": {"type": "integer", "minimum": 50}}, "type": "object", "properties": {"k": {"$ref": "#/$defs/score"}}, "required": ["k"], "dependentRequired": {"j": ["k"]}})
@@ -519,7 +530,7 @@ def row_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("row")["key"].cast("long").alias("key"), F.col("row")["name"].alias("name"), F.try_element_at("row", F.lit("rest")).alias("rest"))
 
 
-QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows, primary_key_over_parts, written_exactly, nested_subjects, json_document, repeated_properties, short_rows, row_maps, json_references, catalog_tables, refused_rows)}
+QUERIES = {f.__name__: f for f in (typed_lineitem, typed_revenue, rejected_rows, kept_rows, error_log, lenient_cells, nulls_and_defaults, lists, virtual_columns, uri_templates, booleans, formatted_numbers, parsed_numbers, dates, durations, binaries, json_cells, inferred_types, repeated_keys, primary_key_violations, orphans, orphans_in_lists, orphans_composite, strict_references, validation_report, json_minimal, json_standard, json_lineitem, cell_triples, association_table, written_cells, csv_lines, written_and_read, filtered_rows, added_rows, offset_stamps, exact_decimals, lexical_floats, json_schemas, duration_bounds, required_cells, slug_names, any_uri_normalise, group_triples, check_violations, assoc_read, dsv_comments_skip_trim, dsv_line_breaks, rewrite_rows, primary_key_over_parts, written_exactly, nested_subjects, json_document, repeated_properties, short_rows, row_maps, json_references, catalog_tables, refused_rows, long_numbers)}
 
 ORACLE_SQL = {
     "typed_lineitem": "SELECT l_orderkey, l_linenumber, CAST(l_quantity AS BIGINT) AS l_quantity, l_extendedprice, l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem",
@@ -602,4 +613,7 @@ ORACLE_SQL = {
     "refused_rows": """SELECT 'check' AS kind, 'customer.csv' AS url, c_custkey AS sourcenum, 'c_acctbal' AS columns FROM customer WHERE c_custkey % 7 > 0 AND c_acctbal < 0
         UNION ALL SELECT 'not null', 'customer.csv', c_custkey, 'c_mktsegment' FROM customer WHERE c_custkey % 7 > 0 AND c_custkey % 10 = 0
         UNION ALL SELECT 'foreign key', 'orders.csv', o_orderkey, 'o_custkey' FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 > 0)""",
+    "long_numbers": """WITH n AS (SELECT o_orderkey, o_orderkey % 10 AS d, CASE WHEN o_orderkey % 20 >= 10 THEN '-' ELSE '' END AS s FROM orders),
+        t AS (SELECT *, CASE WHEN d = 0 THEN '0' ELSE repeat(CAST(d AS VARCHAR), 60) END AS w, repeat('0', 29) || '1' AS f FROM n)
+        SELECT o_orderkey, s || w || '.' || f AS digits, s || w || ',' || f AS shown, CASE WHEN s = '-' THEN d < 5 ELSE d < 7 END AS valid, s = '' AND d > 0 AS valid_whole FROM t""",
 }

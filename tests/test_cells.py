@@ -64,6 +64,29 @@ def test_numbers_that_the_type_cannot_hold_are_refused(spark):
     assert valid(spark, compile_datatype("number"), floats) == [False] * 10 + [True] * 6
 
 
+EXACT = ["0", "-0", "00.00", "5", "-5", "5.5", "-5.5", "-5.55", "10", "9.999", "-10", "123456789012345678901234567890123456789012345", "-123456789012345678901234567890123456789012345.1", "0." + "0" * 60 + "1", "1,000", "+7", ".5", "5."]
+
+
+def test_numbers_of_any_size(spark):
+    kind = compile_datatype("decimal", {"exact": True})
+    found = read(spark, kind, [*EXACT, "12.5%", "-1‰", "1,,0", "", "-", "1e5", "x"])
+    with decimal.localcontext(prec=200):
+        want = [decimal.Decimal(t.replace(",", "")) for t in EXACT] + [decimal.Decimal("0.125"), decimal.Decimal("-0.001")]
+        assert [decimal.Decimal(v) for v, _, _ in found[:20]] == want
+        assert [v for v, _, _ in found[20:]] == [None] * 5 and all(w == v for v, _, w in found[:20])
+        assert not any(v.startswith("-0") and set(v) <= set("-0.") or v.endswith(".") for v, _, _ in found[:20])
+        order = spark.createDataFrame([(v, str(i)) for i, (v, _, _) in enumerate(found[:20])], "v string, i string")
+        keys = {r.i: r.k for r in order.select("i", kind.order(F.col("v"))[0].alias("k")).collect()}
+        assert [want[int(i)] for i in sorted(keys, key=keys.get)] == sorted(want)
+    bounded = compile_datatype("decimal", {"exact": True}, minInclusive="-5.5", maxExclusive="1" + "0" * 50)
+    assert valid(spark, bounded, ["-5.5", "-5.50001", "9" * 50, "1" + "0" * 50, "9" * 50 + ".9"]) == [True, False, True, False, True]
+    shown = compile_datatype("decimal", {"pattern": "#,##0.00#", "groupChar": ".", "decimalChar": ",", "exact": True})
+    assert [(v, w) for v, _, w in read(spark, shown, ["1.234.567,50", "0,125", "-7,00", "1234,5"])] == [("1234567.5", "1.234.567,50"), ("0.125", "0,125"), ("-7", "-7,00"), (None, None)]
+    percent = compile_datatype("decimal", {"pattern": "#0.##%", "exact": True})
+    assert [(v, w) for v, _, w in read(spark, percent, ["12.5%", "0.25%", "300%"])] == [("0.125", "12.5%"), ("0.0025", "0.25%"), ("3", "300%")]
+    assert valid(spark, compile_datatype("nonNegativeInteger", {"exact": True}), ["0", "-1", "9" * 90, "5.0", "5.5", "500%"]) == [True, False, True, True, False, True]
+
+
 def test_durations_have_bounds(spark):
     day = compile_datatype("duration", minInclusive="P1D", maxExclusive="P1M")
     assert valid(spark, day, ["PT1H", "PT24H", "P27D", "P28D", "P31D", "P1D", "P1M"]) == [False, True, True, False, False, True, False]
