@@ -57,9 +57,7 @@ def _field(f: dict) -> dict:
     if kind == "string":
         datatype["base"] = {"binary": "binary", "uri": "anyURI"}.get(fmt, "string")
     if kind in ("number", "integer"):
-        if f.get("bareNumber") is False:
-            raise NotImplementedError("numbers with other characters around them")
-        marks = {k: f[k] for k in ("decimalChar", "groupChar") if k in f}
+        marks = {k: f[k] for k in ("decimalChar", "groupChar") if k in f} | ({"bareNumber": False} if f.get("bareNumber") is False else {})
         if marks:
             datatype["format"] = marks
     if kind == "boolean" and ("trueValues" in f or "falseValues" in f):

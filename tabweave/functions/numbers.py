@@ -21,6 +21,8 @@ class NumberFormat:
     decimal_char: str | None = None
     #: Numbers are kept as their digits, however many, instead of as a decimal of 38.
     exact: bool = False
+    #: May other characters (a currency, a unit) not stand around a number?  They are left out otherwise.
+    bare: bool = True
 
     @property
     def group(self) -> str:
@@ -71,7 +73,9 @@ class NumberFormat:
 
 
 def plain_number(text: Column, f: NumberFormat) -> Column:
-    """The text with ``,`` for groups and ``.`` for the point."""
+    """The text with ``,`` for groups and ``.`` for the point, without what stands around the number."""
+    if not f.bare:
+        text = F.regexp_replace(text, r"^[^0-9+\-]+|[^0-9]+\z", "")
     if f.group == "," and f.point == ".":
         return text
     return F.translate(text, f.group + f.point, ",.")

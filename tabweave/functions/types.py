@@ -113,7 +113,7 @@ def _number_format(fmt: object) -> NumberFormat:
     if pattern and not set(pattern) <= PATTERN_CHARS:
         warnings.warn(f"not a number pattern: {pattern}", stacklevel=3)
         pattern = None
-    return NumberFormat(pattern, fmt.get("groupChar"), fmt.get("decimalChar"), fmt.get("exact") is True)
+    return NumberFormat(pattern, fmt.get("groupChar"), fmt.get("decimalChar"), fmt.get("exact") is True, fmt.get("bareNumber") is not False)
 
 
 def _exact(name: str, f: NumberFormat, low: int | None = None, high: int | None = None, whole: bool = False) -> Compiled:
@@ -178,6 +178,7 @@ def _float(name: str, fmt: object) -> Compiled:
     f = _number_format(fmt)
 
     def parse(c: Column) -> Column:
+        c = c if f.bare else plain_number(c, NumberFormat(bare=False))
         # Casts also take a type's suffix, hexadecimal digits, blanks and names of infinity.
         fits = c.rlike(f.regex()) & F.translate(c, "%‰,", "").rlike(_FLOAT) if f.pattern else c.rlike(_FLOAT)
         special = F.when(c == "NaN", F.lit(float("nan"))).when(c == "-INF", F.lit(float("-inf")))

@@ -341,11 +341,7 @@ class Table(Description):
         made.url, made.schema = rest.get("url", ""), Schema.of(schema, made)
         made.dialect = Dialect.of(rest["dialect"], described=True) if "dialect" in rest else None
         made.notes, made.suppress_output = rest.get("notes") or [], bool(rest.get("suppressOutput"))
-        made.inert = {k: rest[k] for k in ("tableDirection", "transformations") if k in rest}
-        if "transformations" in made.inert:
-            made.inert["transformations"] = validators.transformations(made.inert["transformations"])
-        if made.inert.get("tableDirection", "auto") not in ("rtl", "ltr", "auto"):
-            warnings.warn(f"not a value of tableDirection: {made.inert.pop('tableDirection')!r}", stacklevel=2)
+        made.inert = _inert(rest)
         return made
 
     @property
@@ -409,7 +405,7 @@ class TableGroup(Description):
         rest = made._take(v, ("tables", "tableSchema", "dialect", "notes", "tableDirection", "transformations", "id", "url"))
         made.dialect = Dialect.of(rest["dialect"], described=True) if "dialect" in rest else None
         made.notes = rest.get("notes") or []
-        made.inert = {k: rest[k] for k in ("tableDirection", "transformations") if k in rest}
+        made.inert = _inert(rest)
         for t in rest["tables"]:
             if "tableSchema" in rest and "tableSchema" not in t:
                 t = {**t, "tableSchema": rest["tableSchema"]}
@@ -453,6 +449,16 @@ class TableGroup(Description):
         Path(path).write_text(json.dumps(self.asdict(), indent=4, ensure_ascii=False), encoding="utf-8")
 
 
+def _inert(rest: dict) -> dict:
+    """Properties that are checked and written again, and say nothing to a scan."""
+    kept = {k: rest[k] for k in ("tableDirection", "transformations") if k in rest}
+    if "transformations" in kept:
+        kept["transformations"] = validators.transformations(kept["transformations"])
+    if kept.get("tableDirection", "auto") not in ("rtl", "ltr", "auto"):
+        warnings.warn(f"not a value of tableDirection: {kept.pop('tableDirection')!r}", stacklevel=3)
+    return kept
+
+
 def check_context(context: Any) -> None:
     if context == CONTEXT or (isinstance(context, list) and context and context[0] == CONTEXT and all(isinstance(x, dict) and set(x) <= {"@base", "@language"} for x in context[1:])):
         return

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column as Expr
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.types import Compiled
@@ -167,6 +168,11 @@ class Scan:
     fields: list[Field]
     rows: DataFrame
 
+    def __iter__(self) -> Iterator[Row]:
+        """The rows of ``strict`` on the driver, in order, a partition at a time."""
+        rows = self.strict
+        return iter((rows.orderBy("rownum") if "rownum" in rows.columns else rows).toLocalIterator())
+
     def _numbers(self) -> list[str]:
         return [c for c in ("rownum", "sourcenum") if c in self.rows.columns]
 

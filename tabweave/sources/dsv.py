@@ -172,6 +172,14 @@ def read_cells(spark: SparkSession, paths: str | list[str], dialect: Dialect | N
     return _placed(spark, reduce(DataFrame.union, found), paths, totals)
 
 
+def put_lines(spark: SparkSession, lines: Iterable[str | bytes], dialect: Dialect | None = None) -> str:
+    """Lines in the driver's memory (each with its end or without) as a file of the shared folder,
+    which all readers take; it lives as long as the session."""
+    encoding = (dialect or Dialect()).python_encoding
+    data = [x if isinstance(x, bytes) else x.encode(encoding if not k else encoding.replace("utf-8-sig", "utf-8")) for k, x in enumerate(lines)]
+    return write_bytes(spark, b"".join(x if x.endswith((b"\n", b"\r")) else x + "\n".encode(encoding.replace("utf-8-sig", "utf-8")) for x in data), "lines.csv")
+
+
 def _bare_path(path: str) -> str:
     return re.sub("^file:/*(?=/)", "", path).rstrip("/")
 
