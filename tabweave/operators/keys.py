@@ -69,16 +69,30 @@ def child_keys(df: DataFrame, table: Table, key: ForeignKey) -> DataFrame:
     return out
 
 
+def _fits_all_tasks(df: DataFrame) -> bool:
+    """Is a frame, by what Spark knows of its size, within the session's bound of what is sent to all tasks?"""
+    bound = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= bound
+
+
 def check_foreign_key(child: DataFrame, table: Table, key: ForeignKey, parent: DataFrame, parent_table: Table) -> DataFrame:
     """A violation for every reference without a parent row.
 
-    An anti-join: Spark sends the parent's keys to all tasks if they are known to be small,
-    and else shuffles both sides, splitting the partition of a hot key."""
+    A parent whose keys are small enough to be sent to all tasks is anti-joined with the references as
+    they are.  Otherwise only distinct references move: they are counted together before the shuffle (a
+    reference that a third of all rows hold is one row a task), anti-joined, and those without a parent, one
+    row each, are written down; the rows that hold them are found by a semi-join, for which Spark knows the
+    size of what was written."""
     mine = child_keys(child, table, key)
     target = [parent_table.schema.column(c).header for c in key.target]
     theirs = parent.select(*[F.col(f"`{h}`").alias(f"p{i}") for i, h in enumerate(target)])
     same = [F.col(f"k{i}").eqNullSafe(F.col(f"p{i}")) for i in range(len(target))]
-    lost = mine.join(theirs, same, "left_anti")
+    if _fits_all_tasks(theirs):
+        lost = mine.join(theirs, same, "left_anti")
+    else:
+        keys = mine.select(*[f"k{i}" for i in range(len(target))]).distinct()
+        orphaned = stage(mine.sparkSession, keys.join(theirs, same, "left_anti").toDF(*[f"o{i}" for i in range(len(target))]), "orphaned")
+        lost = mine.join(orphaned, [F.col(f"k{i}").eqNullSafe(F.col(f"o{i}")) for i in range(len(target))], "left_semi")
     shown = F.to_json(F.array(*[F.col(f"k{i}").cast("string") for i in range(len(target))]), {"ignoreNullFields": "false"})
     return lost.select(F.lit("foreign key").alias("kind"), F.lit(table.url).alias("url"), "sourcenum", F.lit(",".join(key.columns)).alias("columns"), F.concat(F.lit(f"no row in {parent_table.url} for "), shown).alias("message"))
 

@@ -12,6 +12,7 @@ from tabweave.operators import groups, json_export, keys
 from tabweave.operators.scan import scan
 from tabweave.sources import dsv, split
 from tabweave.sources.dialect import Dialect
+from tabweave.staging import stage
 
 
 def table_of(**schema):
@@ -218,3 +219,21 @@ def test_objects_of_any_number_are_nested(spark, n):
     for k, (ids, links) in enumerate(rows):
         assert found[k] == framed(ids, links), (ids, links)
     assert took < 20
+
+
+@pytest.mark.parametrize("bound", ["10MB", "-1"])
+def test_references_to_small_and_large_parents(spark, bound):
+    group = TableGroup.of({"tables": [{"url": "c.csv", "tableSchema": {"columns": [{"name": "a"}, {"name": "b"}, {"name": "l", "separator": " "}], "foreignKeys": [{"columnReference": ["a", "b"], "reference": {"resource": "p.csv", "columnReference": ["x", "y"]}}, {"columnReference": "l", "reference": {"resource": "p.csv", "columnReference": "x"}}]}}, {"url": "p.csv", "tableSchema": {"columns": [{"name": "x"}, {"name": "y"}]}}]})
+    child, parent = group.tables
+    rows = [("1", "1", ["1", "9"], 1), ("1", "9", [], 2), (None, "9", None, 3), ("7", "7", [None, "2"], 4), *[("8", "8", ["1"], 10 + i) for i in range(50)]]
+    mine = spark.createDataFrame(rows, "a string, b string, l array<string>, sourcenum long")
+    theirs = stage(spark, spark.createDataFrame([("1", "1"), ("2", "2"), ("1", "1"), (None, "9")], "x string, y string"), "parents")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+    try:
+        pairs, items = (keys.check_foreign_key(mine, child, key, theirs, parent) for key in child.schema.foreign_keys)
+        assert sorted(r.sourcenum for r in pairs.collect()) == [2, 4, *range(10, 60)]
+        assert sorted((r.sourcenum, r.message[-5:]) for r in items.collect()) == [(1, '["9"]')]
+        plan = pairs._jdf.queryExecution().executedPlan().toString()
+        assert ("LeftAnti" in plan) == (bound == "10MB") and ("LeftSemi" in plan) == (bound == "-1")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
