@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +58,28 @@ def write_bytes(spark: SparkSession, data: bytes, label: str) -> str:
     return target.toString()
 
 
+#: Paths of tables that were staged since each open scope began.
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession, keep: Callable[[], list[DataFrame]] = list) -> Iterator[None]:
+    """Tables that are staged inside are freed at the end, but for those of ``keep``.
+
+    For work whose result is written inside the scope: what is still lazy may read them."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        made = _OPEN.pop()
+        kept = {getattr(df, "staged_path", None) for df in keep()}
+        for path in made:
+            if path not in kept:
+                drop_path(spark, path)
+            elif _OPEN:
+                _OPEN[-1].append(path)
+
+
 def part_files(spark: SparkSession, path: str) -> list[str]:
     """The files that Spark has written into a folder, in the order of their partitions."""
     target, store = _place(spark, path)
@@ -92,10 +116,12 @@ def stage(spark: SparkSession, df: DataFrame, label: str, codec: str = "zstd") -
     """Write ``df`` as Parquet into the shared folder and return the table that was written.
 
     Survives lost executors (the files are in the shared store) and evaluates ``df`` once.
-    Staged tables live until :func:`unstage` or the end of the driver, as lazy results may
-    read them.
+    Staged tables live until :func:`unstage`, the end of their :func:`scope` or that of the driver, as
+    lazy results may read them.
     """
     path = new_path(spark, label)
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
