@@ -29,30 +29,31 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*[F.col(f"`{c}`") for c in key]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
-def check_primary_key(table: Table, df: DataFrame) -> DataFrame:
+def check_primary_key(table: Table, df: DataFrame, ties: bool = False) -> DataFrame:
     """A violation for every row but the first (by ``rownum``, then ``sourcenum``) of a key.
 
     Only the first place of each repeated key is joined back, so no key's rows have to
-    meet in one task as in a window.  Scans number rows over all files of a table; of rows that a
-    frame gives equal numbers, all but one count as later ones.  Rows without a ``rownum`` are
-    numbered first, in a table of their keys that is written once, so that both sides of the join
-    see the same numbers."""
+    meet in one task as in a window.  Scans number rows over all files of a table; a frame whose
+    rows may share a ``rownum`` and ``sourcenum`` needs ``ties``: of rows with equal ones all but one count as
+    later ones.  Rows without a ``rownum`` are numbered first, in a table of their keys that is
+    written once, so that both sides of the join see the same numbers."""
     key = [table.schema.column(k).header for k in table.schema.primary_key]
     spark, numbered = df.sparkSession, "rownum" in df.columns
     if not key:
         return spark.createDataFrame([], VIOLATION)
-    place = F.struct(F.col("rownum") if numbered else F.monotonically_increasing_id(), _number(df).alias("sourcenum"))
-    rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)], place.alias("place"), _key(key).alias("shown"))
+    number = F.col("rownum") if numbered else F.monotonically_increasing_id()
+    place = F.struct(number.alias("rownum"), _number(df).alias("sourcenum")) if ties else number
+    rows = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(key)], place.alias("place"), _number(df).alias("sourcenum"), _key(key).alias("shown"))
     rows = rows if numbered else stage(spark, rows, "keys")
     names = [f"k{i}" for i in range(len(key))]
     repeated = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first")).filter("n > 1").select(*[F.col(n).alias(f"r{n}") for n in names], "first")
     same = [F.col(n).eqNullSafe(F.col(f"r{n}")) for n in names]
     met = rows.join(repeated, same)
-    found = met.filter(F.col("place") > F.col("first")).select("place", "shown")
-    if numbered:
-        tied = met.filter(F.col("place") == F.col("first")).groupBy("place", "shown").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        found = found.union(tied.select("place", "shown", F.explode(F.sequence(F.lit(2), F.col("n")))).select("place", "shown"))
-    return found.select(F.lit("primary key").alias("kind"), F.lit(table.url).alias("url"), F.col("place.sourcenum").alias("sourcenum"), F.lit(",".join(key)).alias("columns"), F.concat(F.lit("duplicate key "), F.col("shown")).alias("message"))
+    found = met.filter(F.col("place") > F.col("first")).select("sourcenum", "shown")
+    if ties:
+        tied = met.filter(F.col("place") == F.col("first")).groupBy("sourcenum", "shown").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        found = found.union(tied.select("sourcenum", "shown", F.explode(F.sequence(F.lit(2), F.col("n")))).select("sourcenum", "shown"))
+    return found.select(F.lit("primary key").alias("kind"), F.lit(table.url).alias("url"), "sourcenum", F.lit(",".join(key)).alias("columns"), F.concat(F.lit("duplicate key "), F.col("shown")).alias("message"))
 
 
 def child_keys(df: DataFrame, table: Table, key: ForeignKey) -> DataFrame:

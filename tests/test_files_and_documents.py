@@ -73,7 +73,7 @@ def test_bytes_that_are_no_characters_are_refused(spark, tmp_path):
 def test_rows_with_equal_numbers_count_once(spark):
     rows = [(1, 1), (1, 1), (1, 1), (2, 5), (2, 6), (None, 7), (None, 7), (4, 1)]
     df = spark.createDataFrame(rows, "id long, rownum long").withColumn("sourcenum", F.col("rownum"))
-    found = sorted((r.sourcenum, r.message) for r in keys.check_primary_key(table_of(primaryKey="id"), df).collect())
+    found = sorted((r.sourcenum, r.message) for r in keys.check_primary_key(table_of(primaryKey="id"), df, ties=True).collect())
     assert found == [(1, 'duplicate key ["1"]')] * 2 + [(6, 'duplicate key ["2"]'), (7, "duplicate key [null]")]
 
 
