@@ -242,7 +242,7 @@ def _blocks(shared, name: str):
             for s in slices(b, "text", SLICE_BYTES):
                 if s.num_rows:
                     held.append((s.column(0), align_texts(pair, s.column(1).to_pylist())))
-                    size += s.column(1).nbytes * s.num_rows // max(1, len(s.column(1)))
+                    size += s.column(1).nbytes
                     if size >= BLOCK_BYTES:
                         yield block()
         if held:
