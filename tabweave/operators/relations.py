@@ -207,7 +207,7 @@ def write_tables(
             raise ValueError(f"{p.table.url}: columns that are not described: {sorted(extra)}")
     names = [p.name for p in plans] + sorted({a.name for p in plans for a in p.associations})
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
-    there = {t.name for t in spark.catalog.listTables(database)}
+    there = {t.name for t in spark.catalog.listTables(database) if not t.isTemporary}  # views of the session are no tables
     if not force and (clash := there & {n.lower() for n in names}):
         raise ValueError(f"tables are there already: {sorted(clash)}")
     once = {}

@@ -56,7 +56,16 @@ def test_all_tables_or_none(spark, database, monkeypatch):
     assert notes(spark, database) == [{"old"}] * 3
     relations.write_tables(spark, group, database, frames(spark, "new"), force=True)
     assert notes(spark, database) == [{"new"}] * 3
-    assert sorted(t.name for t in spark.catalog.listTables(database)) == ["a", "b", "c"]
+    assert sorted(t.name for t in spark.catalog.listTables(database) if not t.isTemporary) == ["a", "b", "c"]
+
+
+def test_views_of_the_session_are_no_tables(spark, database):
+    spark.range(1).createOrReplaceTempView("a")
+    try:
+        relations.write_tables(spark, group_of_three(), database, frames(spark, "x"))
+        assert notes(spark, database) == [{"x"}] * 3
+    finally:
+        spark.catalog.dropTempView("a")
 
 
 def test_not_null_and_refused_rows(spark, database):
