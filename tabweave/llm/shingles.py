@@ -14,7 +14,10 @@ bits, far beyond what ball hashing reaches.  Candidates come from prefixes inste
 4. What is left are pairs of a bucket that are not joined yet: buckets with one group drop out,
    of the others each set outside the largest group meets the sets of other groups, if the
    bounds on size and position allow it: two sets that need an overlap of o share a shingle
-   among the first n - o + 1 of each, and what a set shares with no other is no overlap.
+   among the first n - o + 1 of each, and what a set shares with no other is no overlap.  Sketches
+   of the sets (:func:`sketch`) bound their difference from below, and a pair is left to an earlier
+   bucket that both are known to share: without them, a set that shares a passage with all of a
+   group would cost a row for each of its members and each shingle.
 5. Links between classes are followed to the end.
 """
 
@@ -22,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lean, slices, small_batches, stage, text_of
@@ -40,6 +43,8 @@ HOT = 1 << 12
 SEEN, ENTRIES = 1 << 14, 1 << 15
 #: Bits of the map of wanted texts that goes to all tasks: 16 for each, within these bounds.
 LEAST_BITS, MOST_BITS = 1 << 16, 1 << 26
+#: Bits of a set's sketch; the shared shingles before its own that an entry knows.
+SKETCH, EARLIER = 512, 4
 
 _M32, _M29, _BASE = np.uint64(32), np.uint64(29), np.uint64(0x9E3779B97F4A7C15)
 _MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
@@ -72,6 +77,15 @@ def _buckets(found: np.ndarray) -> np.ndarray:
     return (found & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def sketch(found: np.ndarray) -> list[int]:
+    """For each of ``SKETCH`` buckets, by other bits of the hashes, the parity of its count.
+
+    A shingle that only one of two sets has turns one bit, so the sketches of two sets differ in
+    at most as many bits as the sets in shingles."""
+    odd = np.bincount((found >> np.uint64(40)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
 def row_names(key: str, text: str) -> dict[str, F.Column]:
     """128 bits of a row's key and text."""
     parts = (F.col(key).isNull(), F.col(key), F.octet_length(text_of(text)), text_of(text))
@@ -79,9 +93,9 @@ def row_names(key: str, text: str) -> dict[str, F.Column]:
 
 
 def _named_sets(width: int):
-    """Each row with the name and size of its set; then the task's large counters (n = -1)."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-    names = ["id", "_tw_1", "_tw_2", "h1", "h2", "n"]
+    """Each row with the name, size and sketch of its set; then the task's large counters (n = -1)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
+    names = ["id", "_tw_1", "_tw_2", "h1", "h2", "n", "bits"]
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -90,12 +104,12 @@ def _named_sets(width: int):
             for t in b.column(3).to_pylist():
                 found = shingle_set(t, width)
                 np.add.at(counts, _buckets(found), 1)
-                rows.append((*set_name(found), len(found)))
+                rows.append((*set_name(found), len(found), sketch(found)))
             made = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[3:], strict=True)] if rows else [pa.array([], k) for k in kinds[3:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=names)
         told = np.flatnonzero(counts > TOLD + 4 * counts.mean())
         none = np.zeros(len(told), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, told, counts[told], np.full(len(told), -1)), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, told, counts[told], np.full(len(told), -1), [[]] * len(told)), kinds, strict=True)], names=names)
 
     return run
 
@@ -264,45 +278,60 @@ def _with_hubs(shared: DataFrame, share: tuple[int, int]) -> DataFrame:
     return _distinct(pairs.filter(((F.col("h1") != F.col("p1")) | (F.col("h2") != F.col("p2"))) & _may_reach(share)))
 
 
-def _across(shared: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """All pairs of sets that may be near and are in different ``groups`` (h1, h2, g).
+def _little_apart(share: tuple[int, int]) -> F.Column:
+    """Do the sketches differ in no more bits than near sets may differ in shingles?"""
+    turned = [F.bit_count(F.get("bits", F.lit(k)).bitwiseXOR(F.get("pbits", F.lit(k)))) for k in range(SKETCH // 64)]
+    return sum(turned[1:], turned[0]) <= F.col("n") + F.col("pn") - 2 * _needed(share)
+
+
+def _meetings(shared: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Pairs of sets that may be near and are in different ``groups`` (h1, h2, bits, g), each at
+    least once.
 
     Of each shingle the largest group is only met by the others, so a bucket costs as many
-    rows as its sets outside of that group have partners within the bounds."""
+    rows as its sets outside of that group have partners within the bounds.  A pair that is
+    known to share an earlier shingle meets there, within the same bounds."""
     placed = shared.join(groups, ["h1", "h2"])
     sizes = placed.groupBy("s", "g").agg(F.count(F.lit(1)).alias("m"))
     major = sizes.groupBy("s").agg(F.max(F.struct("m", "g")).alias("top"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     placed = placed.join(major.select("s", F.col("top.g").alias("major")), "s")
     one = placed.filter("g <> major")
-    other = placed.select("s", *_theirs(placed, "i", "g"), (F.col("g") == F.col("major")).alias("most"))
+    other = placed.select("s", *_theirs(placed, "i", "g", "bits", "before"), (F.col("g") == F.col("major")).alias("most"))
     apart = (F.col("g") != F.col("pg")) & (F.col("most") | (F.col("g") < F.col("pg")))
     early = (F.col("i") <= F.col("n") - _needed(share)) & (F.col("pi") <= F.col("pn") - _needed(share))
-    return _distinct(one.join(other, "s").filter(apart & _may_reach(share) & early))
+    first = ~F.arrays_overlap("before", "pbefore")
+    return one.join(other, "s").filter(apart & _may_reach(share) & early & _little_apart(share) & first)
+
+
+def _across(shared: DataFrame, groups: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """The pairs of :func:`_meetings`, each once."""
+    return _distinct(_meetings(shared, groups, share))
 
 
 def _classes_and_shared(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int]):
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), *[c.alias(n) for n, c in row_names(key, text).items()], text_of(text).alias("text"))
-    marked = stage(spark, rows.mapInArrow(*lean(_named_sets(width), "id long, _tw_1 long, _tw_2 long, h1 long, h2 long, n int")), "shingle-sets")
+    marked = stage(spark, rows.mapInArrow(*lean(_named_sets(width), "id long, _tw_1 long, _tw_2 long, h1 long, h2 long, n int, bits array<long>")), "shingle-sets")
     counters = marked.filter("n < 0").groupBy("h1").agg(F.sum("h2").alias("m")).orderBy(F.desc("m"), "h1").limit(COMMON).collect()
     common, often = (np.array([r[i] for r in counters], np.int64) for i in (0, 1))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_tw_1", "_tw_2")).alias("best")
-    classes = marked.filter("n >= 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), best)
-    classes = stage(spark, classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "best"), "shingle-classes")
+    classes = marked.filter("n >= 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), best, F.any_value("bits").alias("bits"))
+    classes = stage(spark, classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "best", "bits"), "shingle-classes")
     entries = rows.select("text").mapInArrow(*lean(_prefixes(width, share, common, often), _ENTRY))
     dealt = entries.repartition("s", "salt").sortWithinPartitions("s", "salt", "h1", "h2")
     shared = stage(spark, dealt.mapInArrow(*lean(_shared, _SHARED)), "shared-shingles")
     up, down = share
-    own = F.col("n") - F.ceil(F.col("n") * up / down) + 1 - F.col("k")
-    known = shared.groupBy("h1", "h2", "n").agg(F.count(F.lit(1)).alias("k")).select("h1", "h2", own.alias("u"))
-    shared = shared.join(known, ["h1", "h2"])
-    return rows, classes, stage(spark, shared.select("s", *_SET, "i"), "placed-shingles")
+    of_set = Window.partitionBy("h1", "h2")
+    own = F.col("n") - F.ceil(F.col("n") * up / down) + 1 - F.count(F.lit(1)).over(of_set)
+    before = F.array_compact(F.array(*[F.lag("s", k).over(of_set.orderBy("i")) for k in range(1, EARLIER + 1)]))
+    shared = shared.select("s", "h1", "h2", "n", own.alias("u"), "i", before.alias("before"))
+    return rows, classes, stage(spark, shared, "placed-shingles")
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
-    """Classes (c, h1, h2, n, best: the smallest row) of equal sets, and all links (a, b) of near ones."""
+    """Classes (c, h1, h2, n, best: the smallest row, bits: the sketch) of equal sets, and all links (a, b) of near ones."""
     rows, classes, shared = _classes_and_shared(spark, docs, key, text, width, share)
-    pairs = _across(shared, classes.select("h1", "h2", F.col("c").alias("g")), share)
+    pairs = _across(shared, classes.select("h1", "h2", "bits", F.col("c").alias("g")), share)
     return classes, _verified(spark, rows, classes, pairs, width, share)
 
 
@@ -320,7 +349,7 @@ def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text:
         return stage(spark, classes.join(found, classes["c"] == found["node"], "left").select(*classes.columns, F.coalesce("component", "c").alias("g")), "groups")
 
     groups = grouped(links)
-    pairs = _across(shared, groups.select("h1", "h2", "g"), share)
+    pairs = _across(shared, groups.select("h1", "h2", "bits", "g"), share)
     return grouped(links.union(_verified(spark, rows, classes, pairs, width, share)))
 
 
