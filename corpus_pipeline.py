@@ -29,8 +29,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays.
 
-    Near copies share at least 0.8 of their five-word shingles (Jaccard).  SimHash balls cannot
-    reach that similarity, so the shingle sets are joined exactly; op2 has the fingerprints.  Null and empty texts
+    Near copies share at least 0.8 of their five-word shingles (Jaccard).  SimHash fingerprints of these
+    are linked by op2's ball hashing and checked exactly; as its balls cannot reach all such pairs, the
+    shingle sets are then joined exactly, too, so that none is lost.  Null and empty texts
     are copies of each other; rows without a doc_id come last, and rows that share one are judged
     by their texts; of rows equal in both one stays.
     """
@@ -70,7 +71,7 @@ def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 STAGES = [
     ("quality rules", quality_rules),
-    ("near-dedup by shingle sets", near_dedup),
+    ("near-dedup by SimHash and shingle sets", near_dedup),
     ("suffix-array dedup", suffix_array_dedup),
     ("mixing sources", mixing_sources),
     ("byte-level BPE", byte_level_bpe),

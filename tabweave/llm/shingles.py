@@ -1,10 +1,11 @@
-"""Near copies of texts by an exact set-similarity join of their word shingles.
+"""Near copies of texts by SimHash and an exact set-similarity join of their word shingles.
 
 Two texts are near copies if the sets of their word shingles have a Jaccard similarity of at
-least ``share``.  Fingerprints cannot bound that: sets at 0.8 differ in about ten of 64 SimHash
-bits, far beyond what ball hashing reaches.  Candidates come from prefixes instead:
+least ``share``.  Balls around fingerprints find the nearest of them, but cannot find all: sets at
+0.8 differ in about ten of 64 SimHash bits.  What they do not reach comes from prefixes:
 
-1. Texts with equal sets form a class, named by 128 bits of the set; one of each takes part.
+1. Texts with equal sets form a class, named by 128 bits of the set; one of each takes part.  Classes
+   whose fingerprints are linked by ball hashing (:mod:`simhash`) are compared.
 2. All shingles have one order, the rarest first by a sketch of counts (any order is exact; this
    one keeps common passages out of the prefixes).  Of n shingles, the first n - ceil(share * n) + 1
    are emitted; two near sets always share one of them.
@@ -28,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import lean, slices, small_batches, stage, text_of
 from .graph import components
 
@@ -93,9 +95,9 @@ def row_names(key: str, text: str) -> dict[str, F.Column]:
 
 
 def _named_sets(width: int):
-    """Each row with the name, size and sketch of its set; then the task's large counters (n = -1)."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()))
-    names = ["id", "_tw_1", "_tw_2", "h1", "h2", "n", "bits"]
+    """Each row with the name, size, sketch and fingerprint of its set; then the task's large counters (n = -1)."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.int64())
+    names = ["id", "_tw_1", "_tw_2", "h1", "h2", "n", "bits", "fp"]
 
     def run(batches):
         counts = np.zeros(BUCKETS, np.int64)
@@ -104,12 +106,13 @@ def _named_sets(width: int):
             for t in b.column(3).to_pylist():
                 found = shingle_set(t, width)
                 np.add.at(counts, _buckets(found), 1)
-                rows.append((*set_name(found), len(found), sketch(found)))
+                fp = np.uint64(simhash.majority(found)).view(np.int64)
+                rows.append((*set_name(found), len(found), sketch(found), fp))
             made = [pa.array(list(x), k) for x, k in zip(zip(*rows, strict=True), kinds[3:], strict=True)] if rows else [pa.array([], k) for k in kinds[3:]]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=names)
         told = np.flatnonzero(counts > TOLD + 4 * counts.mean())
         none = np.zeros(len(told), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, told, counts[told], np.full(len(told), -1), [[]] * len(told)), kinds, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip((none, none, none, told, counts[told], np.full(len(told), -1), [[]] * len(told), none), kinds, strict=True)], names=names)
 
     return run
 
@@ -271,6 +274,18 @@ def _distinct(pairs: DataFrame) -> DataFrame:
     return pairs.select("a.h1", "a.h2", F.col("b.h1").alias("p1"), F.col("b.h2").alias("p2")).distinct()
 
 
+def _in_balls(spark: SparkSession, classes: DataFrame, share: tuple[int, int], radius: int = simhash.RADIUS) -> DataFrame:
+    """Pairs of classes that SimHash links: fingerprints that are equal (each class and the first) or
+    within ``radius`` bits (as ball hashing chains them), less those that sizes or sketches refute."""
+    some = classes.filter("n > 0")
+    firsts = stage(spark, some.groupBy("fp").agg(F.min("c").alias("id")), "fingerprints")
+    equal = some.join(firsts, "fp").filter("c <> id").select(F.col("c").alias("a"), F.col("id").alias("b"))
+    links = equal.union(simhash.link_classes(firsts, radius).select("a", "b"))
+    one, other = (some.select("c", "h1", "h2", "n", "bits").toDF(*names) for names in (("a", "h1", "h2", "n", "bits"), ("b", "p1", "p2", "pn", "pbits")))
+    near = links.join(one, "a").join(other, "b").filter((F.least("n", "pn") >= _needed(share)) & _little_apart(share))
+    return near.select("h1", "h2", "p1", "p2")
+
+
 def _with_hubs(shared: DataFrame, share: tuple[int, int]) -> DataFrame:
     """Pairs of each set and the hub of each of its buckets."""
     hubs = shared.groupBy("s").agg(F.max(F.struct((-F.col("u")).alias("few"), *_SET)).alias("hub")).select("s", "hub.*")
@@ -311,12 +326,12 @@ def _across(shared: DataFrame, groups: DataFrame, share: tuple[int, int]) -> Dat
 def _classes_and_shared(spark: SparkSession, docs: DataFrame, key: str, text: str, width: int, share: tuple[int, int]):
     small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("id"), *[c.alias(n) for n, c in row_names(key, text).items()], text_of(text).alias("text"))
-    marked = stage(spark, rows.mapInArrow(*lean(_named_sets(width), "id long, _tw_1 long, _tw_2 long, h1 long, h2 long, n int, bits array<long>")), "shingle-sets")
+    marked = stage(spark, rows.mapInArrow(*lean(_named_sets(width), "id long, _tw_1 long, _tw_2 long, h1 long, h2 long, n int, bits array<long>, fp long")), "shingle-sets")
     counters = marked.filter("n < 0").groupBy("h1").agg(F.sum("h2").alias("m")).orderBy(F.desc("m"), "h1").limit(COMMON).collect()
     common, often = (np.array([r[i] for r in counters], np.int64) for i in (0, 1))
     best = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "_tw_1", "_tw_2")).alias("best")
-    classes = marked.filter("n >= 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), best, F.any_value("bits").alias("bits"))
-    classes = stage(spark, classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "best", "bits"), "shingle-classes")
+    classes = marked.filter("n >= 0").groupBy("h1", "h2").agg(F.max("n").alias("n"), best, F.any_value("bits").alias("bits"), F.any_value("fp").alias("fp"))
+    classes = stage(spark, classes.select(F.monotonically_increasing_id().alias("c"), "h1", "h2", "n", "best", "bits", "fp"), "shingle-classes")
     entries = rows.select("text").mapInArrow(*lean(_prefixes(width, share, common, often), _ENTRY))
     dealt = entries.repartition("s", "salt").sortWithinPartitions("s", "salt", "h1", "h2")
     shared = stage(spark, dealt.mapInArrow(*lean(_shared, _SHARED)), "shared-shingles")
@@ -329,7 +344,7 @@ def _classes_and_shared(spark: SparkSession, docs: DataFrame, key: str, text: st
 
 
 def near_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> tuple[DataFrame, DataFrame]:
-    """Classes (c, h1, h2, n, best: the smallest row, bits: the sketch) of equal sets, and all links (a, b) of near ones."""
+    """Classes (c, h1, h2, n, best: the smallest row, bits: the sketch, fp: the fingerprint) of equal sets, and all links (a, b) of near ones."""
     rows, classes, shared = _classes_and_shared(spark, docs, key, text, width, share)
     pairs = _across(shared, classes.select("h1", "h2", "bits", F.col("c").alias("g")), share)
     return classes, _verified(spark, rows, classes, pairs, width, share)
@@ -338,11 +353,12 @@ def near_classes(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text
 def near_groups(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """Classes as in :func:`near_classes` with ``g``, the smallest class linked to each.
 
-    Groups of near copies are joined around hubs first, and only then are pairs of different
-    groups compared: all links count, but a group costs no comparison for each pair.
+    Near copies are joined by their fingerprints and around hubs first, and only then are pairs of
+    different groups compared: all links count, but a group costs no comparison for each pair.
     """
     rows, classes, shared = _classes_and_shared(spark, docs, key, text, width, share)
-    links = _verified(spark, rows, classes, _with_hubs(shared, share), width, share)
+    first = _distinct(_in_balls(spark, classes, share).union(_with_hubs(shared, share)))
+    links = _verified(spark, rows, classes, first, width, share)
 
     def grouped(links: DataFrame) -> DataFrame:
         found = components(spark, links)

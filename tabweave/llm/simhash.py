@@ -16,6 +16,14 @@ SHINGLE, RADIUS, SEED = 3, 2, 42
 BLOCK = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is set in over half of some 64-bit hashes; of none, none is."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: str, width: int = SHINGLE, seed: int = SEED) -> int:
     """A bit is set if it is set in over half of the XXH64 of the text's word shingles."""
     from xxhash import xxh64_intdigest

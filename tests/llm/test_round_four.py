@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from tabweave.llm import shingles
+import corpus_pipeline
+from tabweave.llm import shingles, simhash
 from tabweave.llm.common import stage
 
 
@@ -54,3 +55,26 @@ def test_a_pair_meets_at_few_of_the_shingles_that_it_shares(spark):
     groups = classes.selectExpr("h1", "h2", "bits", "c as g")
     assert shared.groupBy("s").count().filter("count > 1").count() > 20
     assert 1 <= shingles._meetings(shared, groups, (4, 5)).count() <= 5
+
+
+def test_near_dedup_links_what_simhash_balls_reach(spark, monkeypatch):
+    base = words(5, 3000)
+    texts = [base, *([*base[:k], f"x{k}", *base[k + 1 :]] for k in range(100, 2900, 300)), words(6, 3000), [*base[:1500], *words(7, 1500)], base[:2000]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    found = [shingles.shingle_set(" ".join(t)) for t in texts]
+    prints = [simhash.majority(f) for f in found]
+    for f, p in zip(found, prints, strict=True):
+        assert p == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in f) > len(f))
+    root = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if bin(prints[a] ^ prints[b]).count("1") <= 2 and len(np.intersect1d(found[a], found[b])) * 5 >= 4 * len(np.union1d(found[a], found[b])):
+                x, y = sorted((root[a], root[b]))
+                root = [x if r == y else r for r in root]
+    assert 4 <= len(set(root)) < len(texts) - 3
+    whole = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    none = lambda *_: spark.createDataFrame([], "h1 long, h2 long, p1 long, p2 long")
+    monkeypatch.setattr(shingles, "_with_hubs", none)
+    monkeypatch.setattr(shingles, "_across", none)
+    by_balls = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert by_balls == set(root) and whole == {0, len(texts) - 3, len(texts) - 2, len(texts) - 1}
