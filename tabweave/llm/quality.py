@@ -69,14 +69,20 @@ def window_hashes(words: Column) -> Column:
     return F.when(F.size(words) < WINDOW, F.array().cast("array<bigint>")).otherwise(hashes)
 
 
-def repeated_window_words(hashes: Column) -> Column:
+def repeated_window_words(words: Column, hashes: Column) -> Column:
     """Words that lie in windows found twice or more, the first included.
 
-    Only texts that hold a repeat pay for the sort that finds where the repeats stand;
-    O(n log n) for n words, whatever repeats.
+    Hashes only tell which windows may repeat; their words decide.  Only texts in which a hash
+    repeats pay for the words and the sorts; O(n log n) for n words, whatever repeats.
     """
+
+    def repeats(p: Column, by: str) -> Column:
+        return F.transform(F.filter(p, lambda x, k: (x[by] == F.get(p, k + 1)[by]) | (x[by] == F.get(p, k - 1)[by])), lambda x: x["i"])
+
     pairs = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    starts = let(pairs, lambda p: F.sort_array(F.transform(F.filter(p, lambda x, k: (x["h"] == F.get(p, k + 1)["h"]) | (x["h"] == F.get(p, k - 1)["h"])), lambda x: x["i"])))
+    window = lambda w, i: F.array(*[F.get(w, i + k) for k in range(WINDOW)])
+    spelled = let(words, lambda w: F.transform(let(pairs, lambda p: repeats(p, "h")), lambda i: F.struct(window(w, i).alias("g"), i.alias("i"))))
+    starts = let(F.sort_array(spelled), lambda p: F.sort_array(repeats(p, "g")))
     covered = let(starts, lambda s: F.aggregate(F.transform(s, lambda x, k: F.least(F.lit(WINDOW), F.coalesce(F.get(s, k + 1) - x, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda total, gap: total + gap))
     return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(covered)
 
@@ -90,7 +96,7 @@ def measures(text: Column, ratios: bool = False) -> Column:
         lambda x: F.struct(
             F.size(x).cast("long").alias("n_lines"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
-            F.size(F.filter(x, lambda line: line.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))).cast("long").alias("n_ellipsis_lines"),
+            F.size(F.filter(x, lambda line: line.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*\z"))).cast("long").alias("n_ellipsis_lines"),
         ),
     )
     stop_words = sorted({w for words in STOP_WORDS.values() for w in words.split()})
@@ -153,7 +159,7 @@ def quality_rules(docs: DataFrame, text: str = "text", thresholds: tuple = THRES
         failures.append(F.when(outside, F.lit(name)))
     # A projection of its own: Spark merges it with neither neighbour, as both sides are read twice.
     r = "_tw_repeats"
-    out = out.withColumn(r, repeated_window_words(w["hashes"]))
+    out = out.withColumn(r, repeated_window_words(words_of(text_of(text)), w["hashes"]))
     base_failed = (w["n_words"] < min_words) | (100 * F.col(r) > max_repeat_percent * w["n_words"])
     failed = F.array_compact(F.array(*failures))
     added = {

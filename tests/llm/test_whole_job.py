@@ -3,9 +3,10 @@
 import itertools
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabweave.llm import shingles
+from tabweave.llm import quality, shingles
 
 
 def words(seed, n):
@@ -71,3 +72,23 @@ def test_pipeline_rejects_menus_and_texts_without_running_prose(spark):
     docs = spark.createDataFrame([(k, lang, t) for k, (lang, t) in texts.items()], "doc_id string, lang string, text string")
     kept = {r.doc_id for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
     assert kept == {"prose", "other"}
+
+
+def test_windows_repeat_by_their_words_not_their_hashes(spark):
+    m = "m" * 24
+    one, two = f"jN_7Q,:;{m}iB2xjIm5{m}", f"faAyDV;i{m}?(kuX1;b{m}"
+    hashes = spark.createDataFrame([(one, two)], "a string, b string").select(F.xxhash64("a") == F.xxhash64("b")).first()
+    assert one != two and hashes[0]
+    rest, fill = " ".join(words(8, 7)), " ".join(words(9, 20))
+    texts = [f"{one} {rest} {fill} {two} {rest}", f"{one} {rest} {fill} {one} {rest}", f"{one} {rest} {two} {rest} {fill} {one} {rest} {two}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.n_repeat_words, r.base_failed) for r in quality.quality_rules(docs).collect()}
+    assert found == {0: (0, False), 1: (16, True), 2: (18, True)}
+
+
+def test_an_ellipsis_ends_its_line(spark):
+    ends = ["", " ", "\t\r", "\u2028", "\u2029", "\u0085", " \u2028"]
+    lines = [f"w{i} w{i}a w{i}b" for i in range(12)]
+    texts = ["\n".join(x + dots + end for x in lines) for end in ends for dots in ("...", "\u2026")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in quality.quality_rules(docs).collect() if r.failed_rules) == [0, 1, 2, 3, 4, 5]
